@@ -70,36 +70,53 @@ class Chunk:
     """Words and word pairs of some documents, each in the order in which shards see them."""
 
     def __init__(self, ids: list[int | None], texts: list[bytes], n_shards: int):
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        data = words.ASCII_LOWER[data]
-        starts, ends, first = words.spans(data, offsets, words.NOT_SPACE)
-        self.ids, n_docs = ids, len(ids)
-        self.n_tokens = np.diff(first) + 1
-        total = len(starts) + n_docs
-        token = np.full(total, END, dtype=np.uint64)
-        body = np.arange(len(starts)) + np.repeat(np.arange(n_docs), np.diff(first))
-        token[body] = words.hashes(data, starts, ends)
+        self.ids = ids
+        token, self.n_tokens = _tokens(texts)
         self.first = np.concatenate([[0], np.cumsum(self.n_tokens)])[:-1]
-        self.vocabulary, code = np.unique(np.concatenate([token, [BEGIN]]), return_inverse=True)
-        second = code[:-1].astype(np.uint64)
+        self.vocabulary, code = np.unique(token, return_inverse=True)
+        self.vocabulary = np.concatenate([[BEGIN], self.vocabulary])  # BEGIN is the least of all
+        second = (code + 1).astype(np.uint32)
+        del code
         prior = np.empty_like(second)
         prior[1:] = second[:-1]
-        prior[self.first] = code[-1]
-        dealt = shard_of(words.pair(self.vocabulary[prior], token), n_shards).astype(np.uint64)
-        bits = np.uint64(max(1, int(len(self.vocabulary)).bit_length()))
-        key = (dealt << (bits + bits)) | (prior << bits) | second
-        distinct, self.pair_at = np.unique(key, return_inverse=True)
+        prior[self.first] = 0
+        key = shard_of(words.pair(self.vocabulary[prior], token), n_shards).astype(np.uint64)
+        del token
+        bits = np.uint64(int(len(self.vocabulary)).bit_length())
+        key = (((key << bits) | prior) << bits) | second
+        del prior, second
+        distinct, at = np.unique(key, return_inverse=True)
+        del key
+        self.pair_at = at.astype(np.uint32)
         mask = (np.uint64(1) << bits) - np.uint64(1)
-        self.prior, self.second = ((distinct >> bits) & mask).astype(np.int64), (distinct & mask).astype(np.int64)
-        self.held = np.array([held_out(i) for i in ids], dtype=bool)
-        self.trained = np.bincount(
-            self.pair_at, weights=np.repeat(~self.held, self.n_tokens).astype(float), minlength=len(distinct)
-        ).astype(np.int64)
+        self.prior, self.second = ((distinct >> bits) & mask).astype(np.uint32), (distinct & mask).astype(np.uint32)
         self.pair_bounds = np.searchsorted((distinct >> (bits + bits)).astype(np.int64), np.arange(n_shards + 1))
+        del distinct
+        self.held = np.array([held_out(i) for i in ids], dtype=bool)
+        learned = np.repeat(~self.held, self.n_tokens)
+        self.trained = np.bincount(self.pair_at[learned], minlength=len(self.prior))
         self.word_bounds = np.searchsorted(shard_of(self.vocabulary, n_shards), np.arange(n_shards + 1))
 
 
+def _tokens(texts: list[bytes], at_once: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, and the number of tokens of each text."""
+    found, sizes, part, size = [], [], [], 0
+    for i, text in enumerate(texts):
+        part.append(text)
+        size += len(text)
+        if size < at_once and i + 1 < len(texts):
+            continue
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in part])]).astype(np.int64)
+        data = words.ASCII_LOWER[np.frombuffer(b"".join(part), np.uint8)]
+        starts, ends, first = words.spans(data, offsets, words.NOT_SPACE)
+        token = np.full(len(starts) + len(part), END, dtype=np.uint64)
+        token[np.arange(len(starts)) + np.repeat(np.arange(len(part)), np.diff(first))] = words.hashes(data, starts, ends)
+        found.append(token)
+        sizes.append(np.diff(first) + 1)
+        part, size = [], 0
+    return np.concatenate(found), np.concatenate(sizes)
+
+
 def shard_of(h: np.ndarray, n: int) -> np.ndarray:
     """Shards are ranges of the hash, so sorted hashes are sorted by shard."""
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
@@ -243,8 +260,9 @@ def score_chunk(n_shards: int):
         answers = [[unpack(b) for b in by[k]["blob"]] for k in ("pair counts", "word stats")]
         if any(len(a) != n_shards for a in answers):
             raise RuntimeError("a chunk lacks answers: the input changed while it was read")
-        ids, texts = pickle.loads(zstandard.ZstdDecompressor().decompress(by["docs"]["blob"].iloc[0]))
-        c = Chunk(ids, texts, n_shards)
+        shipped = by["docs"]["blob"].iloc[0]
+        del by, group
+        c = Chunk(*pickle.loads(zstandard.ZstdDecompressor().decompress(shipped)), n_shards)
         n = {"pair_kinds": sum(a[1].astype(np.int64) for a in answers[0])}
         sums = sum(a[-1].astype(np.int64) for a in answers[1])
         n |= {"tokens": int(sums[0]), "words": int(sums[1]), "pairs": int(sums[2]), "preceding_kinds": sums[3:]}
@@ -293,13 +311,13 @@ def ship(chunk_bytes: int):
 
     def run(batches):
         for name, ids, texts in chunked(batches, chunk_bytes):
-            blob = zstandard.ZstdCompressor(level=3).compress(pickle.dumps((ids, texts), protocol=5))
+            blob = zstandard.ZstdCompressor(level=9).compress(pickle.dumps((ids, texts), protocol=5))
             yield rows([(name, "docs", name, 0, blob)])
 
     return run
 
 
-def score(docs: DataFrame, chunk_bytes: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, chunk_bytes: int = 32 << 20) -> DataFrame:
     """Scores every row of docs (doc_id, text; other columns are ignored) under its training rows.
 
     Rows whose crc32(doc_id) mod 10 is 0 are held out. A null text is empty: one token, the end. A null id
