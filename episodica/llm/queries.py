@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from episodica.llm import kneser_ney
+from episodica.llm import kneser_ney, packing, simhash
 from episodica.llm.tables import table
 
 
@@ -14,8 +14,16 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm_score": op1_lm_score}
+    return {f.__name__: f for f in (op1_lm_score, op6_simhash, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
