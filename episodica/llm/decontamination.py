@@ -3,8 +3,8 @@
 Weights are divided by what an item scores against itself, so a score is the share of an item's
 weight that a passage covers, and one threshold serves long and short items. Passages are windows
 of twice the length of the longest item at steps of that length: whatever repeats an item lies
-whole in one of them. A passage in which even the best item could not reach the threshold is
-skipped by array arithmetic; the others run block-max WAND. What WAND returns is verified: the
+whole in one of them. Block maxima are added up for all passages of a batch by array arithmetic;
+only where a block of items could reach the threshold does block-max WAND run, on that block. What WAND returns is verified: the
 question must be there in word shingles and the answer in words.
 """
 
@@ -54,7 +54,7 @@ def shingles(text: list, width: int = 5) -> set:
 class Index:
     """Postings with impacts, in blocks that know their largest impact."""
 
-    def __init__(self, items: list[tuple[int, str]], block: int = 64):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = 0.5, block: int = 64, group: int = 2):
         items = [(i, t) for i, t in items if t and split_words(t)]
         self.ids = [i for i, _ in items]
         self.parts = [question_and_answer(t) for _, t in items]
@@ -82,14 +82,30 @@ class Index:
         self.impacts = [[x for _, x in postings[t]] for t in self.terms]
         self.blocks = [[max(x[k : k + block]) for k in range(0, len(x), block)] for x in self.impacts]
         self.block = block
-        self.bound = np.array([max(x) for x in self.impacts])
-        common = np.array([seen[t] > 0.05 * len(texts) for t in self.terms], dtype=bool)
-        free = Counter()
-        for t in np.flatnonzero(common):
-            for i, x in zip(self.lists[t], self.impacts[t]):
-                free[i] += x
-        #: What common terms can add to any item at most; the others count one by one.
-        self.common, self.rare_bound = max(free.values(), default=0.0), np.where(common, 0.0, self.bound)
+        self.bound = [max(x) for x in self.impacts]
+        #: Terms of many items are not looked up passage by passage: what they can add is part of every block's bound.
+        free, common = np.zeros(len(texts)), np.zeros(len(self.terms), dtype=bool)
+        for t in sorted(range(len(self.terms)), key=lambda t: -len(self.lists[t])):
+            more = free.copy()
+            more[self.lists[t]] += self.impacts[t]
+            if len(self.lists[t]) <= 0.02 * len(texts) or more.max() > 0.6 * threshold:
+                break
+            free, common[t] = more, True
+        n_groups = -(-len(texts) // group)
+        self.group, self.free = group, np.zeros(n_groups)
+        np.maximum.at(self.free, np.arange(len(texts)) // group, free)
+        self.of_group: list[set[int]] = [set() for _ in range(n_groups)]
+        tops: list[tuple[int, float]] = []
+        self.top_start = np.zeros(len(self.terms) + 1, dtype=np.int64)
+        for t, (ids, impacts) in enumerate(zip(self.lists, self.impacts)):
+            best: dict[int, float] = {}
+            for i, x in zip(ids, impacts):
+                best[i // group] = max(best.get(i // group, 0.0), x)
+                self.of_group[i // group].add(t)
+            if not common[t]:
+                tops += best.items()
+            self.top_start[t + 1] = len(tops)
+        self.top_group, self.top = np.array([g for g, _ in tops], dtype=np.int64), np.array([x for _, x in tops])
         self.filter = np.zeros(1 << 18, dtype=bool)
         self.filter[(self.hash & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
 
@@ -100,16 +116,36 @@ class Index:
         ok = self.hash[at] == h[where]
         return where[ok], at[ok]
 
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """Block-max WAND: all items that these distinct terms score at the threshold or above."""
-        found, end = [], len(self.ids)
-        cursors = [[self.lists[t][0], 0, t] for t in terms]  # item, place in the list, term
+    def candidates(self, block: np.ndarray, term: np.ndarray, threshold: float):
+        """(passage, group of items) that could reach the threshold. A passage is a block of words and the next one."""
+        key = np.unique(block * len(self.terms) + term)
+        block, term = key // len(self.terms), key % len(self.terms)
+        n = self.top_start[term + 1] - self.top_start[term]
+        at = np.arange(n.sum()) + np.repeat(self.top_start[term] - (np.cumsum(n) - n), n)
+        block, group = np.repeat(block, n), self.top_group[at]
+        key = np.concatenate([block * len(self.free) + group, (block - 1) * len(self.free) + group])
+        order = np.argsort(key, kind="stable")
+        key, top = key[order], np.concatenate([self.top[at]] * 2)[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        total = np.add.reduceat(top, first) if len(first) else np.zeros(0)
+        passage, group = np.divmod(key[first], len(self.free))
+        keep = total + self.free[group] >= threshold - 1e-9
+        return passage[keep], group[keep]
+
+    def search(self, terms: list[int], threshold: float, low: int = 0, high: int | None = None) -> list[tuple[int, float]]:
+        """Block-max WAND: all items in low..high that these distinct terms score at the threshold or above."""
+        found, end = [], len(self.ids) if high is None else min(high, len(self.ids))
+        cursors = []  # item, place in the list, term
+        for t in terms:
+            k = bisect_left(self.lists[t], low)
+            if k < len(self.lists[t]) and self.lists[t][k] < end:
+                cursors.append([self.lists[t][k], k, t])
         threshold -= 1e-9
         while True:
             cursors.sort()
             total, pivot = 0.0, -1
             for k, (item, _, t) in enumerate(cursors):
-                if item == end:
+                if item >= end:
                     break
                 total += self.bound[t]
                 if total >= threshold:
@@ -166,24 +202,20 @@ def _scan(index: Index, threshold: float, overlap: float):
             doc = np.searchsorted(first, where, side="right") - 1
             base = np.concatenate([[0], np.cumsum(np.diff(first) // step + 2)])
             block = base[doc] + (where - first[doc]) // step
-            weight = np.bincount(block, weights=index.rare_bound[term], minlength=base[-1] + 1)
-            passages = np.flatnonzero(weight[:-1] + weight[1:] + index.common >= threshold)
+            passages, groups = index.candidates(block, term, threshold)
             low, high = np.searchsorted(block, passages), np.searchsorted(block, passages + 2)
             best: dict[tuple[int, int], tuple] = {}
-            for p, a, b in zip(passages.tolist(), low.tolist(), high.tolist()):
-                if a == b:
-                    continue
+            for p, group, a, b in zip(passages.tolist(), groups.tolist(), low.tolist(), high.tolist()):
                 d = int(doc[a])
-                if base[d] > p or doc[b - 1] != d:  # a window of two documents: its blocks are seen in their own
+                if p < base[d]:  # begins behind the last words of a document: the next passage is the same
                     continue
-                from_word = int(first[d]) + (p - int(base[d])) * step
-                to_word = min(from_word + 2 * step, int(first[d + 1]))
-                passage = None
-                for item, score in index.search(np.unique(term[a:b]).tolist(), threshold):
-                    if passage is None:
-                        raw = data[starts[from_word] : ends[to_word - 1]].tobytes()
-                        shift = int(starts[from_word])
-                        passage = [raw[s - shift : e - shift] for s, e in zip(starts[from_word:to_word].tolist(), ends[from_word:to_word].tolist())]
+                there = index.of_group[group].intersection(term[a:b].tolist())
+                for item, score in index.search(sorted(there), threshold, group * index.group, (group + 1) * index.group):
+                    from_word = int(first[d]) + (p - int(base[d])) * step
+                    to_word = min(from_word + 2 * step, int(first[d + 1]))
+                    begin = int(starts[from_word])
+                    raw = data[begin : ends[to_word - 1]].tobytes()
+                    passage = [raw[s - begin : e - begin] for s, e in zip(starts[from_word:to_word].tolist(), ends[from_word:to_word].tolist())]
                     asked, answered = index.verify(item, passage)
                     if asked >= overlap and answered >= overlap:
                         best[d, item] = max(best.get((d, item), (0.0,)), (score, asked, answered))
@@ -210,7 +242,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     found = [spark.createDataFrame([], FOUND)]
     for k in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
-        index = Index(sorted(((r.item_id, r.text) for r in mine if r.text), key=repr))
+        index = Index(sorted(((r.item_id, r.text) for r in mine if r.text), key=repr), threshold)
         if index.ids:
             found.append(pairs.mapInArrow(_broadcast(spark, index, threshold, overlap), FOUND))
     return reduce(DataFrame.unionByName, found[1:] or found)
