@@ -190,35 +190,40 @@ class Index:
         return asked, len(known & set(passage)) / len(known) if known else 1.0
 
 
-def _scan(index: Index, threshold: float, overlap: float):
+def _repeats(index: Index, texts: pa.Array, threshold: float, overlap: float) -> dict[tuple[int, int], tuple]:
+    """(score, question overlap, answer overlap) by (row, item of the index) for the verified ones."""
     step = index.longest
+    data, offsets = words.text_buffer(pc.utf8_lower(texts))
+    starts, ends, first = words.spans(data, offsets, words.ALNUM)
+    where, term = index.find(words.hashes(data, starts, ends))
+    doc = np.searchsorted(first, where, side="right") - 1
+    base = np.concatenate([[0], np.cumsum(np.diff(first) // step + 2)])
+    block = base[doc] + (where - first[doc]) // step
+    passages, groups = index.candidates(block, term, threshold)
+    low, high = np.searchsorted(block, passages), np.searchsorted(block, passages + 2)
+    best: dict[tuple[int, int], tuple] = {}
+    for p, group, a, b in zip(passages.tolist(), groups.tolist(), low.tolist(), high.tolist()):
+        d = int(doc[a])
+        if p < base[d]:  # begins behind the last words of a document: the next passage is the same
+            continue
+        there = index.of_group[group].intersection(term[a:b].tolist())
+        for item, score in index.search(sorted(there), threshold, group * index.group, (group + 1) * index.group):
+            from_word = int(first[d]) + (p - int(base[d])) * step
+            to_word = min(from_word + 2 * step, int(first[d + 1]))
+            begin = int(starts[from_word])
+            raw = data[begin : ends[to_word - 1]].tobytes()
+            passage = [raw[s - begin : e - begin] for s, e in zip(starts[from_word:to_word].tolist(), ends[from_word:to_word].tolist())]
+            asked, answered = index.verify(item, passage)
+            if asked >= overlap and answered >= overlap:
+                best[d, item] = max(best.get((d, item), (0.0,)), (score, asked, answered))
+    return best
+
 
+def _scan(index: Index, threshold: float, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            data, offsets = words.text_buffer(pc.utf8_lower(batch.column(1)))
-            starts, ends, first = words.spans(data, offsets, words.ALNUM)
-            where, term = index.find(words.hashes(data, starts, ends))
-            doc = np.searchsorted(first, where, side="right") - 1
-            base = np.concatenate([[0], np.cumsum(np.diff(first) // step + 2)])
-            block = base[doc] + (where - first[doc]) // step
-            passages, groups = index.candidates(block, term, threshold)
-            low, high = np.searchsorted(block, passages), np.searchsorted(block, passages + 2)
-            best: dict[tuple[int, int], tuple] = {}
-            for p, group, a, b in zip(passages.tolist(), groups.tolist(), low.tolist(), high.tolist()):
-                d = int(doc[a])
-                if p < base[d]:  # begins behind the last words of a document: the next passage is the same
-                    continue
-                there = index.of_group[group].intersection(term[a:b].tolist())
-                for item, score in index.search(sorted(there), threshold, group * index.group, (group + 1) * index.group):
-                    from_word = int(first[d]) + (p - int(base[d])) * step
-                    to_word = min(from_word + 2 * step, int(first[d + 1]))
-                    begin = int(starts[from_word])
-                    raw = data[begin : ends[to_word - 1]].tobytes()
-                    passage = [raw[s - begin : e - begin] for s, e in zip(starts[from_word:to_word].tolist(), ends[from_word:to_word].tolist())]
-                    asked, answered = index.verify(item, passage)
-                    if asked >= overlap and answered >= overlap:
-                        best[d, item] = max(best.get((d, item), (0.0,)), (score, asked, answered))
+            best = _repeats(index, batch.column(1), threshold, overlap)
             out = [(ids[d], index.ids[item], *seen) for (d, item), seen in sorted(best.items())]
             types = [pa.int64(), pa.int64(), *[pa.float64()] * 3]
             names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
@@ -235,19 +240,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     a document is reported once, with its best passage; repeated rows are reported each. Tasks hold an index of at
     most most_items items; a larger benchmark is taken in parts, one pass over docs for each.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].alias("text"))
     pairs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    found = []
+    for index in _indexes(benchmark, threshold, most_items):
+        held = docs.sparkSession.sparkContext.broadcast(index)
+        scan = lambda batches, held=held: _scan(held.value, threshold, overlap)(batches)
+        found.append(pairs.mapInArrow(scan, FOUND))
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], FOUND)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6, most_items: int = 20_000) -> DataFrame:
+    """The rows of docs, with all their columns, that repeat no benchmark item. Rows move between no tasks."""
+    for index in _indexes(benchmark, threshold, most_items):
+        held = docs.sparkSession.sparkContext.broadcast(index)
+
+        def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                good = np.ones(batch.num_rows, dtype=bool)
+                good[[d for d, _ in _repeats(held.value, batch.column("text"), threshold, overlap)]] = False
+                yield batch.filter(pa.array(good))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
+def _indexes(benchmark: DataFrame, threshold: float, most_items: int) -> Iterator[Index]:
+    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].alias("text"))
     parts = -(-items.count() // most_items)
-    found = [spark.createDataFrame([], FOUND)]
     for k in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
         index = Index(sorted(((r.item_id, r.text) for r in mine if r.text), key=repr), threshold)
         if index.ids:
-            found.append(pairs.mapInArrow(_broadcast(spark, index, threshold, overlap), FOUND))
-    return reduce(DataFrame.unionByName, found[1:] or found)
-
-
-def _broadcast(spark, index: Index, threshold: float, overlap: float):
-    held = spark.sparkContext.broadcast(index)
-    return lambda batches: _scan(held.value, threshold, overlap)(batches)
+            yield index

@@ -6,10 +6,22 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.llm import chat, decontamination, kneser_ney, language, packing, secrets, simhash, toxicity
+import corpus_pipeline
+from episodica.llm import (
+    chat,
+    decontamination,
+    fingerprints,
+    kneser_ney,
+    language,
+    packing,
+    personal,
+    secrets,
+    simhash,
+    toxicity,
+)
 from episodica.llm.tables import table
 
 
@@ -21,6 +33,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbours(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
@@ -51,11 +67,24 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
-    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    base = F.filter("spans", lambda s: s["kind"] != "learned")
-    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    kinds = (count(k) for k in ("assign", "access", "hex"))
-    return found.select("doc_id", *kinds, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return _digest(found, ("assign", "access", "hex"), "learned")
+
+
+def op8_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(personal.find_personal(table(spark, sf_dir, "documents")), personal.KINDS, "other")
+
+
+def _digest(found: DataFrame, kinds: tuple[str, ...], learned: str) -> DataFrame:
+    """Counts of each kind, the hash of the base spans and all spans as text."""
+
+    def joined(spans: Column | str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != learned)
+    return found.select("doc_id", *map(count, kinds), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +96,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_lm_score, op2_language_id, op4_chat_format, op5_toxicity, op6_simhash, op7_secrets, op9_decontamination, op10_packing)
-    return {f.__name__: f for f in every}
+    every = (op1_lm_score, op2_language_id, op3_fingerprint, op4_chat_format, op5_toxicity, op6_simhash, op7_secrets, op8_personal, op9_decontamination, op10_packing)
+    return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}

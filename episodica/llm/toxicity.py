@@ -274,3 +274,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7, mark: float =
     held = docs.sparkSession.sparkContext.broadcast(model)
     asked = rows.select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "text")
     return asked.mapInArrow(lambda batches: _score(held.value, cut, mark)(batches), SCORED)
+
+
+def harmless(docs: DataFrame, labels: DataFrame, cut: float = 0.7, per_class: int = 2000) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below cut. Rows move between no tasks."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    held = docs.sparkSession.sparkContext.broadcast(learn(rows, labels, per_class))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if held.value is not None and batch.num_rows:
+                score = held.value.score(held.value.inputs(Words(batch.column("text")))[0])
+                batch = batch.filter(pa.array(score < cut))
+            yield batch
+
+    return docs.mapInArrow(keep, docs.schema)
