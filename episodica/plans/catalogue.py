@@ -1,15 +1,523 @@
-"""All queries of the library, by name."""
+"""All queries of the library on the driver's tables, each with its SQL for DuckDB."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from episodica.functions import replies, signal
+from episodica.operators import align, fusion, intervals, quality, runs
+from episodica.plans import frames as fr
+from episodica.plans.prelude import PRELUDE
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    """Registers a query under its name, with the SQL that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__], _SQL[f.__name__] = f, f"WITH {PRELUDE} {sql}"
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+C, W, P = F.col, signal.ORDERED, signal.EPISODE
+
+
+@query("SELECT ep, f, n, a, b FROM fr")
+def frames_view(spark, d):
+    return fr.frames(spark, d).select("ep", "f", "n", "a", "b")
+
+
+@query("SELECT ep, arg_min(a, f) AS a_start, min(a) AS a_min, max(a) AS a_max, arg_max(a, f) AS a_end, max(a) - min(a) AS a_range, arg_min(b, f) AS b_start, min(b) AS b_min, max(b) AS b_max, arg_max(b, f) AS b_end, max(b) - min(b) AS b_range FROM fr GROUP BY ep")
+def episode_stats(spark, d):
+    of = lambda x: [F.min_by(x, "f").alias(f"{x}_start"), F.min(x).alias(f"{x}_min"), F.max(x).alias(f"{x}_max"), F.max_by(x, "f").alias(f"{x}_end"), (F.max(x) - F.min(x)).alias(f"{x}_range")]
+    return fr.frames(spark, d).groupBy("ep").agg(*of("a"), *of("b"))
+
+
+@query("SELECT ep, f, s9, round(s9 / 9.0, 6) AS smoothed FROM sm")
+def smooth_signal(spark, d):
+    s = signal.smooth_sum(C("a"), 9)
+    return fr.frames(spark, d).select("ep", "f", s.alias("s9"), F.round(s / 9.0, 6).alias("smoothed"))
+
+
+@query("SELECT ep, f, CASE WHEN n < 5 THEN a * 5 ELSE s5 END AS s5 FROM sm")
+def smooth_short5(spark, d):
+    return fr.frames(spark, d).select("ep", "f", F.when(C("n") < 5, C("a") * 5).otherwise(signal.smooth_sum(C("a"), 5)).alias("s5"))
+
+
+@query("SELECT ep, f, ga, gb FROM nm")
+def norm01(spark, d):
+    return fr.normed(spark, d).select("ep", "f", "ga", "gb")
+
+
+@query("SELECT ep, f, round((a - avg(a) OVER (PARTITION BY ep)) / (stddev_pop(a) OVER (PARTITION BY ep) + 1e-9), 5) AS za, round((b - avg(b) OVER (PARTITION BY ep)) / (stddev_pop(b) OVER (PARTITION BY ep) + 1e-9), 5) AS zb FROM fr")
+def zscore_state(spark, d):
+    return fr.frames(spark, d).select("ep", "f", *(F.round(signal.zscore(C(x)), 5).alias(f"z{x}") for x in "ab"))
+
+
+@query("SELECT ep, f, da, db FROM df")
+def diff_prepend(spark, d):
+    return fr.frames(spark, d).select("ep", "f", *(signal.step(C(x)).alias(f"d{x}") for x in "ab"))
+
+
+@query("SELECT ep, f, v FROM (SELECT ep, f, lead(s5) OVER (PARTITION BY ep ORDER BY f) - s5 AS v FROM sm) WHERE v IS NOT NULL")
+def velocity(spark, d):
+    rows = fr.frames(spark, d).withColumn("s", signal.smooth_sum(C("a"), 5))
+    return rows.select("ep", "f", (F.lead("s").over(W) - C("s")).alias("v")).where("v IS NOT NULL")
+
+
+@query("SELECT ep, f, round(sqrt(da * da + db * db), 6) AS speed FROM df")
+def vector_speed(spark, d):
+    rows = fr.frames(spark, d).withColumns({"da": signal.step(C("a")), "db": signal.step(C("b"))})
+    return rows.select("ep", "f", F.round(signal.length(C("da"), C("db")), 6).alias("speed"))
+
+
+@query("SELECT ep, f, drift FROM dr")
+def carrier_drift(spark, d):
+    return _drift(spark, d).select("ep", "f", "drift")
+
+
+def _drift(spark, d):
+    """Squared speed of both signals, each smoothed over 15 frames, summed over 9; whole numbers throughout."""
+    rows = fr.frames(spark, d).withColumns({f"w{x}": signal.smooth_sum(C(x), 15) for x in "ab"})
+    rows = rows.withColumns({f"w{x}": signal.step(C(f"w{x}")) for x in "ab"})
+    rows = rows.withColumn("q", C("wa") * C("wa") + C("wb") * C("wb"))
+    rows = rows.withColumn("drift", signal.smooth_sum(C("q"), 9))
+    return rows.withColumn("raw", signal.smooth_sum(F.abs(signal.step(C("a"))), 9))
+
+
+@query("SELECT ep, ra, rb FROM rs")
+def rest_level(spark, d):
+    return fr.masked(spark, d).groupBy("ep").agg(F.max("ra").alias("ra"), F.max("rb").alias("rb"))
+
+
+@query("SELECT ep, f, ca, cb FROM mk")
+def closed_mask(spark, d):
+    return fr.masked(spark, d).select("ep", "f", "ca", "cb")
+
+
+@query("SELECT ep, f, ga < ra - 0.45 AS closed FROM mk")
+def closed_mask_onesided(spark, d):
+    return fr.masked(spark, d).select("ep", "f", (C("ga") < C("ra") - 0.45).alias("closed"))
+
+
+@query("SELECT ep, on_ AS \"on\", first, last, last - first + 1 AS len FROM ra_")
+def mask_runs(spark, d):
+    return runs.runs(fr.masked(spark, d), "ca")
+
+
+@query("SELECT ep, f, closed FROM fa_")
+def close_gaps(spark, d):
+    return runs.close_gaps(fr.masked(spark, d), "ca", 3).select("ep", "f", C("ca").alias("closed"))
+
+
+@query("SELECT ep, s, e FROM ha")
+def longest_run(spark, d):
+    return fr.hold(spark, d, "a")
+
+
+@query("SELECT ep, s AS start_frame, CASE WHEN e > s THEN e - 1 ELSE -1 END AS end_frame FROM hb")
+def hold_window(spark, d):
+    held = fr.hold(spark, d, "b")
+    return held.select("ep", C("s").alias("start_frame"), F.when(C("e") > C("s"), C("e") - 1).otherwise(F.lit(-1).cast("long")).alias("end_frame"))
+
+
+@query("SELECT ep, e1, e2, onset FROM onset")
+def low_drift_onset(spark, d):
+    held = fr.hold(spark, d, "a").select("ep", C("s").alias("e1"), (C("e") - 1).alias("e2"))
+    rows = _drift(spark, d).join(held, "ep").where("f BETWEEN e1 AND e2")
+    limit = F.round(F.percentile("drift", F.lit(0.45)).over(P), 6)
+    rows = rows.withColumn("low", C("drift") < limit)
+    found = runs.longest_run(runs.close_gaps(rows.select("ep", "f", "low"), "low", 5), "low")
+    onset = F.when(C("e2") - C("e1") < 2, C("e1") + F.floor((C("e2") - C("e1")) * 2 / 5)).otherwise(F.least(F.greatest(C("s"), C("e1") + 1), C("e2") - 1))
+    return held.where("e2 >= e1").join(found, "ep").select("ep", "e1", "e2", onset.cast("long").alias("onset"))
+
+
+@query("SELECT ep, s, e FROM hact")
+def active_window(spark, d):
+    limit, most = F.round(F.percentile("drift", F.lit(0.40)).over(P), 6), F.max("raw").over(P)
+    rows = _drift(spark, d).withColumn("on", (C("drift") < limit) & (C("raw") * 100 > most * 12))
+    return runs.longest_run(runs.close_gaps(rows.select("ep", "f", "on"), "on", 4), "on")
+
+
+@query("SELECT a.ep, CASE WHEN a.e - a.s >= b.e - b.s THEN 'left' ELSE 'right' END AS holder, CASE WHEN a.e - a.s >= b.e - b.s THEN 'right' ELSE 'left' END AS wiper FROM ha a JOIN hb b USING (ep)")
+def role_assign(spark, d):
+    a = fr.hold(spark, d, "a").select("ep", (C("e") - C("s")).alias("l"))
+    b = fr.hold(spark, d, "b").select("ep", (C("e") - C("s")).alias("r"))
+    left = C("l") >= C("r")
+    return a.join(b, "ep").select("ep", F.when(left, "left").otherwise("right").alias("holder"), F.when(left, "right").otherwise("left").alias("wiper"))
+
+
+@query("SELECT ep, i, c, n FROM st")
+def critical_points(spark, d):
+    return fr.state_points(spark, d)
+
+
+_LOOSE = "SELECT ep, i, least(greatest(c, 1), n - 2) AS c, c AS raw, n FROM vl"
+
+
+@query(f"SELECT ep, i, least(i + max(c - i) OVER (PARTITION BY ep ORDER BY i ROWS UNBOUNDED PRECEDING), n - 2 - (6 - i)) AS c FROM ({_LOOSE})")
+def order_repair(spark, d):
+    return fr.other_points(spark, d).select("ep", "i", intervals.repair(6).alias("c"))
+
+
+@query("SELECT ep, i, i + max(c - i) OVER (PARTITION BY ep ORDER BY i ROWS UNBOUNDED PRECEDING) AS c FROM vl")
+def order_repair_fwd(spark, d):
+    return fr.other_points(spark, d).select("ep", "i", intervals.repair_forward().alias("c"))
+
+
+@query("SELECT ep, k, first, last, last - first + 1 AS n_frames, round(first / 30.0, 2) AS start_t, round(last / 30.0, 2) AS end_t FROM sub")
+def subtasks(spark, d):
+    parts = intervals.subtasks(fr.state_points(spark, d))
+    return parts.select("ep", "k", "first", "last", (C("last") - C("first") + 1).alias("n_frames"), F.round(C("first") / 30.0, 2).alias("start_t"), F.round(C("last") / 30.0, 2).alias("end_t"))
+
+
+@query("SELECT ep, k, CASE WHEN k = 0 THEN first ELSE first + 1 END AS first, greatest(CASE WHEN k = 0 THEN first ELSE first + 1 END, CASE WHEN last = n - 1 THEN last ELSE last + 1 END) AS last FROM sub")
+def stages_alt(spark, d):
+    return intervals.stages(fr.state_points(spark, d)).select("ep", "k", "first", "last")
+
+
+@query("SELECT ep, unnest(range(first, last + 1)) AS f, k FROM sub WHERE last >= first")
+def dense_index(spark, d):
+    return intervals.dense(intervals.subtasks(fr.state_points(spark, d)))
+
+
+@query("SELECT fr.ep, k, count(*) AS frames, sum(a) AS sum_a, max(b) AS max_b FROM fr JOIN sub ON fr.ep = sub.ep AND f BETWEEN first AND last GROUP BY fr.ep, k")
+def frame_in_interval(spark, d):
+    index = intervals.dense(intervals.subtasks(fr.state_points(spark, d)))
+    return fr.frames(spark, d).join(index, ["ep", "f"]).groupBy("ep", "k").agg(F.count(F.lit(1)).alias("frames"), F.sum("a").alias("sum_a"), F.max("b").alias("max_b"))
+
+
+@query("SELECT ep, i, c, d, source, review FROM fu")
+def fuse_points(spark, d):
+    return _fused(spark, d).select("ep", "i", "c", "d", "source", "review")
+
+
+def _fused(spark, d):
+    return fusion.fused(fr.state_points(spark, d), fr.other_points(spark, d), 4, [2, 5])
+
+
+@query("SELECT st.ep, st.i, CASE WHEN st.i IN (3) AND vl.c IS NOT NULL THEN vl.c ELSE st.c END AS c, coalesce(abs(vl.c - st.c) > 6.5, true) AS review, st.i - 1 AS review_id FROM st LEFT JOIN vl USING (ep, i)")
+def fuse_points_ego(spark, d):
+    rows = fusion.fused(fr.state_points(spark, d), fr.other_points(spark, d), 6.5, [3], fall_back=False)
+    return rows.select("ep", "i", "c", "review", (C("i") - 1).alias("review_id"))
+
+
+@query("SELECT st.ep, CAST(CASE WHEN abs(st.c - vl.c) <= 4 THEN round_even((st.c + vl.c) / 2.0, 0) ELSE coalesce(vl.c, st.c) END AS BIGINT) AS c, CASE WHEN abs(st.c - vl.c) <= 4 THEN 'pose+vision' WHEN vl.c IS NOT NULL THEN 'vision(review)' ELSE 'pose' END AS source FROM st LEFT JOIN vl USING (ep, i) WHERE st.i = 3")
+def merge_onsets(spark, d):
+    pose = fr.state_points(spark, d).where("i = 3").select("ep", C("c").alias("pose"))
+    vision = fr.other_points(spark, d).where("i = 3").select("ep", C("c").alias("vision"))
+    frame, source = fusion.merged_onset(C("pose"), C("vision"), 4)
+    return pose.join(vision, "ep", "left").select("ep", frame.alias("c"), source.alias("source"))
+
+
+@query("SELECT ep, count(*) FILTER (review) AS n_review, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (review) AS points FROM fu GROUP BY ep")
+def review_queue(spark, d):
+    points = F.array_join(F.array_sort(F.collect_list(F.when(C("review"), C("i")))), ",")
+    return _fused(spark, d).groupBy("ep").agg(F.count_if("review").alias("n_review"), F.when(F.count_if("review") > 0, points).alias("points"))
+
+
+@query("SELECT i, round(avg(d), 6) AS mean_d, count(d) AS episodes FROM fu GROUP BY i")
+def disagreement_by_point(spark, d):
+    return _fused(spark, d).groupBy("i").agg(F.round(F.avg("d"), 6).alias("mean_d"), F.count("d").alias("episodes"))
+
+
+@query("SELECT st.ep, st.i, coalesce(vl.c, st.c) AS c, CASE WHEN vl.c IS NOT NULL THEN 'human' ELSE 'state' END AS source FROM st LEFT JOIN vl USING (ep, i)")
+def seed_priority(spark, d):
+    other = fr.other_points(spark, d).select("ep", "i", C("c").alias("v"))
+    joined = fr.state_points(spark, d).join(other, ["ep", "i"], "left")
+    return joined.select("ep", "i", F.coalesce("v", "c").alias("c"), F.when(C("v").isNotNull(), "human").otherwise("state").alias("source"))
+
+
+@query("SELECT ep, i, c, lo, hi FROM cw")
+def candidate_window(spark, d):
+    return _windows(spark, d).select("ep", "i", "c", "lo", "hi")
+
+
+def _windows(spark, d, half: int = 10):
+    rows = fr.state_points(spark, d)
+    before, after = F.lag("c").over(intervals.BY_POINT), F.lead("c").over(intervals.BY_POINT)
+    low = F.greatest(C("c") - half, F.coalesce(before + 1, F.lit(0)))
+    high = F.least(C("c") + half, F.coalesce(after - 1, C("n") - 1))
+    rows = rows.withColumns({"lo": low, "hi": high})
+    bad = C("hi") <= C("lo")
+    low, high = F.when(bad, F.greatest(F.lit(0), C("c") - half // 2)).otherwise(C("lo")), F.when(bad, F.least(C("n") - 1, C("c") + half // 2)).otherwise(C("hi"))
+    return rows.withColumns({"lo": low.cast("long"), "hi": high.cast("long")})
+
+
+@query("SELECT ep, i, array_to_string(cand, ',') AS frames FROM cf")
+def candidate_frames(spark, d):
+    return _candidates(spark, d).select("ep", "i", F.array_join("cand", ",").alias("frames"))
+
+
+def _candidates(spark, d):
+    some = F.array_sort(F.array_union(fusion.spaced(C("lo"), C("hi"), 7), F.array("c")))
+    return _windows(spark, d).withColumn("cand", some)
+
+
+@query("SELECT cf.ep, cf.i, vl.c AS asked, list_sort(list_transform(cand, lambda x: [abs(x - vl.c), x]))[1][2] AS chosen FROM cf JOIN vl USING (ep, i)")
+def nearest_candidate(spark, d):
+    asked = fr.other_points(spark, d).select("ep", "i", C("c").alias("asked"))
+    return _candidates(spark, d).join(asked, ["ep", "i"]).select("ep", "i", "asked", fusion.nearest_of(C("cand"), C("asked")).alias("chosen"))
+
+
+@query("SELECT ep, i, delta, conf, decision FROM mv")
+def move_decision(spark, d):
+    return _moves(spark, d).select("ep", "i", "delta", "conf", "decision")
+
+
+def _moves(spark, d):
+    state = fr.state_points(spark, d).select("ep", "i", C("c").alias("s"))
+    rows = fr.other_points(spark, d).join(state, ["ep", "i"]).withColumn("delta", C("c") - C("s"))
+    said = F.when((C("ep") + C("i")) % 5 == 0, "Low").when((C("ep") + C("i")) % 5 == 1, "Medium-ish").otherwise("very HIGH")
+    rows = rows.withColumn("conf", fusion.confidence(said))
+    evidence = F.when((C("ep") + C("i")) % 4 == 0, "  ").otherwise("tube visible")
+    return rows.withColumn("decision", fusion.decision(C("conf"), C("delta"), evidence, C("i"), 8, 2))
+
+
+@query("SELECT ep, count(*) FILTER (decision = 'accepted') AS moved, count(*) FILTER (conf = 'high') AS high_conf, max(abs(delta)) AS max_abs_delta FROM mv GROUP BY ep")
+def verify_summary(spark, d):
+    return _moves(spark, d).groupBy("ep").agg(F.count_if(C("decision") == "accepted").alias("moved"), F.count_if(C("conf") == "high").alias("high_conf"), F.max(F.abs("delta")).alias("max_abs_delta"))
+
+
+def _replied(spark, d):
+    """Replies built around the events' JSON: bare, fenced, in prose, broken, or none."""
+    raw = (
+        F.when(C("event_id") % 5 == 0, F.concat(F.lit("```json\n"), C("props"), F.lit("\n```")))
+        .when(C("event_id") % 5 == 1, F.concat(F.lit("Sure: "), C("props"), F.lit(" done")))
+        .when(C("event_id") % 5 == 2, F.concat(F.lit("list ["), C("props"), F.lit("]")))
+        .when(C("event_id") % 5 == 3, F.concat(F.lit("{oops "), C("props")))
+        .otherwise(F.lit("no json"))
+    )
+    return fr.events(spark, d).select("event_id", "event_type", raw.alias("raw"))
+
+
+_REPLY_K = "CASE WHEN event_id % 5 IN (0, 1, 2) THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END"
+
+
+@query(f"SELECT event_id, {_REPLY_K} AS k, event_id % 5 IN (0, 1, 2) AS parsed FROM events")
+def extract_json(spark, d):
+    found = replies.json_in(C("raw"))
+    k = F.get_json_object(found, "$.k").cast("long")
+    return _replied(spark, d).select("event_id", k.alias("k"), (found != "{}").alias("parsed"))
+
+
+@query(f"SELECT event_id, event_id % 5 = 2 AS is_list, {_REPLY_K} AS k FROM events")
+def extract_json_list(spark, d):
+    found = replies.json_in(C("raw"), brackets=True)
+    k = F.coalesce(F.get_json_object(found, "$[0].k"), F.get_json_object(found, "$.k")).cast("long")
+    return _replied(spark, d).select("event_id", found.startswith("[").alias("is_list"), k.alias("k"))
+
+
+@query("SELECT name, CASE WHEN name IN ('lift', 'move', 'moving', 'carry') THEN 'transport' WHEN name = 'open' THEN 'release' WHEN name IN ('finish', 'complete') THEN 'done' WHEN name IN ('reach', 'transport', 'place', 'release', 'grasp', 'adjust', 'done') THEN name ELSE 'adjust' END AS stage, count(*) AS rows FROM (SELECT ['lift', 'open', 'reach', 'carry', 'grasp', 'weird', 'complete', 'done', 'place', 'moving'][1 + event_id % 10] AS name FROM events) GROUP BY ALL")
+def stage_name_map(spark, d):
+    names = F.array(*(F.lit(x) for x in ("lift", "open", "reach", "carry", "grasp", "weird", "complete", "done", "place", "moving")))
+    raw = names[(C("event_id") % 10).cast("int")]
+    rows = fr.events(spark, d).select(raw.alias("name"), replies.stage_name(F.concat(F.lit(" "), F.upper(raw))).alias("stage"))
+    return rows.groupBy("name", "stage").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("SELECT ep, i, start, \"end\" FROM ns")
+def normalize_stages(spark, d):
+    return intervals.normalised(fr.proposed_stages(spark, d)).select("ep", "i", "start", "end")
+
+
+@query("SELECT ep, bool_and(ok) AND arg_max(last, i) = max(n) - 1 AS covered, count(*) AS parts FROM (SELECT *, first = coalesce(lag(last) OVER (PARTITION BY ep ORDER BY i), -1) + 1 AND last >= first AND last < n AS ok FROM pr) GROUP BY ep")
+def validate_coverage(spark, d):
+    return intervals.coverage(fr.proposed_stages(spark, d))
+
+
+@query("SELECT ep, score FROM sc")
+def interval_score(spark, d):
+    return intervals.interval_score(fr.proposed_stages(spark, d))
+
+
+_EDGE = """SELECT sub.ep, k, ['reach', 'transport', 'place', 'release', 'grasp', 'adjust', 'done'][k + 1] AS stage, arg_max(b, f) - arg_min(b, f) AS d, max(b) - min(b) AS spread, max(w) AS w
+FROM sub JOIN (SELECT *, max(b) OVER (PARTITION BY ep) - min(b) OVER (PARTITION BY ep) AS w FROM fr) x ON x.ep = sub.ep AND f BETWEEN first AND last GROUP BY sub.ep, k"""
+_EDGE_SCORE = f"""SELECT ep, k, stage, CASE WHEN stage = 'grasp' THEN CASE WHEN -d > 0.3 * w THEN 1.0 WHEN -d > 0.1 * w THEN 0.7 WHEN abs(d) <= 0.1 * w THEN 0.4 ELSE 0.0 END
+WHEN stage = 'release' THEN CASE WHEN d > 0.3 * w THEN 1.0 WHEN d > 0.1 * w THEN 0.7 WHEN abs(d) <= 0.1 * w THEN 0.4 ELSE 0.0 END
+WHEN stage = 'transport' THEN CASE WHEN spread / w <= 0.1 THEN 1.0 WHEN spread / w <= 0.2 THEN 0.7 WHEN spread / w <= 0.4 THEN 0.4 ELSE 0.0 END
+WHEN stage IN ('reach', 'done') THEN CASE WHEN spread / w <= 0.1 THEN 1.0 ELSE 0.7 END ELSE 0.7 END::DOUBLE AS score FROM ({_EDGE})"""
+
+
+@query(_EDGE_SCORE)
+def boundary_score(spark, d):
+    return _edges(spark, d)
+
+
+def _edges(spark, d):
+    index = intervals.dense(intervals.subtasks(fr.state_points(spark, d)))
+    rows = fr.frames(spark, d).withColumn("w", (F.max("b").over(P) - F.min("b").over(P)).cast("double"))
+    rows = rows.join(index, ["ep", "f"]).groupBy("ep", "k").agg((F.max_by("b", "f") - F.min_by("b", "f")).alias("d"), (F.max("b") - F.min("b")).alias("spread"), F.max("w").alias("w"))
+    stage = F.array(*map(F.lit, replies.STAGES))[C("k").cast("int")]
+    return rows.select("ep", "k", stage.alias("stage"), quality.boundary(stage, C("d"), C("spread"), C("w")).alias("score"))
+
+
+@query("SELECT ep, k, array_to_string(list_sort(list_distinct([first, (first + last) // 2, last, least(last + 5, n - 1)])), ',') AS frames FROM sub WHERE last >= first")
+def self_check_samples(spark, d):
+    parts = intervals.subtasks(fr.state_points(spark, d)).where("last >= first")
+    middle = F.floor((C("first") + C("last")) / 2)
+    some = F.array_sort(F.array_distinct(F.array("first", middle, C("last"), F.least(C("last") + 5, C("n") - 1))))
+    return parts.select("ep", "k", F.array_join(some, ",").alias("frames"))
+
+
+@query(f"SELECT sc.ep, floor((3 * CAST(round(sc.score * 10000) AS BIGINT) + 3 * CAST(round(e.score * 10000) AS BIGINT) + 4 * CASE WHEN sc.ep % 3 <> 0 THEN 5000 ELSE 0 END + 5) / 10.0) / 10000 AS quality FROM sc JOIN (SELECT ep, round(avg(score), 4) AS score FROM ({_EDGE_SCORE}) GROUP BY ep) e USING (ep)")
+def quality_rollup(spark, d):
+    edges = _edges(spark, d).groupBy("ep").agg(F.round(F.avg("score"), 4).alias("edges"))
+    rows = intervals.interval_score(fr.proposed_stages(spark, d)).join(edges, "ep")
+    future = F.when(C("ep") % 3 != 0, 0.5)
+    return rows.select("ep", quality.rolled_up(C("score"), C("edges"), future).alias("quality"))
+
+
+@query("SELECT ep, k FROM sub WHERE NOT (ep % 2 = 0 AND k < 4)")
+def resume_antijoin(spark, d):
+    samples = intervals.subtasks(fr.state_points(spark, d)).select("ep", "k")
+    log = samples.where("ep % 2 = 0").select("ep", "k", F.when(C("k") < 4, 1.0).alias("score"))
+    return quality.to_do(samples, log, ["ep", "k"])
+
+
+@query("SELECT ep, array_to_string(list_sort(list_distinct(list(least(greatest(c + (ep % 3) * 20, 0), n - 1)))), ',') AS keyframes, count(*) FILTER (c + (ep % 3) * 20 > n - 1) AS clipped FROM st WHERE i IN (2, 3, 5, 6) GROUP BY ep")
+def keyframe_export(spark, d):
+    return _keyframes(spark, d).select("ep", F.array_join("keyframes", ",").alias("keyframes"), "clipped")
+
+
+def _keyframes(spark, d):
+    asked = C("c") + (C("ep") % 3) * 20
+    kept = F.least(F.greatest(asked, F.lit(0)), C("n") - 1)
+    points = fr.state_points(spark, d).where(C("i").isin(2, 3, 5, 6))
+    return points.groupBy("ep").agg(F.array_sort(F.array_distinct(F.collect_list(kept))).alias("keyframes"), F.count_if(asked > C("n") - 1).alias("clipped"))
+
+
+@query("SELECT count(*) AS episodes, count(*) FILTER (clipped > 0) AS with_warnings, sum(clipped) AS warnings FROM (SELECT ep, count(*) FILTER (c + (ep % 3) * 20 > n - 1) AS clipped FROM st WHERE i IN (2, 3, 5, 6) GROUP BY ep)")
+def keyframe_summary(spark, d):
+    return _keyframes(spark, d).agg(F.count(F.lit(1)).alias("episodes"), F.count_if(C("clipped") > 0).alias("with_warnings"), F.sum("clipped").alias("warnings"))
+
+
+def _clocks(spark, d):
+    rows = fr.frames(spark, d)
+    t = C("us") - F.min("us").over(P)
+    rows = rows.withColumn("t", t)
+    left = rows.where("kind = 'click'").select("ep", "t", C("f").alias("id"))
+    return left, rows.where("kind = 'view'").select("ep", "t", C("a").alias("v"))
+
+
+_NEAR = """SELECT l.ep, l.id, l.t, arg_max(r.t, r.t) FILTER (r.t <= l.t) AS pt, arg_max(r.v, r.t) FILTER (r.t <= l.t) AS pv, arg_min(r.t, r.t) FILTER (r.t >= l.t) AS nt, arg_min(r.v, r.t) FILTER (r.t >= l.t) AS nv
+FROM (SELECT ep, f AS id, t FROM ck WHERE kind = 'click') l LEFT JOIN (SELECT ep, t, a AS v FROM ck WHERE kind = 'view') r ON l.ep = r.ep GROUP BY ALL"""
+
+
+@query(f"SELECT ep, id, t, round(CASE WHEN pt IS NULL THEN nv WHEN nt IS NULL OR nt = pt THEN pv ELSE pv + (nv - pv) * CAST(t - pt AS DOUBLE) / (nt - pt) END, 4) AS v FROM ({_NEAR})")
+def interp_align(spark, d):
+    found = align.interpolated(*_clocks(spark, d))
+    return found.select("ep", "id", "t", F.round("v", 4).alias("v"))
+
+
+@query(f"SELECT ep, id, t, CASE WHEN pt IS NULL OR nt - t < t - pt THEN nt ELSE pt END AS rt, CAST(CASE WHEN pt IS NULL OR nt - t < t - pt THEN nv ELSE pv END AS DOUBLE) AS v FROM ({_NEAR})")
+def nearest_align(spark, d):
+    return align.nearest(*_clocks(spark, d))
+
+
+@query("SELECT ep, id, least(CAST(round_even(id * (m - 1.0) / (n - 1), 0) AS BIGINT), m - 1) AS at FROM (SELECT ep, f AS id, n, count(*) FILTER (kind = 'view') OVER (PARTITION BY ep) AS m FROM fr) WHERE m > 0 AND n > 1")
+def proportional_align(spark, d):
+    rows = fr.frames(spark, d).withColumn("m", F.count(F.when(C("kind") == "view", 1)).over(P)).where("m > 0 AND n > 1")
+    at = F.bround(C("f") * (C("m") - 1.0) / (C("n") - 1), 0).cast("long")
+    return rows.select("ep", C("f").alias("id"), F.least(at, C("m") - 1).alias("at"))
+
+
+@query("SELECT ep, f, t FROM ck")
+def elapsed_clock(spark, d):
+    return fr.frames(spark, d).select("ep", "f", (C("us") - F.min("us").over(P)).alias("t"))
+
+
+@query("SELECT ep, round((count(*) - 1) * 1000000.0 / nullif(max(us) - min(us), 0), 9) AS fps FROM fr GROUP BY ep")
+def fps_estimate(spark, d):
+    span = F.nullif(F.max("us") - F.min("us"), F.lit(0).cast("long"))
+    return fr.frames(spark, d).groupBy("ep").agg(F.round((F.count(F.lit(1)) - 1) * 1000000.0 / span, 9).alias("fps"))
+
+
+def _energy(spark, d):
+    """Mean absolute difference of consecutive vectors of a label, as whole numbers of 1e-4."""
+    order = Window.partitionBy("label").orderBy("vec_id")
+    whole = F.transform("embedding", lambda x: F.round(x.cast("double") * 10000).cast("long"))
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(C("label").cast("long").alias("ep"), "vec_id", (F.row_number().over(order) - 1).cast("long").alias("f"), whole.alias("v"))
+    gap = F.aggregate(F.zip_with("v", F.lag("v").over(W), lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return rows.select("ep", "f", F.coalesce(gap, F.lit(0).cast("long")).alias("energy"))
+
+
+@query("SELECT ep, f, energy FROM en")
+def frame_diff_energy(spark, d):
+    return _energy(spark, d)
+
+
+@query("SELECT ep, s, e FROM hen")
+def vision_onset(spark, d):
+    limit = F.min("energy").over(P) + 0.5 * (F.round(F.percentile("energy", F.lit(0.9)).over(P), 4) - F.min("energy").over(P))
+    rows = _energy(spark, d).withColumn("on", C("energy") > limit)
+    return runs.longest_run(runs.close_gaps(rows.select("ep", "f", "on"), "on", 2), "on")
+
+
+@query("SELECT ep, k, CAST(floor(100 + first * 1000.0 / n) AS BIGINT) AS x0, greatest(CAST(floor(100 + (last + 1) * 1000.0 / n) AS BIGINT), CAST(floor(100 + first * 1000.0 / n) AS BIGINT) + 1) AS x1 FROM sub")
+def timeline_geometry(spark, d):
+    x0 = F.floor(100 + C("first") * 1000.0 / C("n"))
+    x1 = F.floor(100 + (C("last") + 1) * 1000.0 / C("n"))
+    return intervals.subtasks(fr.state_points(spark, d)).select("ep", "k", x0.alias("x0"), F.greatest(x1, x0 + 1).alias("x1"))
+
+
+@query("SELECT ep, list(c ORDER BY i) = list_sort(list(c)) AS ordered FROM vl GROUP BY ep")
+def human_save_check(spark, d):
+    cs = F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"])
+    return fr.other_points(spark, d).groupBy("ep").agg(cs.alias("cs")).select("ep", (C("cs") == F.array_sort("cs")).alias("ordered"))
+
+
+@query("SELECT ep, count(*) AS n FROM fr WHERE ep IN (1, 3, 5, 6, 7, 12) GROUP BY ep")
+def episode_subset(spark, d):
+    from episodica.sources.episodes import subset
+
+    return fr.frames(spark, d).where(C("ep").isin(subset("3,5-7,x,12,1,5"))).groupBy("ep").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT e.event_id, coalesce(n.n_name, 'task_index_' || (e.user_id % 30)) AS task FROM events e LEFT JOIN nation n ON n.n_nationkey = e.user_id % 30")
+def task_lookup(spark, d):
+    tasks = spark.read.parquet(f"{d}/nation.parquet").select(C("n_nationkey").alias("key"), "n_name")
+    rows = fr.events(spark, d).withColumn("key", C("user_id") % 30).join(tasks, "key", "left")
+    return rows.select("event_id", F.coalesce("n_name", F.concat(F.lit("task_index_"), C("key"))).alias("task"))
+
+
+@query("SELECT vec_id, CAST(embedding[4] AS DOUBLE) AS dim3, len(embedding) - 4 AS kept, CAST(round(list_sum(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 10000) AS BIGINT)))) AS BIGINT) - CAST(round(CAST(embedding[4] AS DOUBLE) * 10000) AS BIGINT) - CAST(round(CAST(embedding[5] AS DOUBLE) * 10000) AS BIGINT) - CAST(round(CAST(embedding[14] AS DOUBLE) * 10000) AS BIGINT) - CAST(round(CAST(embedding[15] AS DOUBLE) * 10000) AS BIGINT) AS total FROM embeddings")
+def state_array_ops(spark, d):
+    kept = F.filter("embedding", lambda _, i: ~i.isin(3, 4, 13, 14))
+    whole = F.transform(kept, lambda x: F.round(x.cast("double") * 10000).cast("long"))
+    total = F.aggregate(whole, F.lit(0).cast("long"), lambda s, x: s + x)
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    return rows.select("vec_id", C("embedding")[3].cast("double").alias("dim3"), F.size(kept).cast("long").alias("kept"), total.alias("total"))
+
+
+@query("SELECT user_id AS ep, arg_max(event_type, event_id) AS last_type, max(event_id) AS event_id FROM events GROUP BY user_id")
+def last_row_wins(spark, d):
+    rows = fr.events(spark, d).select(C("user_id").alias("ep"), C("event_type").alias("last_type"), "event_id")
+    return quality.last_row(rows, "ep", "event_id")
+
+
+@query("SELECT event_id, 'data:image/jpeg;base64,' || base64(encode(props)) AS url FROM events")
+def base64_url(spark, d):
+    return fr.events(spark, d).select("event_id", replies.data_url(C("props").cast("binary")).alias("url"))
+
+
+@query("SELECT ep, i, 'Point p' || i || ' of episode ' || ep || ': choose among ' || array_to_string(cand, ', ') || ' of ' || n || ' frames.' AS prompt FROM cf")
+def prompt_text(spark, d):
+    text = F.format_string("Point p%d of episode %d: choose among %s of %d frames.", "i", "ep", F.array_join("cand", ", "), "n")
+    return _candidates(spark, d).select("ep", "i", text.alias("prompt"))
