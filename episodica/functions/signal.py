@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-EPISODE = Window.partitionBy("ep")
-ORDERED = EPISODE.orderBy("f")
+
+def episode() -> WindowSpec:
+    return Window.partitionBy("ep")
+
+
+def ordered() -> WindowSpec:
+    return episode().orderBy("f")
 
 
 def around(width: int):
     """A window of an odd number of frames around each; an even width counts as the next odd one."""
     half = (width | 1) // 2
-    return ORDERED.rowsBetween(-half, half)
+    return ordered().rowsBetween(-half, half)
 
 
 def smooth_sum(x: Column, width: int) -> Column:
@@ -26,7 +31,7 @@ def smooth(x: Column, width: int) -> Column:
 
 def step(x: Column) -> Column:
     """First difference; 0 for the first frame."""
-    return F.coalesce(x - F.lag(x).over(ORDERED), F.lit(0))
+    return F.coalesce(x - F.lag(x).over(ordered()), F.lit(0))
 
 
 def length(*deltas: Column) -> Column:
@@ -35,7 +40,7 @@ def length(*deltas: Column) -> Column:
 
 def share_of(x: Column, p: float) -> Column:
     """Exact percentile of the episode, with linear interpolation."""
-    return F.percentile(x, F.lit(p)).over(EPISODE)
+    return F.percentile(x, F.lit(p)).over(episode())
 
 
 def norm01(x: Column, low: Column, high: Column) -> Column:
@@ -43,11 +48,11 @@ def norm01(x: Column, low: Column, high: Column) -> Column:
 
 
 def zscore(x: Column) -> Column:
-    return (x - F.avg(x).over(EPISODE)) / (F.stddev_pop(x).over(EPISODE) + 1e-9)
+    return (x - F.avg(x).over(episode())) / (F.stddev_pop(x).over(episode()) + 1e-9)
 
 
 def rest(x: Column) -> Column:
     """Median of the first max(5, n // 20) frames."""
-    n = F.count(F.lit(1)).over(EPISODE)
+    n = F.count(F.lit(1)).over(episode())
     head = F.greatest(F.lit(5), F.floor(n / 20))
-    return F.round(F.median(F.when(F.col("f") < head, x)).over(EPISODE), 6)
+    return F.round(F.median(F.when(F.col("f") < head, x)).over(episode()), 6)

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_POINT = Window.partitionBy("ep").orderBy("i")
-SO_FAR = BY_POINT.rowsBetween(Window.unboundedPreceding, 0)
+
+def by_point() -> WindowSpec:
+    return Window.partitionBy("ep").orderBy("i")
+
+
+def so_far() -> WindowSpec:
+    return by_point().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def repair_forward(clip: bool = False) -> Column:
     """Each point at least one frame after its predecessor."""
     c = F.least(F.greatest("c", F.lit(1)), F.col("n") - 2) if clip else F.col("c")
-    return F.col("i") + F.max(c - F.col("i")).over(SO_FAR)
+    return F.col("i") + F.max(c - F.col("i")).over(so_far())
 
 
 def repair(points: int) -> Column:
@@ -24,7 +29,7 @@ def subtasks(points: DataFrame) -> DataFrame:
     """(ep, k, first, last): from each point to the frame before the next one; the first begins at 0, the last ends at n - 1."""
     zero = points.groupBy("ep").agg(F.max("n").alias("n")).select("ep", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("c"), "n")
     both = zero.unionByName(points.select("ep", F.col("i").cast("long").alias("i"), F.col("c").cast("long").alias("c"), "n"))
-    last = F.coalesce(F.lead("c").over(BY_POINT) - 1, F.col("n") - 1)
+    last = F.coalesce(F.lead("c").over(by_point()) - 1, F.col("n") - 1)
     return both.select("ep", F.col("i").alias("k"), F.col("c").alias("first"), last.alias("last"), "n")
 
 
@@ -45,16 +50,16 @@ def dense(intervals: DataFrame) -> DataFrame:
 def normalised(items: DataFrame) -> DataFrame:
     """Makes a list of (ep, i, first, last, n), i from 1, contiguous: ends move forward, the final end is n - 1."""
     c = F.least("last", F.col("n") - 1)
-    end = F.col("i") + F.max(c - F.col("i")).over(SO_FAR)
+    end = F.col("i") + F.max(c - F.col("i")).over(so_far())
     final = F.max("i").over(Window.partitionBy("ep"))
     ended = items.withColumn("end", F.when(F.col("i") == final, F.col("n") - 1).otherwise(F.least(end, F.col("n") - 1)))
-    begun = ended.withColumn("start", F.coalesce(F.lag("end").over(BY_POINT) + 1, F.lit(0).cast("long")))
+    begun = ended.withColumn("start", F.coalesce(F.lag("end").over(by_point()) + 1, F.lit(0).cast("long")))
     return begun.where(F.col("start") < F.col("n")).where("end >= start").select("ep", "i", "start", "end", "n")
 
 
 def coverage(items: DataFrame) -> DataFrame:
     """Per episode: are the intervals contiguous, inside the episode, and does the last end at n - 1?"""
-    before = F.coalesce(F.lag("last").over(BY_POINT), F.lit(-1))
+    before = F.coalesce(F.lag("last").over(by_point()), F.lit(-1))
     ok = (F.col("first") == before + 1) & (F.col("last") >= F.col("first")) & (F.col("last") < F.col("n"))
     held = items.withColumn("ok", ok)
     whole = F.bool_and("ok") & (F.max_by("last", "i") == F.max("n") - 1)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-EPISODE = Window.partitionBy("ep")
-
 
 def runs(frames: DataFrame, mask: str) -> DataFrame:
     """(ep, on, first, last, len) of every maximal run of equal mask values."""
@@ -19,7 +17,7 @@ def close_gaps(frames: DataFrame, mask: str, gap: int) -> DataFrame:
     """frames whose mask is also true in false runs shorter than gap that touch neither end of the episode."""
     island = F.col("f") - F.row_number().over(Window.partitionBy("ep", mask).orderBy("f"))
     whole = Window.partitionBy("ep", mask, "_island")
-    held = frames.withColumn("_island", island).withColumn("_last", F.max("f").over(EPISODE))
+    held = frames.withColumn("_island", island).withColumn("_last", F.max("f").over(Window.partitionBy("ep")))
     first, last = F.min("f").over(whole), F.max("f").over(whole)
     fill = ~F.col(mask) & (first > 0) & (last < F.col("_last")) & (last - first + 1 < gap)
     return held.withColumn(mask, F.col(mask) | fill).drop("_island", "_last")

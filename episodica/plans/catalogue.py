@@ -35,7 +35,7 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-C, W, P = F.col, signal.ORDERED, signal.EPISODE
+C, W, P = F.col, signal.ordered, signal.episode
 
 
 @query("SELECT ep, f, n, a, b FROM fr")
@@ -78,7 +78,7 @@ def diff_prepend(spark, d):
 @query("SELECT ep, f, v FROM (SELECT ep, f, lead(s5) OVER (PARTITION BY ep ORDER BY f) - s5 AS v FROM sm) WHERE v IS NOT NULL")
 def velocity(spark, d):
     rows = fr.frames(spark, d).withColumn("s", signal.smooth_sum(C("a"), 5))
-    return rows.select("ep", "f", (F.lead("s").over(W) - C("s")).alias("v")).where("v IS NOT NULL")
+    return rows.select("ep", "f", (F.lead("s").over(W()) - C("s")).alias("v")).where("v IS NOT NULL")
 
 
 @query("SELECT ep, f, round(sqrt(da * da + db * db), 6) AS speed FROM df")
@@ -141,7 +141,7 @@ def hold_window(spark, d):
 def low_drift_onset(spark, d):
     held = fr.hold(spark, d, "a").select("ep", C("s").alias("e1"), (C("e") - 1).alias("e2"))
     rows = _drift(spark, d).join(held, "ep").where("f BETWEEN e1 AND e2")
-    limit = F.round(F.percentile("drift", F.lit(0.45)).over(P), 6)
+    limit = F.round(F.percentile("drift", F.lit(0.45)).over(P()), 6)
     rows = rows.withColumn("low", C("drift") < limit)
     found = runs.longest_run(runs.close_gaps(rows.select("ep", "f", "low"), "low", 5), "low")
     onset = F.when(C("e2") - C("e1") < 2, C("e1") + F.floor((C("e2") - C("e1")) * 2 / 5)).otherwise(F.least(F.greatest(C("s"), C("e1") + 1), C("e2") - 1))
@@ -150,7 +150,7 @@ def low_drift_onset(spark, d):
 
 @query("SELECT ep, s, e FROM hact")
 def active_window(spark, d):
-    limit, most = F.round(F.percentile("drift", F.lit(0.40)).over(P), 6), F.max("raw").over(P)
+    limit, most = F.round(F.percentile("drift", F.lit(0.40)).over(P()), 6), F.max("raw").over(P())
     rows = _drift(spark, d).withColumn("on", (C("drift") < limit) & (C("raw") * 100 > most * 12))
     return runs.longest_run(runs.close_gaps(rows.select("ep", "f", "on"), "on", 4), "on")
 
@@ -251,7 +251,7 @@ def candidate_window(spark, d):
 
 def _windows(spark, d, half: int = 10):
     rows = fr.state_points(spark, d)
-    before, after = F.lag("c").over(intervals.BY_POINT), F.lead("c").over(intervals.BY_POINT)
+    before, after = F.lag("c").over(intervals.by_point()), F.lead("c").over(intervals.by_point())
     low = F.greatest(C("c") - half, F.coalesce(before + 1, F.lit(0)))
     high = F.least(C("c") + half, F.coalesce(after - 1, C("n") - 1))
     rows = rows.withColumns({"lo": low, "hi": high})
@@ -362,7 +362,7 @@ def boundary_score(spark, d):
 
 def _edges(spark, d):
     index = intervals.dense(intervals.subtasks(fr.state_points(spark, d)))
-    rows = fr.frames(spark, d).withColumn("w", (F.max("b").over(P) - F.min("b").over(P)).cast("double"))
+    rows = fr.frames(spark, d).withColumn("w", (F.max("b").over(P()) - F.min("b").over(P())).cast("double"))
     rows = rows.join(index, ["ep", "f"]).groupBy("ep", "k").agg((F.max_by("b", "f") - F.min_by("b", "f")).alias("d"), (F.max("b") - F.min("b")).alias("spread"), F.max("w").alias("w"))
     stage = F.array(*map(F.lit, replies.STAGES))[C("k").cast("int")]
     return rows.select("ep", "k", stage.alias("stage"), quality.boundary(stage, C("d"), C("spread"), C("w")).alias("score"))
@@ -410,7 +410,7 @@ def keyframe_summary(spark, d):
 
 def _clocks(spark, d):
     rows = fr.frames(spark, d)
-    t = C("us") - F.min("us").over(P)
+    t = C("us") - F.min("us").over(P())
     rows = rows.withColumn("t", t)
     left = rows.where("kind = 'click'").select("ep", "t", C("f").alias("id"))
     return left, rows.where("kind = 'view'").select("ep", "t", C("a").alias("v"))
@@ -433,14 +433,14 @@ def nearest_align(spark, d):
 
 @query("SELECT ep, id, least(CAST(round_even(id * (m - 1.0) / (n - 1), 0) AS BIGINT), m - 1) AS at FROM (SELECT ep, f AS id, n, count(*) FILTER (kind = 'view') OVER (PARTITION BY ep) AS m FROM fr) WHERE m > 0 AND n > 1")
 def proportional_align(spark, d):
-    rows = fr.frames(spark, d).withColumn("m", F.count(F.when(C("kind") == "view", 1)).over(P)).where("m > 0 AND n > 1")
+    rows = fr.frames(spark, d).withColumn("m", F.count(F.when(C("kind") == "view", 1)).over(P())).where("m > 0 AND n > 1")
     at = F.bround(C("f") * (C("m") - 1.0) / (C("n") - 1), 0).cast("long")
     return rows.select("ep", C("f").alias("id"), F.least(at, C("m") - 1).alias("at"))
 
 
 @query("SELECT ep, f, t FROM ck")
 def elapsed_clock(spark, d):
-    return fr.frames(spark, d).select("ep", "f", (C("us") - F.min("us").over(P)).alias("t"))
+    return fr.frames(spark, d).select("ep", "f", (C("us") - F.min("us").over(P())).alias("t"))
 
 
 @query("SELECT ep, round((count(*) - 1) * 1000000.0 / nullif(max(us) - min(us), 0), 9) AS fps FROM fr GROUP BY ep")
@@ -454,7 +454,7 @@ def _energy(spark, d):
     order = Window.partitionBy("label").orderBy("vec_id")
     whole = F.transform("embedding", lambda x: F.round(x.cast("double") * 10000).cast("long"))
     rows = spark.read.parquet(f"{d}/embeddings.parquet").select(C("label").cast("long").alias("ep"), "vec_id", (F.row_number().over(order) - 1).cast("long").alias("f"), whole.alias("v"))
-    gap = F.aggregate(F.zip_with("v", F.lag("v").over(W), lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda s, x: s + x)
+    gap = F.aggregate(F.zip_with("v", F.lag("v").over(W()), lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda s, x: s + x)
     return rows.select("ep", "f", F.coalesce(gap, F.lit(0).cast("long")).alias("energy"))
 
 
@@ -465,7 +465,7 @@ def frame_diff_energy(spark, d):
 
 @query("SELECT ep, s, e FROM hen")
 def vision_onset(spark, d):
-    limit = F.min("energy").over(P) + 0.5 * (F.round(F.percentile("energy", F.lit(0.9)).over(P), 4) - F.min("energy").over(P))
+    limit = F.min("energy").over(P()) + 0.5 * (F.round(F.percentile("energy", F.lit(0.9)).over(P()), 4) - F.min("energy").over(P()))
     rows = _energy(spark, d).withColumn("on", C("energy") > limit)
     return runs.longest_run(runs.close_gaps(rows.select("ep", "f", "on"), "on", 2), "on")
 
