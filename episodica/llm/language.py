@@ -83,7 +83,7 @@ def _predict(network: Network | None):
                 weight = np.bincount(doc, weights=letters, minlength=len(texts))
                 raw = network.logits(x)
                 z = np.stack([np.bincount(doc, weights=letters * raw[:, k], minlength=len(texts)) for k in range(raw.shape[1])], 1)
-                z /= np.maximum(weight, 1e-9)[:, None]
+                z = z / np.maximum(weight, 1e-9)[:, None]
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 best, score, labels = p.argmax(1), p.max(1), network.labels

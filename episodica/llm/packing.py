@@ -1,9 +1,10 @@
 """Best-fit packing of token sequences, certified by dual-feasible lower bounds.
 
 Documents are cut into pieces, and the pieces are dealt evenly. Every part packs its pieces by
-best-fit decreasing and compares its number of sequences with a lower bound. A part that meets
-its bound is done. A part with a gap gives up the documents of its emptiest sequences; those of
-all such parts are exchanged and packed again in fewer parts, until one part is left.
+best-fit decreasing and compares its number of sequences with a lower bound. Full sequences stay.
+A part gives up the documents of its emptiest sequences, a few if it meets its bound (which rounds
+up in every part) and more the larger its gap; those of all parts are exchanged and packed again in
+fewer parts, until one part is left.
 """
 
 from __future__ import annotations
@@ -84,8 +85,8 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def _pack_part(number: int, capacity: int, last: bool):
-    """Packs what a part holds; sequence -1 marks pieces that are given up for the next round."""
+def _pack_part(number: int, capacity: int, last: bool, most: int = 2048):
+    """Packs what a part holds; sequence -1 marks pieces that are given up for the next round, of `most` sequences at most."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [f for f in frames if len(f)]
@@ -102,10 +103,10 @@ def _pack_part(number: int, capacity: int, last: bool):
         offset = np.empty(len(size), dtype=np.int64)
         offset[order] = before - np.concatenate([[0], np.cumsum(used)[:-1]])[bins[order]]
         sequence = (number << 56) + (part["part"].to_numpy(np.int64) << 32) + bins
-        if gap and not last:
+        if not last:
             order = np.argsort(used, kind="stable")
             order = order[used[order] < capacity]  # a full sequence cannot get better
-            sequence[np.isin(bins, order[: 16 * gap + 16])] = -1
+            sequence[np.isin(bins, order[: min(16 * gap + 16, most)])] = -1
         yield part.drop(columns="part").assign(sequence_id=sequence, offset=offset)
 
     return run

@@ -201,8 +201,20 @@ def near_duplicates(docs: DataFrame, cell: int = 8192) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row for each component: the row of its smallest doc_id; a tie is settled by the other columns."""
-    named = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept id")).distinct()
-    kept = docs.join(named, docs["doc_id"] == named["kept id"], "left_semi")
+    """docs with one row for each component: the row of its smallest doc_id; a tie is settled by the other columns.
+
+    Of a component without ids the least row stays.
+    """
     whole = F.struct(*(docs[c] for c in docs.columns))
-    return kept.groupBy(docs["doc_id"]).agg(F.min(whole).alias("row")).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    back = [F.col("row")[c].alias(c) for c in docs.columns]
+    near = cut(near_duplicates(docs))
+    named = near.where("doc_id = component_id").select(F.col("doc_id").alias("kept id")).distinct()
+    kept = docs.join(named, docs["doc_id"] == named["kept id"], "left_semi")
+    kept = kept.groupBy(docs["doc_id"]).agg(F.min(whole).alias("row")).select(*back)
+    nameless = near.where("component_id IS NULL").select("fingerprint").distinct()
+    if nameless.isEmpty():
+        return kept
+    unnamed = near_duplicates(docs.where(docs["doc_id"].isNull()).select(F.xxhash64(docs["text"]).alias("doc_id"), docs["text"]))
+    first = unnamed.join(nameless, "fingerprint", "left_semi").where("doc_id = component_id").select(F.col("doc_id").alias("kept id")).distinct()
+    more = docs.where(docs["doc_id"].isNull()).join(first, F.xxhash64(docs["text"]) == first["kept id"], "left_semi")
+    return kept.unionByName(more.groupBy(F.xxhash64(docs["text"])).agg(F.min(whole).alias("row")).select(*back))
