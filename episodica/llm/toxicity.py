@@ -65,7 +65,7 @@ class Field:
         self.bias = np.full(1, -3.0)
 
     def find(self, k: int, h: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(h), np.int64)
+        out = np.zeros(len(h), np.int32)
         maybe = np.flatnonzero(self.filters[k][(h & np.uint64(0xFFFF)).astype(np.int64)])
         at = np.searchsorted(self.known[k], h[maybe])
         at[at == len(self.known[k])] = 0
@@ -115,26 +115,32 @@ class Field:
         return out
 
     def fit(self, w: Words, tags: np.ndarray, epochs: int = 60, rate: float = 0.2, decay: float = 1e-4) -> Field:
-        """Full-batch Adam on the pseudo-likelihood of each tag given its words and neighbouring tags."""
-        n, first, features = len(tags), np.zeros(len(tags), dtype=bool), self.features(w)
-        first[w.begin] = True
-        last = np.roll(first, -1)
-        inside = np.flatnonzero(~first)
+        """Full-batch Adam on the pseudo-likelihood of each tag given its words and neighbouring tags.
+
+        Words alike in features, tag and neighbouring tags are one row with a count; most words have no feature at all.
+        """
+        n, none = len(tags), 2  # the tag beyond either end of a sequence
         left, right = np.roll(tags, 1), np.roll(tags, -1)
-        weight = np.where(tags == 1, 5.0, 1.0)
+        left[w.begin], right[w.begin + w.size - 1] = none, none
+        rows = np.stack([*self.features(w), tags, left, right], 1, dtype=np.int32, casting="same_kind")
+        plain = ~rows.any(axis=1)
+        rows, count = np.unique(rows[~plain], axis=0, return_counts=True)
+        rows, count = np.vstack([rows, np.zeros_like(rows, shape=(1, rows.shape[1]))]), np.append(count, plain.sum())
+        *features, tags, left, right = rows.T.astype(np.int64)
+        inside, kept = np.flatnonzero(left != none), np.flatnonzero(right != none)
+        weight = count * np.where(tags == 1, 5.0, 1.0)
         values = [*self.weights, self.transition, self.bias]
         mean, square = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
         for step in range(1, epochs + 1):
-            t = self.transition
-            z = self.emission(features)
-            z = z + np.where(first, 0, t[left, 1] - t[left, 0]) + np.where(last, 0, t[1, right] - t[0, right])
+            before = np.append(self.transition[:, 1] - self.transition[:, 0], 0.0)
+            after = np.append(self.transition[1] - self.transition[0], 0.0)
+            z = self.emission(features) + before[left] + after[right]
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             error = weight * (p - tags) / n
             d_weights = [np.bincount(f, weights=error, minlength=len(v)) + decay * v / n for f, v in zip(features, self.weights)]
             d_transition = np.zeros((2, 2))
             np.add.at(d_transition, (left[inside], 1), error[inside])
             np.add.at(d_transition, (left[inside], 0), -error[inside])
-            kept = np.flatnonzero(~last)
             np.add.at(d_transition, (1, right[kept]), error[kept])
             np.add.at(d_transition, (0, right[kept]), -error[kept])
             gradients = [*d_weights, d_transition, np.array([error.sum()])]
@@ -152,22 +158,24 @@ def infer_tags(w: Words, toxic: np.ndarray, least: float = 0.02, ratio: float =
     these documents, and is `ratio` times as frequent there as in clean documents.
     """
     n = len(toxic)
-    doc = np.repeat(np.arange(n), np.diff(w.first))
-    there = np.flatnonzero(toxic[doc])
-    before, after = np.roll(w.kinds[0], 1), np.roll(w.kinds[0], -1)
-    around = words.pair(before, after)[there]
+    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(w.first))
+    there, clean = np.flatnonzero(toxic[doc]), np.flatnonzero(~toxic[doc])
+    around = words.pair(np.roll(w.kinds[0], 1), np.roll(w.kinds[0], -1))[there]
     tags = np.zeros(len(doc), np.int64)
     for h in w.kinds:
-        known, code = np.unique(h, return_inverse=True)
-        once = np.unique(code * n + doc)
-        word, of = once // n, once % n
-        bad = np.bincount(word, weights=toxic[of].astype(float), minlength=len(known))
-        good = np.bincount(word, weights=~toxic[of], minlength=len(known))
+        known, code = np.unique(h[there], return_inverse=True)
+        bad = np.bincount(np.unique(code * n + doc[there]) // n, minlength=len(known))
         _, pick = np.unique(words.pair(h[there], around), return_index=True)
-        places = np.bincount(code[there][pick], minlength=len(known))
+        places = np.bincount(code[pick], minlength=len(known))
+        marked = (bad >= max(4, least * toxic.sum())) & (places >= 0.5 * bad) & (known > 0)
+        known, bad = known[marked], bad[marked]
+        if not len(known):
+            continue
+        code = np.minimum(np.searchsorted(known, h[clean]), len(known) - 1)
+        same = known[code] == h[clean]
+        good = np.bincount(np.unique(code[same] * n + doc[clean[same]]) // n, minlength=len(known))
         lift = ((bad + 0.5) / (toxic.sum() + 1)) / ((good + 0.5) / ((~toxic).sum() + 1))
-        marked = (bad >= max(4, least * toxic.sum())) & (places >= 0.5 * bad) & (lift >= ratio) & (known > 0)
-        tags |= marked[code] & toxic[doc]
+        tags[there[np.isin(h[there], known[lift >= ratio])]] = 1
     return tags
 
 
