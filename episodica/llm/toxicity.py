@@ -122,10 +122,12 @@ class Field:
         n, none = len(tags), 2  # the tag beyond either end of a sequence
         left, right = np.roll(tags, 1), np.roll(tags, -1)
         left[w.begin], right[w.begin + w.size - 1] = none, none
-        rows = np.stack([*self.features(w), tags, left, right], 1, dtype=np.int32, casting="same_kind")
-        plain = ~rows.any(axis=1)
-        rows, count = np.unique(rows[~plain], axis=0, return_counts=True)
-        rows, count = np.vstack([rows, np.zeros_like(rows, shape=(1, rows.shape[1]))]), np.append(count, plain.sum())
+        columns = [*self.features(w), tags, left, right]
+        some = np.zeros(n, dtype=bool)
+        for c in columns:
+            some |= c != 0
+        rows, count = np.unique(np.stack([c[some] for c in columns], 1, dtype=np.int32), axis=0, return_counts=True)
+        rows, count = np.vstack([rows, np.zeros_like(rows, shape=(1, rows.shape[1]))]), np.append(count, n - some.sum())
         *features, tags, left, right = rows.T.astype(np.int64)
         inside, kept = np.flatnonzero(left != none), np.flatnonzero(right != none)
         weight = count * np.where(tags == 1, 5.0, 1.0)
@@ -161,7 +163,7 @@ def infer_tags(w: Words, toxic: np.ndarray, least: float = 0.02, ratio: float =
     doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(w.first))
     there, clean = np.flatnonzero(toxic[doc]), np.flatnonzero(~toxic[doc])
     around = words.pair(np.roll(w.kinds[0], 1), np.roll(w.kinds[0], -1))[there]
-    tags = np.zeros(len(doc), np.int64)
+    tags = np.zeros(len(doc), np.int8)
     for h in w.kinds:
         known, code = np.unique(h[there], return_inverse=True)
         bad = np.bincount(np.unique(code * n + doc[there]) // n, minlength=len(known))
