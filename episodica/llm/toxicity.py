@@ -253,7 +253,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: in
 
 def _score(model: Model | None, cut: float, mark: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.bounded(batches, 2):
             n = batch.num_rows
             w = Words(batch.column(2))
             score, marks = np.zeros(n), [[] for _ in range(n)]
@@ -292,7 +292,7 @@ def harmless(docs: DataFrame, labels: DataFrame, cut: float = 0.7, per_class: in
     held = docs.sparkSession.sparkContext.broadcast(learn(rows, labels, per_class))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.bounded(batches, "text"):
             if held.value is not None and batch.num_rows:
                 score = held.value.score(held.value.inputs(Words(batch.column("text")))[0])
                 batch = batch.filter(pa.array(score < cut))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Byte classes: True marks a byte that belongs to a word.
 NOT_SPACE = np.ones(256, dtype=bool)
@@ -32,6 +35,15 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _M1 + (b ^ (b >> np.uint64(32))) * _M3)
 
 
+def bounded(batches: Iterator[pa.RecordBatch], column: int | str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of about `most` bytes of text; a longer text is a slice of its own or ends one."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets of the documents) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
