@@ -51,7 +51,7 @@ def train(docs: DataFrame, per_label: int = 600, most_labels: int = 200) -> Netw
     drawn = learn.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
 
     def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.bounded(batches, 1):
             x, doc = windows(*words.text_buffer(pc.utf8_lower(batch.column(1))))
             h = words.mix(np.arange(len(doc), dtype=np.uint64) + np.uint64(1))
             rank = np.lexsort((h, doc))
@@ -71,7 +71,7 @@ def train(docs: DataFrame, per_label: int = 600, most_labels: int = 200) -> Netw
 
 def _predict(network: Network | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.bounded(batches, 2):
             texts = batch.column(2).to_pylist()
             spoken = np.array([bool(_LETTER.search(t or "")) for t in texts], dtype=bool)
             if network is None or not len(texts):
