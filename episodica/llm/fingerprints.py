@@ -1,9 +1,10 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, in Spark's own functions.
 
-A sketch keeps every shingle hash below a fixed fraction of all hashes. What two sketches share
-therefore estimates what the texts share, however unequal their lengths, and the union of two
-sketches is the sketch of both texts. A text whose hashes all lie above the threshold keeps its
-least one, so only a text without words has an empty sketch.
+A sketch keeps every shingle hash below a fixed fraction of all hashes; by default all of them, as
+a sparser sketch of a short text may have no hash to compare. What two sketches share therefore is
+(or, below 1, estimates) what the texts share, however unequal their lengths, and the union of two
+sketches is the sketch of both texts. With a smaller fraction, a text whose hashes all lie above the
+threshold keeps its least one, so only a text without words has an empty sketch.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from episodica.llm.expressions import let
 from episodica.llm.tables import id_texts, shards
 
 
-def sketch(text: Column, width: int = 5, fraction: int = 16) -> Column:
-    """Sorted distinct 63-bit hashes of runs of `width` words (of fewer words: the whole) below 2**63 / fraction."""
+def sketch(text: Column, width: int = 5, fraction: int = 1) -> Column:
+    """Sorted distinct 63-bit hashes of runs of `width` words (of fewer words: the whole), those up to 2**63 / fraction."""
     parts = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     hashed = F.transform(parts, lambda w: F.xxhash64(w))
 
@@ -28,17 +29,17 @@ def sketch(text: Column, width: int = 5, fraction: int = 16) -> Column:
         return F.transform(at, lambda i: F.shiftrightunsigned(F.xxhash64(*word(i)), 1))
 
     def keep(h: Column) -> Column:
-        low = F.filter(h, lambda x: x < (1 << 63) // fraction)
+        low = F.filter(h, lambda x: x <= ((1 << 63) - 1) // fraction)
         return let(low, lambda k: F.when(F.size(k) > 0, F.array_sort(F.array_distinct(k))).otherwise(F.array(F.array_min(h))))
 
     empty = F.array().cast("array<bigint>")
     return let(hashed, lambda h: F.when(F.size(h) > 0, let(runs(h), keep)).otherwise(empty))
 
 
-def merge(a: Column, b: Column, fraction: int = 16) -> Column:
+def merge(a: Column, b: Column, fraction: int = 1) -> Column:
     """The sketch of two texts together: all hashes below the threshold, or the least if there are none."""
     both = F.array_sort(F.array_union(a, b))
-    low = F.filter(both, lambda x: x < (1 << 63) // fraction)
+    low = F.filter(both, lambda x: x <= ((1 << 63) - 1) // fraction)
     return F.when(F.size(low) > 0, low).otherwise(F.slice(both, 1, 1))
 
 
@@ -96,12 +97,11 @@ def neighbours(docs: DataFrame) -> DataFrame:
     Only doc_id and text are read. A null text is empty; repeated rows stay and are each other's next rows; the only
     row of a table is its own next one. An empty table gives an empty result.
     """
-    rows = id_texts(docs).withColumn("sketch", sketch(F.col("text")))
-    rows = with_next(rows, ["text", "sketch"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    rows = with_next(id_texts(docs), ["text"]).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left("next_text", half))
-    rows = rows.select("doc_id", "n_chars", "sketch", "next_sketch", edited.alias("edited"))
-    rows = rows.withColumn("edited_sketch", sketch(F.col("edited")))
+    rows = rows.select("doc_id", "n_chars", "text", "next_text", edited.alias("edited"))
+    rows = rows.withColumns({"sketch": sketch(F.col("text")), "next_sketch": sketch(F.col("next_text")), "edited_sketch": sketch(F.col("edited"))})
     return rows.select(
         "doc_id",
         "n_chars",
