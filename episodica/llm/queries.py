@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from episodica.llm import (
     toxicity,
 )
 from episodica.llm.tables import table
+from episodica.llm.tokens import vocabulary_path
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,19 +44,25 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
 
-    def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.itertuples():
-                turns = "".join(f"{role}\n{text}\n" for role, text in chat.parse(row.formatted))
-                loss = "".join(chat.unescape(row.formatted[s["start"] : s["end"]]) for s in row.loss_spans)
-                sha = [hashlib.sha256(t.encode()).hexdigest() for t in (turns, loss)]
-                out.append((row.conv_id, row.n_turns, sha[0], len(loss), sha[1], len(row.formatted)))
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    formatted = chat.format_conversations(said.unionByName(more)).select("conv_id", "n_turns", "formatted", "loss_spans")
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return formatted.mapInPandas(digest, schema)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = chat.template(vocabulary_path())
+        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                ids, mask = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (3, 4))
+                formatted = batch.column(2)[k].as_py()
+                turns = "".join(f"{role}\n{text}\n" for role, text in chat.parse(formatted))
+                loss = "".join(held.masked_texts(ids, mask))
+                out.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), sha(turns), len(loss), sha(loss), len(formatted)))
+            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, types)], names)
+
+    formatted = chat.format_conversations(said.unionByName(more)).select("conv_id", "n_turns", "formatted", "token_ids", "loss_mask")
+    return formatted.mapInArrow(digest, schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,5 +108,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
+def _op4_sql() -> str:
+    control = "|".join(rf"{re.escape(c[0])}\\*{re.escape(c[1:])}" for c in chat.CONTROLS).replace("'", "''")
+    size = lambda x: f"length({x}) + len(regexp_extract_all({x}, '{control}'))"
+    mine = "coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, x) FILTER (r = 'assistant'), '')"
+    marks = len(chat.OPEN + chat.BODY + chat.CLOSE)
+    text = "</s>[INST] ok [/INST]"
+    return f"""WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+      UNION ALL VALUES (-1, 0, 'user', '{text}'), (-1, 1, 'assistant', '{text}'))
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x)) AS turns_sha256,
+      length({mine}) AS loss_chars, sha256({mine}) AS loss_sha256, CAST(sum({marks} + {size("r")} + {size("x")}) AS BIGINT) AS formatted_chars
+    FROM said GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    found = {"op4_chat_format": _op4_sql()}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
