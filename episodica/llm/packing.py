@@ -1,10 +1,11 @@
 """Best-fit packing of token sequences, certified by dual-feasible lower bounds.
 
-Documents are cut into pieces, and the pieces are dealt evenly. Every part packs its pieces by
-best-fit decreasing and compares its number of sequences with a lower bound. Full sequences stay.
-A part gives up the documents of its emptiest sequences, a few if it meets its bound (which rounds
-up in every part) and more the larger its gap; those of all parts are exchanged and packed again in
-fewer parts, until one part is left.
+Documents are cut into pieces, and the pieces are dealt evenly, to parts of a size that a task can
+hold. Every part packs its pieces by best-fit decreasing and compares its number of sequences with
+a lower bound. Full sequences stay. A part gives up the pieces of its emptiest sequences, a few if
+it meets its bound (which rounds up in every part) and more the larger its gap; those of all parts
+are exchanged and packed again in as few parts as can hold them, until one part is left or an
+exchange no longer makes them fewer. Each row carries its part's number of sequences and bound.
 """
 
 from __future__ import annotations
@@ -14,16 +15,17 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episodica.llm.tables import cut, shards
+from episodica.llm.tables import cut
 from episodica.llm.tokens import Encoder, vocabulary_path
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECE + ", sequence_id long, offset long"
+PIECE_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
+COLUMNS = [*PIECE_COLUMNS, "sequence_id", "offset", "round", "part", "part_sequences", "part_bound"]
+PACKED = PIECE + ", sequence_id long, offset long, round int, part int, part_sequences long, part_bound long"
 
 
 def pieces(docs: DataFrame, capacity: int = 1024, end: int = 2, path: str | None = None) -> DataFrame:
@@ -85,63 +87,59 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def _pack_part(number: int, capacity: int, last: bool, most: int = 2048):
-    """Packs what a part holds; sequence -1 marks pieces that are given up for the next round, of `most` sequences at most."""
+def _pack_part(number: int, capacity: int, last: bool):
+    """Packs a part of one round; sequence -1 marks pieces that are given up for the next round."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [f for f in frames if len(f)]
-        if not held:
-            return
-        part = pd.concat(held, ignore_index=True)
-        part = part.sort_values(["doc_id", "piece", "start", "length", "ids_crc32", "part"], ignore_index=True)
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by([(c, "ascending") for c in PIECE_COLUMNS])
         size = part["length"].to_numpy()
         bins = best_fit(size, capacity)
         used = np.bincount(bins, weights=size).astype(np.int64)
-        gap = len(used) - lower_bound(size, capacity)
+        bound = lower_bound(size, capacity)
         order = np.lexsort((np.arange(len(size)), bins))
         before = np.concatenate([[0], np.cumsum(size[order])[:-1]])
         offset = np.empty(len(size), dtype=np.int64)
         offset[order] = before - np.concatenate([[0], np.cumsum(used)[:-1]])[bins[order]]
-        sequence = (number << 56) + (part["part"].to_numpy(np.int64) << 32) + bins
+        sequence = (number << 56) + (part["part"].to_numpy().astype(np.int64) << 32) + bins
         if not last:
             order = np.argsort(used, kind="stable")
             order = order[used[order] < capacity]  # a full sequence cannot get better
-            sequence[np.isin(bins, order[: min(16 * gap + 16, most)])] = -1
-        yield part.drop(columns="part").assign(sequence_id=sequence, offset=offset)
+            sequence[np.isin(bins, order[: 16 * (len(used) - bound) + 16])] = -1
+        every = lambda value, kind: pa.array(np.full(len(size), value), kind)
+        columns = [*(part[c] for c in PIECE_COLUMNS), pa.array(sequence), pa.array(offset), every(number, pa.int32()), part["part"]]
+        return pa.Table.from_arrays([*columns, every(len(used), pa.int64()), every(bound, pa.int64())], COLUMNS)
 
     return run
 
 
-def pack(pieces_: DataFrame, capacity: int = 1024, fewer: int = 16) -> DataFrame:
-    """Gives every piece a sequence_id and an offset; in each sequence offsets run gapless from 0 up to the capacity."""
-    n, number, done, left = shards(pieces_.sparkSession), 1, [], pieces_
-    while True:
-        where = F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(n)).cast("int")
-        dealt = left.withColumn("part", where).repartition(n, "part")
-        packed = cut(dealt.mapInPandas(_each_part(_pack_part(number, capacity, n == 1)), PACKED))
-        done.append(packed.where("sequence_id >= 0"))
-        left = packed.where("sequence_id < 0").drop("sequence_id", "offset")
-        if n == 1:
-            return reduce(DataFrame.unionByName, done)
-        n, number = -(-n // fewer), number + 1
-
-
-def _each_part(run):
-    """Hash partitioning may put several parts into one task and split none."""
+def pack(pieces_: DataFrame, capacity: int = 1024, part_pieces: int = 50_000, most_rounds: int = 8) -> DataFrame:
+    """Gives every piece a sequence_id and an offset; in each sequence offsets run gapless from 0 up to the capacity.
 
-    def split(frames):
-        held = [f for f in frames if len(f)]
-        if held:
-            for _, part in pd.concat(held, ignore_index=True).groupby("part", sort=True):
-                yield from run(iter([part]))
-
-    return split
+    A part holds about part_pieces pieces, whatever the table's size. A round that passes on as much as it got is the
+    last one, and so is round most_rounds; pieces are never dropped, they stay where they are packed.
+    """
+    number, done, left, held = 1, [], pieces_, pieces_.count()
+    while held:
+        n = -(-held // part_pieces)
+        where = F.xxhash64(*PIECE_COLUMNS, F.monotonically_increasing_id())  # rows alike in all columns part by their place
+        dealt = left.withColumn("part", F.pmod(where, F.lit(n)).cast("int"))
+        last = n == 1 or number == most_rounds
+        packed = cut(dealt.groupBy("part").applyInArrow(_pack_part(number, capacity, last), PACKED))
+        done.append(packed.where("sequence_id >= 0"))
+        left = packed.where("sequence_id < 0").select(*PIECE_COLUMNS)
+        passed = 0 if last else left.count()
+        if passed and -(-passed // part_pieces) >= n:
+            number = most_rounds - 1  # an exchange that makes no fewer parts is followed by the last one
+        held, number = passed, number + 1
+    return reduce(DataFrame.unionByName, done) if done else pieces_.sparkSession.createDataFrame([], PACKED)
 
 
-def best_fit_packing(docs: DataFrame, capacity: int = 1024, end: int = 2, path: str | None = None) -> DataFrame:
+def best_fit_packing(docs: DataFrame, capacity: int = 1024, end: int = 2, path: str | None = None, part_pieces: int = 50_000) -> DataFrame:
     """Packs every row of docs into sequences of at most capacity tokens; a row per piece.
 
-    Only doc_id and text are read. A null or empty text is the single id `end`. Rows with null or repeated ids are
-    packed like others. An empty table gives an empty result.
+    Only doc_id and text are read. A null or empty text is the single id `end`; a very long text is cut into many pieces,
+    and its ids are held by one task while it is encoded. Rows with null or repeated ids, and equal rows, are packed
+    like others. An empty table gives an empty result. part_sequences and part_bound are those of the part in which the
+    piece was packed: no packing of that part's pieces has fewer sequences than part_bound.
     """
-    return pack(cut(pieces(docs, capacity, end, path)), capacity)
+    return pack(cut(pieces(docs, capacity, end, path)), capacity, part_pieces)

@@ -226,7 +226,6 @@ def test_wand_finds_what_a_full_scan_finds(spark, texts):
 def test_packing(spark, docs, texts, which):
     df, rows = (plain.table_of(spark), AWKWARD) if which == "awkward" else (docs, texts)
     encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encode.encode_special_tokens = True
     want = Counter()
     for i, t in rows:
         ids = [*encode.encode(t or "", add_special_tokens=False).ids, 2]
@@ -245,6 +244,22 @@ def test_packing(spark, docs, texts, which):
         assert sum(n for _, n in held) <= 1024
     sizes = np.array([r.length for r in got])
     assert len(sequences) <= 1.01 * packing.lower_bound(sizes, 1024) + 1
+    parts = defaultdict(list)
+    for r in got:
+        parts[r.round, r.part].append(r)
+    for held in parts.values():
+        assert len({r.part_sequences for r in held}) == len({r.part_bound for r in held}) == 1
+        assert held[0].part_bound <= held[0].part_sequences
+
+
+def test_packing_in_small_parts(spark, docs):
+    """Many parts, as of a large table: every piece stays, and what parts exchange keeps the packing near its bound."""
+    whole = packing.best_fit_packing(docs).collect()
+    dealt = packing.best_fit_packing(docs, part_pieces=40).collect()
+    assert Counter(tuple(r[:5]) for r in whole) == Counter(tuple(r[:5]) for r in dealt) and len({r.round for r in dealt}) > 1
+    bound = packing.lower_bound(np.array([r.length for r in whole]), 1024)
+    used = [len({r.sequence_id for r in rows}) for rows in (whole, dealt)]
+    assert used[0] <= 1.01 * bound + 1 and used[1] <= 1.05 * bound + 1, (used, bound)
 
 
 def test_lower_bound_is_none_too_high():
