@@ -8,12 +8,12 @@ pair of bytes adds to each filter is looked up, a position of thousands of windo
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +22,7 @@ from episodica.llm.byte_cnn import WINDOW, Network
 from episodica.llm.tables import id_remainder
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,25 +36,28 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.where(np.arange(WINDOW) < (offsets[doc + 1] - start)[:, None], out, np.uint8(0)), doc
 
 
-def train(docs: DataFrame, per_label: int = 600, most_labels: int = 200) -> Network | None:
-    """Fits on windows of about per_label documents of each label, drawn by hash from the learnable rows.
+def train(docs: DataFrame, per_label: int = 600, most: int = 120_000) -> Network | None:
+    """Fits on windows of about per_label different texts of each label, drawn by hash from the learnable rows.
 
-    A drawn document gives four windows at most, at places set by its hash, so what reaches the driver is bounded by
-    per_label * 2 * 4 windows for each of the most_labels most frequent labels. None where nothing is labelled.
+    A drawn text gives four windows at most, so the driver gets about 4 * per_label windows of a label, and of all labels
+    together about 4 * most: where there are more than most / per_label labels, each gives fewer texts, and none is
+    left out. Equal texts are drawn together and used once. None where nothing is labelled.
     """
     learn = docs.where(id_remainder(docs["doc_id"], 4) != 2).where(docs["lang"].isNotNull() & docs["text"].isNotNull())
-    counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labels).collect()
+    learn = learn.select("lang", "text", F.xxhash64("text").alias("hash"))
+    counts = learn.groupBy("lang").agg(F.approx_count_distinct("hash").alias("texts")).collect()
     if not counts:
         return None
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_label / r["count"]))))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    drawn = learn.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
+    wanted = min(per_label, max(1, most // len(counts)))
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, wanted / max(1, r["texts"])))))
+    draw = F.pmod(F.xxhash64("hash"), F.lit(1 << 40)) / (1 << 40)  # of a hash again: the windows are drawn by the hash of places
+    drawn = learn.where(draw < share[F.col("lang")]).groupBy("lang", "hash").agg(F.first("text").alias("text")).select("lang", "text")
 
     def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.bounded(batches, 1):
             x, doc = windows(*words.text_buffer(pc.utf8_lower(batch.column(1))))
-            h = words.mix(np.arange(len(doc), dtype=np.uint64) + np.uint64(1))
-            rank = np.lexsort((h, doc))
+            within = (np.arange(len(doc)) - np.searchsorted(doc, doc)).astype(np.uint64)
+            rank = np.lexsort((words.mix(within + np.uint64(1)), doc))
             place = np.empty(len(doc), dtype=np.int64)
             place[rank] = np.arange(len(doc)) - np.searchsorted(doc, doc)
             keep = np.flatnonzero(place < 4)
@@ -98,8 +101,9 @@ def identify(docs: DataFrame, per_label: int = 600) -> DataFrame:
     """Predicts a language for every row of docs from its whole text.
 
     Learns from text and non-null lang of rows whose crc32(doc_id) mod 4 is not 2; other columns are not read. Null
-    texts, texts without a letter, and all texts where nothing is labelled, give `und` with score 0. Repeated rows
-    are predicted each. An empty table gives an empty result.
+    texts, texts without a letter, and all texts where nothing is labelled, give `und` with score 0. A very long text is
+    read whole, window by window. Of languages of equal score the first by name is given. Repeated rows are predicted
+    each. An empty table gives an empty result.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang"))
     network = train(rows, per_label)
