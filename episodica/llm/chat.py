@@ -39,11 +39,11 @@ FORMATTED = (
 
 
 def escape(text: str) -> str:
-    return _RAW.sub(lambda m: m.group() + "\\", text)
+    return _RAW.sub(lambda m: m.group() + "\\", text) if "<" in text or "[" in text else text
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(lambda m: m.group()[:-1], text)
+    return _ESCAPED.sub(lambda m: m.group()[:-1], text) if "\\" in text else text
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int, str]]]:

@@ -1,11 +1,14 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, queried by every passage with block-max WAND.
 
 Weights are divided by what an item scores against itself, so a score is the share of an item's
-weight that a passage covers, and one threshold serves long and short items. Passages are windows
-of twice the length of the longest item at steps of that length: whatever repeats an item lies
-whole in one of them. Block maxima are added up for all passages of a batch by array arithmetic;
-only where a block of items could reach the threshold does block-max WAND run, on that block. What WAND returns is verified: the
-question must be there in word shingles and the answer in words.
+weight that a passage covers, and one threshold serves long and short items. Numbers of items,
+document frequencies and the mean length are those of the whole benchmark. Items go by length into
+classes, each with an index of its own; its passages are windows of twice the length of its longest
+item at steps of that length, so whatever repeats an item lies whole in one of them. Block-max WAND
+runs over whole lists; the blocks are ranges of items, and what a passage can reach in each block
+is added up for all passages of a batch by array arithmetic. Passages that reach the threshold in
+no block are done; for all others WAND walks the lists, skipping the blocks that cannot reach it.
+What WAND returns is verified: the question must be there in word shingles and the answer in words.
 """
 
 from __future__ import annotations
@@ -51,26 +54,38 @@ def shingles(text: list, width: int = 5) -> set:
     return {tuple(text[i : i + width]) for i in range(max(1, len(text) - width + 1))} if text else set()
 
 
+class Statistics:
+    """What the weights need to know of the whole benchmark."""
+
+    def __init__(self, texts: list[list[bytes]]):
+        self.items = len(texts)
+        self.mean = sum(map(len, texts)) / max(1, len(texts))
+        self.seen = Counter(w for t in texts for w in set(t))
+
+    def weights(self, text: list[bytes]) -> dict[bytes, float]:
+        """Of each word of an item, as a share of the item's score against itself."""
+        out = {}
+        for w, n in Counter(text).items():
+            idf = math.log(1 + (self.items - self.seen[w] + 0.5) / (self.seen[w] + 0.5))
+            out[w] = idf * n * (K1 + 1) / (n + K1 * (1 - B + B * len(text) / self.mean))
+        own = sum(out.values())
+        return {w: x / own for w, x in out.items()}
+
+
 class Index:
-    """Postings with impacts, in blocks that know their largest impact."""
+    """Postings with impacts. Blocks are ranges of `block` items; of every list the largest impact in each block is kept."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = 0.5, block: int = 64, group: int = 2):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = 0.5, block: int = 4, known: Statistics | None = None):
         items = [(i, t) for i, t in items if t and split_words(t)]
         self.ids = [i for i, _ in items]
         self.parts = [question_and_answer(t) for _, t in items]
         texts = [q + a for q, a in self.parts]
         self.longest = max(map(len, texts), default=1)
-        mean = sum(map(len, texts)) / max(1, len(texts))
-        seen = Counter(w for t in texts for w in set(t))
+        known = known or Statistics(texts)
         postings = defaultdict(list)
         for i, text in enumerate(texts):
-            weight = {}
-            for w, n in Counter(text).items():
-                idf = math.log(1 + (len(texts) - seen[w] + 0.5) / (seen[w] + 0.5))
-                weight[w] = idf * n * (K1 + 1) / (n + K1 * (1 - B + B * len(text) / mean))
-            own = sum(weight.values())
-            for w, x in weight.items():
-                postings[w].append((i, x / own))
+            for w, x in known.weights(text).items():
+                postings[w].append((i, x))
         terms = list(postings)
         raw = b"".join(terms)
         ends = np.cumsum([len(t) for t in terms]).astype(np.int64)
@@ -80,9 +95,14 @@ class Index:
         self.hash, self.terms = h[order], [terms[k] for k in order]
         self.lists = [[i for i, _ in postings[t]] for t in self.terms]
         self.impacts = [[x for _, x in postings[t]] for t in self.terms]
-        self.blocks = [[max(x[k : k + block]) for k in range(0, len(x), block)] for x in self.impacts]
-        self.block = block
         self.bound = [max(x) for x in self.impacts]
+        self.block, n_blocks = block, -(-len(texts) // block)
+        self.tops: list[dict[int, float]] = []  # by term: the largest impact in each block that has any
+        for ids, impacts in zip(self.lists, self.impacts):
+            best: dict[int, float] = {}
+            for i, x in zip(ids, impacts):
+                best[i // block] = max(best.get(i // block, 0.0), x)
+            self.tops.append(best)
         #: Terms of many items are not looked up passage by passage: what they can add is part of every block's bound.
         free, common = np.zeros(len(texts)), np.zeros(len(self.terms), dtype=bool)
         for t in sorted(range(len(self.terms)), key=lambda t: -len(self.lists[t])):
@@ -91,21 +111,15 @@ class Index:
             if len(self.lists[t]) <= 0.02 * len(texts) or more.max() > 0.6 * threshold:
                 break
             free, common[t] = more, True
-        n_groups = -(-len(texts) // group)
-        self.group, self.free = group, np.zeros(n_groups)
-        np.maximum.at(self.free, np.arange(len(texts)) // group, free)
-        self.of_group: list[set[int]] = [set() for _ in range(n_groups)]
+        self.free = np.zeros(n_blocks)
+        np.maximum.at(self.free, np.arange(len(texts)) // block, free)
         tops: list[tuple[int, float]] = []
         self.top_start = np.zeros(len(self.terms) + 1, dtype=np.int64)
-        for t, (ids, impacts) in enumerate(zip(self.lists, self.impacts)):
-            best: dict[int, float] = {}
-            for i, x in zip(ids, impacts):
-                best[i // group] = max(best.get(i // group, 0.0), x)
-                self.of_group[i // group].add(t)
+        for t, best in enumerate(self.tops):
             if not common[t]:
                 tops += best.items()
             self.top_start[t + 1] = len(tops)
-        self.top_group, self.top = np.array([g for g, _ in tops], dtype=np.int64), np.array([x for _, x in tops])
+        self.top_block, self.top = np.array([g for g, _ in tops], dtype=np.int64), np.array([x for _, x in tops])
         self.filter = np.zeros(1 << 18, dtype=bool)
         self.filter[(self.hash & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
 
@@ -116,30 +130,25 @@ class Index:
         ok = self.hash[at] == h[where]
         return where[ok], at[ok]
 
-    def candidates(self, block: np.ndarray, term: np.ndarray, threshold: float):
-        """(passage, group of items) that could reach the threshold. A passage is a block of words and the next one."""
-        key = np.unique(block * len(self.terms) + term)
-        block, term = key // len(self.terms), key % len(self.terms)
+    def candidates(self, stretch: np.ndarray, term: np.ndarray, threshold: float) -> np.ndarray:
+        """Passages that could reach the threshold in some block. A passage is a stretch of words and the next one."""
+        key = np.unique(stretch * len(self.terms) + term)
+        stretch, term = key // len(self.terms), key % len(self.terms)
         n = self.top_start[term + 1] - self.top_start[term]
         at = np.arange(n.sum()) + np.repeat(self.top_start[term] - (np.cumsum(n) - n), n)
-        block, group = np.repeat(block, n), self.top_group[at]
-        key = np.concatenate([block * len(self.free) + group, (block - 1) * len(self.free) + group])
+        stretch, block = np.repeat(stretch, n), self.top_block[at]
+        key = np.concatenate([stretch * len(self.free) + block, (stretch - 1) * len(self.free) + block])
         order = np.argsort(key, kind="stable")
         key, top = key[order], np.concatenate([self.top[at]] * 2)[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         total = np.add.reduceat(top, first) if len(first) else np.zeros(0)
-        passage, group = np.divmod(key[first], len(self.free))
-        keep = total + self.free[group] >= threshold - 1e-9
-        return passage[keep], group[keep]
-
-    def search(self, terms: list[int], threshold: float, low: int = 0, high: int | None = None) -> list[tuple[int, float]]:
-        """Block-max WAND: all items in low..high that these distinct terms score at the threshold or above."""
-        found, end = [], len(self.ids) if high is None else min(high, len(self.ids))
-        cursors = []  # item, place in the list, term
-        for t in terms:
-            k = bisect_left(self.lists[t], low)
-            if k < len(self.lists[t]) and self.lists[t][k] < end:
-                cursors.append([self.lists[t][k], k, t])
+        passage, block = np.divmod(key[first], len(self.free))
+        return np.unique(passage[total + self.free[block] >= threshold - 1e-9])
+
+    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
+        """Block-max WAND: all items that these distinct terms score at the threshold or above."""
+        found, end = [], len(self.ids)
+        cursors = [[self.lists[t][0], 0, t] for t in terms]  # item, place in the list, term
         threshold -= 1e-9
         while True:
             cursors.sort()
@@ -156,17 +165,11 @@ class Index:
             item = cursors[pivot][0]
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
-            total, until = 0.0, end
-            for c in cursors[: pivot + 1]:
-                ids, blocks = self.lists[c[2]], self.blocks[c[2]]
-                k = bisect_left(ids, item, c[1])
-                if k < len(ids):
-                    total += blocks[k // self.block]
-                    until = min(until, ids[min((k // self.block + 1) * self.block, len(ids)) - 1] + 1)
-            if pivot + 1 < len(cursors):
-                until = min(until, cursors[pivot + 1][0])
-            if total < threshold:  # no item of these blocks can reach it
-                to = max(until, item + 1)
+            block = item // self.block
+            if sum(self.tops[c[2]].get(block, 0.0) for c in cursors[: pivot + 1]) < threshold:
+                to = (block + 1) * self.block  # no item of this block that only these terms have can reach it
+                if pivot + 1 < len(cursors):
+                    to = max(item + 1, min(to, cursors[pivot + 1][0]))
             else:
                 score = 0.0
                 for c in cursors[: pivot + 1]:
@@ -190,41 +193,42 @@ class Index:
         return asked, len(known & set(passage)) / len(known) if known else 1.0
 
 
-def _repeats(index: Index, texts: pa.Array, threshold: float, overlap: float) -> dict[tuple[int, int], tuple]:
-    """(score, question overlap, answer overlap) by (row, item of the index) for the verified ones."""
-    step = index.longest
+def _repeats(indexes: list[Index], texts: pa.Array, threshold: float, overlap: float) -> dict[tuple[int, int, int], tuple]:
+    """(score, question overlap, answer overlap) by (row, index, item of the index) for the verified ones."""
     data, offsets = words.text_buffer(pc.utf8_lower(texts))
     starts, ends, first = words.spans(data, offsets, words.ALNUM)
-    where, term = index.find(words.hashes(data, starts, ends))
-    doc = np.searchsorted(first, where, side="right") - 1
-    base = np.concatenate([[0], np.cumsum(np.diff(first) // step + 2)])
-    block = base[doc] + (where - first[doc]) // step
-    passages, groups = index.candidates(block, term, threshold)
-    low, high = np.searchsorted(block, passages), np.searchsorted(block, passages + 2)
-    best: dict[tuple[int, int], tuple] = {}
-    for p, group, a, b in zip(passages.tolist(), groups.tolist(), low.tolist(), high.tolist()):
-        d = int(doc[a])
-        if p < base[d]:  # begins behind the last words of a document: the next passage is the same
-            continue
-        there = index.of_group[group].intersection(term[a:b].tolist())
-        for item, score in index.search(sorted(there), threshold, group * index.group, (group + 1) * index.group):
-            from_word = int(first[d]) + (p - int(base[d])) * step
-            to_word = min(from_word + 2 * step, int(first[d + 1]))
-            begin = int(starts[from_word])
-            raw = data[begin : ends[to_word - 1]].tobytes()
-            passage = [raw[s - begin : e - begin] for s, e in zip(starts[from_word:to_word].tolist(), ends[from_word:to_word].tolist())]
-            asked, answered = index.verify(item, passage)
-            if asked >= overlap and answered >= overlap:
-                best[d, item] = max(best.get((d, item), (0.0,)), (score, asked, answered))
+    hashed = words.hashes(data, starts, ends)
+    best: dict[tuple[int, int, int], tuple] = {}
+    for number, index in enumerate(indexes):
+        step = index.longest
+        where, term = index.find(hashed)
+        doc = np.searchsorted(first, where, side="right") - 1
+        base = np.concatenate([[0], np.cumsum(np.diff(first) // step + 2)])
+        stretch = base[doc] + (where - first[doc]) // step
+        passages = index.candidates(stretch, term, threshold)
+        low, high = np.searchsorted(stretch, passages), np.searchsorted(stretch, passages + 2)
+        for p, a, b in zip(passages.tolist(), low.tolist(), high.tolist()):
+            d = int(doc[a])
+            if p < base[d]:  # begins behind the last words of a document: the next passage is the same
+                continue
+            for item, score in index.search(np.unique(term[a:b]).tolist(), threshold):
+                from_word = int(first[d]) + (p - int(base[d])) * step
+                to_word = min(from_word + 2 * step, int(first[d + 1]))
+                begin = int(starts[from_word])
+                raw = data[begin : ends[to_word - 1]].tobytes()
+                passage = [raw[s - begin : e - begin] for s, e in zip(starts[from_word:to_word].tolist(), ends[from_word:to_word].tolist())]
+                asked, answered = index.verify(item, passage)
+                if asked >= overlap and answered >= overlap:
+                    best[d, number, item] = max(best.get((d, number, item), (0.0,)), (score, asked, answered))
     return best
 
 
-def _scan(index: Index, threshold: float, overlap: float):
+def _scan(indexes: list[Index], threshold: float, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.bounded(batches, 1):
             ids = batch.column(0).to_pylist()
-            best = _repeats(index, batch.column(1), threshold, overlap)
-            out = [(ids[d], index.ids[item], *seen) for (d, item), seen in sorted(best.items())]
+            best = _repeats(indexes, batch.column(1), threshold, overlap)
+            out = [(ids[d], i, *seen) for (d, number, item), seen in sorted(best.items()) for i in indexes[number].ids[item]]
             types = [pa.int64(), pa.int64(), *[pa.float64()] * 3]
             names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], names)
@@ -232,43 +236,69 @@ def _scan(index: Index, threshold: float, overlap: float):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6, most_items: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6, most_words: int = 1_000_000) -> DataFrame:
     """A row for each row of docs and benchmark item that it repeats; clean documents have none.
 
     Of docs only doc_id and text are read, of benchmark item_id and text. Words are runs of letters and digits in
     lower case. Null and empty texts, and items without a word, match nothing. An item that occurs several times in
-    a document is reported once, with its best passage; repeated rows are reported each. Tasks hold an index of at
-    most most_items items; a larger benchmark is taken in parts, one pass over docs for each.
+    a document is reported once, with its best passage; items of equal text, and repeated rows, are reported each. Very
+    long texts are read whole, passage by passage. Ties in score make no difference, as all items above the threshold
+    are found. Tasks hold indexes of about most_words words of the benchmark; a larger one is taken in parts, one pass
+    over docs for each, with the same scores.
     """
     pairs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     found = []
-    for index in _indexes(benchmark, threshold, most_items):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+    for indexes in _indexes(benchmark, threshold, most_words):
+        held = docs.sparkSession.sparkContext.broadcast(indexes)
         scan = lambda batches, held=held: _scan(held.value, threshold, overlap)(batches)
         found.append(pairs.mapInArrow(scan, FOUND))
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], FOUND)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6, most_items: int = 20_000) -> DataFrame:
-    """The rows of docs, with all their columns, that repeat no benchmark item. Rows move between no tasks."""
-    for index in _indexes(benchmark, threshold, most_items):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6, most_words: int = 1_000_000) -> DataFrame:
+    """The rows of docs, with all their columns, that repeat no benchmark item. Rows move between no tasks.
+
+    Null and empty texts are clean and stay, and so do repeated clean rows. An empty table gives an empty result, an
+    empty benchmark all rows. Columns may have any names.
+    """
+    for indexes in _indexes(benchmark, threshold, most_words):
+        held = docs.sparkSession.sparkContext.broadcast(indexes)
 
         def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in words.bounded(batches, "text"):
                 good = np.ones(batch.num_rows, dtype=bool)
-                good[[d for d, _ in _repeats(held.value, batch.column("text"), threshold, overlap)]] = False
+                good[[d for d, *_ in _repeats(held.value, batch.column("text"), threshold, overlap)]] = False
                 yield batch.filter(pa.array(good))
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs
 
 
-def _indexes(benchmark: DataFrame, threshold: float, most_items: int) -> Iterator[Index]:
-    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].alias("text"))
-    parts = -(-items.count() // most_items)
-    for k in range(parts):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
-        index = Index(sorted(((r.item_id, r.text) for r in mine if r.text), key=repr), threshold)
-        if index.ids:
-            yield index
+def _indexes(benchmark: DataFrame, threshold: float, most_words: int) -> Iterator[list[Index]]:
+    """Lists of indexes, one for each class of item lengths, each list of about most_words words; item ids are lists.
+
+    The benchmark is the small side: it is what evaluations hold, and it is read by the driver once. Items of equal text
+    are one item with several ids.
+    """
+    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].alias("text")).where("text IS NOT NULL")
+    same = items.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("item_id"))).alias("ids"))
+    held = [([i.item_id for i in r.ids], r.text, split_words(r.text)) for r in same.toLocalIterator()]
+    held = sorted((h for h in held if h[2]), key=lambda h: (len(h[2]), h[1]))
+    known = Statistics([text for *_, text in held])
+    part, size = [], 0
+    for h in held:
+        if part and size + len(h[2]) > most_words:
+            yield _classes(part, threshold, known)
+            part, size = [], 0
+        part.append(h)
+        size += len(h[2])
+    if part:
+        yield _classes(part, threshold, known)
+
+
+def _classes(items: list[tuple[list[int], str, list[bytes]]], threshold: float, known: Statistics) -> list[Index]:
+    """Items of at most 64 words, 256 words and so on: a long item makes no short one's passages long."""
+    of: dict[int, list] = defaultdict(list)
+    for ids, text, split in items:
+        of[max(0, -(-(len(split) - 1).bit_length() // 2) - 3) if len(split) > 1 else 0].append((ids, text))
+    return [Index(of[k], threshold, known=known) for k in sorted(of)]

@@ -144,3 +144,50 @@ def base(text, patterns, by_start):
     counts = Counter(f[3] for f in found)
     joined = ",".join(f"{kind}:{a}:{b}" for _, a, b, kind in found)
     return [counts[k] for k in patterns], hashlib.sha256(joined.encode()).hexdigest(), joined
+
+
+def contaminated(docs, items, threshold=0.5, overlap=0.6):
+    """{(row, item id): best score} by scoring every passage of every text against every item."""
+    split = lambda t: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", t.lower())
+
+    def halves(t):
+        parts = [p for p in (split(p) for p in re.split(r"(?<=[.?!])\s+|\n", t)) if p]
+        if len(parts) > 1:
+            return sum(parts[:-1], []), parts[-1]
+        cut = len(parts[0]) - len(parts[0]) // 3
+        return parts[0][:cut], parts[0][cut:]
+
+    runs = lambda p, n: {tuple(p[k : k + n]) for k in range(len(p) - n + 1)}
+    texts = {t for _, t in items if t and split(t)}
+    seen = Counter(w for t in texts for w in set(split(t)))
+    mean = sum(len(split(t)) for t in texts) / len(texts)
+    classes = defaultdict(list)
+    for t in texts:
+        n, k = len(split(t)), 0
+        while n > 64 * 4**k:
+            k += 1
+        classes[k].append(t)
+    found = {}
+    for held in classes.values():
+        step = max(len(split(t)) for t in held)
+        weighed = []
+        for t in held:
+            words_ = split(t)
+            w = {x: math.log(1 + (len(texts) - seen[x] + 0.5) / (seen[x] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(words_) / mean)) for x, c in Counter(words_).items()}
+            weighed.append((t, {x: v / sum(w.values()) for x, v in w.items()}, *halves(t)))
+        for row, (_, text) in enumerate(docs):
+            whole = split(text or "")
+            for at in range(0, len(whole), step):
+                passage = whole[at : at + 2 * step]
+                for t, w, question, answer in weighed:
+                    score = sum(w.get(x, 0.0) for x in set(passage))
+                    if score < threshold - 1e-9:
+                        continue
+                    n = min(5, len(question))
+                    asked = len(runs(question, n) & runs(passage, n)) / len(runs(question, n)) if question else 1.0
+                    answered = len(set(answer) & set(passage)) / len(set(answer)) if answer else 1.0
+                    if asked >= overlap and answered >= overlap:
+                        for i, other in items:
+                            if other == t:
+                                found[row, i] = max(found.get((row, i), 0.0), score)
+    return found

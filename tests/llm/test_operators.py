@@ -211,15 +211,30 @@ def test_decontamination(spark, docs, texts):
 
 def test_wand_finds_what_a_full_scan_finds(spark, texts):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    index = decontamination.Index(items, threshold=0.1)
-    weight = [dict(zip(ids, impacts)) for ids, impacts in zip(index.lists, index.impacts)]
-    place = {t: k for k, t in enumerate(index.terms)}
-    for _, text in texts[:60]:
-        terms = sorted({place[w] for w in decontamination.split_words(text or "") if w in place})
-        for threshold in (0.1, 0.3):
-            want = {i: s for i in range(len(index.ids)) if (s := sum(weight[t].get(i, 0) for t in terms)) >= threshold}
-            got = dict(index.search(terms, threshold))
-            assert set(got) == set(want) and all(math.isclose(got[i], want[i]) for i in got)
+    for block in (1, 4, 64):
+        index = decontamination.Index(items, threshold=0.1, block=block)
+        weight = [dict(zip(ids, impacts)) for ids, impacts in zip(index.lists, index.impacts)]
+        place = {t: k for k, t in enumerate(index.terms)}
+        for _, text in texts[:60]:
+            terms = sorted({place[w] for w in decontamination.split_words(text or "") if w in place})
+            for threshold in (0.1, 0.3):
+                want = {i: s for i in range(len(index.ids)) if (s := sum(weight[t].get(i, 0) for t in terms)) >= threshold}
+                got = dict(index.search(terms, threshold))
+                assert set(got) == set(want) and all(math.isclose(got[i], want[i]) for i in got)
+
+
+@pytest.mark.parametrize("most_words", [10**6, 300])
+def test_decontamination_against_every_passage(spark, docs, texts, most_words):
+    """The query's rows, also with a benchmark taken in parts, are those of a full scan of all passages and items."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    long = " ".join(f"{t}" for _, t in items[:12])
+    items += [(9001, long), (9002, items[0][1]), (9003, "two words"), (9004, "one"), (None, items[1][1] + " and more of it")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [*texts, (10**7, f"pre {long} post"), (10**7, "these are two words here"), (10**7 + 1, items[1][1] + " and more of it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.item_id, round(r.score, 9)) for r in decontamination.contaminated(df, benchmark, most_words=most_words).collect())
+    want = Counter((rows[k][0], i, round(s, 9)) for (k, i), s in plain.contaminated(rows, items).items())
+    assert got == want and len(want) > 20
 
 
 @pytest.mark.parametrize("which", ["awkward", "table"])
