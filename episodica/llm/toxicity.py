@@ -4,8 +4,10 @@ Only documents carry labels, so the labels of words are inferred first: words an
 that are much more frequent in toxic documents than in clean ones, and stand in many different
 places (those of a copied document do not), mark toxic words there. The field learns from these
 tags; its features are the word, its beginnings (so inflected forms count together) and its two
-neighbours. In use, forward and backward passes run over thousands of sequences at a time. A logistic function
-of the largest marginal and of their sum, fitted to the document labels, is the score.
+neighbours, and it is fitted by the likelihood of whole chains: expected counts from forward and backward passes
+against the tags' own. A chain is a whole document. The passes run over blocks of words side by side: the product
+of a block's transfer matrices tells what enters the next one, so no chain is cut. A logistic function of the largest
+marginal and of their sum, fitted to the document labels, is the score.
 """
 
 from __future__ import annotations
@@ -14,13 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodica.llm import words
 from episodica.llm.tables import id_remainder
 
-LENGTH, BEGINNINGS = 64, (4, 5, 6)  # words of a sequence, bytes of a word's beginnings
+BLOCK, BEGINNINGS = 64, (4, 5, 6)  # words that a pass takes side by side, bytes of a word's beginnings
 SCORED = (
     "doc_id long, held_out boolean, score double, predicted int, "
     "spans array<struct<start:long,end:long,probability:double>>"
@@ -28,7 +30,7 @@ SCORED = (
 
 
 class Words:
-    """Lower-case runs of letters of some texts, and the sequences that they form."""
+    """Lower-case runs of letters of some texts; the words of a text are one chain."""
 
     def __init__(self, column: pa.Array):
         data, self.offsets = words.text_buffer(column)
@@ -43,11 +45,6 @@ class Words:
             self.kinds.append(h)
         self.heads = self.first[:-1][np.diff(self.first) > 0]
         self.tails = self.first[1:][np.diff(self.first) > 0] - 1
-        n = -(-np.diff(self.first) // LENGTH)
-        self.doc_of_sequence = np.repeat(np.arange(len(n)), n)
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        self.begin = self.first[self.doc_of_sequence] + place * LENGTH
-        self.size = np.minimum(LENGTH, self.first[self.doc_of_sequence + 1] - self.begin)
 
 
 class Field:
@@ -83,76 +80,101 @@ class Field:
     def emission(self, features: list[np.ndarray]) -> np.ndarray:
         return self.bias[0] + sum(v[f] for v, f in zip(self.weights, features))
 
-    def marginals(self, score: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """P(state 1) of every word, by forward and backward passes over all sequences at once."""
-        out = np.zeros(len(score))
-        t = np.exp(self.transition)
-        order = np.argsort(-size, kind="stable")
-        begin, size = begin[order], size[order]
-        for a in range(0, len(begin), 8192):
-            b, n = begin[a : a + 8192], size[a : a + 8192]
-            m = int(n[0])
-            alive = [int(np.searchsorted(-n, -i, side="left")) for i in range(m)]  # sequences longer than i come first
-            odds = [np.exp(np.clip(score[b[:k] + i], -30, 30)) for i, k in enumerate(alive)]
-            forward = []
-            for i, k in enumerate(alive):
-                if i:
-                    p = forward[-1][:k]
-                    up, down = (1 - p) * t[0, 1] + p * t[1, 1], (1 - p) * t[0, 0] + p * t[1, 0]
-                    one = odds[i] * up
-                    forward.append(one / (one + down))
-                else:
-                    forward.append(odds[0] / (odds[0] + 1))
-            back = np.full(0, 0.5)
-            for i in range(m - 1, -1, -1):
-                k = alive[i]
-                back = np.concatenate([back, np.full(k - len(back), 0.5)])  # a sequence ends here: both states alike
-                p = forward[i] * back
-                out[b[:k] + i] = p / (p + (1 - forward[i]) * (1 - back))
-                one, zero = odds[i] * back, 1 - back
-                up, down = t[1, 1] * one + t[1, 0] * zero, t[0, 1] * one + t[0, 0] * zero
-                back = up / (up + down)
-        return out
-
-    def fit(self, w: Words, tags: np.ndarray, epochs: int = 60, rate: float = 0.2, decay: float = 1e-4) -> Field:
-        """Full-batch Adam on the pseudo-likelihood of each tag given its words and neighbouring tags.
+    def marginals(self, score: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(state 1) of every word, and the expected number of each pair of states that follow each other.
 
-        Words alike in features, tag and neighbouring tags are one row with a count; most words have no feature at all.
+        Chain k is score[first[k] : first[k + 1]]. States of a word are kept as the share of state 1, which is all that
+        matters of a message.
         """
-        n, none = len(tags), 2  # the tag beyond either end of a sequence
-        left, right = np.roll(tags, 1), np.roll(tags, -1)
-        left[w.begin], right[w.begin + w.size - 1] = none, none
-        columns = [*self.features(w), tags, left, right]
-        some = np.zeros(n, dtype=bool)
-        for c in columns:
-            some |= c != 0
-        rows, count = np.unique(np.stack([c[some] for c in columns], 1, dtype=np.int32), axis=0, return_counts=True)
-        rows, count = np.vstack([rows, np.zeros_like(rows, shape=(1, rows.shape[1]))]), np.append(count, n - some.sum())
-        *features, tags, left, right = rows.T.astype(np.int64)
-        inside, kept = np.flatnonzero(left != none), np.flatnonzero(right != none)
-        weight = count * np.where(tags == 1, 5.0, 1.0)
+        out, pairs = np.zeros(len(score)), np.zeros((2, 2))
+        if not len(score):
+            return out, pairs
+        (t00, t01), (t10, t11) = np.exp(self.transition)
+        blocks = -(-np.diff(first) // BLOCK)
+        chain = np.repeat(np.arange(len(blocks)), blocks)
+        place = np.arange(len(chain)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        begin = first[chain] + place * BLOCK
+        size = np.minimum(BLOCK, first[chain + 1] - begin)
+        by_size = np.argsort(-size, kind="stable")
+        chain, place, begin, size = chain[by_size], place[by_size], begin[by_size], size[by_size]
+        starts = place == 0
+        alive = [int(np.searchsorted(-size, -i, side="left")) for i in range(int(size[0]))]  # blocks longer than i come first
+        odds = [np.exp(np.clip(score[begin[:k] + i], -30, 30)) for i, k in enumerate(alive)]
+        # Products of transfer matrices: rows of a block's matrix, in common scale.
+        m = np.zeros((4, len(begin)))
+        m[0], m[3] = 1.0, 1.0
+        for i, k in enumerate(alive):
+            a, b, c, d = m[:, :k]
+            new = np.stack([a * t00 + b * t10, (a * t01 + b * t11) * odds[i], c * t00 + d * t10, (c * t01 + d * t11) * odds[i]])
+            if i == 0:
+                new = np.where(starts[:k], np.stack([np.ones(k), np.zeros(k), np.zeros(k), odds[0]]), new)
+            m[:, :k] = new / new.sum(0)
+        enters, leaves = np.full(len(begin), 0.5), np.full(len(begin), 0.5)
+        at = np.empty(len(begin), dtype=np.int64)
+        at[np.lexsort((place, chain))] = np.arange(len(begin))  # of a block in the order of chains and places
+        back = np.argsort(at)
+        ahead = _levels(place)
+        for now in ahead[:-1]:
+            now = now[place[now] + 1 < blocks[chain[now]]]
+            p, (a, b, c, d) = enters[now], m[:, now]
+            one, zero = (1 - p) * b + p * d, (1 - p) * a + p * c
+            enters[back[at[now] + 1]] = one / (one + zero)
+        for now in ahead[:0:-1]:
+            q, (a, b, c, d) = leaves[now], m[:, now]
+            up, down = c * (1 - q) + d * q, a * (1 - q) + b * q
+            leaves[back[at[now] - 1]] = up / (up + down)
+        forward = []
+        for i, k in enumerate(alive):
+            p = forward[-1][:k] if i else enters
+            one, zero = odds[i] * ((1 - p) * t01 + p * t11), (1 - p) * t00 + p * t10
+            if i == 0:
+                one, zero = np.where(starts, odds[0], one), np.where(starts, 1.0, zero)
+            forward.append(one / (one + zero))
+        q = np.zeros(0)
+        for i in range(len(alive) - 1, -1, -1):
+            k = alive[i]
+            q = np.concatenate([q, leaves[len(q) : k]])  # blocks that end here
+            p = forward[i] * q
+            out[begin[:k] + i] = p / (p + (1 - forward[i]) * (1 - q))
+            one, zero = odds[i] * q, 1 - q
+            before = forward[i - 1][:k] if i else enters
+            x = np.stack([(1 - before) * t00 * zero, (1 - before) * t01 * one, before * t10 * zero, before * t11 * one])
+            x = x / x.sum(0)
+            pairs += (x if i else x[:, ~starts]).sum(1).reshape(2, 2)
+            up, down = t11 * one + t10 * zero, t01 * one + t00 * zero
+            q = up / (up + down)
+        return out, pairs
+
+    def fit(self, w: Words, tags: np.ndarray, epochs: int = 60, rate: float = 0.2, decay: float = 1e-4) -> Field:
+        """Full-batch Adam on the likelihood of the tags of whole chains."""
+        n, features = len(tags), self.features(w)
+        inside = np.ones(n, dtype=bool)
+        inside[w.heads] = False
+        follow = np.flatnonzero(inside)
+        seen = np.bincount(2 * tags[follow - 1].astype(np.int64) + tags[follow], minlength=4).reshape(2, 2)
+        some = [np.flatnonzero(f) for f in features]  # most words have no feature at all
         values = [*self.weights, self.transition, self.bias]
         mean, square = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
         for step in range(1, epochs + 1):
-            before = np.append(self.transition[:, 1] - self.transition[:, 0], 0.0)
-            after = np.append(self.transition[1] - self.transition[0], 0.0)
-            z = self.emission(features) + before[left] + after[right]
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            error = weight * (p - tags) / n
-            d_weights = [np.bincount(f, weights=error, minlength=len(v)) + decay * v / n for f, v in zip(features, self.weights)]
-            d_transition = np.zeros((2, 2))
-            np.add.at(d_transition, (left[inside], 1), error[inside])
-            np.add.at(d_transition, (left[inside], 0), -error[inside])
-            np.add.at(d_transition, (1, right[kept]), error[kept])
-            np.add.at(d_transition, (0, right[kept]), -error[kept])
-            gradients = [*d_weights, d_transition, np.array([error.sum()])]
+            p, pairs = self.marginals(self.emission(features), w.first)
+            error = (p - tags) / n
+            d_weights = [np.bincount(f[k], weights=error[k], minlength=len(v)) + decay * v / n for f, k, v in zip(features, some, self.weights)]
+            gradients = [*d_weights, (pairs - seen) / n, np.array([error.sum()])]
             for v, m, s, g in zip(values, mean, square, gradients):
                 m += 0.1 * (g - m)
                 s += 0.01 * (g**2 - s)
                 v -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-9)
+            for v in self.weights:
+                v[0] = 0.0  # a word without a feature
         return self
 
 
+def _levels(place: np.ndarray) -> list[np.ndarray]:
+    """The blocks of each place, for all places."""
+    order = np.argsort(place, kind="stable")
+    return np.split(order, np.cumsum(np.bincount(place))[:-1])
+
+
 def infer_tags(w: Words, toxic: np.ndarray, least: float = 0.02, ratio: float = 20.0) -> np.ndarray:
     """1 for words of toxic documents that have a telling word or beginning.
 
@@ -199,7 +221,7 @@ class Model:
 
     def inputs(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(1, logit of the largest marginal, log of their sum) of each document, and all marginals."""
-        p = self.field.marginals(self.field.emission(self.field.features(w)), w.begin, w.size)
+        p, _ = self.field.marginals(self.field.emission(self.field.features(w)), w.first)
         n = len(w.first) - 1
         total = np.bincount(np.repeat(np.arange(n), np.diff(w.first)), weights=p, minlength=n)
         most = np.zeros(n)
@@ -232,7 +254,9 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int = 20_000) -> Model | None:
     """Fits on about per_class documents of each class, drawn by hash among learnable rows of at most `longest` characters.
 
-    Both bounds keep what reaches the driver small. Equal texts are drawn once. None where a class is missing.
+    Both bounds keep what reaches the driver small: at most 2 * per_class texts of a class, however many rows share an id.
+    Longer texts are left out of the fit alone; all are scored whole. Equal texts are drawn once. None where a class is
+    missing.
     """
     truth = labels.where(labels["toxic"].isin(0, 1)).groupBy(labels["doc_id"].cast("long").alias("of")).agg(F.max("toxic").alias("toxic"))
     truth = truth.where(id_remainder("of", 3) != 1)
@@ -243,7 +267,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: in
     share = F.when(F.col("toxic") == 1, min(1.0, per_class / counts[1])).otherwise(min(1.0, per_class / counts[0]))
     drawn = truth.where(draw < share)
     rows = docs.join(F.broadcast(drawn), docs["doc_id"] == drawn["of"]).where(F.length("text") <= longest)
-    taken = sorted({(r["text"], r["toxic"]) for r in rows.select("text", "toxic").collect()})
+    texts = rows.groupBy("toxic", F.xxhash64("text", "toxic").alias("hash")).agg(F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy("hash"))  # a hard bound, where many rows share a drawn id
+    texts = texts.withColumn("place", place).where(F.col("place") <= 2 * per_class)
+    taken = sorted({(r["text"], r["toxic"]) for r in texts.select("text", "toxic").collect()})
     toxic = np.array([t == 1 for _, t in taken], dtype=bool)
     if not toxic.any() or toxic.all():
         return None
@@ -260,11 +287,12 @@ def _score(model: Model | None, cut: float, mark: float):
             if model is not None and n:
                 x, p = model.inputs(w)
                 score = model.score(x)
-                for k in np.flatnonzero(p >= mark).tolist():
-                    d = int(np.searchsorted(w.first, k, side="right")) - 1
-                    begins = lambda a, b: int(np.count_nonzero((w.data[a:b] & 0xC0) != 0x80))
-                    start = begins(w.offsets[d], w.starts[k])
-                    marks[d].append({"start": start, "end": start + begins(w.starts[k], w.ends[k]), "probability": float(p[k])})
+                hit = np.flatnonzero(p >= mark)
+                before = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])  # code points before each byte
+                doc = np.searchsorted(w.first, hit, side="right") - 1
+                start, end = before[w.starts[hit]] - before[w.offsets[doc]], before[w.ends[hit]] - before[w.offsets[doc]]
+                for d, a, b, q in zip(doc.tolist(), start.tolist(), end.tolist(), p[hit].tolist()):
+                    marks[d].append({"start": a, "end": b, "probability": q})
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
             out = [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= cut).astype(np.int32)), pa.array(marks, kind)]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "score", "predicted", "spans"])
@@ -277,7 +305,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7, mark: float =
 
     Learns from labels of ids whose crc32 mod 3 is not 1; of several labels of an id the largest holds. Of docs only
     doc_id and text are read. Null and empty texts get the score of a text without toxic words. Without labels of
-    both classes every score is 0. Repeated rows are scored each. An empty table gives an empty result.
+    both classes every score is 0. A very long text is one chain. A score equal to cut counts as toxic. Repeated rows are
+    scored each. An empty table gives an empty result.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     model = learn(rows, labels, per_class)
@@ -287,7 +316,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7, mark: float =
 
 
 def harmless(docs: DataFrame, labels: DataFrame, cut: float = 0.7, per_class: int = 2000) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is below cut. Rows move between no tasks."""
+    """The rows of docs, with all their columns, whose score is below cut. Rows move between no tasks.
+
+    Null and empty texts have the score of a text without toxic words, and repeated rows one score. Without labels of both
+    classes all rows stay. Columns may have any names. An empty table gives an empty result.
+    """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(learn(rows, labels, per_class))
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -129,12 +130,75 @@ def test_field_marginals_are_exact():
     field = toxicity.Field([np.zeros(0, np.uint64)] * 5)
     field.transition = np.array([[0.3, -0.2], [0.1, 0.9]])
     score = np.array([0.5, -1.0, 2.0, 0.1])
-    got = field.marginals(score, np.array([0]), np.array([4]))
-    want, z = np.zeros(4), 0.0
+    got, pairs = field.marginals(score, np.array([0, 4]))
+    want, z, both = np.zeros(4), 0.0, np.zeros((2, 2))
     for state in np.ndindex(2, 2, 2, 2):
         w = math.exp(sum(s * x for s, x in zip(state, score)) + sum(field.transition[a, b] for a, b in zip(state, state[1:])))
         z, want = z + w, want + w * np.array(state)
-    assert np.allclose(got, want / z)
+        for a, b in zip(state, state[1:]):
+            both[a, b] += w
+    assert np.allclose(got, want / z) and np.allclose(pairs, both / z)
+
+
+def test_long_chains_are_not_cut():
+    """Blocks side by side give what one pass over each whole chain gives."""
+    field = toxicity.Field([np.zeros(0, np.uint64)] * 5)
+    field.transition = np.array([[0.2, -0.4], [-0.3, 1.1]])
+    r = np.random.default_rng(4)
+    sizes = [0, 1, 63, 64, 65, 0, 500, 129, 3]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    score = r.normal(0, 2, first[-1])
+    got, pairs = field.marginals(score, first)
+    t, want, both = np.exp(field.transition), np.zeros(len(score)), np.zeros((2, 2))
+    for a, b in zip(first[:-1], first[1:]):
+        if a == b:
+            continue
+        obs = np.stack([np.ones(b - a), np.exp(score[a:b])], 1)
+        alpha, beta = [obs[0] / obs[0].sum()], [np.ones(2)]
+        for o in obs[1:]:
+            v = (alpha[-1] @ t) * o
+            alpha.append(v / v.sum())
+        for o in obs[:0:-1]:
+            v = t @ (o * beta[-1])
+            beta.append(v / v.sum())
+        beta = beta[::-1]
+        both_ = [np.outer(x, o * y) * t for x, o, y in zip(alpha[:-1], obs[1:], beta[1:])]
+        both += sum((m / m.sum() for m in both_), np.zeros((2, 2)))
+        p = np.array(alpha) * np.array(beta)
+        want[a:b] = p[:, 1] / p.sum(1)
+    assert np.allclose(got, want) and np.allclose(pairs, both)
+
+
+def test_field_learns_tags_and_their_order():
+    """Tagged runs follow a word that opens them: the fit finds it, and beats the words alone."""
+    r = np.random.default_rng(5)
+    texts, tags = [], []
+    for _ in range(300):
+        line, marks = [], []
+        for _ in range(30):
+            if r.random() < 0.1:
+                line += ["opener", "bad", "bad"]
+                marks += [1, 1, 1]
+            line.append(str(r.choice(["calm", "plain", "bad" if r.random() < 0.1 else "still"])))
+            marks.append(0)
+        texts.append(" ".join(line))
+        tags += marks
+    w, tags = toxicity.Words(pa.array(texts)), np.array(tags, np.int8)
+    field = toxicity.Field(toxicity.telling(w, tags)).fit(w, tags)
+    p, _ = field.marginals(field.emission(field.features(w)), w.first)
+    wrong = np.mean((p > 0.5) != tags)
+    assert wrong < 0.01 and wrong < 0.3 * np.mean(np.isin(" ".join(texts).split(), ["opener", "bad"]) != tags)
+
+
+def test_toxicity_of_awkward_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    odd = plain.table_of(spark, [(10**9 + k, *r[1:]) for k, r in enumerate(plain.ROWS)])
+    got = toxicity.toxicity(docs.unionByName(odd, allowMissingColumns=True), labels).where("doc_id >= 1000000000").collect()
+    assert len(got) == len(AWKWARD) and all(0 <= r.score <= 1 for r in got)
+    by = {r.doc_id - 10**9: r.score for r in got}
+    empty = [by[k] for k, r in enumerate(plain.ROWS) if not (r[1] or "").strip()]
+    assert len(set(empty)) == 1 and empty[0] < 0.5 and by[1] == by[2] == by[0]
 
 
 @pytest.mark.parametrize("which,cell", [("awkward", 8192), ("table", 8192), ("table", 2)])
