@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a folder of our own only where none is set."""
+    """The folder in spark.checkpoint.dir, which driver and executors share, or the one that the session's context has set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "episodica-checkpoints")
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
@@ -42,3 +40,23 @@ def id_texts(docs: DataFrame) -> DataFrame:
 def shards(spark: SparkSession) -> int:
     """How many parts shuffled work has: the session's own setting, which grows with the cluster and its input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, least: int = 1000) -> DataFrame:
+    """left with the columns of right, whose keys are unique, by an inner join in which no key fills a task.
+
+    Keys that hold more than a thousandth of left's rows, and more than `least` rows, are fewer than a thousand; their
+    rows of right are broadcast, so rows of left with such a key stay where they are. All other keys are shuffled.
+    """
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("rows in all"))
+    limit = max(least, left.count() // 1000)
+    hot = [r[0] for r in counts.where(F.col("rows in all") > limit).select(key).collect()]
+    if not hot:
+        return left.join(right, key)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return left.where(is_hot).join(F.broadcast(right.where(is_hot)), key).unionByName(left.where(~is_hot).join(right.where(~is_hot), key))
+
+
+def small(df: DataFrame, most: int = 1_000_000) -> bool:
+    """Has df few enough rows (of a few numbers each) to be broadcast? Counts no further than it must."""
+    return df.limit(most + 1).count() <= most

@@ -96,19 +96,28 @@ def simhash(text):
 
 def components(prints, budget=4):
     """The label of every fingerprint: the least place in the list that is reachable."""
-    label = list(range(len(prints)))
+    return components_of(prints, lambda a, b: (a ^ b).bit_count() <= budget)
+
+
+def components_of(things, linked):
+    label = list(range(len(things)))
 
     def root(k):
         while label[k] != k:
             k = label[k]
         return k
 
-    for a in range(len(prints)):
+    for a in range(len(things)):
         for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= budget:
+            if linked(things[a], things[b]):
                 x, y = sorted((root(a), root(b)))
                 label[y] = x
-    return [root(k) for k in range(len(prints))]
+    return [root(k) for k in range(len(things))]
+
+
+def five_word_runs(text):
+    parts = words(text)
+    return {b" ".join(parts[k : k + 5]) for k in range(max(1, len(parts) - 4))} if parts else set()
 
 
 def luhn(digits):

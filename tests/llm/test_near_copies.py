@@ -1,20 +1,19 @@
 """The pipeline's near-duplicate stage against Jaccard similarities of runs of five words."""
 
 import random
+from collections import defaultdict
 
 import corpus_pipeline
 import plain
+import pytest
 
-SF = "/root/testdata/sf0.001"
-
+from episodica.llm import simhash
 
-def runs(text):
-    parts = plain.words(text)
-    return {b" ".join(parts[k : k + 5]) for k in range(max(1, len(parts) - 4))} if parts else set()
+SF = "/root/testdata/sf0.001"
 
 
 def likeness(a, b):
-    a, b = runs(a), runs(b)
+    a, b = plain.five_word_runs(a), plain.five_word_runs(b)
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
@@ -44,6 +43,41 @@ def test_chain_of_copies_is_one_component(spark):
     assert stage(spark, chain) == {chain[-1]}
 
 
+def test_awkward_rows(spark):
+    """Repeated rows, null ids and texts, clashing columns: one whole row of each component stays."""
+    df = plain.table_of(spark)
+    kept = simhash.first_of_each(df)
+    assert kept.columns == df.columns
+    sets = [plain.five_word_runs(r[1]) for r in plain.ROWS]
+    held = defaultdict(list)
+    for r, c in zip(plain.ROWS, plain.components_of(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))):
+        held[c].append(r)
+    want = [min(v, key=lambda r: (r[0] is None, r[0] or 0)) for v in held.values()]
+    assert sorted(map(repr, (tuple(r) for r in kept.collect()))) == sorted(repr((*r, *plain.CLASHING)) for r in want)
+
+
+@pytest.mark.parametrize("cell", [8192, 3])
+def test_what_a_path_misses(spark, cell):
+    """Copies of a text among texts that share half of it: some neighbours on a path are unlike, and no link may be lost."""
+    r = random.Random(8)
+    shared = [f"s{k}" for k in range(200)]
+    rows = []
+    for g in range(12):
+        own = [f"g{g}w{k}" for k in range(60)]
+        for c in range(4):
+            text = shared + own
+            text[10 * c + 5] = f"edit{g}{c}"
+            rows.append((100 * g + c, " ".join(text)))
+    r.shuffle(rows)
+    sets = [plain.five_word_runs(t) for _, t in rows]
+    held = defaultdict(list)
+    for (i, _), c in zip(rows, plain.components_of(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))):
+        held[c].append(i)
+    assert 1 < len(held) < len(rows)
+    kept = simhash.first_of_each(plain.table_of(spark, [(i, t, "en", "a", len(t)) for i, t in rows]), cell=cell)
+    assert {x.doc_id for x in kept.select("doc_id").collect()} == {min(v) for v in held.values()}
+
+
 def test_rows_of_one_id_with_unlike_texts_stay(spark):
     a, b = ("one text about a fox and a dog in the yard", "some other words that share nothing with it at all")
     assert stage(spark, [(1, b), (5, a), (5, b), (5, a), (None, a), (None, "a third text that has no id to be known by")]) == {

@@ -214,14 +214,6 @@ def test_simhash(spark, docs, texts, which, cell):
     assert got == want
 
 
-def test_simhash_keeps_one_of_each(spark):
-    df = plain.table_of(spark)
-    kept = simhash.first_of_each(df)
-    assert kept.columns == df.columns
-    prints = [plain.simhash(t) for _, t in AWKWARD]
-    assert kept.count() == len(set(plain.components(prints)))
-
-
 @pytest.mark.parametrize("which", ["awkward", "table"])
 @pytest.mark.parametrize("op", ["secrets", "personal"])
 def test_base_spans(spark, docs, texts, which, op):
