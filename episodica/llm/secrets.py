@@ -1,22 +1,28 @@
-"""Secret scans: patterns, and a convolutional network over every other candidate in its context.
-
-Patterns give the base findings. All further runs of key-like characters that mix letters and
-digits are candidates; a byte network reads each with the text around it. The network is trained
-on labelled findings that a seeded generator writes: keys of many formats where they occur in code
-and prose, and harmless look-alikes (paths, identifiers, versions, numbers, identifiers of
-releases). A logistic function on a held-out part turns its output into a probability, and the
-threshold is the highest that keeps the recall asked for.
+"""Secret scans: patterns, and a convolutional network over every candidate in its context.
+
+Patterns give the base findings. Candidates are these and all runs of at least eight key-like
+characters; a byte network reads each with the text around it, long runs in windows that overlap,
+of which the largest score counts. Base findings stay whatever it says of them; of the others those
+above the threshold are added. The network is trained on labelled findings that a seeded generator
+writes: keys of many formats where they occur in code and prose, next to words, paths, identifiers,
+numbers and rules; a bounded sample of the documents' own candidates joins the harmless ones. All
+go through the same search for candidates as documents do. Four parts keep
+apart what must not be judged by itself: one is fitted, on the second a logistic function turns
+outputs into probabilities, on the third the threshold is the highest that keeps the recall asked
+for, and the fourth, by another generator, reports what that gives.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+import string
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from episodica.llm import words
 from episodica.llm.byte_cnn import WINDOW, Network
@@ -31,83 +37,82 @@ _HEX = np.zeros(256, dtype=bool)
 _HEX[[*b"0123456789abcdef"]] = True
 _KEY = np.zeros(256, dtype=bool)
 _KEY[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
-BEFORE, MOST, SHORTEST = 40, 62, 20  # bytes of context before a candidate, of the candidate, and its least length
-
-
-def window(data: np.ndarray, low: int, high: int, start: int, end: int) -> bytes:
-    """A candidate between two marks, with the text before and after it in data[low:high]."""
-    raw = data[max(low, start - BEFORE) : min(high, end + WINDOW)].tobytes()
-    at, size = start - max(low, start - BEFORE), end - start
-    key = raw[at : at + size]
-    key = key if size <= MOST else key[: MOST // 2] + key[-(MOST - MOST // 2) :]
-    out = raw[:at].rjust(BEFORE, b"\0") + b"\x01" + key + b"\x02" + raw[at + size :]
-    return out[:WINDOW].ljust(WINDOW, b"\0")
-
-
-def labelled(n: int = 3000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of generated findings; 1 for secrets."""
-    r = random.Random(seed)
-    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    some = lambda chars, a, b=None: "".join(r.choice(chars) for _ in range(r.randint(a, b or a)))
-    word = lambda: some("aeiou" + lower, 2, 9)
-    any62, any64 = lower + upper + digits, lower + upper + digits + "+/"
-    secrets = (
-        lambda: some(any62, 24, 60),
-        lambda: some(any64, 38, 62) + r.choice(["", "=", "=="]),
-        lambda: r.choice(["ghp_", "gho_", "glpat-", "sk-", "sk_live_", "xoxb-", "npm_", "AIza"]) + some(any62, 24, 40),
-        lambda: "eyJ" + some(any62 + "_-", 30, 60),
-        lambda: some(digits + "ABCDEF", 32, 40),
-        lambda: "-".join(some(any62, 8, 12) for _ in range(3)),
-    )
-    harmless = (
-        lambda: "/".join(word() for _ in range(r.randint(3, 6))) + "/" + some(digits, 1, 4),
-        lambda: "_".join(word() for _ in range(r.randint(3, 6))) + some(digits, 1, 3),
-        lambda: "-".join([*(word() for _ in range(r.randint(3, 6))), some(digits, 2, 4)]),
-        lambda: "".join(word().title() for _ in range(r.randint(3, 6))) + some(digits, 1, 3),
-        lambda: f"20{some(digits, 2)}-{some(digits, 2)}-{some(digits, 2)}-{word()}-{word()}-v{some(digits, 1, 2)}",
-        lambda: some(digits, 12, 20) + "-" + word() + some(digits, 4),
-        lambda: "".join(word() for _ in range(5)) + some(digits, 1, 2),
-    )
-    around = (" ", "key = ", 'KEY: "', "Authorization: Bearer ", "export AUTH=", "credentials ", "see ", "in ", "id=", "file ", "--", "(")
-    x, y = [], []
-    for k in range(n):
-        secret = k % 2
-        key = r.choice(secrets if secret else harmless)()
-        # Secrets follow any context, but those that name keys more often; harmless runs seldom follow these.
-        lead = r.choice(around[1:6] if r.random() < (0.6 if secret else 0.15) else around)
-        text = " ".join(word() for _ in range(8)) + " " + lead + key + r.choice(['"', " ", "\n", ",", ")", ""]) + " ".join(word() for _ in range(4))
-        data = np.frombuffer(text.encode(), np.uint8)
-        start = text.index(key, text.index(lead))
-        x.append(np.frombuffer(window(data, 0, len(data), start, start + len(key)), np.uint8))
-        y.append(secret)
-    return np.stack(x), np.array(y)
+BEFORE, MOST, SHORTEST = 40, 62, 8  # bytes of context before a candidate, of a candidate in one window, and of the shortest
 
 
-class Judge:
-    def __init__(self, recall: float = 0.95):
-        x, y = labelled()
-        half = len(y) * 2 // 3
-        self.network = Network(["harmless", "secret"]).fit(x[:half], y[:half], epochs=8)
-        self.network.fold()
-        self.scale = np.array([0.0, 1.0])
-        z, truth = self.margin(x[half:]), y[half:]
-        for _ in range(30):  # Newton steps of the calibration
-            p = 1 / (1 + np.exp(-(self.scale[0] + self.scale[1] * z)))
-            design = np.stack([np.ones_like(z), z], 1)
-            curve = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
-            self.scale = self.scale + np.clip(np.linalg.solve(curve, design.T @ (truth - p) - 1e-3 * self.scale), -1, 1)
-        p = self.probability(x[half:])
-        right = np.sort(p[truth == 1])
-        self.threshold = max(0.5, float(right[int((1 - recall) * len(right))]))
-        self.recall = float((right >= self.threshold).mean())
-        self.precision = float(truth[p >= self.threshold].mean())
+def pieces(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(candidate, start, end) of the windows' keys: a run of more than MOST bytes in steps of half of that, to its end."""
+    n = np.maximum(1, -(-(end - start - MOST) // (MOST // 2)) + 1)
+    of = np.repeat(np.arange(len(n)), n)
+    at = np.minimum(start[of] + (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * (MOST // 2), np.maximum(start[of], end[of] - MOST))
+    return of, at, np.minimum(at + MOST, end[of])
+
+
+def windows(data: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Each key between two marks, with the text before and after it inside data[low:high].
+
+    Bytes of the key, which are ASCII, have their highest bit set, so the network tells them from the same bytes of the
+    text around; there all bytes beyond ASCII are one.
+    """
+    column, size = np.arange(WINDOW)[None], (end - start)[:, None]
+    place = start[:, None] - BEFORE + column
+    place = np.where(column > BEFORE, place - 1, place)  # behind the first mark
+    behind = column > BEFORE + 1 + size
+    place = np.where(behind, place - 1, place)  # behind the second one
+    out = np.where((place >= low[:, None]) & (place < high[:, None]), data[np.clip(place, 0, len(data) - 1)], np.uint8(0))
+    out = np.where(out > 127, np.uint8(3), out)
+    out = np.where((column > BEFORE) & (column <= BEFORE + size), out | np.uint8(128), out)
+    out[:, BEFORE] = 1
+    out[np.arange(len(out)), BEFORE + 1 + size[:, 0]] = 2
+    return out
+
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        z = self.network.logits(x).astype(np.float64)
-        return z[:, 1] - z[:, 0]
+class Text:
+    """A batch of texts, its key-like runs and its base findings, in bytes."""
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale[0] + self.scale[1] * self.margin(x), -30, 30)))
+    def __init__(self, column: pa.Array):
+        texts = [t or "" for t in column.to_pylist()]
+        self.data, self.offsets = words.text_buffer(column)
+        lead = (self.data & 0xC0) != 0x80
+        self.points = np.concatenate([[0], np.cumsum(lead)])  # code points before each byte
+        byte_of = np.append(np.flatnonzero(lead), len(self.data))
+        base = [(d, a, k, b) for d, t in enumerate(texts) for a, k, b in base_spans(t)]
+        doc, a, kind, b = (np.array(c, dtype=np.int64) for c in zip(*base)) if base else [np.zeros(0, np.int64)] * 4
+        shift = self.points[self.offsets[doc]]
+        start, end = byte_of[shift + a], byte_of[shift + b]
+        low, high, _ = words.spans(self.data, self.offsets, _HEX)
+        long = high - low >= 24
+        low, high = low[long], high[long]
+        self.kind = np.concatenate([kind, np.full(len(low), 2)])
+        self.start, self.end = np.concatenate([start, low]), np.concatenate([end, high])
+        covered = np.zeros(len(self.data) + 1, np.int32)
+        np.add.at(covered, self.start, 1)
+        np.add.at(covered, self.end, -1)
+        covered = np.concatenate([[0], np.cumsum(np.cumsum(covered) > 0)])
+        low, high, _ = words.spans(self.data, self.offsets, _KEY)
+        free = (high - low >= SHORTEST) & (covered[high] == covered[low])
+        self.kind = np.concatenate([self.kind, np.full(free.sum(), 3)])
+        self.start, self.end = np.concatenate([self.start, low[free]]), np.concatenate([self.end, high[free]])
+        self.doc = np.searchsorted(self.offsets, self.start, side="right") - 1
+
+    def asked(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(candidate of each window, windows), some thousand at a time."""
+        of, start, end = pieces(self.start, self.end)
+        for a in range(0, len(of), 16384):
+            k = slice(a, a + 16384)
+            doc = self.doc[of[k]]
+            yield of[k], windows(self.data, self.offsets[doc], self.offsets[doc + 1], start[k], end[k])
+
+    def spans(self, probability: np.ndarray, threshold: float) -> list[list[dict]]:
+        """Of each text: all base findings and the other candidates at the threshold or above, by start, then kind."""
+        out: list[list[dict]] = [[] for _ in range(len(self.offsets) - 1)]
+        kept = np.flatnonzero((self.kind < 3) | (probability >= threshold))
+        kept = kept[np.lexsort((self.kind[kept], self.start[kept]))]
+        shift = self.points[self.offsets[self.doc[kept]]]
+        columns = (self.doc[kept], self.kind[kept], self.points[self.start[kept]] - shift, self.points[self.end[kept]] - shift, probability[kept])
+        for d, k, a, b, p in zip(*(c.tolist() for c in columns)):
+            out[d].append({"kind": KINDS[k], "start": a, "end": b, "probability": p})
+        return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -121,56 +126,181 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def _scan(judge: Judge):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in words.bounded(batches, 1):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            data, offsets = words.text_buffer(batch.column(1))
-            found = [[(a, k, b, 1.0) for a, k, b in base_spans(t)] for t in texts]
-            starts, ends, _ = words.spans(data, offsets, _HEX)
-            for a, b, d in _long(starts, ends, offsets, 24):
-                a, b = _points(data, offsets[d], a, b)
-                found[d].append((a, 2, b, 1.0))
-            taken = [[(a, b) for a, _, b, _ in f] for f in found]
-            starts, ends, _ = words.spans(data, offsets, _KEY)
-            asked = []
-            for a, b, d in _long(starts, ends, offsets, SHORTEST):
-                run_ = data[a:b]
-                numbers = int(np.count_nonzero((run_ >= 48) & (run_ <= 57)))
-                if numbers < 2 or int(np.count_nonzero(words.LETTERS[run_])) < 4:
-                    continue
-                low, high = _points(data, offsets[d], a, b)
-                if not any(x < high and low < y for x, y in taken[d]):
-                    asked.append((d, low, high, window(data, int(offsets[d]), int(offsets[d + 1]), a, b)))
-            if asked:
-                x = np.frombuffer(b"".join(w for *_, w in asked), np.uint8).reshape(-1, WINDOW)
-                for (d, a, b, _), p in zip(asked, judge.probability(x)):
-                    if p >= judge.threshold:
-                        found[d].append((a, 3, b, float(p)))
-            out = [[{"kind": KINDS[k], "start": a, "end": b, "probability": p} for a, k, b, p in sorted(f)] for f in found]
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "spans"])
+#: Beginnings by which services mark their keys.
+PREFIXES = ("ghp_", "gho_", "glpat-", "sk-", "sk_live_", "xoxb-", "npm_", "AIza", "eyJ")
+OTHER_PREFIXES = ("pk_test_", "dop_v1_", "hf_", "shpat_", "rk_live_", "ATATT3", "key-", "dapi")
 
-    return run
 
+class Writer:
+    """Random texts with at most one key each; `text` gives the text, and where its key stands."""
+
+    def __init__(self, seed: int):
+        self.r = random.Random(seed)
+
+    def some(self, chars: str, a: int, b: int | None = None) -> str:
+        return "".join(self.r.choice(chars) for _ in range(self.r.randint(a, b or a)))
+
+    def word(self, most: int = 4) -> str:
+        vowels, others = "aeiouyäöüéèó" if self.r.random() < 0.2 else "aeiou", "bcdfghklmnprstvwz"
+        return "".join(self.some(others, 1, 2) + self.some(vowels, 1, 2) for _ in range(self.r.randint(1, most))) + self.r.choice(["", "n", "s", "r", "t"])
+
+    def prose(self, n: int) -> str:
+        out = [self.r.choice([self.word(), self.word(), self.word(7), self.word().title(), self.harmless()]) for _ in range(n)]
+        return " ".join(w + self.r.choice(["", "", "", ",", ".", ";", "\n", ":"]) for w in out)
+
+    def mixed(self, a: int, b: int) -> str:
+        return self.some(string.ascii_letters + string.digits, a, b)
+
+    def secret(self) -> str:
+        return self.r.choice((
+            lambda: self.mixed(12, 19),
+            lambda: self.mixed(20, 60),
+            lambda: self.mixed(64, 120),
+            lambda: self.some(string.ascii_letters + string.digits + "+/", 38, 62) + self.r.choice(["", "=", "=="]),
+            lambda: self.r.choice(PREFIXES) + self.mixed(20, 40),
+            lambda: self.some(string.digits + "ABCDEF", 24, 40),
+            lambda: self.some(string.ascii_uppercase + string.digits, 16, 32),
+            lambda: self.some(string.ascii_lowercase + string.digits, 16, 40),
+            lambda: "-".join(self.mixed(6, 12) for _ in range(3)),
+        ))()
+
+    def harmless(self) -> str:
+        d = string.digits
+        return self.r.choice((
+            lambda: "/".join(self.word() for _ in range(self.r.randint(2, 6))) + self.r.choice(["", "/" + self.some(d, 1, 4)]),
+            lambda: "_".join(self.word() for _ in range(self.r.randint(2, 6))) + self.some(d, 1, 3),
+            lambda: "-".join([*(self.word() for _ in range(self.r.randint(2, 5))), self.some(d, 1, 4)]),
+            lambda: self.word() + "".join(self.word().title() for _ in range(self.r.randint(1, 5))),
+            lambda: "".join(self.word().title() for _ in range(self.r.randint(2, 5))) + self.some(d, 1, 3),
+            lambda: f"20{self.some(d, 2)}-{self.some(d, 2)}-{self.some(d, 2)}" + self.r.choice(["", f"-{self.word()}-v{self.some(d, 1, 2)}"]),
+            lambda: self.some(d, 8, 20),
+            lambda: self.some(d, 4) + "-" + self.some(d, 4) + "-" + self.some(d, 4),
+            lambda: self.r.choice("=-_+/") * self.r.randint(8, 60),
+            lambda: self.word(8) + self.word(5),
+            lambda: self.word(5).upper(),
+            lambda: self.word() + "=" + self.word() + self.some(d, 0, 3),
+            lambda: self.some(self.r.choice(string.ascii_lowercase), 8, 40),
+        ))()
 
-def _long(starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
-    for k in np.flatnonzero(ends - starts >= least).tolist():
-        yield int(starts[k]), int(ends[k]), int(np.searchsorted(offsets, starts[k], side="right")) - 1
+    AROUND = (" ", "key = ", 'KEY: "', "Authorization: Bearer ", "export AUTH=", "credentials ", "see ", "in ", "id=", "file ", "--", "(", "use ", "\n")
 
+    def text(self, with_key: bool) -> tuple[str, int, int]:
+        key = self.secret() if with_key else ""
+        lead = self.r.choice(self.AROUND[1:6] if with_key and self.r.random() < 0.6 else self.AROUND)
+        head = self.prose(self.r.randint(1, 10)) + " " + lead
+        return head + key + self.r.choice(['"', " ", "\n", ",", ")", ""]) + " " + self.prose(4), len(head), len(head) + len(key)
 
-def _points(data: np.ndarray, low: int, start: int, end: int) -> tuple[int, int]:
-    """Code points before the start and the end of an ASCII run of a document that begins at low."""
-    at = int(np.count_nonzero((data[low:start] & 0xC0) != 0x80))
-    return at, at + end - start
+
+class OtherWriter(Writer):
+    """Other formats, words and surroundings than those that the network is fitted to."""
+
+    def word(self, most: int = 4) -> str:
+        parts = ("ing", "tion", "schaft", "lich", "mente", "ado", "eur", "ance", "ver", "pro", "kon", "dis", "str", "al", "um", "or")
+        return "".join(self.r.choice(parts) for _ in range(self.r.randint(1, max(2, most))))
+
+    def secret(self) -> str:
+        return self.r.choice((
+            lambda: self.r.choice(OTHER_PREFIXES) + self.mixed(24, 44),
+            lambda: self.mixed(14, 48),
+            lambda: self.some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 24, 56),
+            lambda: self.some(string.ascii_letters + string.digits + "-_", 30, 90),
+            lambda: self.some(string.ascii_letters + string.digits + "/+", 40) + "=",
+        ))()
+
+    def harmless(self) -> str:
+        d = string.digits
+        return self.r.choice((
+            lambda: "get" + self.word().title() + "By" + self.word().title(),
+            lambda: "usr/share/" + self.word() + "/" + self.word() + "-" + self.some(d, 1, 2),
+            lambda: self.word() + "__" + self.word() + "--" + self.word(),
+            lambda: self.some(d, 3) + "-" + self.some(d, 1) + "-" + self.some(d, 5) + "-" + self.some(d, 3) + "-" + self.some(d, 1),
+            lambda: "MAX_" + self.word().upper() + "_" + self.some(d, 1, 2),
+            lambda: self.word(9),
+            lambda: self.some(d, 9, 16),
+            lambda: "=" * self.r.randint(8, 70),
+            lambda: self.word() + "+" + self.word() + "/" + self.word(),
+        ))()
+
+    AROUND = (" ", "curl -H 'X-Auth: ", "- name: ", "INSERT VALUES ('", "login with ", "value ", "[", "got ", "\t", "commit ")
+
+
+def labelled(writer: Writer, n: int) -> tuple[Text, np.ndarray, int]:
+    """Candidates of n generated texts, which of them are keys, and how many keys the texts hold."""
+    made = [writer.text(k % 2 == 0) for k in range(n)]
+    text = Text(pa.array([t for t, *_ in made]))
+    low, high = (np.array([m[c] for m in made])[text.doc] for c in (1, 2))
+    shift = text.points[text.offsets[text.doc]]
+    start, end = text.points[text.start] - shift, text.points[text.end] - shift
+    inside = np.minimum(high, end) - np.maximum(low, start)
+    return text, 2 * inside > np.maximum(end - start, high - low), -(-n // 2)
+
+
+class Judge:
+    """recall, precision and false_rate are those of the other generator's texts, keys that the search misses included."""
+
+    def __init__(self, recall: float = 0.95, harmless: pa.Array | None = None, seed: int = 5, n: int = 2000):
+        text, truth, _ = labelled(Writer(seed), n)
+        x, y, r = [], [], np.random.default_rng(seed)
+        own = Text(harmless if harmless is not None else pa.array([], pa.string()))
+        for held, right, share in ((text, truth, 4.0), (own, np.zeros(len(own.start), dtype=bool), 6.0)):
+            free = held.kind == 3
+            chosen = free & (r.random(len(right)) < np.where(right, 1.0, min(1.0, share * n / 2 / max(1, (free & ~right).sum()))))
+            for of, window in held.asked():
+                x.append(window[chosen[of]])
+                y.append(right[of][chosen[of]])
+        self.network = Network(["harmless", "secret"]).fit(np.concatenate(x), np.concatenate(y).astype(np.int64), epochs=5)
+        self.network.fold()
+        self.scale = np.array([0.0, 1.0])
+        text, truth, _ = labelled(Writer(seed + 1), n)
+        z = self.margins(text)
+        for _ in range(30):  # Newton steps of the calibration
+            p = 1 / (1 + np.exp(-np.clip(self.scale[0] + self.scale[1] * z, -30, 30)))
+            design = np.stack([np.ones_like(z), z], 1)
+            curve = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+            self.scale = self.scale + np.clip(np.linalg.solve(curve, design.T @ (truth - p) - 1e-3 * self.scale), -1, 1)
+        text, truth, keys = labelled(Writer(seed + 2), n)
+        right = np.sort(self.probabilities(text)[truth])[::-1]
+        #: The least score among the best `recall` of all keys; keys that the search does not offer count as missed.
+        self.threshold = float(right[min(len(right), int(np.ceil(recall * keys))) - 1])
+        text, truth, keys = labelled(OtherWriter(seed + 3), n)
+        said = self.probabilities(text) >= self.threshold
+        self.recall, self.precision = float((said & truth).sum() / keys), float(truth[said].mean())
+        self.false_rate = float(said[~truth].mean())
+
+    def margins(self, text: Text) -> np.ndarray:
+        """Of each candidate: the largest difference of its windows' two outputs."""
+        out = np.full(len(text.start), -np.inf)
+        for of, window in text.asked():
+            z = self.network.logits(window).astype(np.float64)
+            np.maximum.at(out, of, z[:, 1] - z[:, 0])
+        return out
+
+    def probabilities(self, text: Text) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale[0] + self.scale[1] * self.margins(text), -30, 30)))
+
+
+def _scan(judge: Judge) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
+        for batch in words.bounded(batches, 1):
+            text = Text(batch.column(1))
+            spans = text.spans(judge.probabilities(text), judge.threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
+
+    return run
 
 
-def find_secrets(docs: DataFrame, recall: float = 0.95) -> DataFrame:
+def find_secrets(docs: DataFrame, recall: float = 0.95, most: int = 500, longest: int = 20_000) -> DataFrame:
     """doc_id and spans (kind, start, end in code points, probability; by start, then kind) of every row of docs.
 
     Only doc_id and text are read; a null text counts as empty and has no spans. Spans of different pattern kinds may
-    overlap; learned ones overlap none. Repeated rows are scanned each. An empty table gives an empty result.
+    overlap; learned ones overlap none. The probability is the network's for base spans too. A candidate whose
+    probability equals the threshold is added. Texts are scanned whole, and runs of any length. Repeated rows are
+    scanned each. An empty table gives an empty result. The fit takes as harmless what candidates stand in the `most`
+    texts of at most `longest` characters that come first by their hash.
     """
-    held = docs.sparkSession.sparkContext.broadcast(Judge(recall))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    short = rows.where(F.length("text") <= longest).select(F.xxhash64("text").alias("hash"), "text")
+    sample = [r.text for r in short.orderBy("hash").limit(most).collect()]
+    held = docs.sparkSession.sparkContext.broadcast(Judge(recall, pa.array(sorted(set(sample)), pa.string())))
     return rows.mapInArrow(lambda batches: _scan(held.value)(batches), FOUND)
