@@ -75,14 +75,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
-    return _digest(found, ("assign", "access", "hex"), "learned")
+    return _digest(found, ("assign", "access", "hex"))
 
 
 def op8_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digest(personal.find_personal(table(spark, sf_dir, "documents")), personal.KINDS, "other")
+    return _digest(personal.find_personal(table(spark, sf_dir, "documents")), personal.KINDS)
 
 
-def _digest(found: DataFrame, kinds: tuple[str, ...], learned: str) -> DataFrame:
+def _digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """Counts of each kind, the hash of the base spans and all spans as text."""
 
     def joined(spans: Column | str) -> Column:
@@ -91,7 +91,7 @@ def _digest(found: DataFrame, kinds: tuple[str, ...], learned: str) -> DataFrame
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    base = F.filter("spans", lambda s: s["kind"] != learned)
+    base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
     return found.select("doc_id", *map(count, kinds), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 

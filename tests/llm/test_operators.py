@@ -219,10 +219,10 @@ def test_simhash(spark, docs, texts, which, cell):
 def test_base_spans(spark, docs, texts, which, op):
     df, rows = (plain.table_of(spark), AWKWARD) if which == "awkward" else (docs, texts)
     if op == "secrets":
-        got = queries._digest(secrets.find_secrets(df), ("assign", "access", "hex"), "learned").collect()
+        got = queries._digest(secrets.find_secrets(df), ("assign", "access", "hex")).collect()
         patterns = plain.SECRETS
     else:
-        got = queries._digest(personal.find_personal(df), personal.KINDS, "other").collect()
+        got = queries._digest(personal.find_personal(df), personal.KINDS).collect()
         patterns = plain.PERSONAL
     want = Counter()
     for i, t in rows:
@@ -235,13 +235,6 @@ def test_base_spans(spark, docs, texts, which, op):
             assert set(joined.split(",")) <= spans[i]
 
 
-def test_reliabilities_prefer_the_labelers_that_agree():
-    counts = {"11111": 500, "00000": 500, "1111-": 100, "0-000": 100, "-0111": 5}
-    prior, rates, post = personal.reliabilities(counts)
-    assert 0.4 < prior < 0.6 and post["11111"] > 0.99 > 0.01 > post["00000"]
-    assert rates[0]["1"][1] > 0.9 > rates[0]["1"][0]
-
-
 def test_redact(spark):
     got = {r.doc_id: r.text for r in personal.redact(plain.table_of(spark)).collect()}
     assert "[EMAIL]" in got[9] and "a.b@c-d.org" not in got[9] and "[CARD]" in got[9] and "4111" not in got[9]
