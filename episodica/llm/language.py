@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from episodica.llm import words
 from episodica.llm.byte_cnn import WINDOW, Network
-from episodica.llm.tables import id_remainder
+from episodica.llm.tables import fitted, id_remainder
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 _LETTER = regex.compile(r"\p{L}")
@@ -39,7 +39,7 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def train(docs: DataFrame, per_label: int = 600, most: int = 120_000) -> Network | None:
     """Fits on windows of about per_label different texts of each label, drawn by hash from the learnable rows.
 
-    A drawn text gives four windows at most, so the driver gets about 4 * per_label windows of a label, and of all labels
+    A drawn text gives four windows at most, so the task that fits gets about 4 * per_label windows of a label, and of all labels
     together about 4 * most: where there are more than most / per_label labels, each gives fewer texts, and none is
     left out. Equal texts are drawn together and used once. None where nothing is labelled.
     """
@@ -64,12 +64,13 @@ def train(docs: DataFrame, per_label: int = 600, most: int = 120_000) -> Network
             lang = batch.column(0).take(pa.array(doc[keep]))
             yield pa.RecordBatch.from_arrays([lang, pa.array([x[k].tobytes() for k in keep], pa.binary())], ["lang", "window"])
 
-    taken = sorted(((r["lang"], bytes(r["window"])) for r in drawn.mapInArrow(cut_windows, "lang string, window binary").collect()))
-    labels = sorted({lang for lang, _ in taken})
-    if not labels:
-        return None
-    x = np.frombuffer(b"".join(w for _, w in taken), np.uint8).reshape(-1, WINDOW)
-    return Network(labels).fit(x, np.searchsorted(np.array(labels), [lang for lang, _ in taken]))
+    def fit(sample: pa.Table) -> Network:
+        taken = sorted(zip(sample["lang"].to_pylist(), sample["window"].to_pylist()))
+        labels = sorted({lang for lang, _ in taken})
+        x = np.frombuffer(b"".join(w for _, w in taken), np.uint8).reshape(-1, WINDOW)
+        return Network(labels).fit(x, np.searchsorted(np.array(labels), [lang for lang, _ in taken]))
+
+    return fitted(drawn.mapInArrow(cut_windows, "lang string, window binary"), fit)
 
 
 def _predict(network: Network | None):

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from episodica.llm import words
 from episodica.llm.byte_cnn import WINDOW, Network
+from episodica.llm.tables import fitted
 
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -301,6 +302,6 @@ def find_secrets(docs: DataFrame, recall: float = 0.95, most: int = 500, longest
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     short = rows.where(F.length("text") <= longest).select(F.xxhash64("text").alias("hash"), "text")
-    sample = [r.text for r in short.orderBy("hash").limit(most).collect()]
-    held = docs.sparkSession.sparkContext.broadcast(Judge(recall, pa.array(sorted(set(sample)), pa.string())))
+    judge = fitted(short.orderBy("hash").limit(most), lambda sample: Judge(recall, sample["text"].unique().sort()))
+    held = docs.sparkSession.sparkContext.broadcast(judge or Judge(recall))
     return rows.mapInArrow(lambda batches: _scan(held.value)(batches), FOUND)

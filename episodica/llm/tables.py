@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,12 +49,11 @@ def shards(spark: SparkSession) -> int:
 def join_hot(left: DataFrame, right: DataFrame, key: str, least: int = 1000) -> DataFrame:
     """left with the columns of right, whose keys are unique, by an inner join in which no key fills a task.
 
-    Keys that hold more than a thousandth of left's rows, and more than `least` rows, are fewer than a thousand; their
-    rows of right are broadcast, so rows of left with such a key stay where they are. All other keys are shuffled.
+    The thousand most frequent keys of more than `least` rows are hot: their rows of right are broadcast, so rows of left
+    with such a key stay where they are. All other keys, none of which has a thousandth of left's rows, are shuffled.
     """
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("rows in all"))
-    limit = max(least, left.count() // 1000)
-    hot = [r[0] for r in counts.where(F.col("rows in all") > limit).select(key).collect()]
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("rows in all")).where(F.col("rows in all") > least)
+    hot = [r[0] for r in counts.orderBy(F.desc("rows in all")).limit(1000).select(key).collect()]
     if not hot:
         return left.join(right, key)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
@@ -60,3 +63,14 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, least: int = 1000) ->
 def small(df: DataFrame, most: int = 1_000_000) -> bool:
     """Has df few enough rows (of a few numbers each) to be broadcast? Counts no further than it must."""
     return df.limit(most + 1).count() <= most
+
+
+def fitted(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """What fit makes of a bounded sample, in one task: the driver gets the model alone. None for an empty sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := [b for b in batches if b.num_rows]:
+            yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(fit(pa.Table.from_batches(held)))], pa.binary())], ["model"])
+
+    row = sample.coalesce(1).mapInArrow(run, "model binary").first()
+    return cloudpickle.loads(row[0]) if row else None

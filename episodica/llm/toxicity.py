@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodica.llm import words
-from episodica.llm.tables import id_remainder
+from episodica.llm.tables import fitted, id_remainder
 
 BLOCK, BEGINNINGS = 64, (4, 5, 6)  # words that a pass takes side by side, bytes of a word's beginnings
 SCORED = (
@@ -254,7 +254,7 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int = 20_000) -> Model | None:
     """Fits on about per_class documents of each class, drawn by hash among learnable rows of at most `longest` characters.
 
-    Both bounds keep what reaches the driver small: at most 2 * per_class texts of a class, however many rows share an id.
+    Both bounds keep the task that fits small: at most 2 * per_class texts of a class, however many rows share an id.
     Longer texts are left out of the fit alone; all are scored whole. Equal texts are drawn once. None where a class is
     missing.
     """
@@ -270,12 +270,16 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: in
     texts = rows.groupBy("toxic", F.xxhash64("text", "toxic").alias("hash")).agg(F.first("text").alias("text"))
     place = F.row_number().over(Window.partitionBy("toxic").orderBy("hash"))  # a hard bound, where many rows share a drawn id
     texts = texts.withColumn("place", place).where(F.col("place") <= 2 * per_class)
-    taken = sorted({(r["text"], r["toxic"]) for r in texts.select("text", "toxic").collect()})
-    toxic = np.array([t == 1 for _, t in taken], dtype=bool)
-    if not toxic.any() or toxic.all():
-        return None
-    weight = np.where(toxic, counts[1] / toxic.sum(), counts[0] / (~toxic).sum())
-    return train([t for t, _ in taken], toxic, weight)
+
+    def fit(sample: pa.Table) -> Model | None:
+        sample = sample.sort_by([("toxic", "ascending"), ("hash", "ascending")])
+        toxic = sample["toxic"].to_numpy() == 1
+        if not toxic.any() or toxic.all():
+            return None
+        weight = np.where(toxic, counts[1] / toxic.sum(), counts[0] / (~toxic).sum())
+        return train(sample["text"].to_pylist(), toxic, weight)
+
+    return fitted(texts.select("text", "toxic", "hash"), fit)
 
 
 def _score(model: Model | None, cut: float, mark: float):

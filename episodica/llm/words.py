@@ -35,7 +35,7 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _M1 + (b ^ (b >> np.uint64(32))) * _M3)
 
 
-def bounded(batches: Iterator[pa.RecordBatch], column: int | str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def bounded(batches: Iterator[pa.RecordBatch], column: int | str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The rows of batches in slices of about `most` bytes of text; a longer text is a slice of its own or ends one."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
