@@ -1,227 +1,254 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model.
-
-Every document is scored under the model of the training documents. No table of the size
-of the corpus is ever broadcast. Documents are taken in chunks; a chunk asks only for the
-entries that its own words need:
-
-1. Each chunk sends its distinct word pairs, with their training counts, to the shard of
-   the pair's hash, and its distinct words to the shard of the word's hash.
-2. A pair shard merges the counts of all chunks. It answers each chunk with the corpus
-   counts of its pairs and sends, per word, what the pairs say about it (followers seen
-   once, twice, more often; preceding words; occurrences) to the word shards.
-3. A word shard adds these up and answers each chunk with the entries of its words.
-4. A chunk writes its answers as sorted hash arrays to a file, maps it into memory and
-   sums the probabilities of its documents' tokens.
-
-Counts travel as compressed arrays, a row for each chunk and shard, so a frequent word
-costs one entry per chunk however often it occurs, and pairs are dealt by the hash of both
-words, so no word owns a shard.
+"""Language-model scoring: an interpolated modified Kneser-Ney model of any order, three by default.
+
+Every document is scored under the model of the training documents. The model is a set of sorted
+arrays of n-gram hashes with their counts, one file for each order and shard in the shared folder;
+workers map the files into memory and find what they need by binary search. It is made order by
+order, from the highest down:
+
+1. Documents are grouped into chunks and written to the shared folder once, so that every later
+   step sees the same chunks whatever happens to a task.
+2. Each chunk sends the hashes of its distinct training n-grams, with their counts, to the shard of
+   the hash. A shard adds them up, writes its sorted arrays and, for each n-gram, notes the least
+   chunk that has it: its owner.
+3. For the next order each chunk looks up its n-grams. For those that it owns, so for each n-gram
+   of the corpus once, it sends what they say of their last n - 1 words (one more word before them)
+   and of their first n - 1 (one more follower, seen once, twice or more often), by the hashes of
+   these, and again shards add up and write.
+4. At last each chunk maps all orders and sums the probabilities of its documents' tokens.
+
+Only hashes and small numbers travel, compressed, once for each chunk that has the n-gram. Shards
+are ranges of the hash of the whole n-gram, so no word owns one, and their number grows with the
+corpus. Chunks look up sorted hashes, so they read each file from front to back.
 """
 
 from __future__ import annotations
 
+import io
 import os
-import pickle
-import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import urlparse
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episodica.llm import words
-from episodica.llm.tables import shards
+from episodica.llm.tables import cut, shared_folder
 
 BEGIN, END = np.uint64(1), np.uint64(2)  # stand before the first word and after the last one
-BLOB = "target string, kind string, chunk string, shard int, blob binary"
+BLOB = "shard long, chunk long, blob binary"
 RESULT = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 )
-STATS = ("before", "ones", "twos", "more", "count", "preceding")  # of a word: as the first word of pairs, then as the second
+TOP = ("count", "owner")  # of n-grams of the highest order
+#: Of shorter ones: different words before, and as beginnings: sum of counts, followers of count one, two, more; whose they are.
+LOWER = ("before", "total", "ones", "twos", "more", "count", "owner")
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    small = [_narrow(a) for a in arrays]
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(small, protocol=5))
+    """Whole numbers in their least width, the first array, which is sorted, as differences; compressed."""
+    first, *rest = arrays
+    out = io.BytesIO()
+    steps = np.diff(first.astype(np.uint64), prepend=np.uint64(0))
+    np.save(out, np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T))  # high bytes, mostly zeros, stand together
+    for a in rest:
+        np.save(out, narrow(a))
+    return zstandard.ZstdCompressor(level=3).compress(out.getvalue())
 
 
-def unpack(blob: bytes) -> list[np.ndarray]:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+def unpack(blob: bytes, arrays: int) -> list[np.ndarray]:
+    held = io.BytesIO(zstandard.ZstdDecompressor().decompress(blob))
+    steps = np.ascontiguousarray(np.load(held).T).reshape(-1).view(np.uint64)
+    return [np.cumsum(steps, dtype=np.uint64), *(np.load(held).astype(np.int64) for _ in range(arrays))]
 
 
-def _narrow(a: np.ndarray) -> np.ndarray:
-    if a.dtype == np.int64:
-        most = int(a.max()) if len(a) else 0
-        for kind in (np.uint8, np.uint16, np.uint32):
-            if most <= np.iinfo(kind).max:
-                return a.astype(kind)
-    return a
+def narrow(a: np.ndarray) -> np.ndarray:
+    """The same numbers, none negative, in the least width that holds all of them."""
+    most = int(a.max()) if len(a) else 0
+    return a.astype(next(kind for kind in (np.uint8, np.uint16, np.uint32, np.int64) if most <= np.iinfo(kind).max))
 
 
 def held_out(doc_id: int | None, modulus: int = 10) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus == 0
 
 
+def shard_of(h: np.ndarray, n: int) -> np.ndarray:
+    """Shards are ranges of the hash, so sorted hashes are sorted by shard."""
+    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def _posix(folder: str) -> str:
+    """The shared folder as workers open it."""
+    place = urlparse(folder)
+    if place.scheme not in ("", "file"):
+        raise ValueError(f"workers map the model from a mounted folder; {folder} is none: mount it and set spark.checkpoint.dir to its path")
+    return place.path
+
+
+class Model:
+    """One order of the stored model: files of sorted hashes and of the numbers that go with them, by shard."""
+
+    def __init__(self, folder: str, order: int, n_shards: int, names: tuple[str, ...]):
+        self.folder, self.n_shards, self.names = f"{folder}/order-{order}", n_shards, names
+
+    def write(self, shard: int, hashes: np.ndarray, numbers: list[np.ndarray]) -> None:
+        """A file appears whole or not at all, and a repeated task writes the same one."""
+        os.makedirs(self.folder, exist_ok=True)
+        for name, a in zip(("hash", *self.names), [hashes, *map(narrow, numbers)]):
+            path = f"{self.folder}/{shard}-{name}.npy"
+            part = f"{path}.{uuid.uuid4().hex}"
+            with open(part, "wb") as file:
+                np.save(file, a)
+            os.replace(part, path)
+
+    def find(self, asked: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
+        """The numbers of sorted hashes, 0 where the model has none."""
+        out = [np.zeros(len(asked), dtype=np.int64) for _ in names]
+        bounds = np.searchsorted(shard_of(asked, self.n_shards), np.arange(self.n_shards + 1))
+        for shard, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            path = f"{self.folder}/{shard}-hash.npy"
+            if a == b or not os.path.exists(path):
+                continue
+            known = np.load(path, mmap_mode="r")
+            at = np.searchsorted(known, asked[a:b])
+            at[at == len(known)] = 0
+            right = known[at] == asked[a:b]
+            where, at = np.flatnonzero(right) + a, at[right]
+            for values, name in zip(out, names):
+                values[where] = np.load(f"{self.folder}/{shard}-{name}.npy", mmap_mode="r")[at]
+        return out
+
+
+class Grams:
+    """Distinct n-grams of one order, sorted by hash, and the one that each token ends."""
+
+    def __init__(self, hashed: np.ndarray, learned: np.ndarray):
+        self.hash, first, self.at = np.unique(hashed, return_index=True, return_inverse=True)
+        self.first = first  # a token that ends it
+        self.count = np.bincount(self.at[learned], minlength=len(self.hash)).astype(np.int64)
+
+
 class Chunk:
-    """Words and word pairs of some documents, each in the order in which shards see them."""
-
-    def __init__(self, ids: list[int | None], texts: list[bytes], n_shards: int):
-        self.ids = ids
-        token, self.n_tokens = _tokens(texts)
-        self.first = np.concatenate([[0], np.cumsum(self.n_tokens)])[:-1]
-        self.vocabulary, code = np.unique(token, return_inverse=True)
-        self.vocabulary = np.concatenate([[BEGIN], self.vocabulary])  # BEGIN is the least of all
-        second = (code + 1).astype(np.uint32)
-        del code
-        prior = np.empty_like(second)
-        prior[1:] = second[:-1]
-        prior[self.first] = 0
-        key = shard_of(words.pair(self.vocabulary[prior], token), n_shards).astype(np.uint64)
-        del token
-        bits = np.uint64(int(len(self.vocabulary)).bit_length())
-        key = (((key << bits) | prior) << bits) | second
-        del prior, second
-        distinct, at = np.unique(key, return_inverse=True)
-        del key
-        self.pair_at = at.astype(np.uint32)
-        mask = (np.uint64(1) << bits) - np.uint64(1)
-        self.prior, self.second = ((distinct >> bits) & mask).astype(np.uint32), (distinct & mask).astype(np.uint32)
-        self.pair_bounds = np.searchsorted((distinct >> (bits + bits)).astype(np.int64), np.arange(n_shards + 1))
-        del distinct
-        self.held = np.array([held_out(i) for i in ids], dtype=bool)
-        learned = np.repeat(~self.held, self.n_tokens)
-        self.trained = np.bincount(self.pair_at[learned], minlength=len(self.prior))
-        self.word_bounds = np.searchsorted(shard_of(self.vocabulary, n_shards), np.arange(n_shards + 1))
-
-
-def _tokens(texts: list[bytes], at_once: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of some documents, and the n-grams that end at each of them."""
+
+    def __init__(self, blob: bytes, order: int):
+        table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
+        self.ids, column = table["doc_id"].to_pylist(), table["text"].combine_chunks()
+        self.token, self.n_tokens = _tokens(column)
+        self.start = np.cumsum(self.n_tokens) - self.n_tokens
+        self.held = np.array([held_out(i) for i in self.ids], dtype=bool)
+        self.learned = np.repeat(~self.held, self.n_tokens)
+        self.order = order
+
+    def hashes(self, n: int, back: int = 0) -> np.ndarray:
+        """Of the n words that end `back` words before each token's next one; BEGIN stands before a document's first word."""
+        place = np.arange(len(self.token)) - np.repeat(self.start, self.n_tokens)
+        word = lambda k: np.where(place >= k, np.roll(self.token, k), BEGIN)
+        out = word(back + n - 1)
+        for k in range(back + n - 2, back - 1, -1):
+            out = words.pair(out, word(k))
+        return out
+
+    def grams(self, n: int) -> Grams:
+        return Grams(self.hashes(n), self.learned)
+
+
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, and the number of tokens of each text."""
-    found, sizes, part, size = [], [], [], 0
-    for i, text in enumerate(texts):
-        part.append(text)
-        size += len(text)
-        if size < at_once and i + 1 < len(texts):
-            continue
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in part])]).astype(np.int64)
-        data = words.ASCII_LOWER[np.frombuffer(b"".join(part), np.uint8)]
+    found, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    batch = pa.RecordBatch.from_arrays([column], ["text"])
+    for part in words.bounded([batch], 0):
+        data, offsets = words.text_buffer(part.column(0))
+        data = words.ASCII_LOWER[data]
         starts, ends, first = words.spans(data, offsets, words.NOT_SPACE)
-        token = np.full(len(starts) + len(part), END, dtype=np.uint64)
-        token[np.arange(len(starts)) + np.repeat(np.arange(len(part)), np.diff(first))] = words.hashes(data, starts, ends)
+        token = np.full(len(starts) + part.num_rows, END, dtype=np.uint64)
+        token[np.arange(len(starts)) + np.repeat(np.arange(part.num_rows), np.diff(first))] = words.hashes(data, starts, ends)
         found.append(token)
         sizes.append(np.diff(first) + 1)
-        part, size = [], 0
     return np.concatenate(found), np.concatenate(sizes)
 
 
-def shard_of(h: np.ndarray, n: int) -> np.ndarray:
-    """Shards are ranges of the hash, so sorted hashes are sorted by shard."""
-    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
-def chunked(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[str, list, list[bytes]]]:
-    """Consecutive rows of a partition, about chunk_bytes of text at a time; the name is the same in every run."""
-    part, n, ids, texts, size = 0, 0, [], [], 0
-    for batch in batches:
-        part = batch.column(2)[0].as_py() if batch.num_rows else part
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids.append(i)
-            texts.append((text or "").encode())
-            size += len(texts[-1]) + 8
-            if size >= chunk_bytes:
-                yield f"{part}-{n}-{zlib.crc32(repr(ids).encode()):08x}", ids, texts
-                n, ids, texts, size = n + 1, [], [], 0
-    if ids:
-        yield f"{part}-{n}-{zlib.crc32(repr(ids).encode()):08x}", ids, texts
-
+def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """(chunk, size, blob) of all documents, written once; chunks are numbered."""
 
-def rows(out: list[tuple]) -> pa.RecordBatch:
-    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary()]
-    names = ["target", "kind", "chunk", "shard", "blob"]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
+        def chunk() -> pa.RecordBatch:
+            out = io.BytesIO()
+            with pa.ipc.new_stream(out, held[0].schema) as stream:
+                for b in held:
+                    stream.write_batch(b)
+            blob = zstandard.ZstdCompressor(level=6).compress(out.getvalue())
+            return pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([blob], pa.binary())], ["size", "blob"])
 
-def ask(n_shards: int, chunk_bytes: int):
-    """Step 1."""
+        for batch in words.bounded(batches, 1, chunk_bytes // 8):
+            if not batch.num_rows:
+                continue
+            held.append(pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).fill_null("")], ["doc_id", "text"]))
+            size += held[-1].nbytes
+            if size >= chunk_bytes:
+                yield chunk()
+                held, size = [], 0
+        if held:
+            yield chunk()
 
-    def run(batches):
-        for name, ids, texts in chunked(batches, chunk_bytes):
-            c, out = Chunk(ids, texts, n_shards), []
-            for s in range(n_shards):
-                a, b = c.pair_bounds[s : s + 2]
-                prior, runs = np.unique(c.prior[a:b], return_counts=True)
-                blob = pack(c.vocabulary[prior], runs, c.vocabulary[c.second[a:b]], c.trained[a:b])
-                out.append((f"pair {s}", "pairs", name, s, blob))
-                a, b = c.word_bounds[s : s + 2]
-                out.append((f"pass {name} {s % 8}", "words", name, s, pack(c.vocabulary[a:b])))
-            yield rows(out)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "size long, blob binary")
+    return cut(rows.select(F.monotonically_increasing_id().alias("chunk"), "size", "blob"))
 
-    return run
 
+def _each(order: int, make):
+    """mapInArrow over chunks: rows (shard, chunk, blob) of what make gives for each, an iterator of (shard, blob)."""
 
-def merge_pairs(n_shards: int):
-    """Step 2; rows of other kinds only pass."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        if group["kind"].iloc[0] != "pairs":
-            return group.assign(target=[f"word {s}" for s in group["shard"]])
-        shard = int(group["shard"].iloc[0])
-        asked = [unpack(b) for b in group["blob"]]
-        prior = np.concatenate([np.repeat(u, n) for u, n, _, _ in asked])
-        second = np.concatenate([w for _, _, w, _ in asked])
-        counts = np.concatenate([c for *_, c in asked]).astype(np.int64)
-        sizes = [len(w) for _, _, w, _ in asked]
-        del asked
-        _, at, where = np.unique(words.pair(prior, second), return_index=True, return_inverse=True)
-        total = np.bincount(where, weights=counts, minlength=len(at)).astype(np.int64)
-        kinds = np.array([np.count_nonzero(total == k) for k in (1, 2, 3, 4)], dtype=np.int64)
-        out, done = [], 0
-        for chunk, size in zip(group["chunk"], sizes):
-            answer = pack(total[where[done : done + size]], kinds)
-            out.append((f"pass {chunk} {shard % 8}", "pair counts", chunk, shard, answer))
-            done += size
-        seen = total > 0
-        at, total = at[seen], total[seen]
-        known, code = np.unique(np.concatenate([prior[at], second[at]]), return_inverse=True)
-        left, right, n = code[: len(at)], code[len(at) :], len(known)
-        add = lambda where, weights=None: np.bincount(where, weights=weights, minlength=n).astype(np.int64)
-        table = [add(left, total), add(left[total == 1]), add(left[total == 2]), add(left[total > 2])]
-        table += [add(right, total), add(right)]
-        bounds = np.searchsorted(shard_of(known, n_shards), np.arange(n_shards + 1))
-        for s, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-            if b > a:
-                out.append((f"word {s}", "stats", "", s, pack(known[a:b], *(t[a:b] for t in table))))
-        return pd.DataFrame(out, columns=group.columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                number, chunk = batch.column("chunk")[k].as_py(), Chunk(batch.column("blob")[k].as_py(), order)
+                made = list(make(number, chunk))
+                del chunk
+                if made:
+                    shard, blob = zip(*made)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array([number] * len(made), pa.int64()), pa.array(blob, pa.binary())], ["shard", "chunk", "blob"])
 
     return run
 
 
-def merge_words(group: pd.DataFrame) -> pd.DataFrame:
-    """Step 3; answers to pairs only pass."""
-    passing = group[group["kind"] == "pair counts"].assign(target=lambda g: g["chunk"])
-    told = [unpack(b) for b in group["blob"][group["kind"] == "stats"]]
-    known, code = np.unique(np.concatenate([np.zeros(0, np.uint64), *(t[0] for t in told)]), return_inverse=True)
-    table = []
-    for k in range(len(STATS)):
-        values = np.concatenate([np.zeros(0), *(t[k + 1] for t in told)])
-        table.append(np.bincount(code, weights=values, minlength=len(known)).astype(np.int64))
-    count, preceding = table[4], table[5]
-    sums = [count.sum(), np.count_nonzero(count), preceding.sum()]
-    sums += [np.count_nonzero(preceding == k) for k in (1, 2, 3, 4)]
-    table = [np.append(t, 0) for t in table]  # the last entry stands for words that training lacks
-    out = []
-    for row in group[group["kind"] == "words"].itertuples():
-        (asked,) = unpack(row.blob)
-        at = np.searchsorted(known, asked)
-        found = at < len(known)
-        found[found] = known[at[found]] == asked[found]
-        at = np.where(found, at, len(known))
-        blob = pack(*(t[at] for t in table), np.array(sums, dtype=np.int64))
-        out.append((row.chunk, "word stats", row.chunk, row.shard, blob))
-    return pd.concat([passing, pd.DataFrame(out, columns=group.columns)], ignore_index=True)
+def _by_shard(n_shards: int, hashes: np.ndarray, numbers: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    bounds = np.searchsorted(shard_of(hashes, n_shards), np.arange(n_shards + 1)).tolist()
+    for shard, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+        if b > a:
+            yield shard, pack(hashes[a:b], *(v[a:b] for v in numbers))
+
+
+def _add(shard_rows: pa.Table, fields: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(sorted hashes, sums of their numbers, the least chunk that sent each) of all messages to a shard."""
+    known, sums, owner = np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * fields, np.zeros(0, np.int64)
+    order = np.argsort(shard_rows["chunk"].to_numpy(), kind="stable")
+    blobs, chunks = shard_rows["blob"], shard_rows["chunk"].to_numpy()
+    parts, size = [], 0
+    for n, k in enumerate(order.tolist()):
+        held = unpack(blobs[k].as_py(), fields)
+        parts.append((*held, np.full(len(held[0]), chunks[k])))
+        size += len(held[0])
+        if size > max(2 << 20, len(known)) or n + 1 == len(order):  # some messages at a time
+            columns = [np.concatenate(c) for c in zip((known, *sums, owner), *parts)]
+            known, at = np.unique(columns[0], return_inverse=True)
+            sums = [_total(at, v, len(known)) for v in columns[1:-1]]
+            least = np.full(len(known), np.iinfo(np.int64).max)
+            np.minimum.at(least, at, columns[-1])
+            owner, parts, size = least, [], 0
+    return known, sums, owner
+
+
+def _total(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of whole numbers by place, exact beyond what a float holds."""
+    out = np.zeros(n, dtype=np.int64)
+    np.add.at(out, at, values)
+    return out
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -233,101 +260,130 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.array([min(max(x, 0.0), float(k)) for k, x in enumerate(d)])
 
 
-def probabilities(pairs: np.ndarray, prior: np.ndarray, second: np.ndarray, stats: dict, n: dict) -> np.ndarray:
-    """Of the second word of each pair after its first word. pairs: training counts; prior, second: rows of stats."""
-    d = discounts(*n["preceding_kinds"])
-    cont = stats["preceding"]
-    if n["pairs"]:
-        kinds = n["preceding_kinds"]
-        taken = d[1] * kinds[0] + d[2] * kinds[1] + d[3] * (n["words"] - kinds[0] - kinds[1])
-        lower = np.maximum(cont - d[np.minimum(cont, 3)], 0) / n["pairs"] + taken / n["pairs"] / (n["words"] + 1)
-    else:
-        lower = np.full(len(cont), 1.0)
-    d = discounts(*n["pair_kinds"])
-    before = stats["before"][prior]
-    freed = (d[1] * stats["ones"] + d[2] * stats["twos"] + d[3] * stats["more"])[prior]
-    low = lower[second]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = (np.maximum(pairs - d[np.minimum(pairs, 3)], 0) + freed * low) / before
-    return np.where(before > 0, p, low)
-
-
-def score_chunk(n_shards: int):
-    """Step 4."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        by = {k: g.sort_values("shard") for k, g in group.groupby("kind")}
-        answers = [[unpack(b) for b in by[k]["blob"]] for k in ("pair counts", "word stats")]
-        if any(len(a) != n_shards for a in answers):
-            raise RuntimeError("a chunk lacks answers: the input changed while it was read")
-        shipped = by["docs"]["blob"].iloc[0]
-        del by, group
-        c = Chunk(*pickle.loads(zstandard.ZstdDecompressor().decompress(shipped)), n_shards)
-        n = {"pair_kinds": sum(a[1].astype(np.int64) for a in answers[0])}
-        sums = sum(a[-1].astype(np.int64) for a in answers[1])
-        n |= {"tokens": int(sums[0]), "words": int(sums[1]), "pairs": int(sums[2]), "preceding_kinds": sums[3:]}
-        model = {"hash": c.vocabulary} | {
-            name: np.concatenate([a[k] for a in answers[1]]).astype(np.uint32) for k, name in enumerate(STATS)
-        }
-        model["pairs"] = np.concatenate([a[0] for a in answers[0]]).astype(np.uint32)
-        del answers
-        with tempfile.TemporaryDirectory() as folder:
-            m = mapped(folder, model)
-            del model
-            at = np.searchsorted(m["hash"], c.vocabulary)  # the file holds these words, in this order
-            stats = {k: m[k][at].astype(np.int64) for k in STATS}
-            p = probabilities(m["pairs"].astype(np.int64), c.prior, c.second, stats, n)
-            logs = np.log10(p)
-            del m
-        count = stats["count"][c.second]
-        base = np.log10((count + 0.1) / (n["tokens"] + 0.1 * (n["words"] + 1)))
-        total = lambda x: np.add.reduceat(x[c.pair_at], c.first)
-        return pd.DataFrame(
-            {
-                "doc_id": pd.array(c.ids, dtype="Int64"),
-                "held_out": c.held,
-                "n_tokens": c.n_tokens,
-                "n_known": total((count > 0).astype(np.int64)),
-                "train_tokens": n["tokens"],
-                "base_score": total(base),
-                "score": total(logs),
-            }
-        )
-
-    return run
-
-
-def mapped(folder: str, arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    out = {}
-    for name, a in arrays.items():
-        path = os.path.join(folder, name)
-        a.tofile(path)
-        out[name] = np.memmap(path, dtype=a.dtype, mode="r", shape=a.shape) if len(a) else a
-    return out
-
-
-def ship(chunk_bytes: int):
-    """The documents of each chunk, on their way to the chunk's answers."""
-
-    def run(batches):
-        for name, ids, texts in chunked(batches, chunk_bytes):
-            blob = zstandard.ZstdCompressor(level=9).compress(pickle.dumps((ids, texts), protocol=5))
-            yield rows([(name, "docs", name, 0, blob)])
+#: Of an order: how many n-grams there are, their counts in all, and how many have a count of one, two, three and four.
+SUMMARY = "grams long, total long, n1 long, n2 long, n3 long, n4 long, tokens long, known long"
+
+
+def _summary(value: np.ndarray, count: np.ndarray) -> pa.Table:
+    kinds = [int(np.count_nonzero(value == k)) for k in (1, 2, 3, 4)]
+    row = [int(np.count_nonzero(value)), int(value.sum()), *kinds, int(count.sum()), int(np.count_nonzero(count))]
+    return pa.Table.from_arrays([pa.array([x], pa.int64()) for x in row], [c.split()[0] for c in SUMMARY.split(", ")])
+
+
+def build(chunks: DataFrame, folder: str, order: int, n_shards: int) -> tuple[list[Model], list[dict]]:
+    """Stores the model; returns its orders, the first for single words, and the summary of each."""
+    models = [Model(folder, n, n_shards, TOP if n == order else LOWER) for n in range(1, order + 1)]
+    summaries: list[dict] = [{}] * order
+    for n in range(order, 0, -1):
+        own, above = models[n - 1], models[n] if n < order else None
+        sent = chunks.select("chunk", "blob").mapInArrow(_each(order, _messages(n, n_shards, above)), BLOB)
+        told = sent.groupBy("shard").applyInArrow(_stored(own), SUMMARY)
+        names = [c.split()[0] for c in SUMMARY.split(", ")]
+        row = told.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first()
+        summaries[n - 1] = row.asDict()
+    return models, summaries
+
+
+def _messages(n: int, n_shards: int, above: Model | None):
+    """What a chunk sends to the shards of order n; above is the order of one word more, None for the highest order."""
+
+    def counts(number: int, chunk: Chunk) -> Iterator[tuple[int, bytes]]:
+        grams = chunk.grams(n)
+        seen = grams.count > 0
+        return _by_shard(n_shards, grams.hash[seen], [grams.count[seen]])
+
+    def contexts(number: int, chunk: Chunk) -> Iterator[tuple[int, bytes]]:
+        grams = Grams(chunk.hashes(n + 1)[chunk.learned], np.zeros(0, dtype=np.int64))
+        value, owner = above.find(grams.hash, (above.names[0], "owner"))
+        mine = (owner == number) & (value > 0)
+        place, value = np.flatnonzero(chunk.learned)[grams.first[mine]], value[mine]
+        del grams, owner
+        tail, start = chunk.hashes(n)[place], chunk.hashes(n, 1)[place]
+        own_words = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        if n == 1:  # single words also carry how often they occur
+            unigrams = chunk.grams(1)
+            seen = unigrams.count > 0
+            own_words = [unigrams.hash[seen], unigrams.count[seen]]
+        known, at = np.unique(np.concatenate([tail, start, own_words[0]]), return_inverse=True)
+        left, right, single = np.split(at, [len(place), 2 * len(place)])
+        every = len(known)
+        numbers = [np.bincount(left, minlength=every), _total(right, value, every)]
+        numbers += [np.bincount(right[k], minlength=every) for k in (value == 1, value == 2, value > 2)]
+        numbers.append(_total(single, own_words[1], every))
+        return _by_shard(n_shards, known, numbers)
+
+    return counts if above is None else contexts
+
+
+def _stored(own: Model):
+    def store(rows: pa.Table) -> pa.Table:
+        known, sums, owner = _add(rows, len(own.names) - 1)
+        own.write(rows["shard"][0].as_py(), known, [*sums, owner])
+        return _summary(sums[0], sums[-1])
+
+    return store
+
+
+def probabilities(chunk: Chunk, models: list[Model], summaries: list[dict]) -> np.ndarray:
+    """Of each token after the words before it, from single words up to the model's order."""
+    p = np.ones(len(chunk.token))
+    for n, (model, s) in enumerate(zip(models, summaries), 1):
+        if not s["total"]:
+            continue
+        grams = chunk.grams(n)
+        taken = discounts(*(s[k] for k in ("n1", "n2", "n3", "n4")))
+        (value,) = model.find(grams.hash, model.names[:1])
+        value = value[grams.at]
+        if n == 1:
+            kinds = [s["n1"], s["n2"], s["grams"] - s["n1"] - s["n2"]]
+            total, freed = s["total"], float(np.dot(taken[1:], kinds))
+            p = (np.maximum(value - taken[np.minimum(value, 3)], 0) + freed / (s["known"] + 1)) / total
+            continue
+        starts = Grams(chunk.hashes(n - 1, 1), np.zeros(0, dtype=np.int64))
+        found = models[n - 2].find(starts.hash, ("total", "ones", "twos", "more"))
+        total, *kinds = (v[starts.at] for v in found)
+        freed = taken[1] * kinds[0] + taken[2] * kinds[1] + taken[3] * kinds[2]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            high = (np.maximum(value - taken[np.minimum(value, 3)], 0) + freed * p) / total
+        p = np.where(total > 0, high, p)
+    return p
+
+
+def _score(models: list[Model], summaries: list[dict], order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, known = summaries[0]["tokens"], summaries[0]["known"]
+        for batch in batches:
+            for blob in batch.column("blob"):
+                chunk = Chunk(blob.as_py(), order)
+                word = chunk.grams(1)
+                (count,) = (v[word.at] for v in models[0].find(word.hash, ("count",)))
+                del word
+                base = np.log10((count + 0.1) / (tokens + 0.1 * (known + 1)))
+                logs = np.log10(probabilities(chunk, models, summaries))
+                total = lambda x, chunk=chunk: np.add.reduceat(x, chunk.start)
+                columns = [
+                    pa.array(chunk.ids, pa.int64()), pa.array(chunk.held), pa.array(chunk.n_tokens), pa.array(total((count > 0).astype(np.int64))),
+                    pa.array(np.full(len(chunk.ids), tokens)), pa.array(total(base)), pa.array(total(logs)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in RESULT.split(", ")])
 
     return run
 
 
-def score(docs: DataFrame, chunk_bytes: int = 32 << 20) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, chunk_bytes: int = 16 << 20, shard_bytes: int = 32 << 20) -> DataFrame:
     """Scores every row of docs (doc_id, text; other columns are ignored) under its training rows.
 
     Rows whose crc32(doc_id) mod 10 is 0 are held out. A null text is empty: one token, the end. A null id
-    counts as the empty text and is held out. Repeated rows are scored, and counted, as often as they occur.
-    Without training rows every token has the probability 1. An empty table gives an empty result.
+    counts as the empty text and is held out. Repeated rows are scored, and counted, as often as they occur. A very long
+    text is a chunk of its own. Without training rows every token has the probability 1. An empty table gives an empty
+    result. order is 2 or more. A shard holds the n-grams of about shard_bytes of text. The model stays in the shared
+    folder, in language-model-*.
     """
-    n = shards(docs.sparkSession)
-    pairs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.spark_partition_id().alias("part"))
-    asked = pairs.mapInArrow(ask(n, chunk_bytes), BLOB)
-    told = asked.groupBy("target").applyInPandas(merge_pairs(n), BLOB).groupBy("target")
-    answers = told.applyInPandas(merge_words, BLOB)
-    both = answers.unionByName(pairs.mapInArrow(ship(chunk_bytes), BLOB))
-    return both.groupBy("target").applyInPandas(score_chunk(n), RESULT)
+    if order < 2:
+        raise ValueError("a Kneser-Ney model needs an order of 2 or more")
+    spark = docs.sparkSession
+    chunks = _chunks(docs, chunk_bytes)
+    size = chunks.agg(F.sum("size")).first()[0] or 0
+    folder = f"{_posix(shared_folder(spark))}/language-model-{uuid.uuid4().hex}"
+    models, summaries = build(chunks, folder, order, max(1, -(-size // shard_bytes)))
+    return chunks.select("blob").mapInArrow(_score(models, summaries, order), RESULT)

@@ -42,20 +42,19 @@ def remainder(doc_id, n):
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % n
 
 
-def kneser_ney(rows):
+def kneser_ney(rows, order=3):
     """(doc_id, held_out, n_tokens, n_known, N, base, score) of every row, from dictionaries."""
     docs = [(i, remainder(i, 10) == 0, [*words(t), b"END"]) for i, t in rows]
-    one, two = Counter(), Counter()
+    padded = lambda tokens: [b"BEGIN"] * (order - 1) + tokens
+    one = Counter(t for _, held, tokens in docs if not held for t in tokens)
+    n, v = sum(one.values()), len(one)
+    counts = {order: Counter()}  # of n-grams: occurrences for the highest order, else different words before them
     for _, held, tokens in docs:
         if not held:
-            one.update(tokens)
-            two.update(zip([b"BEGIN", *tokens], tokens))
-    n, v = sum(one.values()), len(one)
-    before, followers, preceding = Counter(), defaultdict(Counter), Counter()
-    for (a, b), c in two.items():
-        before[a] += c
-        followers[a][min(c, 3)] += 1
-        preceding[b] += 1
+            t = padded(tokens)
+            counts[order].update(tuple(t[k : k + order]) for k in range(len(tokens)))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
 
     def discounts(kinds):
         n1, n2, n3, n4 = (kinds[k] for k in (1, 2, 3, 4))
@@ -65,22 +64,27 @@ def kneser_ney(rows):
         d = [0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5]
         return [min(max(x, 0.0), k) for k, x in enumerate(d)]
 
-    high, low = discounts(Counter(two.values())), discounts(Counter(preceding.values()))
-    pairs = sum(preceding.values())
-    freed = sum(low[min(c, 3)] for c in preceding.values())
-
-    def p(a, b):
-        under = (max(preceding[b] - low[min(preceding[b], 3)], 0) + freed / (v + 1)) / pairs
-        if not before[a]:
-            return under
-        c = two[a, b]
-        gamma = sum(high[k] * m for k, m in followers[a].items())
-        return (max(c - high[min(c, 3)], 0) + gamma * under) / before[a]
+    taken = {k: discounts(Counter(c.values())) for k, c in counts.items()}
+    total, followers = defaultdict(int), defaultdict(Counter)
+    for c in counts.values():
+        for g, m in c.items():
+            total[g[:-1]] += m
+            followers[g[:-1]][min(m, 3)] += 1
+
+    def p(g):
+        if not g:
+            return 1 / (v + 1)
+        if not total[g[:-1]]:
+            return p(g[1:]) if len(g) > 1 else 1.0
+        m, d = counts[len(g)][g], taken[len(g)]
+        freed = sum(d[k] * c for k, c in followers[g[:-1]].items())
+        return (max(m - d[min(m, 3)], 0) + freed * p(g[1:])) / total[g[:-1]]
 
     out = []
     for i, held, tokens in docs:
+        t = padded(tokens)
         base = sum(math.log10((one[t] + 0.1) / (n + 0.1 * (v + 1))) for t in tokens)
-        score = sum(math.log10(p(a, b)) for a, b in zip([b"BEGIN", *tokens], tokens))
+        score = sum(math.log10(p(tuple(t[k : k + order]))) for k in range(len(tokens)))
         out.append((i, held, len(tokens), sum(one[t] > 0 for t in tokens), n, base, score))
     return out
 

@@ -10,6 +10,7 @@ import plain
 import pyarrow as pa
 import pytest
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from episodica.llm import chat, decontamination, fingerprints, kneser_ney, language, packing, personal, queries, secrets, simhash, toxicity
@@ -39,16 +40,31 @@ def by_id(rows):
     return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, *map(str, r[1:])))
 
 
-@pytest.mark.parametrize("which", ["awkward", "table"])
-def test_language_model(spark, docs, texts, which):
+@pytest.mark.parametrize("which,order,chunk", [("awkward", 3, 20_000), ("table", 3, 16 << 20), ("table", 2, 20_000), ("table", 4, 50_000)])
+def test_language_model(spark, docs, texts, which, order, chunk):
+    """Few chunks and shards, and many of both."""
     df, rows = (plain.table_of(spark), AWKWARD) if which == "awkward" else (docs, texts)
-    got = by_id([tuple(r) for r in kneser_ney.score(df, chunk_bytes=20_000).collect()])
-    want = by_id(plain.kneser_ney(rows))
+    got = by_id([tuple(r) for r in kneser_ney.score(df, order, chunk, chunk).collect()])
+    want = by_id(plain.kneser_ney(rows, order))
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want):
         assert math.isclose(g[5], w[5], rel_tol=1e-9) and math.isclose(g[6], w[6], rel_tol=1e-9), (g, w)
 
 
+def test_language_model_of_shuffled_input(spark, docs, texts):
+    """Rows that come out of a shuffle, whose order may change from one read to the next, are read once."""
+    df = docs.select("doc_id", "text").repartition(5).withColumn("r", F.rand()).sort("r")
+    got = {r.doc_id: r.score for r in kneser_ney.score(df, 3, 30_000, 30_000).collect()}
+    want = {w[0]: w[6] for w in plain.kneser_ney(texts)}
+    assert set(got) == set(want) and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in got)
+
+
+def test_counts_beyond_32_bits():
+    first, big = np.array([3, 9, 1 << 63], np.uint64), np.array([1, 5_000_000_000, 1 << 40])
+    hashes, counts = kneser_ney.unpack(kneser_ney.pack(first, big), 1)
+    assert hashes.tolist() == first.tolist() and counts.tolist() == big.tolist()
+
+
 def test_language_model_probabilities_sum_to_one():
     rows = [(k, t) for k, t in enumerate(["a b a c", "b a", "c c b a", "a"], 1)]
     known = {w for i, t in rows if plain.remainder(i, 10) for w in t.split()}
