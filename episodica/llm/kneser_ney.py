@@ -23,6 +23,7 @@ corpus. Chunks look up sorted hashes, so they read each file from front to back.
 
 from __future__ import annotations
 
+import glob
 import io
 import os
 import uuid
@@ -96,14 +97,26 @@ class Model:
         self.folder, self.n_shards, self.names = f"{folder}/order-{order}", n_shards, names
 
     def write(self, shard: int, hashes: np.ndarray, numbers: list[np.ndarray]) -> None:
-        """A file appears whole or not at all, and a repeated task writes the same one."""
+        """Numbers are bytes, 255 standing for those in a second, short array. A repeated task writes the same files."""
         os.makedirs(self.folder, exist_ok=True)
-        for name, a in zip(("hash", *self.names), [hashes, *map(narrow, numbers)]):
-            path = f"{self.folder}/{shard}-{name}.npy"
-            part = f"{path}.{uuid.uuid4().hex}"
-            with open(part, "wb") as file:
-                np.save(file, a)
-            os.replace(part, path)
+        self._save(f"{shard}-hash", hashes)
+        for name, a in zip(self.names, numbers):
+            large = np.flatnonzero(a >= 255)
+            self._save(f"{shard}-{name}", np.minimum(a, 255).astype(np.uint8))
+            self._save(f"{shard}-{name}-large", np.stack([large, a[large]]))
+
+    def _save(self, name: str, a: np.ndarray) -> None:
+        """A file appears whole or not at all."""
+        path = f"{self.folder}/{name}.npy"
+        part = f"{path}.{uuid.uuid4().hex}"
+        with open(part, "wb") as file:
+            np.save(file, a)
+        os.replace(part, path)
+
+    def forget_owners(self) -> None:
+        """Only the making of the next order asks for them."""
+        for path in glob.glob(f"{self.folder}/*-owner*.npy"):
+            os.remove(path)
 
     def find(self, asked: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
         """The numbers of sorted hashes, 0 where the model has none."""
@@ -119,7 +132,12 @@ class Model:
             right = known[at] == asked[a:b]
             where, at = np.flatnonzero(right) + a, at[right]
             for values, name in zip(out, names):
-                values[where] = np.load(f"{self.folder}/{shard}-{name}.npy", mmap_mode="r")[at]
+                found = np.load(f"{self.folder}/{shard}-{name}.npy", mmap_mode="r")[at].astype(np.int64)
+                large = np.flatnonzero(found == 255)
+                if len(large):
+                    places, true = np.load(f"{self.folder}/{shard}-{name}-large.npy", mmap_mode="r")
+                    found[large] = true[np.searchsorted(places, at[large])]
+                values[where] = found
         return out
 
 
@@ -198,7 +216,10 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             yield chunk()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "size long, blob binary")
-    return cut(rows.select(F.monotonically_increasing_id().alias("chunk"), "size", "blob"))
+    held = cut(rows.select(F.monotonically_increasing_id().alias("mark"), "size", "blob"))
+    part, place = F.shiftright("mark", 33), F.col("mark").bitwiseAND((1 << 33) - 1)
+    most = held.agg(F.coalesce(F.max(place), F.lit(0))).first()[0]  # numbers without gaps of billions take fewer bytes
+    return held.select((part * (most + 1) + place).alias("chunk"), "size", "blob")
 
 
 def _each(order: int, make):
@@ -281,6 +302,9 @@ def build(chunks: DataFrame, folder: str, order: int, n_shards: int) -> tuple[li
         names = [c.split()[0] for c in SUMMARY.split(", ")]
         row = told.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first()
         summaries[n - 1] = row.asDict()
+        if above is not None:
+            above.forget_owners()
+    models[0].forget_owners()
     return models, summaries
 
 

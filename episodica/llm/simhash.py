@@ -218,13 +218,30 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return parent
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A name of the component of each node of the edges."""
+    held = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(2)] for b in batches if b.num_rows]
+    if held:
+        a, b = (np.concatenate(c) for c in zip(*held))
+        node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        parent = _union(np.arange(len(node)), at[: len(a)], at[len(a) :])
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[parent])], ["node", "root"])
+
+
+def components(edges: DataFrame, nodes: DataFrame, few: int = 500_000) -> DataFrame:
     """(node, label) of every node of the edges (a, b): the least label of its component, which names the node it is of.
 
-    nodes has node and label, a struct that ends in that node and orders the nodes. Each round takes the least label
+    nodes has node and label, a struct that ends in that node and orders the nodes. Up to `few` edges are linked in one
+    task and broadcast, as any table of a checked size may be. More are linked in rounds: each takes the least label
     among the neighbours and then the label of the node that it names, so chains shorten by half; every round is
     checkpointed. Many nodes that name one go by broadcast, so a large component fills no task.
     """
+    edges = cut(edges)
+    if small(edges, few):
+        found = edges.coalesce(1).mapInArrow(_roots, "node long, root long")
+        named = cut(nodes.join(F.broadcast(found), "node").select("node", "root", "label"))
+        least = named.groupBy("root").agg(F.min("label").alias("label"))
+        return named.select("node", "root").join(F.broadcast(least), "root").select("node", "label")
     both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(nodes.join(both.select(F.col("a").alias("node")).distinct(), "node").select("node", "label"))
     while True:

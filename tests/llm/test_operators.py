@@ -59,6 +59,20 @@ def test_language_model_of_shuffled_input(spark, docs, texts):
     assert set(got) == set(want) and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in got)
 
 
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_components_in_one_task_and_in_rounds(spark, few):
+    """A long path, a star, a ring and pairs, by both ways."""
+    edges = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 240)] + [(300 + k, 300 + (k + 1) % 9) for k in range(9)] + [(k, k + 1000) for k in range(2, 5)]
+    ids = sorted({x for e in edges for x in e})
+    nodes = spark.createDataFrame([(k, (False, -k % 997, k)) for k in ids], "node long, label struct<nameless:boolean,first:long,node:long>")
+    got = {r.node: r.label.node for r in simhash.components(spark.createDataFrame(edges, "a long, b long"), nodes, few).collect()}
+    label = plain.components_of(ids, lambda a, b: (a, b) in set(edges) or (b, a) in set(edges))
+    held = defaultdict(list)
+    for i, c in zip(ids, label):
+        held[c].append(i)
+    assert got == {i: min(v, key=lambda k: (-k % 997, k)) for v in held.values() for i in v}
+
+
 def test_counts_beyond_32_bits():
     first, big = np.array([3, 9, 1 << 63], np.uint64), np.array([1, 5_000_000_000, 1 << 40])
     hashes, counts = kneser_ney.unpack(kneser_ney.pack(first, big), 1)
