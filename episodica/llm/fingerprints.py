@@ -3,8 +3,8 @@
 A sketch keeps every shingle hash below a fixed fraction of all hashes; by default all of them, as
 a sparser sketch of a short text may have no hash to compare. What two sketches share therefore is
 (or, below 1, estimates) what the texts share, however unequal their lengths, and the union of two
-sketches is the sketch of both texts. With a smaller fraction, a text whose hashes all lie above the
-threshold keeps its least one, so only a text without words has an empty sketch.
+sketches is the sketch of both texts. With a smaller fraction every sketch is cut at the same
+threshold, so two are always comparable; that of a short text may then be empty.
 """
 
 from __future__ import annotations
@@ -29,18 +29,15 @@ def sketch(text: Column, width: int = 5, fraction: int = 1) -> Column:
         return F.transform(at, lambda i: F.shiftrightunsigned(F.xxhash64(*word(i)), 1))
 
     def keep(h: Column) -> Column:
-        low = F.filter(h, lambda x: x <= ((1 << 63) - 1) // fraction)
-        return let(low, lambda k: F.when(F.size(k) > 0, F.array_sort(F.array_distinct(k))).otherwise(F.array(F.array_min(h))))
+        return F.sort_array(F.array_distinct(F.filter(h, lambda x: x <= ((1 << 63) - 1) // fraction)))
 
     empty = F.array().cast("array<bigint>")
     return let(hashed, lambda h: F.when(F.size(h) > 0, let(runs(h), keep)).otherwise(empty))
 
 
 def merge(a: Column, b: Column, fraction: int = 1) -> Column:
-    """The sketch of two texts together: all hashes below the threshold, or the least if there are none."""
-    both = F.array_sort(F.array_union(a, b))
-    low = F.filter(both, lambda x: x <= ((1 << 63) - 1) // fraction)
-    return F.when(F.size(low) > 0, low).otherwise(F.slice(both, 1, 1))
+    """The sketch of two texts together: all their hashes below the threshold."""
+    return F.sort_array(F.filter(F.array_union(a, b), lambda x: x <= ((1 << 63) - 1) // fraction))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -94,8 +91,9 @@ def with_next(rows: DataFrame, columns: list[str], most_buckets: int = 2048) ->
 def neighbours(docs: DataFrame) -> DataFrame:
     """For every row of docs: its sketch, that of the text whose second half is the next row's beginning, and likenesses.
 
-    Only doc_id and text are read. A null text is empty; repeated rows stay and are each other's next rows; the only
-    row of a table is its own next one. An empty table gives an empty result.
+    Only doc_id and text are read. A null text is empty; repeated rows stay and are each other's next rows; rows of equal
+    id follow by descending text; the only row of a table is its own next one. Very long texts are read whole. Rows of one
+    id, or without ids, are sorted in one task. An empty table gives an empty result.
     """
     rows = with_next(id_texts(docs), ["text"]).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
