@@ -25,10 +25,6 @@ def smooth_sum(x: Column, width: int) -> Column:
     return F.sum(x).over(around(width))
 
 
-def smooth(x: Column, width: int) -> Column:
-    return smooth_sum(x, width) / F.lit(float(width | 1))
-
-
 def step(x: Column) -> Column:
     """First difference; 0 for the first frame."""
     return F.coalesce(x - F.lag(x).over(ordered()), F.lit(0))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from episodica.functions import replies, signal
 from episodica.operators import align, fusion, intervals, quality, runs
 from episodica.plans import frames as fr
-from episodica.plans.prelude import PRELUDE
+from episodica.plans.prelude import EGO_FALLBACK, PRELUDE
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -81,24 +81,16 @@ def velocity(spark, d):
     return rows.select("ep", "f", (F.lead("s").over(W()) - C("s")).alias("v")).where("v IS NOT NULL")
 
 
-@query("SELECT ep, f, round(sqrt(da * da + db * db), 6) AS speed FROM df")
+@query("SELECT ep, f, raw FROM mo")
 def vector_speed(spark, d):
-    rows = fr.frames(spark, d).withColumns({"da": signal.step(C("a")), "db": signal.step(C("b"))})
-    return rows.select("ep", "f", F.round(signal.length(C("da"), C("db")), 6).alias("speed"))
+    """Length of the steps of the z-scored position, smoothed."""
+    return fr.motion(spark, d).select("ep", "f", "raw")
 
 
-@query("SELECT ep, f, drift FROM dr")
+@query("SELECT ep, f, drift FROM mo")
 def carrier_drift(spark, d):
-    return _drift(spark, d).select("ep", "f", "drift")
-
-
-def _drift(spark, d):
-    """Squared speed of both signals, each smoothed over 15 frames, summed over 9; whole numbers throughout."""
-    rows = fr.frames(spark, d).withColumns({f"w{x}": signal.smooth_sum(C(x), 15) for x in "ab"})
-    rows = rows.withColumns({f"w{x}": signal.step(C(f"w{x}")) for x in "ab"})
-    rows = rows.withColumn("q", C("wa") * C("wa") + C("wb") * C("wb"))
-    rows = rows.withColumn("drift", signal.smooth_sum(C("q"), 9))
-    return rows.withColumn("raw", signal.smooth_sum(F.abs(signal.step(C("a"))), 9))
+    """The same of the smoothed position."""
+    return fr.motion(spark, d).select("ep", "f", "drift")
 
 
 @query("SELECT ep, ra, rb FROM rs")
@@ -131,28 +123,38 @@ def longest_run(spark, d):
     return fr.hold(spark, d, "a")
 
 
-@query("SELECT ep, s AS start_frame, CASE WHEN e > s THEN e - 1 ELSE -1 END AS end_frame FROM hb")
+@query("SELECT ep, e1, e2, f1, f2, no_tube, no_pestle FROM cq")
 def hold_window(spark, d):
-    held = fr.hold(spark, d, "b")
-    return held.select("ep", C("s").alias("start_frame"), F.when(C("e") > C("s"), C("e") - 1).otherwise(F.lit(-1).cast("long")).alias("end_frame"))
+    """The tube's hold in the first part of the episode, and the pestle's after it; shares where there is none."""
+    flag = lambda x: F.array_contains("flags", x)
+    return fr.segmented(spark, d).select("ep", "e1", "e2", "f1", "f2", flag("no_tube").alias("no_tube"), flag("no_pestle").alias("no_pestle"))
 
 
-@query("SELECT ep, e1, e2, onset FROM onset")
+@query("SELECT ep, e1, e2, onset FROM cq")
 def low_drift_onset(spark, d):
-    held = fr.hold(spark, d, "a").select("ep", C("s").alias("e1"), (C("e") - 1).alias("e2"))
-    rows = _drift(spark, d).join(held, "ep").where("f BETWEEN e1 AND e2")
-    limit = F.round(F.percentile("drift", F.lit(0.45)).over(P()), 6)
-    rows = rows.withColumn("low", C("drift") < limit)
-    found = runs.longest_run(runs.close_gaps(rows.select("ep", "f", "low"), "low", 5), "low")
-    onset = F.when(C("e2") - C("e1") < 2, C("e1") + F.floor((C("e2") - C("e1")) * 2 / 5)).otherwise(F.least(F.greatest(C("s"), C("e1") + 1), C("e2") - 1))
-    return held.where("e2 >= e1").join(found, "ep").select("ep", "e1", "e2", onset.cast("long").alias("onset"))
+    return fr.segmented(spark, d).select("ep", "e1", "e2", "onset")
 
 
-@query("SELECT ep, s, e FROM hact")
+@query("SELECT ep, gs AS s, ge AS e FROM cq")
 def active_window(spark, d):
-    limit, most = F.round(F.percentile("drift", F.lit(0.40)).over(P()), 6), F.max("raw").over(P())
-    rows = _drift(spark, d).withColumn("on", (C("drift") < limit) & (C("raw") * 100 > most * 12))
-    return runs.longest_run(runs.close_gaps(rows.select("ep", "f", "on"), "on", 4), "on")
+    return fr.segmented(spark, d).select("ep", "s", "e")
+
+
+@query("SELECT ep, n, array_to_string(pts, ',') AS points, array_to_string(list_filter([CASE WHEN no_tube THEN 'no_tube' END, CASE WHEN no_pestle THEN 'no_pestle' END, CASE WHEN no_grind THEN 'no_grind' END, CASE WHEN no_order THEN 'order' END], lambda x: x IS NOT NULL), '|') AS flags FROM cq")
+def segment_episode(spark, d):
+    return fr.segmented(spark, d).select("ep", "n", F.array_join("cps", ",").alias("points"), F.array_join("flags", "|").alias("flags"))
+
+
+@query(f"SELECT ep, array_to_string(CASE WHEN no_order THEN [{EGO_FALLBACK}] ELSE raw END, ',') AS points, CASE WHEN is_left THEN 'left' ELSE 'right' END AS holder, array_to_string(list_filter([CASE WHEN le - ls < 3 THEN 'no_left' END, CASE WHEN re - rs < 3 THEN 'no_right' END, CASE WHEN no_wipe THEN 'no_wipe' END, CASE WHEN no_order THEN 'order' END], lambda x: x IS NOT NULL), '|') AS flags FROM eg")
+def segment_wipe(spark, d):
+    return fr.wiped(spark, d).select("ep", F.array_join("cps", ",").alias("points"), "holder", F.array_join("flags", "|").alias("flags"))
+
+
+@query("SELECT ep, cs AS low, ce AS high, CASE WHEN no_wipe THEN cs + CAST(floor(0.25::DOUBLE * (ce - cs)) AS BIGINT) ELSE cs + ws END AS start, no_wipe FROM (SELECT ep, no_wipe, CASE WHEN no_order THEN NULL ELSE cs END AS cs, CASE WHEN no_order THEN NULL ELSE ce END AS ce, ws FROM eg)")
+def wipe_onset(spark, d):
+    """Null where the points are out of order."""
+    found = lambda k: F.when(~F.array_contains("flags", "order"), C("cps")[k])
+    return fr.wiped(spark, d).select("ep", found(1).alias("low"), found(3).alias("high"), found(2).alias("start"), F.array_contains("flags", "no_wipe").alias("no_wipe"))
 
 
 @query("SELECT a.ep, CASE WHEN a.e - a.s >= b.e - b.s THEN 'left' ELSE 'right' END AS holder, CASE WHEN a.e - a.s >= b.e - b.s THEN 'right' ELSE 'left' END AS wiper FROM ha a JOIN hb b USING (ep)")

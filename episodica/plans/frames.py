@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from episodica.functions import signal
-from episodica.operators import intervals, runs
+from episodica.operators import intervals, runs, segment
 
-SHARES = (0.12, 0.20, 0.34, 0.52, 0.62, 0.90)  # where points go if what was found is out of order
-NAMES = ("p1", "p2", "p3", "p4", "p5", "p6")
+#: Ten frames a second make the reference's times whole frames of episodes as short as these.
+TASK, WIPE = segment.Hold(fps=10), segment.Wipe(fps=10)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,20 +50,45 @@ def hold(spark: SparkSession, sf_dir: str, x: str) -> DataFrame:
     return runs.longest_run(runs.close_gaps(masked(spark, sf_dir), f"c{x}", 3), f"c{x}")
 
 
+def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frames with two grippers and a position, made so that most episodes hold, pour and grind, and some do not.
+
+    tube closes in the first half unless ep % 11 = 0, pestle in the second unless ep % 13 = 0, hand nearly throughout; the
+    position rests while the tube is poured and shakes in place while the pestle grinds, unless ep % 7 = 0. Events add noise.
+    """
+    part = lambda low, high: (F.col("f") * 100 >= F.col("n") * low) & (F.col("f") * 100 < F.col("n") * high)
+    ep, f = F.col("ep"), F.col("f")
+    tube = F.when(part(14 + ep % 6, 42 + ep % 5) & (ep % 11 != 0), 300).otherwise(1000) + F.col("b") % 20
+    hand = F.when(part(14 + ep % 6, 95) & (ep % 11 != 0), 300).otherwise(1000) + F.col("b") % 20
+    pestle = F.when(part(50 + ep % 4, 90 + ep % 4) & (ep % 13 != 0), 300).otherwise(1000) + F.col("a") % 20
+    at = F.when(part(28, 42), F.floor(F.col("n") * 28 / 100) * 30).when(part(60, 85) & (ep % 7 != 0), 2000 + (f % 2) * 120).otherwise(f * 30)
+    return frames(spark, sf_dir).withColumns({"tube": tube, "pestle": pestle, "hand": hand, "x": at.cast("long") + F.col("b") % 7, "y": (f * 5 + F.col("a") % 9).cast("long")})
+
+
+def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.motion(moved(spark, sf_dir), ["x", "y"], 3, 11)
+
+
+def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.held_tasks(motion(spark, sf_dir), TASK)
+
+
+def wiped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The left hand holds what the right one wipes; the position is that of both, and the right one also nods."""
+    rows = moved(spark, sf_dir).withColumn("z", (F.col("f") % 3) * 10 + F.col("b") % 4)
+    for side, dims in (("left", ["x", "y"]), ("right", ["x", "y", "z"])):
+        rows = segment.motion(rows, dims, 1, 7, zscore=False).withColumnsRenamed({"raw": f"{side}_raw", "drift": f"{side}_drift"})
+    return segment.wiped(rows.withColumnsRenamed({"hand": "left", "pestle": "right"}), WIPE)
+
+
 def state_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ep, i, c, n): six points from the holds of both signals, or fixed shares of the episode where they are out of order."""
-    n = frames(spark, sf_dir).groupBy("ep").agg(F.count(F.lit(1)).alias("n"))
-    a = hold(spark, sf_dir, "a").select("ep", F.col("s").alias("s1"), F.col("e").alias("e1"))
-    b = hold(spark, sf_dir, "b").select("ep", F.col("s").alias("s2"), F.col("e").alias("e2"))
-    rows = n.join(a, "ep").join(b, "ep")
-    found = [F.col("s1"), F.col("s1") + F.floor((F.col("e1") - F.col("s1")) * 2 / 5), F.col("e1"), F.col("s2"), F.floor((F.col("s2") + F.col("e2")) / 2), F.col("e2")]
-    found = [c.cast("long") for c in found]
-    ordered = (found[0] > 0) & (found[-1] < F.col("n") - 1)
-    for x, y in zip(found, found[1:]):
-        ordered = ordered & (x < y)
-    shares = [F.floor(F.col("n") * int(100 * p + 0.5) / 100).cast("long") for p in SHARES]
-    points = F.when(ordered, F.array(*found)).otherwise(F.array(*shares))
-    return rows.select("ep", "n", F.posexplode(points).alias("i", "c")).select("ep", (F.col("i") + 1).cast("long").alias("i"), "c", "n")
+    """(ep, i, c, n): the six points of each episode.
+
+    posexplode would have the optimizer push its test for empty arrays, points and all, below every step of the
+    segmentation; the outer form, which has no such test, gives the same rows, as there are always six.
+    """
+    rows = segmented(spark, sf_dir).select("ep", "n", F.posexplode_outer("cps").alias("i", "c"))
+    return rows.select("ep", (F.col("i") + 1).cast("long").alias("i"), "c", "n")
 
 
 def other_points(spark: SparkSession, sf_dir: str) -> DataFrame:
