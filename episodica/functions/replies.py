@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Names that replies use for stages, and the stages themselves.
+#: Names that replies use for stages, the stages themselves, and what stands in where a reply has none.
 SYNONYMS = {"lift": "transport", "move": "transport", "moving": "transport", "carry": "transport", "open": "release", "finish": "done", "complete": "done"}
-STAGES = ("reach", "transport", "place", "release", "grasp", "adjust", "done")
+STAGES = ("reach", "grasp", "transport", "place", "release", "adjust", "done", "global")
+INSTRUCTION = "Follow the original global task instruction."
 
 
 def json_in(text: Column, brackets: bool = False) -> Column:
@@ -32,3 +33,18 @@ def stage_name(raw: Column) -> Column:
 
 def data_url(jpeg: Column) -> Column:
     return F.concat(F.lit("data:image/jpeg;base64,"), F.regexp_replace(F.base64(jpeg), r"\r?\n", ""))
+
+
+def shaped(found: Column) -> Column:
+    """Of a reply's JSON the object that holds stages: a list of one such object is that object, other lists are its stages."""
+    listed = found.startswith("[")
+    whole = F.try_parse_json(found)
+    inner = F.to_json(F.try_variant_get(whole, "$[0]", "variant"))
+    one = F.try_variant_get(whole, "$[0].stages", "variant").isNotNull() & F.try_variant_get(whole, "$[1]", "variant").isNull()
+    return F.when(listed & one, inner).when(listed, F.concat(F.lit('{"stages":'), F.to_json(whole), F.lit("}"))).otherwise(found)
+
+
+def selected(found: Column, state: Column) -> Column:
+    """The frame that a reply chose: a number or a text that holds one, halves to even; else the state's frame."""
+    said = F.try_variant_get(F.try_parse_json(found), "$.selected_frame", "string")
+    return F.coalesce(F.bround(said.try_cast("double"), 0).cast("long"), state)

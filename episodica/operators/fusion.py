@@ -55,3 +55,18 @@ def spaced(low: Column, high: Column, n: int) -> Column:
 def nearest_of(frames: Column, to: Column) -> Column:
     """The candidate nearest to a frame; the smaller of two as near."""
     return F.array_min(F.transform(frames, lambda x: F.struct(F.abs(x - to).alias("d"), x.alias("x"))))["x"]
+
+
+def complete(points: Column, size: int = 6) -> Column:
+    """The points if there are exactly `size`, else null."""
+    return F.when(F.size(points) == size, points)
+
+
+def first_of(tracks: dict[str, DataFrame], size: int = 6) -> DataFrame:
+    """(ep, source, points) of every episode: the first track, in the order given, that has exactly `size` points."""
+    joined = None
+    for name, track in tracks.items():
+        mine = track.select("ep", complete(F.col("points"), size).alias(f"points of {name}"))
+        joined = mine if joined is None else joined.join(mine, "ep", "full")
+    source = F.coalesce(*(F.when(F.col(f"points of {t}").isNotNull(), F.lit(t)) for t in tracks))
+    return joined.select("ep", source.alias("source"), F.coalesce(*(F.col(f"points of {t}") for t in tracks)).alias("points"))

@@ -76,3 +76,45 @@ def interval_score(items: DataFrame) -> DataFrame:
     held = inside.withColumns({"fresh": fresh, "size": size, "outside": out})
     bad = F.max("n") - F.sum("fresh") + F.sum("size") - F.sum("fresh") + F.sum("outside")
     return held.groupBy("ep").agg(F.round(F.greatest(F.lit(0.0), 1 - bad / F.max("n")), 4).alias("score"))
+
+
+def normalised_stages(items: DataFrame) -> DataFrame:
+    """Per episode of (ep, i, name, stage, first, last, n) the contiguous list of its stages, and what had to be changed.
+
+    name is as said, stage what it counts as. A missing start is the end before plus one, a missing end the start as said.
+    An episode without a stage is one stage `global`. stages: structs of name, start, end; changed: whether anything
+    moved; renamed: how many names changed.
+    """
+    some = items.where("i IS NOT NULL")
+    final = F.max("i").over(Window.partitionBy("ep"))
+    rows = some.withColumn("final", F.col("i") == final)
+    # The end as said counts from the start as said; without either a stage takes one frame.
+    said = F.coalesce("last", "first")
+    c = F.least(F.coalesce(said, F.lit(-(1 << 40)).cast("long")), F.col("n") - 1)
+    end = F.col("i") - 1 + F.greatest(F.lit(0), F.max(c - (F.col("i") - 1)).over(so_far()))
+    rows = rows.withColumn("end", F.when(F.col("final"), F.col("n") - 1).otherwise(F.least(end, F.col("n") - 1)))
+    rows = rows.withColumn("reach", end)
+    rows = rows.withColumn("start", F.coalesce(F.lag("reach").over(by_point()) + 1, F.lit(0).cast("long")))
+    rows = rows.withColumn("kept", F.col("start") < F.col("n"))
+    renamed = ~F.col("name").eqNullSafe(F.col("stage"))
+    moved = (F.col("first").isNotNull() & (F.col("first") != F.col("start"))) | (F.col("final") & (said != F.col("n") - 1)) | (said < F.col("start"))
+    stages = F.transform(
+        F.sort_array(F.collect_list(F.when(F.col("kept"), F.struct("i", "stage", "start", "end")))),
+        lambda s: F.struct(s["stage"].alias("name"), s["start"].alias("start"), s["end"].alias("end")),
+    )
+    held = rows.groupBy("ep").agg(
+        stages.alias("stages"),
+        F.max("n").alias("n"),
+        F.count_if(renamed & F.col("kept")).alias("renamed"),
+        (F.bool_or(F.coalesce(moved | renamed, F.lit(True))) | ~F.bool_and("kept")).alias("changed"),
+    )
+    last = F.size("stages") - 1
+    closed = F.transform("stages", lambda s, k: F.when(k == last, F.struct(s["name"].alias("name"), s["start"].alias("start"), (F.col("n") - 1).alias("end"))).otherwise(s))
+    held = held.withColumn("stages", closed)
+    every = items.groupBy("ep").agg(F.max("n").alias("of"))
+    alone = F.array(F.struct(F.lit("global").alias("name"), F.lit(0).cast("long").alias("start"), (F.col("of") - 1).alias("end")))
+    found = every.join(held, "ep", "left").withColumn("none", F.coalesce(F.size("stages"), F.lit(0)) <= 0)
+    return found.select(
+        "ep", F.col("of").alias("n"), F.when(F.col("none"), alone).otherwise(F.col("stages")).alias("stages"),
+        (F.col("none") | F.col("changed")).alias("changed"), F.when(F.col("none"), F.lit(0).cast("long")).otherwise(F.col("renamed")).alias("renamed"),
+    )

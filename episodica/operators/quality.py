@@ -42,3 +42,16 @@ def last_row(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key, by partial aggregation rather than a sort."""
     whole = F.struct(*(F.col(c) for c in rows.columns))
     return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(whole, F.col(order)).alias("_row")).select("_row.*")
+
+
+def log(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Old and new rows of a log, one for each key: the last with a score, or the last if none has one."""
+    rows = old.unionByName(new)
+    whole = F.struct(*(F.col(c) for c in rows.columns))
+    place = F.struct(F.col("score").isNotNull(), F.col(order))
+    return rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.max_by(whole, place).alias("_row")).select("_row.*")
+
+
+def means(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: how many rows there are, and the mean of each column to four places, 0 of none."""
+    return rows.agg(F.count(F.lit(1)).alias("episodes"), *(F.coalesce(F.round(F.avg(c), 4), F.lit(0.0)).alias(f"mean_{c}") for c in columns))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from episodica.functions import replies, signal
-from episodica.operators import align, fusion, intervals, quality, runs
+from episodica.operators import align, export, fusion, intervals, quality, runs
 from episodica.plans import frames as fr
 from episodica.plans.prelude import EGO_FALLBACK, PRELUDE
 
@@ -21,7 +21,8 @@ def query(sql: str):
     """Registers a query under its name, with the SQL that gives the same rows."""
 
     def add(f: Query) -> Query:
-        _QUERIES[f.__name__], _SQL[f.__name__] = f, f"WITH {PRELUDE} {sql}"
+        own = not sql.startswith("SELECT")  # begins with tables of its own
+        _QUERIES[f.__name__], _SQL[f.__name__] = f, f"WITH RECURSIVE {PRELUDE}{', ' if own else ' '}{sql}"
         return f
 
     return add
@@ -326,9 +327,9 @@ def extract_json_list(spark, d):
     return _replied(spark, d).select("event_id", found.startswith("[").alias("is_list"), k.alias("k"))
 
 
-@query("SELECT name, CASE WHEN name IN ('lift', 'move', 'moving', 'carry') THEN 'transport' WHEN name = 'open' THEN 'release' WHEN name IN ('finish', 'complete') THEN 'done' WHEN name IN ('reach', 'transport', 'place', 'release', 'grasp', 'adjust', 'done') THEN name ELSE 'adjust' END AS stage, count(*) AS rows FROM (SELECT ['lift', 'open', 'reach', 'carry', 'grasp', 'weird', 'complete', 'done', 'place', 'moving'][1 + event_id % 10] AS name FROM events) GROUP BY ALL")
+@query("SELECT name, CASE WHEN name IN ('lift', 'move', 'moving', 'carry') THEN 'transport' WHEN name = 'open' THEN 'release' WHEN name IN ('finish', 'complete') THEN 'done' WHEN name IN ('reach', 'transport', 'place', 'release', 'grasp', 'adjust', 'done', 'global') THEN name ELSE 'adjust' END AS stage, count(*) AS rows FROM (SELECT ['lift', 'open', 'reach', 'carry', 'grasp', 'weird', 'complete', 'done', 'global', 'moving'][1 + event_id % 10] AS name FROM events) GROUP BY ALL")
 def stage_name_map(spark, d):
-    names = F.array(*(F.lit(x) for x in ("lift", "open", "reach", "carry", "grasp", "weird", "complete", "done", "place", "moving")))
+    names = F.array(*(F.lit(x) for x in ("lift", "open", "reach", "carry", "grasp", "weird", "complete", "done", "global", "moving")))
     raw = names[(C("event_id") % 10).cast("int")]
     rows = fr.events(spark, d).select(raw.alias("name"), replies.stage_name(F.concat(F.lit(" "), F.upper(raw))).alias("stage"))
     return rows.groupBy("name", "stage").agg(F.count(F.lit(1)).alias("rows"))
@@ -366,7 +367,7 @@ def _edges(spark, d):
     index = intervals.dense(intervals.subtasks(fr.state_points(spark, d)))
     rows = fr.frames(spark, d).withColumn("w", (F.max("b").over(P()) - F.min("b").over(P())).cast("double"))
     rows = rows.join(index, ["ep", "f"]).groupBy("ep", "k").agg((F.max_by("b", "f") - F.min_by("b", "f")).alias("d"), (F.max("b") - F.min("b")).alias("spread"), F.max("w").alias("w"))
-    stage = F.array(*map(F.lit, replies.STAGES))[C("k").cast("int")]
+    stage = F.array(*map(F.lit, fr.STAGE_OF))[C("k").cast("int")]
     return rows.select("ep", "k", stage.alias("stage"), quality.boundary(stage, C("d"), C("spread"), C("w")).alias("score"))
 
 
@@ -523,3 +524,117 @@ def base64_url(spark, d):
 def prompt_text(spark, d):
     text = F.format_string("Point p%d of episode %d: choose among %s of %d frames.", "i", "ep", F.array_join("cand", ", "), "n")
     return _candidates(spark, d).select("ep", "i", text.alias("prompt"))
+
+
+def _named(spark, d):
+    """Proposed stages with names as replies give them; some times are missing, and so are all stages of some episodes."""
+    name = F.array(*(F.lit(x) for x in ("Reach", "lift", "place", None, "grasp", "odd", "done")))[(C("i") - 1).cast("int")]
+    rows = fr.proposed_stages(spark, d)
+    some = rows.where("ep % 8 <> 0").withColumn("i", F.row_number().over(Window.partitionBy("ep").orderBy("i")).cast("long")).withColumn("name", name)
+    some = some.withColumns({"first": F.when((C("ep") + C("i")) % 9 != 0, C("first")), "last": F.when((C("ep") + C("i")) % 7 != 0, C("last"))})
+    some = some.withColumn("stage", replies.stage_name(F.coalesce("name", F.lit("adjust"))))
+    none = rows.where("ep % 8 = 0").groupBy("ep").agg(F.max("n").alias("n"))
+    return some.unionByName(none, allowMissingColumns=True)
+
+
+@query("""nm0 AS (SELECT ep, row_number() OVER (PARTITION BY ep ORDER BY i) AS i, first, last, n FROM pr WHERE ep % 8 <> 0),
+nm1 AS (SELECT ep, i, ['Reach', 'lift', 'place', NULL, 'grasp', 'odd', 'done'][i] AS name, ['reach', 'transport', 'place', 'adjust', 'grasp', 'adjust', 'done'][i] AS stage, CASE WHEN (ep + i) % 9 = 0 THEN NULL ELSE first END AS a, CASE WHEN (ep + i) % 7 = 0 THEN NULL ELSE last END AS b, n, count(*) OVER (PARTITION BY ep) AS m FROM nm0),
+fold AS (SELECT ep, 0::BIGINT AS i, -1::BIGINT AS e, '' AS line, false AS changed, 0::BIGINT AS renamed, false AS stop FROM nm1 GROUP BY ep
+  UNION ALL SELECT fold.ep, nm1.i, CASE WHEN nm1.i = m THEN greatest(e + 1, n - 1) ELSE greatest(e + 1, least(coalesce(b, a, e + 1), n - 1)) END,
+    CASE WHEN e + 1 >= n THEN line ELSE line || stage || ':' || (e + 1) || '-' || CASE WHEN nm1.i = m THEN greatest(e + 1, n - 1) ELSE greatest(e + 1, least(coalesce(b, a, e + 1), n - 1)) END || ';' END,
+    changed OR name IS DISTINCT FROM stage OR coalesce(a, e + 1) <> e + 1 OR e + 1 >= n OR (nm1.i = m AND coalesce(b, a, e + 1) <> n - 1) OR coalesce(b, a, e + 1) < e + 1,
+    renamed + CASE WHEN e + 1 < n AND name IS DISTINCT FROM stage THEN 1 ELSE 0 END, e + 1 >= n
+  FROM fold JOIN nm1 ON nm1.ep = fold.ep AND nm1.i = fold.i + 1 WHERE NOT stop),
+done AS (SELECT ep, arg_max(line, i) AS line, arg_max(changed, i) AS changed, arg_max(renamed, i) AS renamed FROM fold GROUP BY ep)
+SELECT ep, line AS stages, changed, renamed FROM done UNION ALL SELECT ep, 'global:0-' || (max(n) - 1) || ';', true, 0 FROM pr WHERE ep % 8 = 0 GROUP BY ep""")
+def normalized_records(spark, d):
+    rows = intervals.normalised_stages(_named(spark, d))
+    line = lambda s: F.concat(s["name"], F.lit(":"), s["start"], F.lit("-"), s["end"], F.lit(";"))
+    return rows.select("ep", F.array_join(F.transform("stages", line), "").alias("stages"), "changed", "renamed")
+
+
+def _points(rows):
+    return rows.groupBy("ep").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("points"))
+
+
+_TRACKS = "hu AS (SELECT ep, list(c ORDER BY i) AS pts FROM vl WHERE ep % 3 = 0 AND NOT (ep % 2 = 0 AND i = 6) GROUP BY ep), fz AS (SELECT ep, list(c ORDER BY i) AS pts FROM fu WHERE ep % 5 <> 0 GROUP BY ep), ss AS (SELECT ep, list(c ORDER BY i) AS pts FROM st GROUP BY ep)"
+
+
+def _tracks(spark, d):
+    human = fr.other_points(spark, d).where("ep % 3 = 0 AND NOT (ep % 2 = 0 AND i = 6)")
+    return {"human": _points(human), "fused": _points(_fused(spark, d).where("ep % 5 <> 0")), "state": _points(fr.state_points(spark, d))}
+
+
+@query(f"{_TRACKS} SELECT ss.ep, CASE WHEN len(hu.pts) = 6 THEN 'human' WHEN len(fz.pts) = 6 THEN 'fused' ELSE 'state' END AS source, array_to_string(CASE WHEN len(hu.pts) = 6 THEN hu.pts WHEN len(fz.pts) = 6 THEN fz.pts ELSE ss.pts END, ',') AS points FROM ss LEFT JOIN fz USING (ep) LEFT JOIN hu USING (ep)")
+def first_track(spark, d):
+    """The annotation that a reviewer starts from: human, else fused, else state, whichever has all six points."""
+    return fusion.first_of(_tracks(spark, d)).select("ep", "source", F.array_join("points", ",").alias("points"))
+
+
+def _exported(spark, d):
+    episodes = fr.frames(spark, d).groupBy(C("ep").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    episodes = episodes.select((C("of") - 2).alias("episode_index"), F.when(C("of") % 6 != 0, C("n") - 20).alias("length"), F.concat(F.lit("e"), C("of")).alias("name"))
+    annotations = _points(fr.state_points(spark, d)).where("ep % 5 <> 0")
+    return export.exported(episodes, annotations, export.chosen("eventvla4"), offset=2)
+
+
+_EXPORT = """ex AS (SELECT st.ep - 2 AS episode_index, 'e' || st.ep AS name, CASE WHEN st.ep % 6 <> 0 THEN max(n) - 20 END AS length, CASE WHEN st.ep % 5 <> 0 THEN list(c) FILTER (i IN (2, 3, 5, 6)) END AS pts FROM st GROUP BY st.ep),
+ey AS (SELECT *, coalesce(list_sort(list_distinct(list_transform(pts, lambda x: greatest(0, least(x, coalesce(length, 0) - 1))))), []) AS steps, coalesce(list_filter(pts, lambda x: x < 0 OR x >= coalesce(length, 0)), []) AS clipped FROM ex)"""
+
+
+@query(f"{_EXPORT} SELECT episode_index, name, length, array_to_string(steps, ',') AS keyframe_steps, len(clipped) AS clipped, pts IS NOT NULL AS annotated FROM ey")
+def keyframe_rows(spark, d):
+    rows = _exported(spark, d)
+    return rows.select("episode_index", "name", "length", F.array_join("keyframe_steps", ",").alias("keyframe_steps"), F.size("clipped").cast("long").alias("clipped"), C("source").isNotNull().alias("annotated"))
+
+
+@query(f"{_EXPORT} SELECT count(*) AS episodes, count(*) FILTER (len(steps) > 0) AS with_keyframes, array_to_string(list(episode_index ORDER BY episode_index) FILTER (len(steps) = 0), ',') AS missing, array_to_string(list(episode_index ORDER BY episode_index) FILTER (len(clipped) > 0), ',') AS warnings FROM ey")
+def keyframe_report(spark, d):
+    found = export.summary(_exported(spark, d))
+    return found.select("episodes", "with_keyframes", F.array_join("missing", ",").alias("missing"), F.array_join("warnings", ",").alias("warnings"))
+
+
+_LOG = """lo AS (SELECT ep, k, 1 AS run, CASE WHEN (ep + k) % 3 <> 0 THEN (ep * 7 + k * 13) % 100 / 100.0 END AS score FROM sub WHERE ep % 2 = 0),
+ln AS (SELECT ep, k, 2 AS run, CASE WHEN (ep + k) % 4 <> 0 THEN (ep * 3 + k * 5) % 100 / 100.0 END AS score FROM sub WHERE ep % 4 < 3 AND NOT EXISTS (SELECT 1 FROM lo WHERE lo.ep = sub.ep AND lo.k = sub.k AND lo.score IS NOT NULL)),
+lg AS (SELECT ep, k, arg_max(run, (score IS NOT NULL)::INT * 10 + run) AS run, arg_max(coalesce(score, -1), (score IS NOT NULL)::INT * 10 + run) AS score FROM (FROM lo UNION ALL FROM ln) GROUP BY ep, k)"""
+
+
+def _log(spark, d):
+    """A verification log after a second run: what the first run scored is not asked again."""
+    samples = intervals.subtasks(fr.state_points(spark, d)).select("ep", "k")
+    score = lambda a, b: ((C("ep") * a + C("k") * b) % 100) / F.lit(100.0)
+    old = samples.where("ep % 2 = 0").select("ep", "k", F.lit(1).alias("run"), F.when((C("ep") + C("k")) % 3 != 0, score(7, 13)).alias("score"))
+    todo = quality.to_do(samples.where("ep % 4 < 3"), old, ["ep", "k"])
+    new = todo.select("ep", "k", F.lit(2).alias("run"), F.when((C("ep") + C("k")) % 4 != 0, score(3, 5)).alias("score"))
+    return quality.log(old, new, ["ep", "k"], "run")
+
+
+@query(f"{_LOG} SELECT ep, k, run, CASE WHEN score >= 0 THEN CAST(score AS DOUBLE) END AS score FROM lg")
+def verification_log(spark, d):
+    return _log(spark, d)
+
+
+@query(f"{_LOG}, fs AS (SELECT ep, round(avg(CAST(score AS DOUBLE)) FILTER (score >= 0), 4) AS future FROM lg GROUP BY ep), ea AS (SELECT ep, round(avg(score), 4) AS edges FROM ({_EDGE_SCORE}) GROUP BY ep) SELECT count(*) AS episodes, round(avg(sc.score), 4) AS mean_interval, round(avg(ea.edges), 4) AS mean_edges, round(avg(coalesce(fs.future, 0)), 4) AS mean_future FROM sc JOIN ea USING (ep) LEFT JOIN fs USING (ep)")
+def quality_global(spark, d):
+    """Means over all episodes; an episode that is not verified counts as 0."""
+    future = _log(spark, d).groupBy("ep").agg(F.round(F.avg("score"), 4).alias("future"))
+    edges = _edges(spark, d).groupBy("ep").agg(F.round(F.avg("score"), 4).alias("edges"))
+    rows = intervals.interval_score(fr.proposed_stages(spark, d)).withColumnRenamed("score", "interval").join(edges, "ep").join(future, "ep", "left")
+    return quality.means(rows.withColumn("future", F.coalesce("future", F.lit(0.0))), ["interval", "edges", "future"])
+
+
+@query("SELECT ep, row_number() OVER (ORDER BY ep) - 1 AS place FROM (SELECT DISTINCT ep FROM fr) QUALIFY place IN (1, 3, 4)")
+def subset_by_place(spark, d):
+    """Episodes by their place in the sorted list."""
+    ids = fr.frames(spark, d).select("ep").distinct()
+    rows = ids.orderBy("ep").limit(5).withColumn("place", (F.row_number().over(Window.orderBy("ep")) - 1).cast("long"))
+    return rows.where(C("place").isin(1, 3, 4))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 50 END AS frame, CASE event_id % 4 WHEN 0 THEN user_id WHEN 1 THEN event_id % 50 WHEN 2 THEN event_id % 50 ELSE round_even((event_id % 50) + 0.5, 0)::BIGINT END AS chosen FROM events")
+def selected_frame(spark, d):
+    """Frames as replies give them: absent, numbers, texts, halves."""
+    k = (C("event_id") % 50).cast("string")
+    raw = F.when(C("event_id") % 4 == 0, '{"x": 1}').when(C("event_id") % 4 == 1, F.concat(F.lit('{"selected_frame": '), k, F.lit("}")))
+    raw = raw.when(C("event_id") % 4 == 2, F.concat(F.lit('{"selected_frame": "'), k, F.lit('"}'))).otherwise(F.concat(F.lit('{"selected_frame": '), k, F.lit(".5}")))
+    return fr.events(spark, d).select("event_id", F.when(C("event_id") % 4 != 0, C("event_id") % 50).alias("frame"), replies.selected(raw, C("user_id")).alias("chosen"))

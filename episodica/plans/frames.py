@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from episodica.functions import signal
 from episodica.operators import intervals, runs, segment
 
+#: What the seven parts of an episode are taken for where stages are scored.
+STAGE_OF = ("reach", "transport", "place", "release", "grasp", "adjust", "done")
 #: Ten frames a second make the reference's times whole frames of episodes as short as these.
 TASK, WIPE = segment.Hold(fps=10), segment.Wipe(fps=10)
 
@@ -69,7 +73,9 @@ def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.motion(moved(spark, sf_dir), ["x", "y"], 3, 11)
 
 
+@lru_cache(maxsize=4)
 def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One plan for all queries of a session: building its expressions takes longer than running them on small tables."""
     return segment.held_tasks(motion(spark, sf_dir), TASK)
 
 

@@ -23,8 +23,11 @@ def read_episodes(spark: SparkSession, folder: str, columns: list[str] | None =
 
     Only the named columns are read, and only the files of the named episodes.
     """
-    glob = "episode_*.parquet" if episodes is None else "{" + ",".join(f"episode_{e:06d}.parquet" for e in episodes) + "}"
+    names = None if episodes is None else [f"episode_{e:06d}.parquet" for e in episodes]
+    glob = "episode_*.parquet" if not names else "{" + ",".join(names) + "}"
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).parquet(folder)
+    if names == []:
+        rows = rows.limit(0)
     wanted = [F.col(f"`{c}`") for c in columns or rows.columns if c != "episode_index"]
     return rows.select(episode_of(F.col("_metadata.file_path")).alias("episode_index"), F.col("_metadata.row_index").alias("frame"), *wanted)
 
@@ -34,13 +37,22 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DOCUMENT).option("multiLine", True).json(path)
 
 
-def read_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """JSON lines without blank ones. Bad lines are dropped, or fail the job if strict."""
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+def read_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows of JSON lines, lines that are no objects) without blank lines; bad lines fail the job if strict."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    if strict:
+        good = F.startswith(F.ltrim("value"), F.lit("{"))
+        error = F.raise_error(F.concat(F.lit("not an object: "), F.col("value")))
+        checked = lines.select(F.when(good, F.col("value")).otherwise(error).alias("value"))
+        return checked.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row")).select("row.*"), lines.limit(0)
+    parsed = lines.withColumn("whole", F.try_parse_json("value")).withColumn("good", F.col("whole").isNotNull() & F.startswith(F.ltrim("value"), F.lit("{")))
+    return parsed.where("good").select(F.from_json("value", schema).alias("row")).select("row.*"), parsed.where("NOT good").select("value")
 
 
 def read_gripper(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("frame long, width double").option("header", True).csv(path)
+    """(frame, width) by the names of the header, in whatever order and among whatever other columns they stand."""
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select(F.col("frame").cast("long").alias("frame"), F.col("width").cast("double").alias("width"))
 
 
 def subset(text: str) -> list[int]:
