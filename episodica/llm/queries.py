@@ -15,6 +15,7 @@ from episodica.llm import (
     chat,
     decontamination,
     fingerprints,
+    importance,
     kneser_ney,
     language,
     packing,
@@ -103,8 +104,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_lm_score, op2_language_id, op3_fingerprint, op4_chat_format, op5_toxicity, op6_simhash, op7_secrets, op8_personal, op9_decontamination, op10_packing)
+    every = (
+        op1_lm_score, op2_language_id, op3_fingerprint, op4_chat_format, op5_toxicity, op6_simhash, op7_secrets, op8_personal,
+        op9_decontamination, op10_packing, op11_importance,
+    )
     return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
@@ -121,6 +129,28 @@ def _op4_sql() -> str:
     FROM said GROUP BY conv_id"""
 
 
+def _op11_sql() -> str:
+    """DuckDB has no crc32: the features that differ go through its bits, eight for each byte, lowest first."""
+    lower = f"translate(text, '{importance.UPPER}', '{importance.LOWER}')"
+    byte = "('0x' || substr(h, 2 * (i // 8) + 1, 2))::UBIGINT"
+    bits = f"list_transform(range(4 * length(h)), lambda i: ({byte} >> (i % 8)) & 1)"
+    crc = f"xor(list_reduce({bits}, lambda c, bit: xor(c >> 1, 3988292384 * (xor(c, bit) & 1)), 4294967295::UBIGINT), 4294967295)"
+    return f"""WITH both_ AS MATERIALIZED (SELECT row_number() OVER () AS r, kind, doc_id, regexp_extract_all({lower}, '{importance.WORD}') AS w
+      FROM (SELECT 's' AS kind, doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 't', NULL, coalesce(text, '') FROM benchmark)),
+    each AS MATERIALIZED (SELECT r, kind, array_to_string(w[p : p + k - 1], ' ') AS feature FROM (SELECT r, kind, w, unnest(range(1, len(w) + 1)) AS p FROM both_), range(1, 4) AS runs(k)
+      WHERE p + k - 1 <= len(w)),
+    placed AS MATERIALIZED (SELECT feature, ({crc} % 10000)::INTEGER AS bucket FROM (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM each))),
+    counts AS (SELECT b AS bucket, coalesce(s, 0)::DOUBLE AS s, coalesce(t, 0)::DOUBLE AS t FROM range(10000) AS every(b) LEFT JOIN
+      (SELECT bucket, count(*) FILTER (kind = 's') AS s, count(*) FILTER (kind = 't') AS t FROM each JOIN placed USING (feature) GROUP BY bucket) ON b = bucket),
+    gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM counts),
+    weights AS (SELECT r, sum(gain)::BIGINT AS weight, count(*) AS n_features FROM each JOIN placed USING (feature) JOIN gains USING (bucket) WHERE kind = 's' GROUP BY r),
+    scored AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+      + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score
+      FROM both_ LEFT JOIN weights USING (r) WHERE kind = 's'),
+    placed_ AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) FILTER (n_words >= 20) OVER () AS n FROM scored)
+    SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM placed_"""
+
+
 def oracle_sql() -> dict[str, str]:
-    found = {"op4_chat_format": _op4_sql()}
+    found = {"op4_chat_format": _op4_sql(), "op11_importance": _op11_sql()}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
