@@ -18,11 +18,13 @@ from episodica.llm import (
     importance,
     kneser_ney,
     language,
+    lexical,
     packing,
     personal,
     secrets,
     simhash,
     toxicity,
+    windows,
 )
 from episodica.llm.tables import table
 from episodica.llm.tokens import vocabulary_path
@@ -108,10 +110,19 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = windows.pack(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens")
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_lm_score, op2_language_id, op3_fingerprint, op4_chat_format, op5_toxicity, op6_simhash, op7_secrets, op8_personal,
-        op9_decontamination, op10_packing, op11_importance,
+        op9_decontamination, op10_packing, op11_importance, op12_windows, op13_search,
     )
     return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
@@ -151,6 +162,19 @@ def _op11_sql() -> str:
     SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM placed_"""
 
 
+def _op13_sql() -> str:
+    words = f"regexp_extract_all(translate(text, '{importance.UPPER}', '{importance.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words} AS t FROM documents WHERE text IS NOT NULL),
+    sums AS (SELECT count(*)::BIGINT AS n, sum(len(t))::BIGINT AS l FROM docs WHERE len(t) > 0),
+    tfs AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM docs) GROUP BY r, term),
+    weights AS (SELECT term, floor(1000 * ln((2 * max(n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tfs, sums GROUP BY term),
+    asked AS (SELECT DISTINCT i, item_id, unnest({words}) AS term FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark WHERE text IS NOT NULL)),
+    scored AS (SELECT i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * len(t) * n) // l))))::BIGINT AS score
+      FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN docs USING (r), sums GROUP BY i, item_id, r, doc_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    found = {"op4_chat_format": _op4_sql(), "op11_importance": _op11_sql()}
+    found = {"op4_chat_format": _op4_sql(), "op11_importance": _op11_sql(), "op13_search": _op13_sql()}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
