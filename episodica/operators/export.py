@@ -11,8 +11,8 @@ PRESETS = {"all": (0, 1, 2, 3, 4, 5), "eventvla4": (1, 2, 4, 5), "pour_grind": (
 
 def chosen(raw: str) -> tuple[int, ...]:
     """Points, counted from 0, of a preset's name or of a list such as 2,3,5, counted from 1; an error for others."""
-    if raw in PRESETS:
-        return PRESETS[raw]
+    if (name := raw.strip().lower()) in PRESETS:
+        return PRESETS[name]
     points = [int(x) for x in raw.split(",") if x.strip()]
     if not points or not all(1 <= x <= 6 for x in points):
         raise ValueError(f"points are a list of numbers from 1 to 6, or one of {', '.join(PRESETS)}: {raw!r}")

@@ -2,38 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from episodica.functions import replies, signal
 from episodica.operators import align, export, fusion, intervals, quality, runs
+from episodica.plans import files  # noqa: F401  registers its queries
 from episodica.plans import frames as fr
-from episodica.plans.prelude import EGO_FALLBACK, PRELUDE
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    """Registers a query under its name, with the SQL that gives the same rows."""
-
-    def add(f: Query) -> Query:
-        own = not sql.startswith("SELECT")  # begins with tables of its own
-        _QUERIES[f.__name__], _SQL[f.__name__] = f, f"WITH RECURSIVE {PRELUDE}{', ' if own else ' '}{sql}"
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+from episodica.plans.prelude import EGO_FALLBACK
+from episodica.plans.registry import oracle_sql, queries, query  # noqa: F401  the first two are read from here
 
 
 C, W, P = F.col, signal.ordered, signal.episode

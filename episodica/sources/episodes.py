@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from episodica.sources.logs import read_lines  # noqa: F401  read with the other files of episodes
+
 SUBTASK = "struct<subtask_id:int,label:string,start_frame:int,end_frame:int,start_t:double,end_t:double,n_frames:int,dur_s:double>"
 DOCUMENT = (
     "episode_index int, task string, n_frames int, fps double, annotator string, method string, critical_points array<int>, "
@@ -37,18 +39,6 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DOCUMENT).option("multiLine", True).json(path)
 
 
-def read_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows of JSON lines, lines that are no objects) without blank lines; bad lines fail the job if strict."""
-    lines = spark.read.text(path).where("trim(value) <> ''")
-    if strict:
-        good = F.startswith(F.ltrim("value"), F.lit("{"))
-        error = F.raise_error(F.concat(F.lit("not an object: "), F.col("value")))
-        checked = lines.select(F.when(good, F.col("value")).otherwise(error).alias("value"))
-        return checked.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row")).select("row.*"), lines.limit(0)
-    parsed = lines.withColumn("whole", F.try_parse_json("value")).withColumn("good", F.col("whole").isNotNull() & F.startswith(F.ltrim("value"), F.lit("{")))
-    return parsed.where("good").select(F.from_json("value", schema).alias("row")).select("row.*"), parsed.where("NOT good").select("value")
-
-
 def read_gripper(spark: SparkSession, path: str) -> DataFrame:
     """(frame, width) by the names of the header, in whatever order and among whatever other columns they stand."""
     rows = spark.read.option("header", True).csv(path)
