@@ -16,16 +16,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episodica.llm.tokens import Encoder, vocabulary_path
+from episodica.llm.tokens import Encoder, encoding, vocabulary_path
 
-ID = 4  # bytes of a token id
-PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary"
+PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary"  # of two bytes each where the vocabulary allows it
 PACKED = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long, sequence_tokens long"
 
 
+def width(path: str, end: int) -> str:
+    """The type in which ids go between tasks: two bytes if all ids are below 65,536, else four."""
+    return "<u2" if max(encoding(path).n_vocab - 1, end) < 1 << 16 else "<u4"
+
+
 def pieces(docs: DataFrame, capacity: int = 2048, end: int = 1, path: str | None = None) -> DataFrame:
-    """The ids of every row of docs, then the id `end`, little-endian with four bytes each; longer rows in full windows and a rest."""
+    """The ids of every row of docs, then the id `end`, little-endian, as width() has them; longer rows in full windows and a rest."""
     path = path or vocabulary_path()
+    kind = width(path, end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, closing = Encoder(path), np.array([end], "<u4").tobytes()
@@ -34,12 +39,12 @@ def pieces(docs: DataFrame, capacity: int = 2048, end: int = 1, path: str | None
             out: list[tuple] = []
             held = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.ids(text.as_py() or "") + closing
-                n = len(ids) // ID
+                ids = np.frombuffer(encoder.ids(text.as_py() or "") + closing, "<u4").astype(kind)
+                n = len(ids)
                 for a in range(0, n, capacity):
                     b = min(a + capacity, n)
-                    out.append((doc_id, a, b - a, n, ids[ID * a : ID * b]))
-                held += len(ids)
+                    out.append((doc_id, a, b - a, n, ids[a:b].tobytes()))
+                held += ids.nbytes
                 if held > 1 << 23:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
                     out, held = [], 0
@@ -134,7 +139,7 @@ def closed(sizes: np.ndarray, window: np.ndarray, capacity: int, least: int = 1)
     return out
 
 
-def _pack(capacity: int, least: int):
+def _pack(capacity: int, least: int, kind: str):
     def run(part: pa.Table) -> pa.Table:
         number = part["part"][0].as_py()
         order = ["doc_id", "start", "length", "doc_tokens", "ids"]
@@ -150,7 +155,7 @@ def _pack(capacity: int, least: int):
                 piece.append(i), a.append(x), b.append(y), window.append(w), offset.append(at), tokens.append(whole)
                 at += y - x
         piece, a, b = (np.array(x, np.int64) for x in (piece, a, b))
-        cut = [ids[i].as_buffer()[ID * x : ID * y].to_pybytes() for i, x, y in zip(piece.tolist(), a.tolist(), b.tolist())]
+        cut = [np.frombuffer(ids[i].as_buffer(), kind)[x:y].astype("<u4").tobytes() for i, x, y in zip(piece.tolist(), a.tolist(), b.tolist())]
         columns = [doc.take(pa.array(piece)), start[piece] + a, b - a, total.take(pa.array(piece)), pa.array(cut, pa.binary()), (number << 32) + np.array(window, np.int64), offset, tokens]
         names = [*order, "sequence_id", "offset", "sequence_tokens"]
         return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names)
@@ -158,7 +163,7 @@ def _pack(capacity: int, least: int):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = 2048, end: int = 1, path: str | None = None, least: int = 1, part_bytes: int = 1 << 25, part_rows: int = 100_000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, end: int = 1, path: str | None = None, least: int = 1, part_bytes: int = 1 << 24, part_rows: int = 100_000) -> DataFrame:
     """Packs every row of docs into windows of at most capacity ids: a row per piece, with its ids and its place.
 
     The capacity is a power of two. sequence_tokens is the number of ids in the piece's window: the capacity, or another
@@ -169,10 +174,11 @@ def pack(docs: DataFrame, capacity: int = 2048, end: int = 1, path: str | None =
     and dealt in windows to many. Rows with null or repeated ids and equal rows are packed like others; equal lengths are
     taken in the order of doc_id and start. An empty table gives an empty result.
     """
+    path = path or vocabulary_path()
     if capacity & (capacity - 1) or capacity < 1:
         raise ValueError("capacity must be a power of two")
     size = docs.agg(F.coalesce(F.sum(F.octet_length(docs["text"])), F.lit(0)).alias("size"), F.count(F.lit(1)).alias("rows")).first()
     parts = max(1, -(-size["size"] // part_bytes), -(-size["rows"] // part_rows))
     where = F.xxhash64("doc_id", "start", F.monotonically_increasing_id())  # rows of one id part by their place
     dealt = pieces(docs, capacity, end, path).withColumn("part", F.pmod(where, F.lit(parts)).cast("int"))
-    return dealt.groupBy("part").applyInArrow(_pack(capacity, least), PACKED)
+    return dealt.groupBy("part").applyInArrow(_pack(capacity, least, width(path, end)), PACKED)
