@@ -5,23 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Names that replies use for stages, the stages themselves, and what stands in where a reply has none.
+#: Names that replies use for stages, and the stages themselves.
 SYNONYMS = {"lift": "transport", "move": "transport", "moving": "transport", "carry": "transport", "open": "release", "finish": "done", "complete": "done"}
 STAGES = ("reach", "grasp", "transport", "place", "release", "adjust", "done", "global")
-INSTRUCTION = "Follow the original global task instruction."
 
 
-def json_in(text: Column, brackets: bool = False) -> Column:
-    """The JSON object in a reply, without code fences, from the first brace to the last; `{}` where there is none.
+def is_json(text: Column) -> Column:
+    """Is the whole text one JSON value? Spark's own parser takes what begins with one, whatever follows.
 
-    With brackets a list is taken too, if it begins before any object.
+    A second value, or an end of what is put around the text, spoils either the list or the object.
     """
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    keyed = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit(',"s":1}'))), "$.s", "int")
+    return F.coalesce((F.size(listed) == 1) & (keyed == 1), F.lit(False))
+
+
+def json_in(text: Column) -> Column:
+    """The JSON object in a reply, without code fences, from the first brace to the last; `{}` where there is none."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"```(?:json)?", "")
     found = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    if brackets:
-        listed = F.regexp_extract(bare, r"(?s)^[^{\[]*(\[.*\])", 1)
-        found = F.when(listed != "", listed).otherwise(found)
-    return F.when(F.try_parse_json(found).isNull(), "{}").otherwise(found)
+    return F.when(is_json(found), found).otherwise("{}")
+
+
+def json_value(text: Column, lists: bool = False) -> Column:
+    """The JSON of a reply: all of it without the fence around it, else from the first brace to the last, else with lists
+    from the first bracket to the last; whichever is JSON first, or null."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"^```(?:json)?", ""), r"```$", ""))
+    bare = F.regexp_replace(bare, r"^\s+|\s+$", "")
+    tried = [bare, F.regexp_extract(bare, r"(?s)\{.*\}", 0), *([F.regexp_extract(bare, r"(?s)\[.*\]", 0)] if lists else [])]
+    return F.coalesce(*(F.when(is_json(t), t) for t in tried))
 
 
 def stage_name(raw: Column) -> Column:
@@ -36,12 +48,28 @@ def data_url(jpeg: Column) -> Column:
 
 
 def shaped(found: Column) -> Column:
-    """Of a reply's JSON the object that holds stages: a list of one such object is that object, other lists are its stages."""
-    listed = found.startswith("[")
+    """Of a reply's JSON the object that holds stages: an object is itself, a list of one object with stages is that one, of
+    other lists the objects are the stages. Null for what is neither, or a list that holds anything else."""
     whole = F.try_parse_json(found)
+    kind = F.schema_of_variant(whole)
+    items = F.try_variant_get(whole, "$", "array<variant>")
+    objects = F.forall(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    one = (F.size(items) == 1) & F.try_variant_get(whole, "$[0].stages", "variant").isNotNull()
     inner = F.to_json(F.try_variant_get(whole, "$[0]", "variant"))
-    one = F.try_variant_get(whole, "$[0].stages", "variant").isNotNull() & F.try_variant_get(whole, "$[1]", "variant").isNull()
-    return F.when(listed & one, inner).when(listed, F.concat(F.lit('{"stages":'), F.to_json(whole), F.lit("}"))).otherwise(found)
+    listed = F.when(one & objects, inner).when(objects, F.concat(F.lit('{"stages":'), F.to_json(whole), F.lit("}")))
+    return F.when(kind.startswith("OBJECT"), found).when(kind.startswith("ARRAY"), listed)
+
+
+def whole_number(found: Column) -> tuple[Column, Column]:
+    """(number, bad) of a variant as a time: numbers are cut to whole ones, texts may hold a whole number, all else is bad.
+
+    A field that is not there is no number and not bad.
+    """
+    kind = F.schema_of_variant(found)
+    text = F.trim(F.try_variant_get(found, "$", "string"))
+    real = F.when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(found, "$", "double").cast("long"))
+    number = F.when(kind == "BIGINT", F.try_variant_get(found, "$", "long")).when(kind == "STRING", F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("long"))).otherwise(real)
+    return number, found.isNotNull() & number.isNull()
 
 
 def selected(found: Column, state: Column) -> Column:

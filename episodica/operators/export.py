@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sets of points by name, counted from 0.
+#: Names of the points, and sets of them by name, counted from 0.
+POINTS = ("grasp_tube", "start_pour", "release_tube", "grasp_pestle", "start_grind", "lift_pestle")
 PRESETS = {"all": (0, 1, 2, 3, 4, 5), "eventvla4": (1, 2, 4, 5), "pour_grind": (1, 4)}
 
 
@@ -19,11 +20,12 @@ def chosen(raw: str) -> tuple[int, ...]:
     return tuple(x - 1 for x in points)
 
 
-def keyframes(points: Column, which: tuple[int, ...], strict: bool = False) -> Column:
-    """The chosen ones of an episode's six points, sorted, each once. Fewer than six are an error if strict, else null."""
+def keyframes(points: Column, which: tuple[int, ...]) -> Column:
+    """The chosen ones of an episode's six points, sorted, each once. Fewer than six, or none at all, are an error."""
     some = F.array_sort(F.array_distinct(F.array(*(F.get(points, F.lit(k)) for k in which))))
-    error = F.raise_error(F.concat(F.lit("six points are needed, there are "), F.size(points).cast("string"))) if strict else F.lit(None)
-    return F.when(points.isNull(), F.lit(None)).when(F.size(points) < 6, error).otherwise(some)
+    count = F.coalesce(F.size(points), F.lit(0))
+    error = F.raise_error(F.concat(F.lit("six points are needed, there are "), count.cast("string")))
+    return F.when(count < 6, error).otherwise(some)
 
 
 def inside(frames: Column, length: Column, strict: bool = False) -> tuple[Column, Column]:
@@ -36,27 +38,46 @@ def inside(frames: Column, length: Column, strict: bool = False) -> tuple[Column
     return kept, outside
 
 
-def exported(episodes: DataFrame, annotations: DataFrame, which: tuple[int, ...], offset: int = 0, strict: bool = False) -> DataFrame:
-    """episodes (episode_index, length, ...) with keyframe_steps, clipped and source, from annotations (ep, points).
+def exported(episodes: DataFrame, annotations: DataFrame, points: str, offset: int = 0, strict: bool = False, alias: bool = True) -> DataFrame:
+    """episodes (episode_index, length, ...) with keyframe_steps, warnings and source, from annotations (ep, points, names).
 
-    An episode's annotation is that of episode_index + offset. Without one the steps are empty and the source is null, or
-    it is an error if strict. A missing length counts as 0. All columns of episodes stay.
+    points are a preset or a list, as chosen() reads them. An episode's annotation is that of episode_index + offset.
+    Without one the steps are empty and the source is null, or it is an error if strict. A missing length counts as 0.
+    An annotation with fewer than six points is an error; one without names has those of the task. source holds the
+    annotation's episode, points as written here, and the annotation's points and names. With alias the steps stand in
+    inspect_keyframe_steps too. All columns of episodes stay.
     """
-    found = annotations.select(F.col("ep").alias("_of"), keyframes(F.col("points"), which, strict).alias("_steps"))
+    names = F.when(F.coalesce(F.size("names"), F.lit(0)) > 0, F.col("names")).otherwise(F.array(*map(F.lit, POINTS)))
+    found = annotations.select(
+        F.col("ep").alias("_of"), keyframes(F.col("points"), chosen(points)).alias("_steps"), F.col("points").alias("_points"), names.alias("_names")
+    )
     joined = episodes.join(found, F.col("episode_index") + offset == F.col("_of"), "left")
     if strict:
         error = F.raise_error(F.concat(F.lit("no annotation for episode "), F.col("episode_index").cast("string")))
         joined = joined.withColumn("_steps", F.when(F.col("_of").isNull(), error).otherwise(F.col("_steps")))
-    none = F.array().cast("array<bigint>")
-    kept, outside = inside(F.coalesce("_steps", none), F.coalesce(F.col("length"), F.lit(0)), strict)
-    source = F.when(F.col("_of").isNotNull(), F.struct(F.col("_of").alias("annotation_episode"), F.lit(list(which)).alias("points")))
-    return joined.withColumns({"keyframe_steps": kept, "clipped": outside, "source": source}).drop("_of", "_steps")
+    length = F.coalesce(F.col("length"), F.lit(0))
+    kept, outside = inside(F.coalesce("_steps", F.array().cast("array<bigint>")), length, strict)
+    said = F.transform(
+        outside,
+        lambda x: F.format_string("episode %d: keyframe %d outside [0,%d); clipped to %d", F.col("episode_index"), x, length, F.greatest(F.lit(0), F.least(x, length - 1))),
+    )
+    source = F.when(
+        F.col("_of").isNotNull(),
+        F.struct(F.col("_of").alias("annotation_episode"), F.lit(points).alias("points"), F.col("_points").alias("critical_points"), F.col("_names").alias("critical_names")),
+    )
+    more = {"keyframe_steps": kept, "warnings": said, "source": source} | ({"inspect_keyframe_steps": kept} if alias else {})
+    return joined.withColumns(more).drop("_of", "_steps", "_points", "_names")
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    """One row: episodes, those with keyframes, the numbers of those without, and of those where frames were clipped."""
-    ids = lambda on: F.sort_array(F.collect_list(F.when(on, F.col("episode_index"))))
+    """One row: episodes, those with keyframes, those without an annotation, and how many warnings there are."""
     return rows.agg(
         F.count(F.lit(1)).alias("episodes"), F.count_if(F.size("keyframe_steps") > 0).alias("with_keyframes"),
-        ids(F.size("keyframe_steps") == 0).alias("missing"), ids(F.size("clipped") > 0).alias("warnings"),
+        F.count_if(F.col("source").isNull()).alias("missing"), F.coalesce(F.sum(F.size("warnings")), F.lit(0)).alias("warnings"),
     )
+
+
+def remarks(rows: DataFrame) -> DataFrame:
+    """(episode_index, remark): each episode without an annotation, and each warning."""
+    missing = F.when(F.col("source").isNull(), F.array(F.lit("missing annotation"))).otherwise(F.col("warnings"))
+    return rows.select("episode_index", F.explode(missing).alias("remark"))

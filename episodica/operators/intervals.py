@@ -79,42 +79,47 @@ def interval_score(items: DataFrame) -> DataFrame:
 
 
 def normalised_stages(items: DataFrame) -> DataFrame:
-    """Per episode of (ep, i, name, stage, first, last, n) the contiguous list of its stages, and what had to be changed.
+    """Per episode of (ep, i, name, stage, first, last, bad, n) the contiguous list of its stages, and what had to be changed.
 
-    name is as said, stage what it counts as. A missing start is the end before plus one, a missing end the start as said.
-    An episode without a stage is one stage `global`. stages: structs of name, start, end; changed: whether anything
-    moved; renamed: how many names changed.
+    name is as said, stage what it counts as. A missing start is the end before plus one, a missing end the start as said;
+    an item of which a time is given but is no number (bad) is one frame after the end before. Ends of all but the final
+    item are clamped without a word; the final one ends at n - 1. Items from the first one on that would start behind the
+    episode are left out. An episode without a stage is one stage `global`.
+
+    stages: structs of name, start, end, original (the name as said, where it counts as another); changed: whether any
+    start or name, the final end or the number of stages differs from what was said, or a time was no number; renamed: how
+    many names changed, the first item that starts behind the episode among them; coverage_ok, stage_count: of stages.
     """
-    some = items.where("i IS NOT NULL")
-    final = F.max("i").over(Window.partitionBy("ep"))
-    rows = some.withColumn("final", F.col("i") == final)
-    # The end as said counts from the start as said; without either a stage takes one frame.
-    said = F.coalesce("last", "first")
-    c = F.least(F.coalesce(said, F.lit(-(1 << 40)).cast("long")), F.col("n") - 1)
-    end = F.col("i") - 1 + F.greatest(F.lit(0), F.max(c - (F.col("i") - 1)).over(so_far()))
-    rows = rows.withColumn("end", F.when(F.col("final"), F.col("n") - 1).otherwise(F.least(end, F.col("n") - 1)))
-    rows = rows.withColumn("reach", end)
+    n, i = F.col("n"), F.col("i")
+    some = items.where("i IS NOT NULL").withColumn("final", i == F.max("i").over(Window.partitionBy("ep")))
+    bad = F.coalesce(F.col("bad"), F.lit(False))
+    rows = some.withColumns({"bad": bad, "first": F.when(~bad, F.col("first")), "last": F.when(~bad, F.coalesce("last", "first"))})
+    # The end as said moves forward over all ends before it; without one an item takes one frame.
+    c = F.least(F.coalesce("last", F.lit(-(1 << 40)).cast("long")), n - 1)
+    rows = rows.withColumn("reach", i - 1 + F.greatest(F.lit(0), F.max(c - (i - 1)).over(so_far())))
     rows = rows.withColumn("start", F.coalesce(F.lag("reach").over(by_point()) + 1, F.lit(0).cast("long")))
-    rows = rows.withColumn("kept", F.col("start") < F.col("n"))
+    rows = rows.withColumn("kept", F.col("start") < n)
+    rows = rows.withColumn("seen", F.coalesce(F.lag("kept").over(by_point()), F.lit(True)))  # what follows the first item behind the episode is not looked at
+    end = F.when(F.col("final"), n - 1).otherwise(F.least("reach", n - 1))
     renamed = ~F.col("name").eqNullSafe(F.col("stage"))
-    moved = (F.col("first").isNotNull() & (F.col("first") != F.col("start"))) | (F.col("final") & (said != F.col("n") - 1)) | (said < F.col("start"))
-    stages = F.transform(
-        F.sort_array(F.collect_list(F.when(F.col("kept"), F.struct("i", "stage", "start", "end")))),
-        lambda s: F.struct(s["stage"].alias("name"), s["start"].alias("start"), s["end"].alias("end")),
-    )
+    moved = F.coalesce(F.col("first"), F.col("start")) != F.col("start")
+    cut = F.col("final") & (F.coalesce("last", "start") != n - 1)
+    part = F.struct("i", F.col("stage").alias("name"), "start", end.alias("end"), F.when(renamed, F.col("name")).alias("original"))
     held = rows.groupBy("ep").agg(
-        stages.alias("stages"),
-        F.max("n").alias("n"),
-        F.count_if(renamed & F.col("kept")).alias("renamed"),
-        (F.bool_or(F.coalesce(moved | renamed, F.lit(True))) | ~F.bool_and("kept")).alias("changed"),
+        F.sort_array(F.collect_list(F.when(F.col("kept"), part))).alias("stages"),
+        F.count_if(renamed & F.col("seen")).alias("renamed"),
+        F.bool_or(F.col("seen") & (moved | cut | renamed | F.col("bad") | ~F.col("kept"))).alias("changed"),
     )
-    last = F.size("stages") - 1
-    closed = F.transform("stages", lambda s, k: F.when(k == last, F.struct(s["name"].alias("name"), s["start"].alias("start"), (F.col("n") - 1).alias("end"))).otherwise(s))
-    held = held.withColumn("stages", closed)
-    every = items.groupBy("ep").agg(F.max("n").alias("of"))
-    alone = F.array(F.struct(F.lit("global").alias("name"), F.lit(0).cast("long").alias("start"), (F.col("of") - 1).alias("end")))
+    every = items.groupBy("ep").agg(F.max("n").alias("n"))
     found = every.join(held, "ep", "left").withColumn("none", F.coalesce(F.size("stages"), F.lit(0)) <= 0)
+    kind = "struct<name:string,start:bigint,end:bigint,original:string>"
+    alone = F.array(F.struct(F.lit("global"), F.lit(0), n - 1, F.lit(None))).cast(f"array<{kind}>")
+    last = F.size("stages") - 1
+    whole = lambda x, k: F.struct(x["name"], x["start"], F.when(k == last, n - 1).otherwise(x["end"]), x["original"]).cast(kind)
+    found = found.withColumn("stages", F.when(F.col("none"), alone).otherwise(F.transform("stages", whole)))
+    follows = F.forall(F.transform("stages", lambda x, k: x["start"] == F.when(k == 0, F.lit(0)).otherwise(F.get("stages", k - 1)["end"] + 1)), lambda ok: ok)
+    covered = follows & (F.element_at("stages", -1)["end"] == n - 1)
     return found.select(
-        "ep", F.col("of").alias("n"), F.when(F.col("none"), alone).otherwise(F.col("stages")).alias("stages"),
-        (F.col("none") | F.col("changed")).alias("changed"), F.when(F.col("none"), F.lit(0).cast("long")).otherwise(F.col("renamed")).alias("renamed"),
+        "ep", "n", "stages", (F.col("none") | F.col("changed")).alias("changed"), F.coalesce("renamed", F.lit(0).cast("long")).alias("renamed"),
+        covered.alias("coverage_ok"), F.size("stages").cast("long").alias("stage_count"),
     )

@@ -297,11 +297,29 @@ def extract_json(spark, d):
     return _replied(spark, d).select("event_id", k.alias("k"), (found != "{}").alias("parsed"))
 
 
+_FORMS = ("```json\\n[{\"stages\": [%d]}]\\n```", "Sure: [{\"name\": \"a\", \"k\": %d}] so", "x [{\"k\": %d}, {\"k\": 2}] y", "[{\"k\": %d}, 5]", "{\"k\": %d}", "%d", "{oops {\"k\": %d}", "[%d]")
+
+
+@query("""rp AS (SELECT event_id, event_id % 8 AS form, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, form NOT IN (2, 6) OR form = 2 AS parsed, CASE form WHEN 0 THEN '{"stages":[' || k || ']}' WHEN 1 THEN '{"k":' || k || ',"name":"a"}' WHEN 2 THEN '{"stages":[{"k":' || k || '},{"k":2}]}' WHEN 4 THEN '{"k":' || k || '}' END AS object,
+form NOT IN (2, 6) AS object_parsed FROM rp""")
+def reply_shapes(spark, d):
+    """What replies hold: objects before lists, a list of one object in prose as that object, other lists as their stages."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    raw = F.lit(None).cast("string")
+    for form, text in enumerate(_FORMS):
+        raw = F.when(C("event_id") % 8 == form, F.format_string(text, k)).otherwise(raw)
+    found = replies.json_value(C("raw"), lists=True)
+    flat = F.to_json(F.try_parse_json(replies.shaped(found)))
+    return fr.events(spark, d).select("event_id", raw.alias("raw")).select("event_id", found.isNotNull().alias("parsed"), flat.alias("object"), replies.json_value(C("raw")).isNotNull().alias("object_parsed"))
+
+
 @query(f"SELECT event_id, event_id % 5 = 2 AS is_list, {_REPLY_K} AS k FROM events")
 def extract_json_list(spark, d):
-    found = replies.json_in(C("raw"), brackets=True)
-    k = F.coalesce(F.get_json_object(found, "$[0].k"), F.get_json_object(found, "$.k")).cast("long")
-    return _replied(spark, d).select("event_id", found.startswith("[").alias("is_list"), k.alias("k"))
+    """Of the replies those that speak of a list; the object in it counts before the list."""
+    found = replies.json_value(C("raw"), lists=True)
+    k = F.get_json_object(replies.shaped(found), "$.k").cast("long")
+    return _replied(spark, d).select("event_id", C("raw").startswith("list [").alias("is_list"), k.alias("k"))
 
 
 @query("SELECT name, CASE WHEN name IN ('lift', 'move', 'moving', 'carry') THEN 'transport' WHEN name = 'open' THEN 'release' WHEN name IN ('finish', 'complete') THEN 'done' WHEN name IN ('reach', 'transport', 'place', 'release', 'grasp', 'adjust', 'done', 'global') THEN name ELSE 'adjust' END AS stage, count(*) AS rows FROM (SELECT ['lift', 'open', 'reach', 'carry', 'grasp', 'weird', 'complete', 'done', 'global', 'moving'][1 + event_id % 10] AS name FROM events) GROUP BY ALL")
@@ -504,30 +522,35 @@ def prompt_text(spark, d):
 
 
 def _named(spark, d):
-    """Proposed stages with names as replies give them; some times are missing, and so are all stages of some episodes."""
+    """Proposed stages as replies give them: names in odd forms, times that are missing or no numbers, episodes without stages."""
     name = F.array(*(F.lit(x) for x in ("Reach", "lift", "place", None, "grasp", "odd", "done")))[(C("i") - 1).cast("int")]
     rows = fr.proposed_stages(spark, d)
     some = rows.where("ep % 8 <> 0").withColumn("i", F.row_number().over(Window.partitionBy("ep").orderBy("i")).cast("long")).withColumn("name", name)
-    some = some.withColumns({"first": F.when((C("ep") + C("i")) % 9 != 0, C("first")), "last": F.when((C("ep") + C("i")) % 7 != 0, C("last"))})
+    field = lambda c, gone: F.when(~gone, F.to_json(F.struct(F.concat(C(c), F.lit("")).alias("v"))))  # noqa: E731  a text that holds a number
+    start, end = field("first", (C("ep") + C("i")) % 9 == 0), field("last", (C("ep") + C("i")) % 7 == 0)
+    start = F.when((C("ep") + 2 * C("i")) % 11 == 0, '{"v": "soon"}').when(C("i") % 2 == 0, F.regexp_replace(start, r':"(-?\d+)"', ":$1.9")).otherwise(start)
+    parsed = {c: replies.whole_number(F.try_variant_get(F.parse_json(x), "$.v", "variant")) for c, x in (("first", start), ("last", end))}
+    some = some.withColumns({"first": parsed["first"][0], "last": parsed["last"][0], "bad": parsed["first"][1] | parsed["last"][1]})
     some = some.withColumn("stage", replies.stage_name(F.coalesce("name", F.lit("adjust"))))
     none = rows.where("ep % 8 = 0").groupBy("ep").agg(F.max("n").alias("n"))
     return some.unionByName(none, allowMissingColumns=True)
 
 
 @query("""nm0 AS (SELECT ep, row_number() OVER (PARTITION BY ep ORDER BY i) AS i, first, last, n FROM pr WHERE ep % 8 <> 0),
-nm1 AS (SELECT ep, i, ['Reach', 'lift', 'place', NULL, 'grasp', 'odd', 'done'][i] AS name, ['reach', 'transport', 'place', 'adjust', 'grasp', 'adjust', 'done'][i] AS stage, CASE WHEN (ep + i) % 9 = 0 THEN NULL ELSE first END AS a, CASE WHEN (ep + i) % 7 = 0 THEN NULL ELSE last END AS b, n, count(*) OVER (PARTITION BY ep) AS m FROM nm0),
-fold AS (SELECT ep, 0::BIGINT AS i, -1::BIGINT AS e, '' AS line, false AS changed, 0::BIGINT AS renamed, false AS stop FROM nm1 GROUP BY ep
-  UNION ALL SELECT fold.ep, nm1.i, CASE WHEN nm1.i = m THEN greatest(e + 1, n - 1) ELSE greatest(e + 1, least(coalesce(b, a, e + 1), n - 1)) END,
-    CASE WHEN e + 1 >= n THEN line ELSE line || stage || ':' || (e + 1) || '-' || CASE WHEN nm1.i = m THEN greatest(e + 1, n - 1) ELSE greatest(e + 1, least(coalesce(b, a, e + 1), n - 1)) END || ';' END,
-    changed OR name IS DISTINCT FROM stage OR coalesce(a, e + 1) <> e + 1 OR e + 1 >= n OR (nm1.i = m AND coalesce(b, a, e + 1) <> n - 1) OR coalesce(b, a, e + 1) < e + 1,
-    renamed + CASE WHEN e + 1 < n AND name IS DISTINCT FROM stage THEN 1 ELSE 0 END, e + 1 >= n
-  FROM fold JOIN nm1 ON nm1.ep = fold.ep AND nm1.i = fold.i + 1 WHERE NOT stop),
-done AS (SELECT ep, arg_max(line, i) AS line, arg_max(changed, i) AS changed, arg_max(renamed, i) AS renamed FROM fold GROUP BY ep)
-SELECT ep, line AS stages, changed, renamed FROM done UNION ALL SELECT ep, 'global:0-' || (max(n) - 1) || ';', true, 0 FROM pr WHERE ep % 8 = 0 GROUP BY ep""")
+nm1 AS (SELECT ep, i, ['Reach', 'lift', 'place', NULL, 'grasp', 'odd', 'done'][i] AS name, ['reach', 'transport', 'place', 'adjust', 'grasp', 'adjust', 'done'][i] AS stage, (ep + 2 * i) % 11 = 0 AS bad,
+  CASE WHEN (ep + i) % 9 = 0 THEN NULL ELSE first END AS a, CASE WHEN (ep + i) % 7 = 0 THEN NULL ELSE last END AS b, n, count(*) OVER (PARTITION BY ep) AS m FROM nm0),
+fold AS (SELECT ep, 0::BIGINT AS i, -1::BIGINT AS e, '' AS line, false AS changed, 0::BIGINT AS renamed, 0::BIGINT AS kept, false AS stop FROM nm1 GROUP BY ep
+  UNION ALL SELECT ep, i, e2, CASE WHEN stop THEN line ELSE line || stage || ':' || s || '-' || e2 || CASE WHEN name <> stage THEN '(' || name || ')' ELSE '' END || ';' END,
+    changed OR name IS DISTINCT FROM stage OR bad OR rs <> s OR stop OR (i = m AND re <> n - 1), renamed + (name IS DISTINCT FROM stage)::INT, kept + (NOT stop)::INT, stop FROM
+  (SELECT fold.ep, nm1.i, n, m, bad, name, stage, e + 1 AS s, e + 1 >= n AS stop, line, changed, renamed, kept, CASE WHEN bad THEN e + 1 ELSE coalesce(a, e + 1) END AS rs, CASE WHEN bad THEN e + 1 ELSE coalesce(b, a, e + 1) END AS re,
+    CASE WHEN nm1.i = m THEN greatest(e + 1, n - 1) ELSE greatest(e + 1, least(CASE WHEN bad THEN e + 1 ELSE coalesce(b, a, e + 1) END, n - 1)) END AS e2
+  FROM fold JOIN nm1 ON nm1.ep = fold.ep AND nm1.i = fold.i + 1 WHERE NOT fold.stop)),
+done AS (SELECT ep, arg_max(line, i) AS line, arg_max(changed, i) AS changed, arg_max(renamed, i) AS renamed, arg_max(kept, i) AS kept FROM fold GROUP BY ep)
+SELECT ep, line AS stages, changed, renamed, kept AS stage_count, true AS coverage_ok FROM done UNION ALL SELECT ep, 'global:0-' || (max(n) - 1) || ';', true, 0, 1, true FROM pr WHERE ep % 8 = 0 GROUP BY ep""")
 def normalized_records(spark, d):
     rows = intervals.normalised_stages(_named(spark, d))
-    line = lambda s: F.concat(s["name"], F.lit(":"), s["start"], F.lit("-"), s["end"], F.lit(";"))
-    return rows.select("ep", F.array_join(F.transform("stages", line), "").alias("stages"), "changed", "renamed")
+    line = lambda s: F.concat(s["name"], F.lit(":"), s["start"], F.lit("-"), s["end"], F.coalesce(F.concat(F.lit("("), s["original"], F.lit(")")), F.lit("")), F.lit(";"))
+    return rows.select("ep", F.array_join(F.transform("stages", line), "").alias("stages"), "changed", "renamed", "stage_count", "coverage_ok")
 
 
 def _points(rows):
@@ -551,24 +574,32 @@ def first_track(spark, d):
 def _exported(spark, d):
     episodes = fr.frames(spark, d).groupBy(C("ep").alias("of")).agg(F.count(F.lit(1)).alias("n"))
     episodes = episodes.select((C("of") - 2).alias("episode_index"), F.when(C("of") % 6 != 0, C("n") - 20).alias("length"), F.concat(F.lit("e"), C("of")).alias("name"))
-    annotations = _points(fr.state_points(spark, d)).where("ep % 5 <> 0")
-    return export.exported(episodes, annotations, export.chosen("eventvla4"), offset=2)
+    annotations = _points(fr.state_points(spark, d)).where("ep % 5 <> 0").withColumn("names", F.when(C("ep") % 2 == 0, F.array(F.lit("a"), F.lit("b"))))
+    return export.exported(episodes, annotations, "eventvla4", offset=2)
 
 
-_EXPORT = """ex AS (SELECT st.ep - 2 AS episode_index, 'e' || st.ep AS name, CASE WHEN st.ep % 6 <> 0 THEN max(n) - 20 END AS length, CASE WHEN st.ep % 5 <> 0 THEN list(c) FILTER (i IN (2, 3, 5, 6)) END AS pts FROM st GROUP BY st.ep),
-ey AS (SELECT *, coalesce(list_sort(list_distinct(list_transform(pts, lambda x: greatest(0, least(x, coalesce(length, 0) - 1))))), []) AS steps, coalesce(list_filter(pts, lambda x: x < 0 OR x >= coalesce(length, 0)), []) AS clipped FROM ex)"""
+_EXPORT = """ex AS (SELECT st.ep, st.ep - 2 AS episode_index, 'e' || st.ep AS name, CASE WHEN st.ep % 6 <> 0 THEN max(n) - 20 END AS length, CASE WHEN st.ep % 5 <> 0 THEN list(c ORDER BY i) END AS every, CASE WHEN st.ep % 5 <> 0 THEN list(c) FILTER (i IN (2, 3, 5, 6)) END AS pts FROM st GROUP BY st.ep),
+ey AS (SELECT *, coalesce(list_sort(list_distinct(list_transform(pts, lambda x: greatest(0, least(x, coalesce(length, 0) - 1))))), []) AS steps, coalesce(list_sort(list_distinct(list_filter(pts, lambda x: x < 0 OR x >= coalesce(length, 0)))), []) AS clipped FROM ex)"""
+_SAID = "'episode ' || episode_index || ': keyframe ' || x || ' outside [0,' || coalesce(length, 0) || '); clipped to ' || greatest(0, least(x, coalesce(length, 0) - 1))"
 
 
-@query(f"{_EXPORT} SELECT episode_index, name, length, array_to_string(steps, ',') AS keyframe_steps, len(clipped) AS clipped, pts IS NOT NULL AS annotated FROM ey")
+@query(f"{_EXPORT} SELECT episode_index, name, length, array_to_string(steps, ',') AS keyframe_steps, array_to_string(steps, ',') AS inspect_keyframe_steps, len(clipped) AS warnings, CASE WHEN pts IS NOT NULL THEN ep || '|eventvla4|' || array_to_string(every, ',') || '|' || CASE WHEN ep % 2 = 0 THEN 'a,b' ELSE 'grasp_tube,start_pour,release_tube,grasp_pestle,start_grind,lift_pestle' END END AS source FROM ey")
 def keyframe_rows(spark, d):
     rows = _exported(spark, d)
-    return rows.select("episode_index", "name", "length", F.array_join("keyframe_steps", ",").alias("keyframe_steps"), F.size("clipped").cast("long").alias("clipped"), C("source").isNotNull().alias("annotated"))
+    joined = lambda c: F.array_join(c, ",")
+    source = F.concat(C("source.annotation_episode"), F.lit("|"), C("source.points"), F.lit("|"), joined("source.critical_points"), F.lit("|"), joined("source.critical_names"))
+    return rows.select("episode_index", "name", "length", *(joined(c).alias(c) for c in ("keyframe_steps", "inspect_keyframe_steps")), F.size("warnings").cast("long").alias("warnings"), source.alias("source"))
 
 
-@query(f"{_EXPORT} SELECT count(*) AS episodes, count(*) FILTER (len(steps) > 0) AS with_keyframes, array_to_string(list(episode_index ORDER BY episode_index) FILTER (len(steps) = 0), ',') AS missing, array_to_string(list(episode_index ORDER BY episode_index) FILTER (len(clipped) > 0), ',') AS warnings FROM ey")
+@query(f"{_EXPORT} SELECT count(*) AS episodes, count(*) FILTER (len(steps) > 0) AS with_keyframes, count(*) FILTER (pts IS NULL) AS missing, sum(len(clipped))::BIGINT AS warnings FROM ey")
 def keyframe_report(spark, d):
-    found = export.summary(_exported(spark, d))
-    return found.select("episodes", "with_keyframes", F.array_join("missing", ",").alias("missing"), F.array_join("warnings", ",").alias("warnings"))
+    return export.summary(_exported(spark, d))
+
+
+@query(f"{_EXPORT} SELECT episode_index, {_SAID} AS remark FROM (SELECT *, unnest(clipped) AS x FROM ey) UNION ALL SELECT episode_index, 'missing annotation' FROM ey WHERE pts IS NULL")
+def keyframe_remarks(spark, d):
+    """The warnings of an export, and the episodes that have no annotation, each a row."""
+    return export.remarks(_exported(spark, d))
 
 
 _LOG = """lo AS (SELECT ep, k, 1 AS run, CASE WHEN (ep + k) % 3 <> 0 THEN (ep * 7 + k * 13) % 100 / 100.0 END AS score FROM sub WHERE ep % 2 = 0),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from episodica.functions.replies import is_json
 from episodica.sources.places import numbered
 
 STAGE = "struct<name:string,start:bigint,end:bigint>"
@@ -14,10 +15,9 @@ OLD_POINTS = tuple(p.split("_", 1)[1] for p in POINTS)
 
 
 def _objects(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value, whole, good) of the lines that are not blank; good: is the line an object?"""
+    """(file, line, value, good) of the lines that are not blank; good: is the line an object?"""
     lines = numbered(spark, path).where("trim(value) <> ''")
-    parsed = lines.withColumn("whole", F.try_parse_json("value"))
-    return parsed.withColumn("good", F.col("whole").isNotNull() & F.startswith(F.ltrim("value"), F.lit("{")))
+    return lines.withColumn("good", is_json(F.col("value")) & F.startswith(F.ltrim("value"), F.lit("{")))
 
 
 def _strict(rows: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ def test_constant_and_short_signals(spark):
 
 
 def test_points_of_exports(spark):
-    assert export.chosen("pour_grind") == (1, 4) and export.chosen("2, 3") == (1, 2)
+    assert export.chosen("pour_grind") == export.chosen(" Pour_Grind\n") == (1, 4) and export.chosen("2, 3") == (1, 2)
     for bad in ("", "0", "7", "x"):
         with pytest.raises(ValueError):
             export.chosen(bad)
@@ -94,20 +94,37 @@ def test_points_of_exports(spark):
     with pytest.raises(Exception, match="outside its episode"):
         df.select(export.inside(steps, F.col("n"), strict=True)[0]).collect()
     short = spark.createDataFrame([([1, 2],)], "c array<long>")
-    assert short.select(export.keyframes(F.col("c"), (0,))).first()[0] is None
-    with pytest.raises(Exception, match="six points"):
-        short.select(export.keyframes(F.col("c"), (0,), strict=True)).collect()
-    annotations = spark.createDataFrame([(5, [1, 2, 3, 4, 5, 6])], "ep long, points array<long>")
+    for few in (short, short.select(F.lit(None).cast("array<long>").alias("c"))):
+        with pytest.raises(Exception, match="six points"):
+            few.select(export.keyframes(F.col("c"), (0,))).collect()
+    annotations = spark.createDataFrame([(5, [1, 2, 3, 4, 5, 6], None)], "ep long, points array<long>, names array<string>")
     wanted = spark.createDataFrame([(5, 100), (6, 100)], "episode_index long, length long")
     with pytest.raises(Exception, match="no annotation"):
-        export.exported(wanted, annotations, (0,), strict=True).collect()
+        export.exported(wanted, annotations, "1", strict=True).collect()
+    rows = {r.episode_index: r for r in export.exported(wanted, annotations, " POUR_grind ").collect()}
+    assert rows[5].keyframe_steps == rows[5].inspect_keyframe_steps == [2, 5] and rows[5].source.critical_points == [1, 2, 3, 4, 5, 6]
+    assert rows[5].source.critical_names[0] == "grasp_tube" and rows[6].source is None and rows[6].keyframe_steps == []
 
 
 def test_shapes_of_replies(spark):
-    rows = ['[{"stages": [{"name": "a"}]}]', '[{"name": "a"}, {"name": "b"}]', '{"stages": []}', "no json"]
-    df = spark.createDataFrame([(r,) for r in rows], "r string")
-    got = [x[0] for x in df.select(replies.shaped(replies.json_in(F.col("r"), brackets=True))).collect()]
-    assert got == ['{"stages":[{"name":"a"}]}', '{"stages":[{"name":"a"},{"name":"b"}]}', '{"stages": []}', "{}"]
+    cases = {
+        '[{"stages": [{"name":"a"}]}]': '{"stages":[{"name":"a"}]}',
+        '[{"name": "a"}, {"name": "b"}]': '{"stages":[{"name":"a"},{"name":"b"}]}',
+        '```json\n{"stages": []}\n```': '{"stages": []}',
+        'list [{"name":"a"}]': '{"name":"a"}',
+        'list [{"name":"a"}, {"name":"b"}] end': '{"stages":[{"name":"a"},{"name":"b"}]}',
+        "[]": '{"stages":[]}',
+        "[1]": None, "7": None, "no json": None, "{oops": None, '{"a":1}, "b": {"c":2}': None, '{"a":1}] [{"b":2}': None,
+    }
+    df = spark.createDataFrame([(r,) for r in cases], "r string")
+    got = [x[0] for x in df.select(replies.shaped(replies.json_value(F.col("r"), lists=True))).collect()]
+    assert got == list(cases.values())
+
+
+def test_numbers_of_replies(spark):
+    cases = {'{"v": 7}': (7, False), '{"v": -7.9}': (-7, False), '{"v": " 12 "}': (12, False), '{"v": "1.5"}': (None, True), '{"v": "x"}': (None, True), '{"v": null}': (None, True), "{}": (None, False), '{"v": [1]}': (None, True)}
+    df = spark.createDataFrame([(r,) for r in cases], "r string").select(F.try_variant_get(F.parse_json("r"), "$.v", "variant").alias("v"))
+    assert [tuple(r) for r in df.select(*replies.whole_number(F.col("v"))).collect()] == list(cases.values())
 
 
 def test_log_keeps_the_last_score(spark):
