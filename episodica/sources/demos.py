@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from episodica.functions.replies import is_json
 from episodica.sources.places import placed, side_by_side
 
 #: What a recording must have, what marks a folder as one, and frames a second where no times are known.
@@ -50,6 +51,13 @@ def column_of(spark: SparkSession, path: str, column: str, demo: str, alias: str
     return rows.select(F.regexp_extract("file", demo, 1).alias("demo"), "place", alias)
 
 
+def stamps_of(spark: SparkSession, path: str, demo: str) -> DataFrame:
+    """(demo, place, t): `timestamp_ns` of JSON lines, counted without the lines that have none or are no JSON."""
+    stamp = F.try_variant_get(F.try_parse_json("value"), "$.timestamp_ns", "long")
+    lines = spark.read.option("recursiveFileLookup", True).text(path).where(is_json(F.col("value")) & stamp.isNotNull())
+    return placed(lines.select(stamp.alias("t"))).select(F.regexp_extract("file", demo, 1).alias("demo"), "place", "t")
+
+
 def grippers(left: DataFrame, right: DataFrame) -> DataFrame:
     """(demo, place, left, right) from (demo, place, width) of both hands: the longer side is cut to the shorter."""
     return side_by_side(left.withColumnRenamed("width", "left"), right.withColumnRenamed("width", "right"), ["demo"])
