@@ -5,8 +5,9 @@ characters; a byte network reads each with the text around it, long runs in wind
 of which the largest score counts. Base findings stay whatever it says of them; of the others those
 above the threshold are added. The network is trained on labelled findings that a seeded generator
 writes: keys of many formats where they occur in code and prose, next to words, paths, identifiers,
-numbers and rules; a bounded sample of the documents' own candidates joins the harmless ones. All
-go through the same search for candidates as documents do. Four parts keep
+numbers and rules. The documents' own candidates have no labels, and keys may be among them, so only
+those of a bounded sample that have the form of words, letters of one case and separators, join the
+harmless ones. All go through the same search for candidates as documents do. Four parts keep
 apart what must not be judged by itself: one is fitted, on the second a logistic function turns
 outputs into probabilities, on the third the threshold is the highest that keeps the recall asked
 for, and the fourth, by another generator, reports what that gives.
@@ -96,6 +97,11 @@ class Text:
         self.start, self.end = np.concatenate([self.start, low[free]]), np.concatenate([self.end, high[free]])
         self.doc = np.searchsorted(self.offsets, self.start, side="right") - 1
 
+    def like_words(self) -> np.ndarray:
+        """Which candidates have the form of words."""
+        data = self.data.tobytes()
+        return np.array([_WORDS.fullmatch(data, a, b) is not None for a, b in zip(self.start.tolist(), self.end.tolist())], dtype=bool)
+
     def asked(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(candidate of each window, windows), some thousand at a time."""
         of, start, end = pieces(self.start, self.end)
@@ -116,6 +122,10 @@ class Text:
         return out
 
 
+#: What has the form of words: letters in one case but for initials, between separators.
+_WORDS = re.compile(rb"[-+/_=]*([A-Za-z]?[a-z]+|[A-Z]+)([-+/_=]+([A-Za-z]?[a-z]+|[A-Z]+))*[-+/_=]*")
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) of what the two word patterns find; runs of hex digits are found in bytes."""
     found = []
@@ -237,14 +247,19 @@ def labelled(writer: Writer, n: int) -> tuple[Text, np.ndarray, int]:
 
 
 class Judge:
-    """recall, precision and false_rate are those of the other generator's texts, keys that the search misses included."""
+    """recall, precision and false_rate are those of the other generator's texts, keys that the search misses included.
 
-    def __init__(self, recall: float = 0.95, harmless: pa.Array | None = None, seed: int = 5, n: int = 2000):
+    sample: texts whose word-like candidates count as harmless; nothing else is known of them.
+    """
+
+    def __init__(self, recall: float = 0.95, sample: pa.Array | None = None, seed: int = 5, n: int = 2000):
         text, truth, _ = labelled(Writer(seed), n)
         x, y, r = [], [], np.random.default_rng(seed)
-        own = Text(harmless if harmless is not None else pa.array([], pa.string()))
+        own = Text(sample if sample is not None else pa.array([], pa.string()))
         for held, right, share in ((text, truth, 4.0), (own, np.zeros(len(own.start), dtype=bool), 6.0)):
             free = held.kind == 3
+            if held is own:
+                free &= own.like_words()
             chosen = free & (r.random(len(right)) < np.where(right, 1.0, min(1.0, share * n / 2 / max(1, (free & ~right).sum()))))
             for of, window in held.asked():
                 x.append(window[chosen[of]])
@@ -280,6 +295,17 @@ class Judge:
         return 1 / (1 + np.exp(-np.clip(self.scale[0] + self.scale[1] * self.margins(text), -30, 30)))
 
 
+def judged(recall: float, sample: pa.Array | None, least: float = 0.9) -> Judge:
+    """A judge that finds at least the share `least` of the other generator's keys: with the sample's words as harmless, or
+    if these take too much away, without them; an error if that is not enough either."""
+    judge = Judge(recall, sample)
+    if judge.recall < least and sample is not None:
+        judge = Judge(recall)
+    if judge.recall < least:
+        raise ValueError(f"the network finds {judge.recall:.3f} of the keys of another generator, less than {least}")
+    return judge
+
+
 def _scan(judge: Judge) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
@@ -297,11 +323,12 @@ def find_secrets(docs: DataFrame, recall: float = 0.95, most: int = 500, longest
     Only doc_id and text are read; a null text counts as empty and has no spans. Spans of different pattern kinds may
     overlap; learned ones overlap none. The probability is the network's for base spans too. A candidate whose
     probability equals the threshold is added. Texts are scanned whole, and runs of any length. Repeated rows are
-    scanned each. An empty table gives an empty result. The fit takes as harmless what candidates stand in the `most`
-    texts of at most `longest` characters that come first by their hash.
+    scanned each. An empty table gives an empty result. The fit takes as harmless what word-like candidates stand in the
+    `most` texts of at most `longest` characters that come first by their hash, and is refused if it finds less than 0.9
+    of the keys of another generator's texts.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     short = rows.where(F.length("text") <= longest).select(F.xxhash64("text").alias("hash"), "text")
-    judge = fitted(short.orderBy("hash").limit(most), lambda sample: Judge(recall, sample["text"].unique().sort()))
-    held = docs.sparkSession.sparkContext.broadcast(judge or Judge(recall))
+    judge = fitted(short.orderBy("hash").limit(most), lambda sample: judged(recall, sample["text"].unique().sort()))
+    held = docs.sparkSession.sparkContext.broadcast(judge or judged(recall, None))
     return rows.mapInArrow(lambda batches: _scan(held.value)(batches), FOUND)

@@ -62,3 +62,35 @@ def test_many_findings_in_one_text(spark):
     df = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (2, "", "x"), (None, "secret: abcdef", "x")], "doc_id long, text string, spans string")
     got = {r.doc_id: r.spans for r in secrets.find_secrets(df).collect()}
     assert len(got[1]) == 60_000 and got[1][-1].start == 15 * 59_999 and got[2] == [] and len(got[None]) == 1
+
+
+@pytest.mark.parametrize("share", [0.02, 0.2])
+def test_keys_in_the_documents_are_not_unlearned(spark, share):
+    """Keys of the other generator stand in a part of the documents that are scanned, and so in the sample of the fit."""
+    writer = secrets.OtherWriter(7)
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").sort("doc_id").limit(600).collect()]
+    rows, keys = [], {}
+    for k, text in enumerate(texts):
+        if k % round(1 / share) == 0:
+            keys[k] = (len(text) + 5, writer.secret())
+            text = f"{text} key {keys[k][1]} end"
+        rows.append((k, text))
+    found = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    meets = lambda s, k: k in keys and s.start < keys[k][0] + len(keys[k][1]) and keys[k][0] < s.end
+    hit = sum(any(meets(s, k) for s in found[k]) for k in keys)
+    learned = [(s, k) for k, spans in found.items() for s in spans if s.kind == "learned"]
+    assert hit >= 0.9 * len(keys) and sum(meets(s, k) for s, k in learned) >= 0.95 * len(learned)
+
+
+def test_a_network_that_finds_too_few_keys_is_refused(monkeypatch):
+    asked = []
+
+    class Poor:
+        def __init__(self, recall, sample=None):
+            asked.append(sample)
+            self.recall = 0.95 if sample is None and len(asked) == 2 else 0.5
+
+    monkeypatch.setattr(secrets, "Judge", Poor)
+    assert secrets.judged(0.95, "words").recall == 0.95 and asked == ["words", None]
+    with pytest.raises(ValueError, match="less than 0.9"):
+        secrets.judged(0.95, "words")
