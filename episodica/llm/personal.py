@@ -9,8 +9,9 @@ occurs; from these counts, as many as there are combinations whatever the corpus
 maximisation estimates for each kind of candidate how far each labeler can be relied on, and a
 logistic classifier of spans is fitted to the posteriors. Its features are the span's and its
 context's own (kind, length, case, digits, what stands beside it), and words of the context, next
-to the votes, so it can tell apart candidates on which the labelers say nothing. It decides on the
-candidates that are no base spans.
+to the votes. It decides on the candidates that are no base spans, and adds only those on which at
+least AGREED labelers vote yes and fewer vote no: how far labelers can be relied on is known from
+where they agree, so of a lone vote nothing is known but the prior.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episodica.llm.expressions import apart, matches, running
-from episodica.llm.tables import id_texts
+from episodica.llm.tables import cut, id_texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive forms and look-behinds find the same matches as the plain patterns, in linear time.
@@ -44,7 +45,7 @@ GIVEN = (
 ISSUERS = r"^(4|5[1-5]|2[2-7]|3[47]|6011|65|35)"
 COUNTRIES = r"^\+(1|7|20|27|3[0-69]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 DOMAINS = r"(?i)[. ](com|org|net|edu|gov|io|de|fr|es|it|uk|eu|info|biz)$"
-PERSONAL = r"(?i)\b(tel|phone|mobile|fax|call|mail|e-mail|contact|card|account|iban|ssn|passport|visa|ip|address|id|name|mr|mrs|ms|dr|dear|herr|frau|madame|monsieur|señor|señora|lives at|resident|patient|customer|write to|reach|signed|by)\b[.:#\s\w]{0,12}$"
+PERSONAL = r"(?i)\b(tel|phone|mobile|fax|call|mail|e-mail|contact|card|account|iban|ssn|passport|visa|ip|address|id|name|mr|mrs|ms|dr|dear|herr|frau|madame|monsieur|señor|señora|lives at|resident|patient|customer|write to|reach|signed)\b[.:#\s\w]{0,12}$"
 IMPERSONAL = r"(?i)\b(version|isbn|issn|page|figure|order|total|sum|chapter|section|table|doi|bytes|lines|build|model|price|city of|river|mount|lake|university of|the|museum|battle of)\b[.:#\s]{0,4}$|[$€£]$"
 AFTER_YES = r"(?i)^[,;:.)\s]{0,3}(born|lives|phone|tel|email|mail|mobile|aged|wrote|said|says|signed|expires|exp\b|cvv|apt|flat|zip|floor)"
 AFTER_NO = r"(?i)^[,;:.)\s]{0,3}(university|river|museum|company|inc|ltd|gmbh|bytes|lines|items|pages|euros?|dollars?|percent|km|kg|units)\b|^ ?[%€]"
@@ -54,6 +55,7 @@ CANDIDATES = {
     "address": rf"(?<![0-9A-Za-z])[0-9]{{1,5}}[a-z]? (?:\p{{Lu}}\p{{Ll}}+ ){{1,3}}(?:{STREETS})\b|(?<!\p{{L}})\p{{Lu}}\p{{L}}{{2,30}}(?:straße|strasse|str\.|weg|platz|allee|gasse) [0-9]{{1,4}}[a-z]?\b|(?<![0-9])[0-9]{{1,4}},? (?:rue|avenue|boulevard|calle) (?:de la |de |del |du )?\p{{Lu}}\p{{Ll}}+",
     "handle": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,40}+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,40} ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,6}\b",
 }
+AGREED = 2
 VOTERS = ("pattern", "shape", "gazetteer", "before", "after", "digits")
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,votes:string,features:string>>"
 #: A feature is a character at its place, or a word of the context; no is a word in none of the lists.
@@ -192,6 +194,10 @@ def reliabilities(counts: dict[str, float], rounds: int = 50) -> tuple[float, np
     return prior, rates, dict(zip(combos, post.tolist()))
 
 
+def agreed(votes: str) -> bool:
+    return votes.count("1") >= max(AGREED, votes.count("0") + 1)
+
+
 def _inputs(votes: str, features: str) -> list[str]:
     """What a span tells the classifier: its kind with each vote, and with each other feature."""
     kind = features[0]
@@ -218,14 +224,14 @@ def classifier(counts: dict[tuple[str, str], float], post: dict[tuple[str, str],
     return {name: float(v) for name, v in zip(names, w) if abs(v) > 1e-6}
 
 
-def learn(docs: DataFrame) -> dict[str, float]:
-    """Counts the combinations of votes and features over all candidates of all rows and fits the classifier to them.
+def learn(candidates: DataFrame) -> dict[str, float]:
+    """Counts the combinations of votes and features over all candidates, in column spans, and fits the classifier to them.
 
     What reaches the driver is a row for each combination: features have few values and no text, so their number does
     not grow with the corpus.
     """
     seen = F.transform("spans", lambda s: F.concat(s["votes"], s["features"]))
-    found = with_candidates(id_texts(docs)).select(F.explode(seen).alias("seen")).groupBy("seen").count().collect()
+    found = candidates.select(F.explode(seen).alias("seen")).groupBy("seen").count().collect()
     rows = [{"votes": r["seen"][: len(VOTERS)], "features": r["seen"][len(VOTERS) :], "count": r["count"]} for r in found]
     post = {}
     for kind in {r["features"][0] for r in rows}:
@@ -233,13 +239,13 @@ def learn(docs: DataFrame) -> dict[str, float]:
         counts: dict[str, float] = {}
         for r in mine:
             counts[r["votes"]] = counts.get(r["votes"], 0) + r["count"]
-        of_votes = reliabilities(counts)[2]
+        of_votes = {v: p if agreed(v) else min(p, 0.5) for v, p in reliabilities(counts)[2].items()}
         post |= {(r["votes"], r["features"]): of_votes[r["votes"]] for r in mine}
     return classifier({(r["votes"], r["features"]): r["count"] for r in rows}, post) if rows else {}
 
 
 def decide(weights: dict[str, float], threshold: float) -> Column:
-    """Of the column spans: base spans, and the other candidates whose probability reaches the threshold."""
+    """Of the column spans: base spans, and those other candidates that labelers agree on and whose probability reaches the threshold."""
     base = "s.kind IN ({})".format(", ".join(f"'{k}'" for k in KINDS))
     if not weights:
         return F.expr(f"filter(spans, s -> {base})")
@@ -248,20 +254,22 @@ def decide(weights: dict[str, float], threshold: float) -> Column:
     said = [of(f"v{k}", f"substring(s.votes, {k + 1}, 1)") for k in range(len(VOTERS))]
     said += [of(f"f{k}", f"substring(s.features, {k + 1}, 1)") for k in range(1, len(FEATURES))]
     z = " + ".join([of("kind", "''"), *said])
-    return F.expr(f"filter(spans, s -> {base} OR 1 / (1 + exp(-({z}))) >= {threshold!r}D)")
+    votes = lambda c: f"char_length(replace(s.votes, '{c}', ''))"  # noqa: E731  without those of one kind
+    agree = f"{len(VOTERS)} - {votes('1')} >= greatest({AGREED}, {len(VOTERS)} - {votes('0')} + 1)"
+    return F.expr(f"filter(spans, s -> {base} OR ({agree} AND 1 / (1 + exp(-({z}))) >= {threshold!r}D))")
 
 
 def find_personal(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id and spans (kind, start, end in code points, votes, features) of every row of docs, base spans first.
 
     Only doc_id and text are read; a null text counts as empty and has no spans. Base spans of different kinds may
-    overlap; learned ones (number, name, address, handle) overlap neither base spans nor each other. A candidate whose
-    probability equals the threshold is added. Very long texts are read whole, in time that grows with their length
+    overlap; learned ones (number, name, address, handle) overlap neither base spans nor each other. A candidate that
+    labelers agree on and whose probability equals the threshold is added. Very long texts are read whole, in time that grows with their length
     and with n log n of their matches. Repeated rows stay, and count as often in what is learned. An empty table gives
     an empty result.
     """
-    weights = learn(docs)
-    return with_candidates(id_texts(docs)).select("doc_id", decide(weights, threshold).alias("spans"))
+    found = cut(with_candidates(id_texts(docs)).select("doc_id", "spans"))  # the patterns run once over all texts
+    return found.select("doc_id", decide(learn(found), threshold).alias("spans"))
 
 
 def redact(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -271,7 +279,7 @@ def redact(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     table gives an empty result.
     """
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    rows = with_candidates(rows).withColumn("spans", decide(learn(docs), threshold))
+    rows = with_candidates(rows).withColumn("spans", decide(learn(with_candidates(id_texts(docs))), threshold))
     text = F.col("text")
     place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     rows = rows.withColumn("spans", F.sort_array(F.transform("spans", place)))
