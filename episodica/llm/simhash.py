@@ -13,7 +13,8 @@ of more than `cell` fingerprints is dealt out as pairs of its parts, each to a t
 
 `first_of_each` is the same join for texts alike by 0.8 in runs of five words. Their
 fingerprints differ in up to 24 bits, too many for blocks to meet on, so a trie holds what
-agrees on a min-hash band, and every pair that the walk keeps is verified on the texts.
+agrees on a min-hash band, and every pair that the walk keeps is verified on the texts, but for
+those whose sizes or whose 140 bytes of min-hashes say that they are not alike.
 """
 
 from __future__ import annotations
@@ -87,27 +88,44 @@ def links(distinct: DataFrame, cell: int = 8192, budget: int = BUDGET) -> DataFr
     return _dealt(banded, cell).mapInArrow(lambda batches: _paths(batches, budget), "a long, b long").distinct()
 
 
-def _dealt(banded: DataFrame, cell: int) -> DataFrame:
-    """Rows (node, fp, label, band, key) brought together by band and key; keys of more than `cell` rows as pairs of parts."""
+def _dealt(banded: DataFrame, cell: int, *more: str) -> DataFrame:
+    """Rows (node, fp, label, band, key, and more) in the order of their tries: by band and key; keys of more than `cell` rows
+    as pairs of parts."""
     large = banded.groupBy("band", "key").count().where(F.col("count") > cell)
     large = large.select("band", "key", F.ceil(F.col("count") / cell).cast("int").alias("parts"))
     dealt = banded.join(large, ["band", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("band", "key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "fp", "node", "label")
-    return dealt.repartition(shards(banded.sparkSession), "band", "key", "x", "y")
+    dealt = dealt.select("band", "key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "fp", "node", "label", *more)
+    trie = ("band", "key", "x", "y")
+    return dealt.repartition(shards(banded.sparkSession), *trie).sortWithinPartitions(*trie)
+
+
+def _some_tries(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.Table]:
+    """The rows of a task in tables of whole tries, of about `most` rows: a task holds that and one trie, however many rows it has."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < most:
+            continue
+        table = pa.Table.from_batches(held)
+        trie = [table[k].to_numpy() for k in range(4)]
+        new = np.flatnonzero(reduce(np.logical_or, (c[1:] != c[:-1] for c in trie)))
+        if len(new):
+            last = int(new[-1]) + 1  # the last trie may go on
+            yield table.slice(0, last)
+            held = table.slice(last).to_batches()
+    if any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
 
 
 class _Tries:
-    """The tries of a task: sorted leaves, and the pairs of roots to walk."""
+    """Some whole tries: sorted leaves, where they stand in the table, and the pairs of roots to walk."""
 
-    def __init__(self, batches: Iterator[pa.RecordBatch]):
-        held = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(8)] for b in batches if b.num_rows]
-        if not held:
-            held = [[np.zeros(0, np.int64)] * 8]
-        band, key, x, y, part, fp, node, label = (np.concatenate(c) for c in zip(*held))
+    def __init__(self, table: pa.Table):
+        band, key, x, y, part, fp, node, label = (table[k].to_numpy() for k in range(8))
         bits = fp.view(np.uint64)
-        order = np.lexsort((node, bits, part, y, x, key, band))
+        self.order = order = np.lexsort((node, bits, part, y, x, key, band))
         band, key, x, y, part, self.bits, self.node, self.label = (c[order] for c in (band, key, x, y, part, bits, node, label))
         changed = lambda *cs: np.concatenate([[True], reduce(np.logical_or, (c[1:] != c[:-1] for c in cs))])[: len(bits)]
         trie = np.flatnonzero(changed(band, key, x, y))
@@ -179,29 +197,41 @@ class _Tries:
 
 def _paths(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
     """For each set of leaves that pairs within the budget connect, a path through it."""
-    tries = _Tries(batches)
-    n = len(tries.bits)
-    if not n:
-        return
-    parent = np.arange(n)
-    beside = np.flatnonzero(tries.same_trie[1:] & (np.bitwise_count(tries.bits[1:] ^ tries.bits[:-1]) <= budget))
-    parent = _union(parent, beside, beside + 1)
-    tries.relabel(parent)
-    for a, b in tries.near(budget):
-        parent = _union(parent, a, b)
+    for table in _some_tries(batches):
+        tries = _Tries(table)
+        n = len(tries.bits)
+        parent = np.arange(n)
+        beside = np.flatnonzero(tries.same_trie[1:] & (np.bitwise_count(tries.bits[1:] ^ tries.bits[:-1]) <= budget))
+        parent = _union(parent, beside, beside + 1)
         tries.relabel(parent)
-    order = np.lexsort((np.arange(n), parent))
-    next_to = np.flatnonzero(parent[order][1:] == parent[order][:-1])
-    a, b = tries.node[order[next_to]], tries.node[order[next_to + 1]]
-    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+        for a, b in tries.near(budget):
+            parent = _union(parent, a, b)
+            tries.relabel(parent)
+        order = np.lexsort((np.arange(n), parent))
+        next_to = np.flatnonzero(parent[order][1:] == parent[order][:-1])
+        a, b = tries.node[order[next_to]], tries.node[order[next_to + 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
 
-def _apart(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
-    """All pairs of leaves within the budget that have unlike labels."""
-    tries = _Tries(batches)
-    for at, to in tries.near(budget):
-        a, b = tries.node[at], tries.node[to]
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+def _apart(batches: Iterator[pa.RecordBatch], budget: int, like: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of leaves within the budget that have unlike labels and whose sizes and minima's bytes let them be alike.
+
+    Most pairs that meet here are different texts around one common passage; their bytes tell them apart, so no pair is
+    written and no text read for each two of such a group.
+    """
+    least = shingles.shared_bytes(like)
+    for table in _some_tries(batches):
+        tries = _Tries(table)
+        size = table["size"].to_numpy()[tries.order]
+        held = table["bytes"].combine_chunks()
+        width = shingles.BANDS * shingles.ROWS
+        sketch = np.frombuffer(held.buffers()[2], np.uint8)[held.offset * width :][: len(held) * width].reshape(-1, width)[tries.order]
+        for at, to in tries.near(budget):
+            small_, large = np.minimum(size[at], size[to]), np.maximum(size[at], size[to])
+            some = np.flatnonzero(small_ >= like * large)
+            some = some[(sketch[at[some]] == sketch[to[some]]).sum(1) >= least]
+            a, b = tries.node[at[some]], tries.node[to[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
 
 def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -276,9 +306,12 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in words.bounded(batches, 2):
         value, size = shingles.sets(batch.column(2))
         ends = np.concatenate([[0], np.cumsum((size > 0) * shingles.BANDS)])
-        keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(shingles.bands(value, size).reshape(-1)))
-        made = [pa.array(shingles.prints(value, size)), pa.array(shingles.simhashes(value, size)), keys]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "mark", "print", "fp", "keys"])
+        least = shingles.minima(value, size)
+        keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(shingles.bands(least).reshape(-1)))
+        places = pa.array(np.concatenate([[0], np.cumsum((size > 0) * least.shape[1])]), pa.int32())
+        sketch = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, places.buffers()[1], pa.py_buffer(shingles.bytes_of(least).tobytes())])
+        made = [pa.array(shingles.prints(value, size)), pa.array(shingles.simhashes(value, size)), keys, pa.array(size.astype(np.int64)), sketch]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "mark", "print", "fp", "keys", "size", "bytes"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch], like: float) -> Iterator[pa.RecordBatch]:
@@ -318,13 +351,13 @@ def first_of_each(docs: DataFrame, like: float = shingles.LIKE, cell: int = 8192
     """
     mark = F.xxhash64(*(docs[c] for c in docs.columns))
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)).cast("long")).alias("id"), mark.alias("mark"), docs["text"].alias("text"))
-    held = cut(rows.mapInArrow(_signed, "id long, mark long, print long, fp long, keys array<long>"))
+    held = cut(rows.mapInArrow(_signed, "id long, mark long, print long, fp long, keys array<long>, size long, bytes binary"))
     place = F.struct((F.col("id") == -(1 << 63)).alias("nameless"), "id", "mark")
-    classes = held.groupBy("print").agg(F.min(place).alias("place"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    classes = cut(classes.select("print", "place", "place.id", "place.mark", "fp", "keys"))
+    classes = held.groupBy("print").agg(F.min(place).alias("place"), *(F.first(c).alias(c) for c in ("fp", "keys", "size", "bytes")))
+    classes = cut(classes.select("print", "place", "place.id", "place.mark", "fp", "keys", "size", "bytes"))
 
-    def banded(of: DataFrame) -> DataFrame:
-        return of.select(F.col("print").alias("node"), "fp", "label", F.lit(0).alias("band"), F.explode("keys").alias("key"))
+    def banded(of: DataFrame, *more: str) -> DataFrame:
+        return of.select(F.col("print").alias("node"), "fp", "label", F.lit(0).alias("band"), F.explode("keys").alias("key"), *more)
 
     nodes = classes.select(F.col("print").alias("node"), F.struct("place.nameless", "place.id", "place.mark", F.col("print").alias("node")).alias("label"))
     paths = _dealt(banded(classes.withColumn("label", F.col("print"))), cell).mapInArrow(lambda batches: _paths(batches, NEAR), "a long, b long")
@@ -335,7 +368,7 @@ def first_of_each(docs: DataFrame, like: float = shingles.LIKE, cell: int = 8192
     asked = paths.select(F.col("a").alias("print")).union(paths.select("b")).distinct()
     asked = classes.join(asked, "print", "left_semi").join(found.select(F.col("node").alias("print"), F.col("label.node").alias("label")), "print", "left")
     asked = cut(asked.withColumn("label", F.coalesce("label", "print")))
-    apart = _dealt(banded(asked), cell).mapInArrow(lambda batches: _apart(batches, NEAR), "a long, b long")
+    apart = _dealt(banded(asked, "size", "bytes"), cell, "size", "bytes").mapInArrow(lambda batches: _apart(batches, NEAR, like), "a long, b long")
     apart = cut(apart.distinct().join(paths, ["a", "b"], "left_anti"))
     if not apart.isEmpty():
         more = _verified(apart, classes, rows, like)
