@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from episodica.functions.arrays import let
+
 #: Names that replies use for stages, and the stages themselves.
 SYNONYMS = {"lift": "transport", "move": "transport", "moving": "transport", "carry": "transport", "open": "release", "finish": "done", "complete": "done"}
 STAGES = ("reach", "grasp", "transport", "place", "release", "adjust", "done", "global")
@@ -32,8 +34,9 @@ def json_value(text: Column, lists: bool = False) -> Column:
     from the first bracket to the last; whichever is JSON first, or null."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"^```(?:json)?", ""), r"```$", ""))
     bare = F.regexp_replace(bare, r"^\s+|\s+$", "")
-    tried = [bare, F.regexp_extract(bare, r"(?s)\{.*\}", 0), *([F.regexp_extract(bare, r"(?s)\[.*\]", 0)] if lists else [])]
-    return F.coalesce(*(F.when(is_json(t), t) for t in tried))
+    good = lambda t: let(t, lambda x: F.when(is_json(x), x))
+    part = lambda b, pattern: good(F.regexp_extract(b, pattern, 0))
+    return let(bare, lambda b: F.coalesce(good(b), part(b, r"(?s)\{.*\}"), *([part(b, r"(?s)\[.*\]")] if lists else [])))
 
 
 def stage_name(raw: Column) -> Column:
@@ -50,14 +53,15 @@ def data_url(jpeg: Column) -> Column:
 def shaped(found: Column) -> Column:
     """Of a reply's JSON the object that holds stages: an object is itself, a list of one object with stages is that one, of
     other lists the objects are the stages. Null for what is neither, or a list that holds anything else."""
-    whole = F.try_parse_json(found)
-    kind = F.schema_of_variant(whole)
-    items = F.try_variant_get(whole, "$", "array<variant>")
-    objects = F.forall(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
-    one = (F.size(items) == 1) & F.try_variant_get(whole, "$[0].stages", "variant").isNotNull()
-    inner = F.to_json(F.try_variant_get(whole, "$[0]", "variant"))
-    listed = F.when(one & objects, inner).when(objects, F.concat(F.lit('{"stages":'), F.to_json(whole), F.lit("}")))
-    return F.when(kind.startswith("OBJECT"), found).when(kind.startswith("ARRAY"), listed)
+
+    def listed(x: Column, whole: Column) -> Column:
+        objects = F.forall(F.try_variant_get(whole, "$", "array<variant>"), lambda item: F.schema_of_variant(item).startswith("OBJECT"))
+        one = F.try_variant_get(whole, "$[0].stages", "variant").isNotNull() & F.try_variant_get(whole, "$[1]", "variant").isNull()
+        inner = F.to_json(F.try_variant_get(whole, "$[0]", "variant"))
+        return F.when(objects, F.when(one, inner).otherwise(F.concat(F.lit('{"stages":'), x, F.lit("}"))))
+
+    kind = lambda whole: F.schema_of_variant(whole)
+    return let(found, lambda x: let(F.try_parse_json(x), lambda whole: F.when(kind(whole).startswith("OBJECT"), x).when(kind(whole).startswith("ARRAY"), listed(x, whole))))
 
 
 def whole_number(found: Column) -> tuple[Column, Column]:

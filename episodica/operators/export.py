@@ -81,3 +81,13 @@ def remarks(rows: DataFrame) -> DataFrame:
     """(episode_index, remark): each episode without an annotation, and each warning."""
     missing = F.when(F.col("source").isNull(), F.array(F.lit("missing annotation"))).otherwise(F.col("warnings"))
     return rows.select("episode_index", F.explode(missing).alias("remark"))
+
+
+def wide(points: DataFrame, flags: DataFrame, names: list[str], fps: float) -> DataFrame:
+    """A row per episode of (ep, i, c, n): its frames, each point under its name, each part's seconds, and its flags joined."""
+    columns = [F.max(F.when(F.col("i") == k, F.col("c"))).alias(f"p{k}_{name}") for k, name in enumerate(names, 1)]
+    held = points.groupBy("ep").agg(F.max("n").alias("n_frames"), *columns)
+    edges = [F.lit(0), *(F.col(f"p{k}_{name}") for k, name in enumerate(names, 1)), F.col("n_frames")]
+    parts = [F.round((b - a) / fps, 2).alias(f"S{k}_s") for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+    joined = held.join(flags.select("ep", F.array_join("flags", "|").alias("flags")), "ep", "left")
+    return joined.select("ep", "n_frames", *(c for c in held.columns[2:]), *parts, F.coalesce("flags", F.lit("")).alias("flags"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from episodica.functions import replies, signal
 from episodica.operators import align, export, fusion, intervals, quality, runs
-from episodica.plans import files, reviews  # noqa: F401  register their queries
+from episodica.plans import files, layers, reviews  # noqa: F401  register their queries
 from episodica.plans import frames as fr
 from episodica.plans.prelude import EGO_FALLBACK
 from episodica.plans.registry import oracle_sql, queries, query  # noqa: F401  the first two are read from here

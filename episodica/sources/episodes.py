@@ -10,7 +10,7 @@ from episodica.sources.logs import read_lines  # noqa: F401  read with the other
 SUBTASK = "struct<subtask_id:int,label:string,start_frame:int,end_frame:int,start_t:double,end_t:double,n_frames:int,dur_s:double>"
 DOCUMENT = (
     "episode_index int, task string, n_frames int, fps double, annotator string, method string, critical_points array<int>, "
-    f"critical_names array<string>, subtask_starts array<int>, flags array<string>, n_subtasks int, subtasks array<{SUBTASK}>"
+    f"critical_names array<string>, subtask_starts array<int>, flags array<string>, n_subtasks int, subtasks array<{SUBTASK}>, review_points array<int>"
 )
 
 
