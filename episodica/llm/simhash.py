@@ -213,12 +213,10 @@ def _paths(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
 
-def _apart(batches: Iterator[pa.RecordBatch], budget: int, like: float) -> Iterator[pa.RecordBatch]:
-    """The pairs of leaves within the budget that have unlike labels and whose sizes and minima's bytes let them be alike.
-
-    Most pairs that meet here are different texts around one common passage; their bytes tell them apart, so no pair is
-    written and no text read for each two of such a group.
-    """
+def _likely(batches: Iterator[pa.RecordBatch], budget: int, like: float) -> Iterator[tuple[_Tries, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of leaves within the budget that have unlike labels and whose sizes and minima's bytes let them be alike, and
+    how many bytes they share. Most pairs that meet here are different texts around one common passage; no text is read to
+    tell them apart."""
     least = shingles.shared_bytes(like)
     for table in _some_tries(batches):
         tries = _Tries(table)
@@ -226,12 +224,43 @@ def _apart(batches: Iterator[pa.RecordBatch], budget: int, like: float) -> Itera
         held = table["bytes"].combine_chunks()
         width = shingles.BANDS * shingles.ROWS
         sketch = np.frombuffer(held.buffers()[2], np.uint8)[held.offset * width :][: len(held) * width].reshape(-1, width)[tries.order]
-        for at, to in tries.near(budget):
-            small_, large = np.minimum(size[at], size[to]), np.maximum(size[at], size[to])
-            some = np.flatnonzero(small_ >= like * large)
-            some = some[(sketch[at[some]] == sketch[to[some]]).sum(1) >= least]
-            a, b = tries.node[at[some]], tries.node[to[some]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+        for at, to in tries.near(budget, 1 << 16):
+            some = np.flatnonzero(np.minimum(size[at], size[to]) >= like * np.maximum(size[at], size[to]))
+            shared = (sketch[at[some]] == sketch[to[some]]).sum(1)
+            some, shared = some[shared >= least], shared[shared >= least]
+            yield tries, at[some], to[some], shared
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+
+def _apart(batches: Iterator[pa.RecordBatch], budget: int, like: float) -> Iterator[pa.RecordBatch]:
+    """All likely pairs."""
+    for tries, at, to, _ in _likely(batches, budget, like):
+        yield _pairs(tries.node[at], tries.node[to])
+
+
+def _best(batches: Iterator[pa.RecordBatch], budget: int, like: float) -> Iterator[pa.RecordBatch]:
+    """Of each leaf the likely pair with the most bytes in common: no more pairs than leaves, and those that link the most.
+
+    In a group of copies of one text that is the pair with the text itself, which links all of them.
+    """
+    held, best = None, np.zeros(0, np.int64)
+
+    def found() -> pa.RecordBatch:
+        leaf = np.flatnonzero(best >= 0)
+        return _pairs(held.node[leaf], held.node[best[leaf] & 0xFFFFFFFF])
+
+    for tries, at, to, shared in _likely(batches, budget, like):
+        if tries is not held:
+            if held is not None:
+                yield found()
+            held, best = tries, np.full(len(tries.node), -1)
+        np.maximum.at(best, at, shared << 32 | to)
+        np.maximum.at(best, to, shared << 32 | at)
+    if held is not None:
+        yield found()
 
 
 def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -344,8 +373,8 @@ def first_of_each(docs: DataFrame, like: float = shingles.LIKE, cell: int = 8192
     """docs with one row for each component of near copies: the row of its smallest doc_id, or without ids one of the others.
 
     Copies are texts whose sets of five-word runs have a Jaccard similarity of `like` or more. A first walk of the tries
-    gives paths through what may be alike; what verification leaves apart is walked again, pair by pair. Of rows with
-    that doc_id the least by a hash of all columns stays. Null and empty texts are copies of each other, texts of fewer
+    gives paths through what may be alike; of what verification leaves apart first the likeliest pairs are verified, and
+    then all others that sizes and min-hashes allow. Of rows with that doc_id the least by a hash of all columns stays. Null and empty texts are copies of each other, texts of fewer
     than five words are one run. Rows of one id with unlike texts are rows of different components. Columns may have
     any names. An empty table gives an empty result.
     """
@@ -364,16 +393,23 @@ def first_of_each(docs: DataFrame, like: float = shingles.LIKE, cell: int = 8192
     paths = cut(paths.distinct())
     edges = _verified(paths, classes, rows, like)
     found = components(edges, nodes)
-    # Only what a path leads through can have another partner; of these, pairs that are linked or refuted are done.
-    asked = paths.select(F.col("a").alias("print")).union(paths.select("b")).distinct()
-    asked = classes.join(asked, "print", "left_semi").join(found.select(F.col("node").alias("print"), F.col("label.node").alias("label")), "print", "left")
-    asked = cut(asked.withColumn("label", F.coalesce("label", "print")))
-    apart = _dealt(banded(asked, "size", "bytes"), cell, "size", "bytes").mapInArrow(lambda batches: _apart(batches, NEAR, like), "a long, b long")
-    apart = cut(apart.distinct().join(paths, ["a", "b"], "left_anti"))
-    if not apart.isEmpty():
-        more = _verified(apart, classes, rows, like)
-        if not more.isEmpty():
-            found = components(edges.union(more), nodes)
+    # Only what a path leads through can have another partner. The likeliest partner of each is tried first, twice, as that
+    # links most of what is to be linked; then all other likely pairs of what is not linked.
+    on_path = cut(classes.join(paths.select(F.col("a").alias("print")).union(paths.select("b")).distinct(), "print", "left_semi"))
+    done, linked = paths, True
+    for walk in (_best, _best, _apart):
+        if walk is _best and not linked:
+            continue
+        labels = found.select(F.col("node").alias("print"), F.col("label.node").alias("label"))
+        asked = cut(on_path.join(labels, "print", "left").withColumn("label", F.coalesce("label", "print")))
+        likely = _dealt(banded(asked, "size", "bytes"), cell, "size", "bytes").mapInArrow(lambda batches, walk=walk: walk(batches, NEAR, like), "a long, b long")
+        likely = cut(likely.distinct().join(done, ["a", "b"], "left_anti"))
+        linked = False
+        if not likely.isEmpty():
+            more, done = _verified(likely, classes, rows, like), done.union(likely)
+            if linked := not more.isEmpty():
+                edges = edges.union(more)
+                found = components(edges, nodes)
     gone = found.where("node <> label.node").select(F.col("node").alias("print"))
     kept = classes.join(gone, "print", "left_anti").select("id", "mark")
     return _only(docs, mark, held, cut(kept))
