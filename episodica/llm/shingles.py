@@ -11,7 +11,7 @@ import pyarrow as pa
 
 from episodica.llm import words
 
-WIDTH, LIKE, BANDS, ROWS = 5, 0.8, 28, 5
+WIDTH, LIKE, BANDS, ROWS, PARITIES = 5, 0.8, 28, 5, 1024
 _FACTOR, _FLIP = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
 _FACTOR = _FACTOR | np.uint64(1)
 
@@ -67,15 +67,22 @@ def bands(least: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def bytes_of(least: np.ndarray) -> np.ndarray:
-    """A byte of each of the minima: two sets have as many in common, of all, as they are alike, and one more in 256."""
-    return (words.mix(least) & np.uint64(255)).astype(np.uint8)
+def parities(value: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A row of PARITIES bits for each set: is the number of its hashes that fall on the bit odd?
 
+    Two sets' rows differ in no more bits than there are hashes that only one of the sets has.
+    """
+    text = np.repeat(np.arange(len(size)), size)
+    bit = (words.mix(value) & np.uint64(PARITIES - 1)).astype(np.int64)
+    out = np.zeros(len(size) * PARITIES, np.uint8)
+    at, times = np.unique(text * PARITIES + bit, return_counts=True)
+    out[at] = times & 1
+    return np.packbits(out.reshape(len(size), PARITIES), axis=1)
 
-def shared_bytes(like: float = LIKE) -> int:
-    """How many bytes two sets alike by `like` have in common but for 1 case in 100,000: 4.3 standard deviations below the mean."""
-    n = BANDS * ROWS
-    return int(n * like - 4.3 * (n * like * (1 - like)) ** 0.5)
+
+def most_apart(n: np.ndarray, m: np.ndarray, like: float = LIKE) -> np.ndarray:
+    """How many hashes only one of two sets of n and m hashes can have if they are alike by `like`."""
+    return np.floor((1 - like) / (1 + like) * (n + m) + 1e-9).astype(np.int64)
 
 
 def simhashes(value: np.ndarray, size: np.ndarray) -> np.ndarray:

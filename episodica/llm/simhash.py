@@ -14,7 +14,7 @@ of more than `cell` fingerprints is dealt out as pairs of its parts, each to a t
 `first_of_each` is the same join for texts alike by 0.8 in runs of five words. Their
 fingerprints differ in up to 24 bits, too many for blocks to meet on, so a trie holds what
 agrees on a min-hash band, and every pair that the walk keeps is verified on the texts, but for
-those whose sizes or whose 140 bytes of min-hashes say that they are not alike.
+those whose sizes or whose 1,024 parities say for certain that they are not alike.
 """
 
 from __future__ import annotations
@@ -214,21 +214,20 @@ def _paths(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Record
 
 
 def _likely(batches: Iterator[pa.RecordBatch], budget: int, like: float) -> Iterator[tuple[_Tries, np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of leaves within the budget that have unlike labels and whose sizes and minima's bytes let them be alike, and
-    how many bytes they share. Most pairs that meet here are different texts around one common passage; no text is read to
-    tell them apart."""
-    least = shingles.shared_bytes(like)
+    """Pairs of leaves within the budget that have unlike labels and whose sizes and parities allow them to be alike, and
+    how far they are below what these allow. No pair that is alike is left out. Most pairs that meet here are different
+    texts around one common passage; no text is read to tell them apart."""
     for table in _some_tries(batches):
         tries = _Tries(table)
         size = table["size"].to_numpy()[tries.order]
-        held = table["bytes"].combine_chunks()
-        width = shingles.BANDS * shingles.ROWS
-        sketch = np.frombuffer(held.buffers()[2], np.uint8)[held.offset * width :][: len(held) * width].reshape(-1, width)[tries.order]
+        held, width = table["odd"].combine_chunks(), shingles.PARITIES // 8
+        odd = np.frombuffer(held.buffers()[2], np.uint8)[held.offset * width :][: len(held) * width].reshape(-1, width)[tries.order].view(np.uint64)
         for at, to in tries.near(budget, 1 << 16):
             some = np.flatnonzero(np.minimum(size[at], size[to]) >= like * np.maximum(size[at], size[to]))
-            shared = (sketch[at[some]] == sketch[to[some]]).sum(1)
-            some, shared = some[shared >= least], shared[shared >= least]
-            yield tries, at[some], to[some], shared
+            at, to = at[some], to[some]
+            below = shingles.most_apart(size[at], size[to], like) - np.bitwise_count(odd[at] ^ odd[to]).sum(1, dtype=np.int64)
+            some = np.flatnonzero(below >= 0)
+            yield tries, at[some], to[some], below[some]
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -242,7 +241,7 @@ def _apart(batches: Iterator[pa.RecordBatch], budget: int, like: float) -> Itera
 
 
 def _best(batches: Iterator[pa.RecordBatch], budget: int, like: float) -> Iterator[pa.RecordBatch]:
-    """Of each leaf the likely pair with the most bytes in common: no more pairs than leaves, and those that link the most.
+    """Of each leaf the likely pair that is the furthest below what is allowed: no more pairs than leaves, and those that link the most.
 
     In a group of copies of one text that is the pair with the text itself, which links all of them.
     """
@@ -252,13 +251,13 @@ def _best(batches: Iterator[pa.RecordBatch], budget: int, like: float) -> Iterat
         leaf = np.flatnonzero(best >= 0)
         return _pairs(held.node[leaf], held.node[best[leaf] & 0xFFFFFFFF])
 
-    for tries, at, to, shared in _likely(batches, budget, like):
+    for tries, at, to, below in _likely(batches, budget, like):
         if tries is not held:
             if held is not None:
                 yield found()
             held, best = tries, np.full(len(tries.node), -1)
-        np.maximum.at(best, at, shared << 32 | to)
-        np.maximum.at(best, to, shared << 32 | at)
+        np.maximum.at(best, at, below << 32 | to)
+        np.maximum.at(best, to, below << 32 | at)
     if held is not None:
         yield found()
 
@@ -337,10 +336,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.concatenate([[0], np.cumsum((size > 0) * shingles.BANDS)])
         least = shingles.minima(value, size)
         keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(shingles.bands(least).reshape(-1)))
-        places = pa.array(np.concatenate([[0], np.cumsum((size > 0) * least.shape[1])]), pa.int32())
-        sketch = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, places.buffers()[1], pa.py_buffer(shingles.bytes_of(least).tobytes())])
-        made = [pa.array(shingles.prints(value, size)), pa.array(shingles.simhashes(value, size)), keys, pa.array(size.astype(np.int64)), sketch]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "mark", "print", "fp", "keys", "size", "bytes"])
+        places = pa.array(np.arange(len(size) + 1) * (shingles.PARITIES // 8), pa.int32())
+        odd = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, places.buffers()[1], pa.py_buffer(shingles.parities(value, size).tobytes())])
+        made = [pa.array(shingles.prints(value, size)), pa.array(shingles.simhashes(value, size)), keys, pa.array(size.astype(np.int64)), odd]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "mark", "print", "fp", "keys", "size", "odd"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch], like: float) -> Iterator[pa.RecordBatch]:
@@ -374,16 +373,16 @@ def first_of_each(docs: DataFrame, like: float = shingles.LIKE, cell: int = 8192
 
     Copies are texts whose sets of five-word runs have a Jaccard similarity of `like` or more. A first walk of the tries
     gives paths through what may be alike; of what verification leaves apart first the likeliest pairs are verified, and
-    then all others that sizes and min-hashes allow. Of rows with that doc_id the least by a hash of all columns stays. Null and empty texts are copies of each other, texts of fewer
+    then all others that sizes and parities allow. Of rows with that doc_id the least by a hash of all columns stays. Null and empty texts are copies of each other, texts of fewer
     than five words are one run. Rows of one id with unlike texts are rows of different components. Columns may have
     any names. An empty table gives an empty result.
     """
     mark = F.xxhash64(*(docs[c] for c in docs.columns))
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)).cast("long")).alias("id"), mark.alias("mark"), docs["text"].alias("text"))
-    held = cut(rows.mapInArrow(_signed, "id long, mark long, print long, fp long, keys array<long>, size long, bytes binary"))
+    held = cut(rows.mapInArrow(_signed, "id long, mark long, print long, fp long, keys array<long>, size long, odd binary"))
     place = F.struct((F.col("id") == -(1 << 63)).alias("nameless"), "id", "mark")
-    classes = held.groupBy("print").agg(F.min(place).alias("place"), *(F.first(c).alias(c) for c in ("fp", "keys", "size", "bytes")))
-    classes = cut(classes.select("print", "place", "place.id", "place.mark", "fp", "keys", "size", "bytes"))
+    classes = held.groupBy("print").agg(F.min(place).alias("place"), *(F.first(c).alias(c) for c in ("fp", "keys", "size", "odd")))
+    classes = cut(classes.select("print", "place", "place.id", "place.mark", "fp", "keys", "size", "odd"))
 
     def banded(of: DataFrame, *more: str) -> DataFrame:
         return of.select(F.col("print").alias("node"), "fp", "label", F.lit(0).alias("band"), F.explode("keys").alias("key"), *more)
@@ -393,21 +392,18 @@ def first_of_each(docs: DataFrame, like: float = shingles.LIKE, cell: int = 8192
     paths = cut(paths.distinct())
     edges = _verified(paths, classes, rows, like)
     found = components(edges, nodes)
-    # Only what a path leads through can have another partner. The likeliest partner of each is tried first, twice, as that
-    # links most of what is to be linked; then all other likely pairs of what is not linked.
+    # Only what a path leads through can have another partner. The likeliest partner of each is tried first, as that links
+    # most of what is to be linked; then all other likely pairs of what is not linked.
     on_path = cut(classes.join(paths.select(F.col("a").alias("print")).union(paths.select("b")).distinct(), "print", "left_semi"))
-    done, linked = paths, True
-    for walk in (_best, _best, _apart):
-        if walk is _best and not linked:
-            continue
+    done = paths
+    for walk in (_best, _apart):
         labels = found.select(F.col("node").alias("print"), F.col("label.node").alias("label"))
         asked = cut(on_path.join(labels, "print", "left").withColumn("label", F.coalesce("label", "print")))
-        likely = _dealt(banded(asked, "size", "bytes"), cell, "size", "bytes").mapInArrow(lambda batches, walk=walk: walk(batches, NEAR, like), "a long, b long")
+        likely = _dealt(banded(asked, "size", "odd"), cell, "size", "odd").mapInArrow(lambda batches, walk=walk: walk(batches, NEAR, like), "a long, b long")
         likely = cut(likely.distinct().join(done, ["a", "b"], "left_anti"))
-        linked = False
         if not likely.isEmpty():
             more, done = _verified(likely, classes, rows, like), done.union(likely)
-            if linked := not more.isEmpty():
+            if not more.isEmpty():
                 edges = edges.union(more)
                 found = components(edges, nodes)
     gone = found.where("node <> label.node").select(F.col("node").alias("print"))

@@ -4,10 +4,11 @@ import random
 from collections import defaultdict
 
 import corpus_pipeline
+import numpy as np
 import plain
 import pytest
 
-from episodica.llm import simhash
+from episodica.llm import shingles, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,3 +84,19 @@ def test_rows_of_one_id_with_unlike_texts_stay(spark):
     assert stage(spark, [(1, b), (5, a), (5, b), (5, a), (None, a), (None, "a third text that has no id to be known by")]) == {
         (1, b), (5, a), (None, "a third text that has no id to be known by")
     }
+
+
+def test_parities_never_say_that_copies_are_unlike():
+    """Sets of all sizes at and around 0.8: what parities differ in is no more than what the sets differ in."""
+    r = np.random.default_rng(4)
+    for n in (1, 2, 5, 40, 300, 5000):
+        for share in (0.0, 0.05, 0.1, 0.2, 0.5, 1.0):
+            a = np.unique(r.integers(0, 1 << 62, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[int(share * len(a)) :], r.integers(0, 1 << 62, int(share * len(a)), dtype=np.uint64)]))
+            odd = shingles.parities(np.concatenate([a, b]), np.array([len(a), len(b)]))
+            differ = int(np.bitwise_count(odd[0] ^ odd[1]).sum())
+            both = len(np.intersect1d(a, b))
+            assert differ <= len(a) + len(b) - 2 * both
+            if both >= 0.8 * (len(a) + len(b) - both):
+                assert differ <= shingles.most_apart(len(a), len(b))
+    assert not shingles.parities(np.zeros(0, np.uint64), np.array([0])).any()
