@@ -29,7 +29,7 @@ def merged_onset(pose: Column, vision: Column, tolerance: float) -> tuple[Column
 
 
 def decision(confidence: Column, delta: Column, evidence: Column, i: Column, most: int, least: int) -> Column:
-    """Why a proposed move is refused, by the first reason that holds, or `accepted`."""
+    """Why a proposed move is refused, by the first reason that holds, or `accepted`."""
     return (
         F.when(confidence != "high", "confidence_not_high")
         .when(F.abs(delta) > most, "move_too_large")
@@ -70,3 +70,8 @@ def first_of(tracks: dict[str, DataFrame], size: int = 6) -> DataFrame:
         joined = mine if joined is None else joined.join(mine, "ep", "full")
     source = F.coalesce(*(F.when(F.col(f"points of {t}").isNotNull(), F.lit(t)) for t in tracks))
     return joined.select("ep", source.alias("source"), F.coalesce(*(F.col(f"points of {t}") for t in tracks)).alias("points"))
+
+
+def matched(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of left with those of right that have the same key, rows of left without one)."""
+    return left.join(right, key), left.join(right, key, "left_anti")

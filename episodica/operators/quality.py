@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def boundary(stage: Column, delta: Column, spread: Column, whole: Column) -> Column:
-    """How well the gripper's signed change, or its spread, over a stage fits the stage. whole: its range over the episode."""
+    """How well the gripper's signed change, or its spread, over a stage fits the stage. whole: its range over the episode."""
     r = F.greatest(whole, F.lit(1e-6))
     q = spread / r
     down, up = -delta, delta
@@ -52,6 +52,9 @@ def log(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFram
     return rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.max_by(whole, place).alias("_row")).select("_row.*")
 
 
-def means(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: how many rows there are, and the mean of each column to four places, 0 of none."""
-    return rows.agg(F.count(F.lit(1)).alias("episodes"), *(F.coalesce(F.round(F.avg(c), 4), F.lit(0.0)).alias(f"mean_{c}") for c in columns))
+def means(rows: DataFrame, columns: list[str], sums: list[str] = []) -> DataFrame:  # noqa: B006  never changed
+    """One row: how many rows there are, the mean of each column to four places, 0 of none, and the sums of others."""
+    return rows.agg(
+        F.count(F.lit(1)).alias("episodes"), *(F.coalesce(F.round(F.avg(c), 4), F.lit(0.0)).alias(f"mean_{c}") for c in columns),
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums),
+    )

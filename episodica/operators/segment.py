@@ -18,8 +18,16 @@ SHARES = (0.12, 0.20, 0.34, 0.52, 0.62, 0.90)
 EGO_SHARES = (0.20, 0.37, 0.45, 0.77, 0.91)
 
 
+class _Smoothed:
+    """Of what has the seconds over which speeds (raw) and positions (carrier) are smoothed."""
+
+    def widths(self) -> tuple[int, int]:
+        """The frames of both, odd numbers."""
+        return int(self.raw * self.fps) | 1, int(self.carrier * self.fps) | 1
+
+
 @dataclass(frozen=True)
-class Hold:
+class Hold(_Smoothed):
     """Fixed values of the two-gripper task; times are seconds."""
 
     fps: float = 30
@@ -38,7 +46,7 @@ class Hold:
 
 
 @dataclass(frozen=True)
-class Wipe:
+class Wipe(_Smoothed):
     """Fixed values of the wiping task; times are seconds."""
 
     fps: float = 60

@@ -358,8 +358,8 @@ def boundary_score(spark, d):
     return _edges(spark, d)
 
 
-def _edges(spark, d):
-    index = intervals.dense(intervals.subtasks(fr.state_points(spark, d)))
+def _edges(spark, d, points=None):
+    index = intervals.dense(intervals.subtasks(points or fr.state_points(spark, d)))
     rows = fr.frames(spark, d).withColumn("w", (F.max("b").over(P()) - F.min("b").over(P())).cast("double"))
     rows = rows.join(index, ["ep", "f"]).groupBy("ep", "k").agg((F.max_by("b", "f") - F.min_by("b", "f")).alias("d"), (F.max("b") - F.min("b")).alias("spread"), F.max("w").alias("w"))
     stage = F.array(*map(F.lit, fr.STAGE_OF))[C("k").cast("int")]
@@ -376,8 +376,9 @@ def self_check_samples(spark, d):
 
 @query(f"SELECT sc.ep, floor((3 * CAST(round(sc.score * 10000) AS BIGINT) + 3 * CAST(round(e.score * 10000) AS BIGINT) + 4 * CASE WHEN sc.ep % 3 <> 0 THEN 5000 ELSE 0 END + 5) / 10.0) / 10000 AS quality FROM sc JOIN (SELECT ep, round(avg(score), 4) AS score FROM ({_EDGE_SCORE}) GROUP BY ep) e USING (ep)")
 def quality_rollup(spark, d):
-    edges = _edges(spark, d).groupBy("ep").agg(F.round(F.avg("score"), 4).alias("edges"))
-    rows = intervals.interval_score(fr.proposed_stages(spark, d)).join(edges, "ep")
+    points = fr.points_once(spark, d)
+    edges = _edges(spark, d, points).groupBy("ep").agg(F.round(F.avg("score"), 4).alias("edges"))
+    rows = intervals.interval_score(fr.proposed_stages(spark, d, points)).join(edges, "ep")
     future = F.when(C("ep") % 3 != 0, 0.5)
     return rows.select("ep", quality.rolled_up(C("score"), C("edges"), future).alias("quality"))
 
@@ -607,9 +608,9 @@ ln AS (SELECT ep, k, 2 AS run, CASE WHEN (ep + k) % 4 <> 0 THEN (ep * 3 + k * 5)
 lg AS (SELECT ep, k, arg_max(run, (score IS NOT NULL)::INT * 10 + run) AS run, arg_max(coalesce(score, -1), (score IS NOT NULL)::INT * 10 + run) AS score FROM (FROM lo UNION ALL FROM ln) GROUP BY ep, k)"""
 
 
-def _log(spark, d):
+def _log(spark, d, points=None):
     """A verification log after a second run: what the first run scored is not asked again."""
-    samples = intervals.subtasks(fr.state_points(spark, d)).select("ep", "k")
+    samples = intervals.subtasks(points or fr.state_points(spark, d)).select("ep", "k")
     score = lambda a, b: ((C("ep") * a + C("k") * b) % 100) / F.lit(100.0)
     old = samples.where("ep % 2 = 0").select("ep", "k", F.lit(1).alias("run"), F.when((C("ep") + C("k")) % 3 != 0, score(7, 13)).alias("score"))
     todo = quality.to_do(samples.where("ep % 4 < 3"), old, ["ep", "k"])
@@ -622,13 +623,66 @@ def verification_log(spark, d):
     return _log(spark, d)
 
 
-@query(f"{_LOG}, fs AS (SELECT ep, round(avg(CAST(score AS DOUBLE)) FILTER (score >= 0), 4) AS future FROM lg GROUP BY ep), ea AS (SELECT ep, round(avg(score), 4) AS edges FROM ({_EDGE_SCORE}) GROUP BY ep) SELECT count(*) AS episodes, round(avg(sc.score), 4) AS mean_interval, round(avg(ea.edges), 4) AS mean_edges, round(avg(coalesce(fs.future, 0)), 4) AS mean_future FROM sc JOIN ea USING (ep) LEFT JOIN fs USING (ep)")
+_QUALITY = f"""{_LOG}, fs AS (SELECT ep, round(avg(CAST(score AS DOUBLE)) FILTER (score >= 0), 4) AS future, count(*) FILTER (score >= 0) AS verified FROM lg GROUP BY ep), ea AS (SELECT ep, round(avg(score), 4) AS edges, count(*) AS stages FROM ({_EDGE_SCORE}) GROUP BY ep),
+qu AS (SELECT sc.ep, sc.score AS "interval", edges, stages, coalesce(future, 0) AS future, coalesce(verified, 0) AS verified, floor((3 * CAST(round(sc.score * 10000) AS BIGINT) + 3 * CAST(round(edges * 10000) AS BIGINT) + 4 * CAST(round(coalesce(future, 0) * 10000) AS BIGINT) + 5) / 10.0) / 10000 AS quality FROM sc JOIN ea USING (ep) LEFT JOIN fs USING (ep))"""
+
+
+def _qualities(spark, d):
+    """A row per episode: its scores, what they come to, and how many stages there are and are verified; unverified ones count as 0."""
+    points = fr.points_once(spark, d)
+    future = _log(spark, d, points).groupBy("ep").agg(F.round(F.avg("score"), 4).alias("future"), F.count("score").alias("verified"))
+    edges = _edges(spark, d, points).groupBy("ep").agg(F.round(F.avg("score"), 4).alias("edges"), F.count(F.lit(1)).alias("stages"))
+    rows = intervals.interval_score(fr.proposed_stages(spark, d, points)).withColumnRenamed("score", "interval").join(edges, "ep").join(future, "ep", "left")
+    rows = rows.withColumns({"future": F.coalesce("future", F.lit(0.0)), "verified": F.coalesce("verified", F.lit(0))})
+    return rows.withColumn("quality", quality.rolled_up(C("interval"), C("edges"), C("future")))
+
+
+@query(f'{_QUALITY} SELECT ep, "interval", edges, stages, future, verified, quality FROM qu')
+def episode_quality(spark, d):
+    return _qualities(spark, d).select("ep", "interval", "edges", "stages", "future", "verified", "quality")
+
+
+@query(f'{_QUALITY} SELECT count(*) AS episodes, round(avg("interval"), 4) AS mean_interval, round(avg(edges), 4) AS mean_edges, round(avg(future), 4) AS mean_future, round(avg(quality), 4) AS mean_quality, sum(stages)::BIGINT AS stages, sum(verified)::BIGINT AS verified FROM qu')
 def quality_global(spark, d):
-    """Means over all episodes; an episode that is not verified counts as 0."""
-    future = _log(spark, d).groupBy("ep").agg(F.round(F.avg("score"), 4).alias("future"))
-    edges = _edges(spark, d).groupBy("ep").agg(F.round(F.avg("score"), 4).alias("edges"))
-    rows = intervals.interval_score(fr.proposed_stages(spark, d)).withColumnRenamed("score", "interval").join(edges, "ep").join(future, "ep", "left")
-    return quality.means(rows.withColumn("future", F.coalesce("future", F.lit(0.0))), ["interval", "edges", "future"])
+    """Means and sums over all episodes."""
+    return quality.means(_qualities(spark, d), ["interval", "edges", "future", "quality"], ["stages", "verified"])
+
+
+@query("SELECT count(*) FILTER (review) AS points, count(DISTINCT ep) FILTER (review) AS episodes, count(DISTINCT ep) AS of FROM fu")
+def review_totals(spark, d):
+    """How many fused points are for review, and in how many episodes."""
+    some = _fused(spark, d).groupBy("ep").agg(F.count_if("review").alias("points"))
+    return some.agg(F.sum("points").alias("points"), F.count_if(C("points") > 0).alias("episodes"), F.count(F.lit(1)).alias("of"))
+
+
+@query("""hg AS (SELECT sub.ep, k, sub.ep % 3 AS said, arg_max(a, f) - arg_min(a, f) AS da, arg_max(b, f) - arg_min(b, f) AS db, max(a) - min(a) AS sa, max(b) - min(b) AS sb, max(wa_) AS wa_, max(wb_) AS wb_
+FROM sub JOIN (SELECT *, max(a) OVER (PARTITION BY ep) - min(a) OVER (PARTITION BY ep) AS wa_, max(b) OVER (PARTITION BY ep) - min(b) OVER (PARTITION BY ep) AS wb_ FROM fr) x ON x.ep = sub.ep AND f BETWEEN first AND last GROUP BY sub.ep, k),
+hh AS (SELECT ep, k, CASE WHEN said = 0 THEN 'left' WHEN said = 1 THEN 'right' WHEN abs(da) >= abs(db) THEN 'left' ELSE 'right' END AS hand, da, db, sa, sb, wa_, wb_ FROM hg),
+hi AS (SELECT ep, k, hand, ['reach', 'transport', 'place', 'release', 'grasp', 'adjust', 'done'][k + 1] AS stage, CASE hand WHEN 'left' THEN da ELSE db END AS d, CASE hand WHEN 'left' THEN sa ELSE sb END AS spread, CASE hand WHEN 'left' THEN wa_ ELSE wb_ END AS w FROM hh)
+SELECT ep, k, hand, CASE WHEN stage = 'grasp' THEN CASE WHEN -d > 0.3 * w THEN 1.0 WHEN -d > 0.1 * w THEN 0.7 WHEN abs(d) <= 0.1 * w THEN 0.4 ELSE 0.0 END
+WHEN stage = 'release' THEN CASE WHEN d > 0.3 * w THEN 1.0 WHEN d > 0.1 * w THEN 0.7 WHEN abs(d) <= 0.1 * w THEN 0.4 ELSE 0.0 END
+WHEN stage = 'transport' THEN CASE WHEN spread / w <= 0.1 THEN 1.0 WHEN spread / w <= 0.2 THEN 0.7 WHEN spread / w <= 0.4 THEN 0.4 ELSE 0.0 END
+WHEN stage IN ('reach', 'done') THEN CASE WHEN spread / w <= 0.1 THEN 1.0 ELSE 0.7 END ELSE 0.7 END::DOUBLE AS score FROM hi""")
+def boundary_by_hand(spark, d):
+    """How well each stage's edges fit the gripper that its text names, or else the one that changes more."""
+    index = intervals.dense(intervals.subtasks(fr.points_once(spark, d)))
+    rows = fr.frames(spark, d).withColumns({f"w{x}": (F.max(x).over(P()) - F.min(x).over(P())).cast("double") for x in "ab"})
+    of = lambda x: F.struct((F.max_by(x, "f") - F.min_by(x, "f")).alias("d"), (F.max(x) - F.min(x)).alias("spread"), F.max(f"w{x}").alias("w")).alias(x)
+    rows = rows.join(index, ["ep", "f"]).groupBy("ep", "k").agg(of("a"), of("b"))
+    text = F.when(C("ep") % 3 == 0, "Move the LEFT gripper, not the right one").when(C("ep") % 3 == 1, "bright light").otherwise("Move")
+    hand = quality.gripper(text, C("a.d"), C("b.d"))
+    stage = F.array(*map(F.lit, fr.STAGE_OF))[C("k").cast("int")]
+    rows = rows.withColumn("hand", hand).withColumn("of", F.when(C("hand") == "left", C("a")).otherwise(C("b")))
+    return rows.select("ep", "k", "hand", quality.boundary(stage, C("of.d"), C("of.spread"), C("of.w")).alias("score"))
+
+
+@query("SELECT sn.ep, sn.ep % 3 <> 0 AS found, CASE WHEN sn.ep % 3 <> 0 THEN p END AS points FROM sn LEFT JOIN (SELECT ep, count(*) AS p FROM st GROUP BY ep) USING (ep) WHERE sn.ep < 40")
+def first_episodes(spark, d):
+    """Episodes below a number with the annotations that there are; the others are named, too."""
+    episodes = fr.frames(spark, d).select("ep").distinct().where("ep < 40")
+    annotated = fr.state_points(spark, d).where("ep % 3 <> 0").groupBy("ep").agg(F.count(F.lit(1)).alias("points"))
+    both, missing = fusion.matched(episodes, annotated, "ep")
+    return both.select("ep", F.lit(True).alias("found"), "points").unionByName(missing.select("ep", F.lit(False).alias("found")), allowMissingColumns=True)
 
 
 @query("SELECT ep, row_number() OVER (ORDER BY ep) - 1 AS place FROM (SELECT DISTINCT ep FROM fr) QUALIFY place IN (1, 3, 4)")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from episodica.functions import signal
 from episodica.operators import intervals, runs, segment
+from episodica.sources.scratch import cut
 
-#: What the seven parts of an episode are taken for where stages are scored.
+#: What the seven parts of an episode are taken for where stages are scored.
 STAGE_OF = ("reach", "transport", "place", "release", "grasp", "adjust", "done")
 #: Ten frames a second make the reference's times whole frames of episodes as short as these.
 TASK, WIPE = segment.Hold(fps=10), segment.Wipe(fps=10)
@@ -70,20 +69,30 @@ def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.motion(moved(spark, sf_dir), ["x", "y"], 3, 11)
+    return segment.motion(moved(spark, sf_dir), ["x", "y"], *TASK.widths())
+
+
+_SEGMENTED: dict[tuple, DataFrame] = {}
 
 
-@lru_cache(maxsize=4)
 def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One plan for all queries of a session: building its expressions takes longer than running them on small tables."""
-    return segment.held_tasks(motion(spark, sf_dir), TASK)
+    """One plan for all queries of a session: building its expressions takes longer than running them on small tables.
+
+    Plans are kept for the running application alone, and for the files that the table has at the time.
+    """
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, *sorted(events(spark, sf_dir).inputFiles()))
+    if key not in _SEGMENTED:
+        for old in [k for k in _SEGMENTED if k[:2] != key[:2] or k[2] == sf_dir]:
+            del _SEGMENTED[old]
+        _SEGMENTED[key] = segment.held_tasks(motion(spark, sf_dir), TASK)
+    return _SEGMENTED[key]
 
 
 def wiped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The left hand holds what the right one wipes; the position is that of both, and the right one also nods."""
     rows = moved(spark, sf_dir).withColumn("z", (F.col("f") % 3) * 10 + F.col("b") % 4)
     for side, dims in (("left", ["x", "y"]), ("right", ["x", "y", "z"])):
-        rows = segment.motion(rows, dims, 1, 7, zscore=False).withColumnsRenamed({"raw": f"{side}_raw", "drift": f"{side}_drift"})
+        rows = segment.motion(rows, dims, *WIPE.widths(), zscore=False).withColumnsRenamed({"raw": f"{side}_raw", "drift": f"{side}_drift"})
     return segment.wiped(rows.withColumnsRenamed({"hand": "left", "pestle": "right"}), WIPE)
 
 
@@ -97,6 +106,11 @@ def state_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ep", (F.col("i") + 1).cast("long").alias("i"), "c", "n")
 
 
+def points_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """state_points for queries that use them more than once: the segmentation runs once."""
+    return cut(state_points(spark, sf_dir))
+
+
 def other_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second track: the state's points, moved by what signal b says at frame 5 i; episodes divisible by 7 have none."""
     at = frames(spark, sf_dir).select("ep", F.col("f").alias("at"), "b")
@@ -105,9 +119,9 @@ def other_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ep", "i", moved.cast("long").alias("c"), "n")
 
 
-def proposed_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def proposed_stages(spark: SparkSession, sf_dir: str, points: DataFrame | None = None) -> DataFrame:
     """(ep, i, first, last, n): the subtasks with ends that overlap, leave gaps or leave the episode."""
     at = frames(spark, sf_dir).select("ep", F.col("f").alias("at"), "b")
-    parts = intervals.subtasks(state_points(spark, sf_dir)).withColumn("i", F.col("k") + 1).withColumn("at", F.col("i") * 3)
+    parts = intervals.subtasks(points or state_points(spark, sf_dir)).withColumn("i", F.col("k") + 1).withColumn("at", F.col("i") * 3)
     rows = parts.join(at, ["ep", "at"])
     return rows.select("ep", "i", (F.col("first") + F.col("b") % 5 - 2).alias("first"), (F.col("last") + F.col("b") % 7 - 3).alias("last"), "n")

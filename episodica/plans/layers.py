@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from episodica.operators import export, intervals, stages, vision
+from episodica.operators import export, images, intervals, stages, vision
 from episodica.plans import frames as fr
 from episodica.plans.prelude import _hold
 from episodica.plans.registry import query
@@ -91,6 +91,20 @@ def wide_summary(spark, d):
     return export.wide(fr.state_points(spark, d), fr.segmented(spark, d), POINTS, fps=10)
 
 
+@query("""ki AS (SELECT sub.ep, k, unnest([first, (first + last) // 2, last]) AS f FROM sub WHERE last >= first), kj AS (SELECT DISTINCT ep, f FROM ki)
+SELECT printf('episode_%06d_camera%d_t%04d.jpg', fr.ep, cam, fr.f) AS name, CASE cam WHEN 0 THEN fr.a::VARCHAR ELSE 'b' || fr.b END AS content FROM kj JOIN fr ON fr.ep = kj.ep AND fr.f = kj.f, (VALUES (0), (1)) cams(cam) WHERE cam = 0 OR fr.f % 4 <> 0""")
+def keyframe_files(spark, d):
+    """The images of the frames that are shown of each part, written as files and read back; of one camera some are missing."""
+    cell = lambda text: F.struct(F.encode(text, "UTF-8").alias("bytes"), F.lit(None).cast("string").alias("path"))
+    rows = fr.frames(spark, d).select("ep", "f", cell(C("a").cast("string")).alias("camera0"), F.when(C("f") % 4 != 0, cell(F.concat(F.lit("b"), "b"))).alias("camera1"))
+    parts = intervals.subtasks(fr.state_points(spark, d)).where("last >= first")
+    wanted = parts.select("ep", F.explode(F.array(C("first"), F.floor((C("first") + C("last")) / 2), C("last"))).alias("f"))
+    folder = fresh(spark, "keyframes")
+    named_files.write_files(images.named(images.cells(rows, wanted, ["camera0", "camera1"])), folder)
+    held = spark.read.format("binaryFile").load(folder)
+    return held.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "UTF-8").alias("content"))
+
+
 @query("SELECT ep, 'second' AS task, array_to_string(list(c + CASE WHEN ep % 5 = 0 THEN 1 ELSE 0 END ORDER BY i), ',') AS points, CASE WHEN ep % 3 = 0 THEN '2,5' ELSE '' END AS review FROM st WHERE ep % 4 <> 3 GROUP BY ep UNION ALL SELECT ep, NULL, NULL, NULL FROM sn WHERE ep % 4 = 3")
 def document_points(spark, d):
     """Documents of episodes, written as files and read back; those that say another episode's number come after its own."""

@@ -20,14 +20,18 @@ def episode_of(path: Column) -> Column:
     return F.when(number == "", F.raise_error(F.concat(F.lit("not an episode file: "), path))).otherwise(number.cast("int"))
 
 
-def read_episodes(spark: SparkSession, folder: str, columns: list[str] | None = None, episodes: list[int] | None = None) -> DataFrame:
+def read_episodes(spark: SparkSession, folder: str, columns: list[str] | None = None, episodes: list[int] | None = None, first: int | None = None) -> DataFrame:
     """Frames of all episode files below folder, with episode_index from the file's name and frame from the row's place.
 
-    Only the named columns are read, and only the files of the named episodes.
+    Only the named columns are read, and only the files of the named episodes, of these the first ones by their path if so
+    many are asked for.
     """
     names = None if episodes is None else [f"episode_{e:06d}.parquet" for e in episodes]
     glob = "episode_*.parquet" if not names else "{" + ",".join(names) + "}"
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).parquet(folder)
+    if first is not None and names != []:
+        kept = sorted(rows.inputFiles())[:first]
+        rows = spark.read.parquet(*kept) if kept else rows.limit(0)
     if names == []:
         rows = rows.limit(0)
     wanted = [F.col(f"`{c}`") for c in columns or rows.columns if c != "episode_index"]
@@ -63,7 +67,3 @@ def write_documents(documents: DataFrame, path: str) -> None:
 def append_results(results: DataFrame, path: str) -> None:
     """Adds to a log; what is done already is left out by quality.to_do before."""
     results.write.mode("append").json(path)
-
-
-def write_summary(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.sources.scratch import beside, delete, exists, move
+from episodica.sources.scratch import beside, delete, exists, file_system, move
 
 BACKUP = ".bak"
 
@@ -66,3 +66,13 @@ def write_run(documents: DataFrame, folder: str, expected: int, summary: Callabl
 def latest_documents(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """The documents of all runs, partial ones too."""
     return spark.read.schema(schema).json(f"{folder.rstrip('/')}/documents")
+
+
+def latest(spark: SparkSession, root: str, with_file: str = "") -> str | None:
+    """The folder below root that was changed last, of those that hold with_file; None if there is none."""
+    fs, made = file_system(spark, root)
+    if not fs.exists(made(root)):
+        return None
+    found = [(s.getModificationTime(), s.getPath().toString()) for s in fs.listStatus(made(root)) if s.isDirectory()]
+    held = [f for f in found if not with_file or fs.exists(made(f"{f[1]}/{with_file}"))]
+    return max(held)[1] if held else None

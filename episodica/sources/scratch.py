@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession) -> str:
@@ -18,6 +18,14 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def cut(rows: DataFrame) -> DataFrame:
+    """rows, computed once and read from the shared folder from then on."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared(rows.sparkSession))
+    return rows.checkpoint()
+
+
 def beside(path: str, ending: str) -> str:
     return f"{path.rstrip('/')}{ending}"
 

@@ -109,10 +109,10 @@ def test_points_of_exports(spark):
 def test_shapes_of_replies(spark):
     cases = {
         '[{"stages": [{"name":"a"}]}]': '{"stages":[{"name":"a"}]}',
-        '[{"name": "a"}, {"name": "b"}]': '{"stages":[{"name":"a"},{"name":"b"}]}',
+        '[{"name": "a"}, {"name": "b"}]': '{"stages":[{"name": "a"}, {"name": "b"}]}',
         '```json\n{"stages": []}\n```': '{"stages": []}',
         'list [{"name":"a"}]': '{"name":"a"}',
-        'list [{"name":"a"}, {"name":"b"}] end': '{"stages":[{"name":"a"},{"name":"b"}]}',
+        'list [{"name":"a"}, {"name":"b"}] end': '{"stages":[{"name":"a"}, {"name":"b"}]}',
         "[]": '{"stages":[]}',
         "[1]": None, "7": None, "no json": None, "{oops": None, '{"a":1}, "b": {"c":2}': None, '{"a":1}] [{"b":2}': None,
     }
