@@ -40,18 +40,19 @@ def train(docs: DataFrame, per_label: int = 600, most: int = 120_000) -> Network
     """Fits on windows of about per_label different texts of each label, drawn by hash from the learnable rows.
 
     A drawn text gives four windows at most, so the task that fits gets about 4 * per_label windows of a label, and of all labels
-    together about 4 * most: where there are more than most / per_label labels, each gives fewer texts, and none is
-    left out. Equal texts are drawn together and used once. None where nothing is labelled.
+    together about 4 * most: where there are more than most / per_label labels, each gives fewer texts, but the one with
+    the least hash always. Equal texts are drawn together and used once. None where nothing is labelled.
     """
     learn = docs.where(id_remainder(docs["doc_id"], 4) != 2).where(docs["lang"].isNotNull() & docs["text"].isNotNull())
     learn = learn.select("lang", "text", F.xxhash64("text").alias("hash"))
-    counts = learn.groupBy("lang").agg(F.approx_count_distinct("hash").alias("texts")).collect()
+    counts = learn.groupBy("lang").agg(F.approx_count_distinct("hash").alias("texts"), F.min("hash").alias("least")).collect()
     if not counts:
         return None
     wanted = min(per_label, max(1, most // len(counts)))
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, wanted / max(1, r["texts"])))))
     draw = F.pmod(F.xxhash64("hash"), F.lit(1 << 40)) / (1 << 40)  # of a hash again: the windows are drawn by the hash of places
-    drawn = learn.where(draw < share[F.col("lang")]).groupBy("lang", "hash").agg(F.first("text").alias("text")).select("lang", "text")
+    least = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], r["least"])))  # of a label whose draw may be empty
+    drawn = learn.where((draw < share[F.col("lang")]) | (F.col("hash") == least[F.col("lang")])).groupBy("lang", "hash").agg(F.first("text").alias("text")).select("lang", "text")
 
     def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.bounded(batches, 1):

@@ -58,4 +58,11 @@ def test_no_label_is_left_out(spark):
     """More labels than the bound on texts leaves room for: each still gives one."""
     rows = [(k, f"{chr(97 + k % 26) * 30} {k}", f"l{k % 26:02d}") for k in range(400)]
     net = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=26 * 8)
-    assert len(net.labels) >= 25
+    assert len(net.labels) == 26
+
+
+def test_labels_of_which_less_than_a_text_is_drawn(spark):
+    """Three hundred labels, and room for six texts in all."""
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k % 23)} " * 20 + str(k), f"l{k % 300:03d}") for k in range(3000)]
+    net = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=6)
+    assert len(net.labels) == 300
