@@ -22,11 +22,11 @@ RESPONSE = "request_id string, raw_response string, error string, latency_s doub
 LOGGED = RESPONSE + ", answered_at double"
 
 
-def _tried(call: Callable[[str], str], prompt: str, retries: int, pause: float) -> tuple[str | None, str | None]:
-    """(reply, error) of a prompt; what fails is tried again after pauses of pause, twice pause and so on, 30 seconds at most."""
+def _tried(call: Callable[..., str], asked: tuple, retries: int, pause: float) -> tuple[str | None, str | None]:
+    """(reply, error) of a prompt, with its images if it has any; what fails is tried again after pauses of pause, twice pause and so on, 30 seconds at most."""
     for attempt in range(1, retries + 1):
         try:
-            return call(prompt), None
+            return call(*asked), None
         except Exception as failure:  # whatever the client raises is a result here
             error = f"{type(failure).__name__}: {failure}"
             if attempt < retries:
@@ -43,7 +43,7 @@ def ask(requests: DataFrame, client: Callable[[], Callable[[str], str]], retries
             out = []
             for row in frame.itertuples():
                 began = time.time()
-                reply, error = _tried(call, row.prompt, retries, pause)
+                reply, error = _tried(call, (row.prompt,), retries, pause)
                 out.append((row.request_id, reply, error, time.time() - began))
             yield pd.DataFrame(out, columns=["request_id", "raw_response", "error", "latency_s"])
 
@@ -71,11 +71,13 @@ def ask_once(
     with per_file of 1 the one under way, are made again. Requests whose last reply is an error are asked again in the next
     run and keep all their rows in the log. At most at_once calls are made at a time, by as many tasks.
 
-    The log is a folder that driver and executors share. Requests with the same id are asked once.
+    The log is a folder that driver and executors share. Requests with the same id are asked once. Where requests have a
+    column images, arrays of bytes, calls get them after the prompt.
     """
     spark, run_id = requests.sparkSession, uuid.uuid4().hex
     done = logged(spark, log).where("error IS NULL").select("request_id")
-    todo = requests.select("request_id", "prompt").join(done, "request_id", "left_anti").groupBy("request_id").agg(F.min("prompt").alias("prompt"))
+    shown = [F.min_by("images", "prompt").alias("images")] if "images" in requests.columns else []
+    todo = requests.join(done, "request_id", "left_anti").groupBy("request_id").agg(F.min("prompt").alias("prompt"), *shown)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = files.FileSystem.from_uri(log)
@@ -101,11 +103,11 @@ def ask_once(
 
         count = 0
         for batch in batches:
-            for request_id, prompt in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for request_id, *asked in zip(*(column.to_pylist() for column in batch.columns)):
                 if request_id in answered:
                     continue
                 began = time.time()
-                reply, error = _tried(call, prompt, retries, pause)
+                reply, error = _tried(call, tuple(asked), retries, pause)
                 now = time.time()
                 waiting.append({"request_id": request_id, "raw_response": reply, "error": error, "latency_s": now - began, "answered_at": now})
                 count += 1

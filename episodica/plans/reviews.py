@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from episodica.operators import align, verify
+from episodica.operators import align, prior, verify
 from episodica.plans import frames as fr
 from episodica.plans.registry import query
 from episodica.sources import demos
@@ -106,3 +106,30 @@ CASE WHEN frames > 0 THEN frames END AS ego_frames, CASE WHEN frames > 0 AND fit
 FROM ew_ LEFT JOIN (SELECT ep, min(hit) AS a, max(hit) AS b FROM ma GROUP BY ep) USING (ep)""")
 def alignment_report(spark, d):
     return align.alignment_report(*_stamped(spark, d)).drop("mode", "offset_s")
+
+
+@query("""pp AS (SELECT ep, n, ep % 4 AS form, list(c ORDER BY i)[1:5] AS five FROM st GROUP BY ep, n),
+pq AS (SELECT ep, n, form, CASE form WHEN 0 THEN five WHEN 3 THEN list_reverse(five) ELSE list_transform([0.20, 0.37, 0.50, 0.77, 0.91], lambda p: CAST(floor(p::DOUBLE * n) AS BIGINT)) END AS raw FROM pp),
+pr_ AS (SELECT ep, n, form, i, i + max(greatest(1, least(n - 2, raw[i])) - i) OVER (PARTITION BY ep ORDER BY i ROWS UNBOUNDED PRECEDING) AS c FROM (SELECT *, unnest(range(1, 6)) AS i FROM pq))
+SELECT ep, array_to_string(list(c ORDER BY i), ',') AS points, form IN (1, 2) AS fallback FROM pr_ GROUP BY ep, form""")
+def prior_points(spark, d):
+    """Points of replies that name them all, in or out of order; shares where a point is missing, or all are."""
+    asked = prior.requests(fr.frames(spark, d).groupBy("ep").agg(F.count(F.lit(1)).alias("n")), fps=10)
+    five = fr.state_points(spark, d).groupBy("ep").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]), 1, 5).alias("p"))
+    form = "#0: a hand\n{" + ", ".join(f'"{key}": "%d.2"' for key in prior.KEYS) + "}"
+    listed = lambda p: F.format_string(form, *(p[k] for k in range(5)))
+    raw = F.when(C("ep") % 4 == 0, listed(C("p"))).when(C("ep") % 4 == 1, F.format_string('{"c1_grasp_tube": %d}', C("p")[0])).when(C("ep") % 4 == 3, listed(F.reverse("p")))
+    found = prior.proposed(asked, five.select(F.format_string("prior-%06d", "ep").alias("request_id"), raw.alias("raw_response")))
+    return found.select("ep", F.array_join("points", ",").alias("points"), (F.size("flags") > 0).alias("fallback"))
+
+
+@query("""fd0 AS (SELECT st.ep, st.i, st.n, st.c AS state, vl.c AS v, abs(vl.c - st.c) AS d, CASE WHEN st.i IN (2, 5) AND vl.c IS NOT NULL AND abs(vl.c - st.c) <= 4 THEN vl.c ELSE st.c END AS val FROM st LEFT JOIN vl USING (ep, i)),
+fd1 AS (SELECT *, greatest(1, least(val, n - 2)) AS clip FROM fd0), fd2 AS (SELECT *, i + max(clip - i) OVER (PARTITION BY ep ORDER BY i ROWS UNBOUNDED PRECEDING) AS fwd FROM fd1)
+SELECT ep AS episode_index, array_to_string(list(least(fwd, n - 2 - (6 - i)) ORDER BY i), ',') AS critical_points, array_to_string(list(CASE WHEN i IN (2, 5) AND v IS NOT NULL THEN 'other' ELSE 'state' END ORDER BY i), ',') AS sources,
+  coalesce(array_to_string(list(d ORDER BY i) FILTER (d IS NOT NULL), ','), '') AS disagree_frames, coalesce(array_to_string(list(i ORDER BY i) FILTER (coalesce(d > 4, true)), ','), '') AS review_points,
+  concat_ws('|', string_agg('p' || i || ': vlm-owned but disagrees, used state', '|' ORDER BY i) FILTER (i IN (2, 5) AND d > 4), CASE WHEN count(v) = 0 THEN 'no vlm annotation -> all points from state' END, string_agg('nudged p' || i || ' for ordering', '|' ORDER BY i) FILTER (i > 1 AND fwd <> clip)) AS flags FROM fd2 GROUP BY ep""")
+def fused_documents(spark, d):
+    """A document per episode after the fusion of two tracks, with sources, differences, points for review and flags."""
+    found = prior.fused_documents(fr.points_once(spark, d), fr.other_points(spark, d), 4, [2, 5])
+    joined = lambda c, by=",": F.array_join(c, by).alias(c)
+    return found.select("episode_index", *(joined(c) for c in ("critical_points", "sources", "disagree_frames", "review_points")), joined("flags", "|"))
