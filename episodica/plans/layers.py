@@ -114,7 +114,7 @@ def document_points(spark, d):
     folder = fresh(spark, "documents")
     named_files.write_documents(docs.withColumn("task", F.when(C("episode_index") % 5 == 0, "first").otherwise(C("task"))), folder)
     body = F.to_json(F.struct(*later.columns))
-    named_files.write_files(later.select(F.format_string("ep%d_subtasks.json", C("episode_index") + 1_000_000_000).alias("name"), body.alias("content")), folder)
+    named_files.write_files(later.select(F.format_string("ep%d_subtasks.json", C("episode_index") + 999_000_000).alias("name"), body.alias("content")), folder)
     found = documents.annotation_map(spark, folder)
     rows = fr.frames(spark, d).select(C("ep").cast("int").alias("ep")).distinct().join(found, "ep", "left")
     six, review = documents.points_of(C("document"))
