@@ -11,6 +11,7 @@ from episodica.plans import files, layers, reviews  # noqa: F401  register their
 from episodica.plans import frames as fr
 from episodica.plans.prelude import EGO_FALLBACK
 from episodica.plans.registry import oracle_sql, queries, query  # noqa: F401  the first two are read from here
+from episodica.sources import demos
 
 
 C, W, P = F.col, signal.ordered, signal.episode
@@ -572,6 +573,14 @@ def first_track(spark, d):
     return fusion.first_of(_tracks(spark, d)).select("ep", "source", F.array_join("points", ",").alias("points"))
 
 
+@query(f"{_TRACKS} SELECT ss.ep, CASE WHEN ss.ep % 4 <> 0 THEN 'state' WHEN len(ot.pts) = 6 THEN 'other' WHEN len(fz.pts) = 6 THEN 'fused' END AS source, array_to_string(CASE WHEN ss.ep % 4 <> 0 THEN ss.pts WHEN len(ot.pts) = 6 THEN ot.pts WHEN len(fz.pts) = 6 THEN fz.pts END, ',') AS points FROM ss LEFT JOIN fz USING (ep) LEFT JOIN (SELECT ep, list(c ORDER BY i) AS pts FROM vl GROUP BY ep) ot USING (ep) WHERE ss.ep % 4 <> 0 OR ot.pts IS NOT NULL OR fz.pts IS NOT NULL")
+def base_track(spark, d):
+    """The track that all others are drawn against: state, else the model's, else the fused one."""
+    state = _points(fr.state_points(spark, d).where("ep % 4 <> 0"))
+    tracks = {"state": state, "other": _points(fr.other_points(spark, d)), "fused": _tracks(spark, d)["fused"]}
+    return fusion.first_of(tracks).select("ep", "source", F.array_join("points", ",").alias("points"))
+
+
 def _exported(spark, d):
     episodes = fr.frames(spark, d).groupBy(C("ep").alias("of")).agg(F.count(F.lit(1)).alias("n"))
     episodes = episodes.select((C("of") - 2).alias("episode_index"), F.when(C("of") % 6 != 0, C("n") - 20).alias("length"), F.concat(F.lit("e"), C("of")).alias("name"))
@@ -688,9 +697,7 @@ def first_episodes(spark, d):
 @query("SELECT ep, row_number() OVER (ORDER BY ep) - 1 AS place FROM (SELECT DISTINCT ep FROM fr) QUALIFY place IN (1, 3, 4)")
 def subset_by_place(spark, d):
     """Episodes by their place in the sorted list."""
-    ids = fr.frames(spark, d).select("ep").distinct()
-    rows = ids.orderBy("ep").limit(5).withColumn("place", (F.row_number().over(Window.orderBy("ep")) - 1).cast("long"))
-    return rows.where(C("place").isin(1, 3, 4))
+    return demos.by_place(fr.frames(spark, d).select("ep").distinct(), "ep", [1, 3, 4])
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 50 END AS frame, CASE event_id % 4 WHEN 0 THEN user_id WHEN 1 THEN event_id % 50 WHEN 2 THEN event_id % 50 ELSE round_even((event_id % 50) + 0.5, 0)::BIGINT END AS chosen FROM events")

@@ -80,11 +80,14 @@ def rates(pairs: DataFrame, times: DataFrame) -> DataFrame:
 
 
 def by_place(rows: DataFrame, name: str, places: list[int]) -> DataFrame:
-    """Rows whose `name` stands at one of the places, from 0, in the sorted list of all names."""
-    names = rows.select(name).distinct()
+    """Rows whose `name` stands at one of the places, from 0, in the sorted list of all names, with `place`.
+
+    Only as many names are sorted out as the last place asks for.
+    """
     last = max(places, default=-1) + 1
-    kept = names.orderBy(name).limit(last).withColumn("_place", F.row_number().over(Window.orderBy(name)) - 1).where(F.col("_place").isin(places))
-    return rows.join(F.broadcast(kept.select(name)), name, "left_semi")
+    names = rows.select(name).distinct().orderBy(name).limit(last)
+    kept = names.withColumn("place", (F.row_number().over(Window.orderBy(name)) - 1).cast("long")).where(F.col("place").isin(places))
+    return rows.join(F.broadcast(kept), name)
 
 
 def elapsed(t: Column, demo: str = "demo", place: str = "place") -> Column:
