@@ -64,17 +64,24 @@ def stage_log(spark, d):
 
 
 def _demo_files(spark, d):
-    """CSV files without keys, one for each episode and hand, and times: some right hands are shorter, some times are too few."""
-    rows = fr.frames(spark, d)
+    """CSV files without keys, one for each episode and hand, and times: some right hands are shorter, some times are too few.
+
+    A hundred episodes share a folder, which one task writes and one task reads.
+    """
+    text = lambda *columns: F.concat_ws(",", *(F.coalesce(C(c).cast("string"), F.lit('""')) for c in columns))
+    files = (
+        ("left.csv", "extra,width", F.lit(True), text("b", "a")),
+        ("right.csv", "width", C("f") < C("n") - C("ep") % 4, text("b")),
+        ("times_left.csv", "t", (C("ep") % 5 != 0) & ((C("ep") % 3 != 1) | (C("f") < C("n") - 9)), text("us")),
+        ("times_right.csv", "t", C("ep") % 5 != 0, F.coalesce((C("us") + C("f") * 1000).cast("string"), F.lit('""'))),
+    )
+    line = lambda head, row: F.concat(F.when(C("f") == 0, f"{head}\n").otherwise(""), row, F.lit("\n"))
+    each = F.array_compact(F.array(*(F.when(kept, F.struct(F.lit(name).alias("file"), line(head, row).alias("content"))) for name, head, kept, row in files)))
+    rows = fr.frames(spark, d).select("ep", "f", F.inline(each)).withColumn("group", F.floor(C("ep") / 100))
     folder = fresh(spark, "demos")
-    for name, kept, columns in (
-        ("left", F.lit(True), [C("b").alias("extra"), C("a").alias("width")]),
-        ("right", C("f") < C("n") - C("ep") % 4, [C("b").alias("width")]),
-        ("times/left", (C("ep") % 5 != 0) & ((C("ep") % 3 != 1) | (C("f") < C("n") - 9)), [C("us").alias("t")]),
-        ("times/right", C("ep") % 5 != 0, [(C("us") + C("f") * 1000).alias("t")]),
-    ):
-        some = rows.where(kept).select("ep", "f", *columns)
-        some.repartition("ep").sortWithinPartitions("ep", "f").drop("f").write.partitionBy("ep").option("header", True).csv(f"{folder}/{name}")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "group").sortWithinPartitions("group", "ep", "file", "f")
+    named_files.write_files(rows.select(F.format_string("%d/%d/%s", "group", "ep", "file").alias("name"), "content"), folder)
     return folder
 
 
@@ -85,12 +92,13 @@ SELECT dt.ep, dt.m AS n, sum((f + 1) * a)::BIGINT AS left_sum, sum((f + 1) * b):
 FROM dt JOIN fr ON fr.ep = dt.ep AND f < dt.m GROUP BY dt.ep, dt.m, side""")
 def demo_rows(spark, d):
     """Both grippers joined by their rows' places in unkeyed files, and the rate by whichever hand's times are enough."""
-    folder, demo = _demo_files(spark, d), r"/ep=(\d+)/"
-    pairs = demos.grippers(*(demos.column_of(spark, f"{folder}/{side}", "width", demo, "width") for side in ("left", "right")))
-    times = [demos.column_of(spark, f"{folder}/times/{side}", "t", demo, "t").withColumns({"side": F.lit(side), "t": C("t") / 1e6}) for side in ("left", "right")]
-    rates = demos.rates(pairs, times[0].unionByName(times[1]))
-    sums = pairs.groupBy("demo").agg(*(F.sum(((C("place") + 1) * C(c)).cast("long")).alias(f"{c}_sum") for c in ("left", "right")))
-    return sums.join(rates, "demo").select(C("demo").cast("long").alias("ep"), "n", "left_sum", "right_sum", F.round("fps", 6).alias("fps"))
+    folder = _demo_files(spark, d)
+    width = lambda side: demos.columns_of(spark, folder, {f"{side}.csv": "width"}).select("demo", "place", C("value").alias("width"))
+    pairs = demos.grippers(width("left"), width("right"))
+    sums = pairs.groupBy("demo").agg(F.count(F.lit(1)).alias("n"), *(F.sum(((C("place") + 1) * C(c)).cast("long")).alias(f"{c}_sum") for c in ("left", "right")))
+    side = F.regexp_extract("file", r"_(\w+)\.", 1)
+    times = demos.columns_of(spark, folder, {"times_left.csv": "t", "times_right.csv": "t"}).select("demo", side.alias("side"), "place", (C("value") / 1e6).alias("t"))
+    return demos.with_rates(sums, times).select(C("demo").cast("long").alias("ep"), "n", "left_sum", "right_sum", F.round("fps", 6).alias("fps"))
 
 
 @query("""SELECT ep, ep % 3 <> 0 AND ep % 4 <> 0 AS valid, CASE WHEN ep % 3 = 0 OR ep % 4 = 0 THEN 'missing ' || concat_ws(', ', CASE WHEN ep % 3 = 0 THEN 'gripper_width_left.csv' END, CASE WHEN ep % 4 = 0 THEN 'gripper_width_right.csv' END) END AS reason,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from episodica.functions.replies import is_json
+from episodica.sources import small_files
 from episodica.sources.places import placed, side_by_side
 
 #: What a recording must have, what marks a folder as one, and frames a second where no times are known.
@@ -51,6 +52,15 @@ def column_of(spark: SparkSession, path: str, column: str, demo: str, alias: str
     return rows.select(F.regexp_extract("file", demo, 1).alias("demo"), "place", alias)
 
 
+def columns_of(spark: SparkSession, root: str, wanted: dict[str, str]) -> DataFrame:
+    """(demo, file, place, value): columns of very many CSV files without keys in one pass; wanted names a column for each file.
+
+    A recording is named by the folder that its files are in. Each file is one task's; column_of reads a long one in many.
+    """
+    rows = small_files.columns(spark, root, wanted)
+    return rows.select(F.element_at(F.split("folder", "/"), -1).alias("demo"), "file", "place", F.col("value").cast("double").alias("value"))
+
+
 def stamps_of(spark: SparkSession, path: str, demo: str) -> DataFrame:
     """(demo, place, t): `timestamp_ns` of JSON lines, counted without the lines that have none or are no JSON."""
     stamp = F.try_variant_get(F.try_parse_json("value"), "$.timestamp_ns", "long")
@@ -73,10 +83,22 @@ def frame_times(pairs: DataFrame, times: DataFrame) -> DataFrame:
 
 def rates(pairs: DataFrame, times: DataFrame) -> DataFrame:
     """(demo, n, fps): frames a second by the first and last frame's times, DEFAULT_FPS without times or between equal ones."""
-    frames = pairs.groupBy("demo").agg(F.count(F.lit(1)).alias("n"))
-    spans = frame_times(pairs, times).groupBy("demo").agg((F.max_by("t", "place") - F.min_by("t", "place")).alias("span"))
-    fps = F.when(F.col("n") >= 2, (F.col("n") - 1) / F.nullif(F.col("span"), F.lit(0.0)))
-    return frames.join(spans, "demo", "left").select("demo", "n", F.coalesce(fps, F.lit(DEFAULT_FPS)).alias("fps"))
+    return with_rates(pairs.groupBy("demo").agg(F.count(F.lit(1)).alias("n")), times)
+
+
+def with_rates(frames: DataFrame, times: DataFrame) -> DataFrame:
+    """frames (demo, n, ...), a row for each recording, with fps, by the times that frame_times would choose.
+
+    Only the ends of each side's times are kept, so all is grouped by recording and neither table is read twice.
+    """
+    kept = [c for c in frames.columns if c != "demo"]
+    at = F.when(F.col("place") < F.col("n"), F.col("place"))
+    sides = frames.join(times, "demo", "left").groupBy("demo", "side")
+    sides = sides.agg(*(F.first(c).alias(c) for c in kept), F.count("place").alias("_held"), (F.max_by("t", at) - F.min_by("t", at)).alias("_span"))
+    span = F.min_by("_span", F.when(F.col("_held") >= F.col("n"), F.col("side")))  # left sorts before right
+    rows = sides.groupBy("demo").agg(*(F.first(c).alias(c) for c in kept), span.alias("_span"))
+    fps = F.when(F.col("n") >= 2, (F.col("n") - 1) / F.nullif(F.col("_span"), F.lit(0.0)))
+    return rows.select("demo", *kept, F.coalesce(fps, F.lit(DEFAULT_FPS)).alias("fps"))
 
 
 def by_place(rows: DataFrame, name: str, places: list[int]) -> DataFrame:

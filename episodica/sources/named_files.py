@@ -23,13 +23,14 @@ STAGED = "_staged-"
 @dataclass
 class Written(WriterCommitMessage):
     folder: str
-    names: list[str]
 
 
 class NamedFilesWriter(DataSourceArrowWriter):
     """Tasks write into a folder of their own below a staged one; the commit moves the files of the tasks that count.
 
     So a reader never sees half a file, a repeated or lost attempt leaves nothing, and a failed job leaves what was there.
+    A folder that is not there yet is moved as a whole, so that the driver handles folders, not files, where each folder is
+    one task's. Rows of one name that follow each other are one file.
     """
 
     def __init__(self, path: str, overwrite: bool):
@@ -40,21 +41,26 @@ class NamedFilesWriter(DataSourceArrowWriter):
         context = TaskContext.get()
         folder = f"{context.partitionId()}-{context.taskAttemptId()}"
         system, root = files.FileSystem.from_uri(f"{self.staged}/{folder}")
-        names, made = [], set()
-        for batch in iterator:
-            for name, content in zip(batch.column("name").to_pylist(), batch.column("content")):
-                clean = posixpath.normpath(name or "")
-                if not name or clean.startswith(("/", "..")) or clean.split("/")[0].startswith(STAGED) or clean == ".":
-                    raise ValueError(f"not a name below the folder: {name!r}")
-                target = f"{root}/{clean}"
-                if (parent := posixpath.dirname(target)) not in made:
-                    system.create_dir(parent, recursive=True)
-                    made.add(parent)
-                with system.open_output_stream(target) as out:
+        parent = before = out = None
+        try:
+            for batch in iterator:
+                for name, content in zip(batch.column("name").to_pylist(), batch.column("content")):
+                    if out is None or name != before:
+                        clean = posixpath.normpath(name or "")
+                        if not name or clean.startswith(("/", "..")) or clean.split("/")[0].startswith(STAGED) or clean == ".":
+                            raise ValueError(f"not a name below the folder: {name!r}")
+                        if out is not None:
+                            out.close()
+                        target, before = f"{root}/{clean}", name
+                        if posixpath.dirname(target) != parent:
+                            system.create_dir(parent := posixpath.dirname(target), recursive=True)
+                        out = system.open_output_stream(target)
                     if content.is_valid:
                         out.write(content.as_buffer())
-                names.append(clean)
-        return Written(folder, names)
+        finally:
+            if out is not None:
+                out.close()
+        return Written(folder)
 
     def commit(self, messages: list[Written | None]) -> None:
         system, root = files.FileSystem.from_uri(self.path)
@@ -64,13 +70,26 @@ class NamedFilesWriter(DataSourceArrowWriter):
             for info in system.get_file_info(files.FileSelector(root)):
                 if not info.base_name.startswith(STAGED):
                     (system.delete_dir if info.type == files.FileType.Directory else system.delete_file)(info.path)
-        moves = [(f"{staged}/{m.folder}/{name}", f"{root}/{name}") for m in messages if m for name in m.names]
-        for parent in {posixpath.dirname(target) for _, target in moves}:
-            system.create_dir(parent, recursive=True)
         with ThreadPoolExecutor(16) as pool:
-            list(pool.map(lambda m: system.move(*m), moves))
+            for m in messages:
+                if m and system.get_file_info(f"{staged}/{m.folder}").type == files.FileType.Directory:
+                    self._merge(system, f"{staged}/{m.folder}", root, pool)
         self._clear(system, staged)
 
+    @staticmethod
+    def _merge(system: files.FileSystem, source: str, target: str, pool: ThreadPoolExecutor) -> None:
+        """Moves what is in source into target: a folder as a whole where target has none of its name, else what is in it."""
+
+        def moved(info: files.FileInfo) -> str | None:
+            to = f"{target}/{info.base_name}"
+            if info.type == files.FileType.Directory and system.get_file_info(to).type != files.FileType.NotFound:
+                return info.base_name
+            system.move(info.path, to)
+
+        for name in [x for x in pool.map(moved, system.get_file_info(files.FileSelector(source))) if x]:
+            system.create_dir(f"{target}/{name}", recursive=True)
+            NamedFilesWriter._merge(system, f"{source}/{name}", f"{target}/{name}", pool)
+
     def abort(self, messages: list[Written | None]) -> None:
         system, root = files.FileSystem.from_uri(self.path)
         self._clear(system, posixpath.join(root, posixpath.basename(self.staged)))
@@ -96,7 +115,10 @@ class NamedFiles(DataSource):
 
 
 def write_files(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Writes (name, content): one file for each row, in a folder that driver and executors share. Names must differ."""
+    """Writes (name, content): one file for each name, in a folder that driver and executors share.
+
+    Names differ, or the rows of a name follow each other in one partition; then they are the file's parts, in their order.
+    """
     rows.sparkSession.dataSource.register(NamedFiles)
     rows.select("name", F.col("content").cast("binary").alias("content")).write.format("named_files").mode(mode).save(path)
 

@@ -109,3 +109,30 @@ def test_folder_scan(spark, tmp_path):
 def test_rows_by_place(spark):
     rows = spark.createDataFrame([(f"d{k % 7}", k) for k in range(50)], "demo string, k int")
     assert {r.demo for r in demos.by_place(rows, "demo", [0, 3, 99]).collect()} == {"d0", "d3"} and demos.by_place(rows, "demo", []).count() == 0
+
+
+def test_columns_of_many_small_files(spark, tmp_path):
+    """One pass over folders of recordings gives what a reader of each kind of file gives; the driver lists no file."""
+    for demo, (n, m) in {"d1": (300, 250), "d2": (40, 90), "d3": (5, 0)}.items():
+        (folder := tmp_path / "demos" / f"g{demo[1:]}" / demo).mkdir(parents=True)
+        (folder / "left.csv").write_text("width,x\r\n" + "\r\n".join(f'{k}.5,"a,""b"""' for k in range(n)) + "\r\n\r\n")
+        (folder / "right.csv").write_text(('x,width\n' + "".join(f'"a,b",{k + 1000}\n' for k in range(m))) if m else "")
+        (folder / "notes.txt").write_text("width\nnone\n")
+    (tmp_path / "demos/g1/d1/right.csv").open("a").write('"short"\n"",""\n7,8')
+    held = demos.columns_of(spark, str(tmp_path / "demos"), {"left.csv": "width", "right.csv": "width"})
+    got = sorted(tuple(r) for r in held.where("value IS NOT NULL").collect())
+    want = [(d, "left.csv", k, k + 0.5) for d, n in (("d1", 300), ("d2", 40), ("d3", 5)) for k in range(n)]
+    want += [(d, "right.csv", k, k + 1000.0) for d, n in (("d1", 250), ("d2", 90)) for k in range(n)] + [("d1", "right.csv", 252, 8.0)]
+    assert got == sorted(want) and held.count() == len(want) + 2
+    assert held.inputFiles() == []
+    with pytest.raises(Exception, match="left.csv has no column height"):
+        demos.columns_of(spark, str(tmp_path / "demos"), {"left.csv": "height"}).collect()
+
+
+def test_rates_by_the_ends_of_times(spark):
+    """The left side's times where there are enough, else the right's, else none; other columns stay."""
+    frames = spark.createDataFrame([("a", 3, 1), ("b", 3, 2), ("c", 3, 3), ("d", 1, 4), ("e", 2, 5)], "demo string, n long, k long")
+    times = [("a", s, k, k / x) for s, x in (("left", 10), ("right", 20)) for k in range(5)] + [("b", s, k, k / x) for s, x, n in (("left", 10, 2), ("right", 20, 3)) for k in range(n)]
+    times += [("c", "left", 0, 1.0), ("d", "left", 0, 1.0), ("e", "left", 0, 1.0), ("e", "left", 1, 1.0), ("z", "left", 0, 1.0)]
+    df = spark.createDataFrame(times, "demo string, side string, place long, t double")
+    assert {r.demo: (r.n, r.k, round(r.fps, 6)) for r in demos.with_rates(frames, df).collect()} == {"a": (3, 1, 10.0), "b": (3, 2, 20.0), "c": (3, 3, 60.0), "d": (1, 4, 60.0), "e": (2, 5, 60.0)}

@@ -112,3 +112,13 @@ def test_errors_of_groups_are_rows(spark):
     schema = StructType([StructField("ep", LongType()), StructField("total", LongType())])
     got = {r.ep: (r.total, r.error) for r in errors.captured(df, "ep", step, schema).collect()}
     assert got == {e: (None, "EXCEPTION: cannot be read") if e == 3 else (sum(range(e, 50, 5)), None) for e in range(5)}
+
+
+def test_rows_of_one_name_are_one_file(spark, tmp_path):
+    """Parts in their order, and folders that two writes share are merged."""
+    rows = spark.range(3000).select((F.col("id") % 3).alias("k"), "id").repartition(2, "k").sortWithinPartitions("k", "id")
+    named = rows.select(F.format_string("g%d/x.txt", "k").alias("name"), F.concat(F.col("id").cast("string"), F.lit("\n")).alias("content"))
+    named_files.write_files(named, str(tmp_path / "out"))
+    named_files.write_files(spark.createDataFrame([("g1/y.txt", "y"), ("g1/a/z.txt", "z"), ("g2/x.txt", "new")], "name string, content string").repartition(3), str(tmp_path / "out"))
+    assert names_below(tmp_path / "out") == ["g0/x.txt", "g1/a/z.txt", "g1/x.txt", "g1/y.txt", "g2/x.txt"]
+    assert all((tmp_path / f"out/g{k}/x.txt").read_text() == "".join(f"{j}\n" for j in range(k, 3000, 3)) for k in (0, 1)) and (tmp_path / "out/g2/x.txt").read_text() == "new"
