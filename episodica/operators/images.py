@@ -38,6 +38,7 @@ def cells(rows: DataFrame, wanted: DataFrame, cameras: list[str], files: DataFra
     return each.where("content IS NOT NULL").select("ep", "f", "camera", "content")
 
 
-def named(cells_: DataFrame) -> DataFrame:
-    """(name, content) of a file for each cell."""
-    return cells_.select(F.format_string("episode_%06d_%s_t%04d.jpg", "ep", "camera", "f").alias("name"), "content")
+def named(cells_: DataFrame, folder: Column | None = None) -> DataFrame:
+    """(name, content) of a file for each cell; folder, which ends with a slash, comes before the file's own name."""
+    own = F.format_string("episode_%06d_%s_t%04d.jpg", "ep", "camera", "f")
+    return cells_.select((own if folder is None else F.concat(folder, own)).alias("name"), "content")

@@ -8,7 +8,7 @@ from episodica.operators import export, images, intervals, stages, vision
 from episodica.plans import frames as fr
 from episodica.plans.prelude import _hold
 from episodica.plans.registry import query
-from episodica.sources import documents, named_files
+from episodica.sources import documents, named_files, small_files
 from episodica.sources.scratch import fresh
 
 C = F.col
@@ -100,9 +100,13 @@ def keyframe_files(spark, d):
     parts = intervals.subtasks(fr.state_points(spark, d)).where("last >= first")
     wanted = parts.select("ep", F.explode(F.array(C("first"), F.floor((C("first") + C("last")) / 2), C("last"))).alias("f"))
     folder = fresh(spark, "keyframes")
-    named_files.write_files(images.named(images.cells(rows, wanted, ["camera0", "camera1"])), folder)
-    held = spark.read.format("binaryFile").load(folder)
-    return held.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "UTF-8").alias("content"))
+    # A hundred episodes share a folder, which one task writes, the commit moves as a whole and one task reads.
+    group = F.floor(C("ep") / 100)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = images.cells(rows, wanted, ["camera0", "camera1"]).repartition(parts, group).sortWithinPartitions(group)
+    files = images.named(held, F.concat(group.cast("string"), F.lit("/")))
+    named_files.write_files(files, folder)
+    return small_files.contents(spark, folder).select(F.element_at(F.split("name", "/"), -1).alias("name"), F.decode("content", "UTF-8").alias("content"))
 
 
 @query("SELECT ep, 'second' AS task, array_to_string(list(c + CASE WHEN ep % 5 = 0 THEN 1 ELSE 0 END ORDER BY i), ',') AS points, CASE WHEN ep % 3 = 0 THEN '2,5' ELSE '' END AS review FROM st WHERE ep % 4 <> 3 GROUP BY ep UNION ALL SELECT ep, NULL, NULL, NULL FROM sn WHERE ep % 4 = 3")

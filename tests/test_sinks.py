@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from episodica.operators import errors
-from episodica.sources import named_files, runs
+from episodica.operators import errors, images
+from episodica.sources import named_files, runs, small_files
 
 
 def names_below(folder):
@@ -122,3 +122,13 @@ def test_rows_of_one_name_are_one_file(spark, tmp_path):
     named_files.write_files(spark.createDataFrame([("g1/y.txt", "y"), ("g1/a/z.txt", "z"), ("g2/x.txt", "new")], "name string, content string").repartition(3), str(tmp_path / "out"))
     assert names_below(tmp_path / "out") == ["g0/x.txt", "g1/a/z.txt", "g1/x.txt", "g1/y.txt", "g2/x.txt"]
     assert all((tmp_path / f"out/g{k}/x.txt").read_text() == "".join(f"{j}\n" for j in range(k, 3000, 3)) for k in (0, 1)) and (tmp_path / "out/g2/x.txt").read_text() == "new"
+
+
+def test_many_images_in_folders(spark, tmp_path):
+    """What the driver gets of a written file is its task's folder; files are listed and read by tasks."""
+    cells = spark.range(700).select((F.col("id") % 7).alias("ep"), F.col("id").alias("f"), F.lit("camera0").alias("camera"), F.col("id").cast("string").cast("binary").alias("content"))
+    files = images.named(cells.repartition(3, "ep").sortWithinPartitions("ep"), F.concat(F.lit("g"), F.col("ep").cast("string"), F.lit("/")))
+    named_files.write_files(files, str(tmp_path / "out"))
+    held = small_files.contents(spark, str(tmp_path / "out"))
+    assert {r.name: bytes(r.content) for r in held.collect()} == {f"g{k % 7}/episode_{k % 7:06d}_camera0_t{k:04d}.jpg": b"%d" % k for k in range(700)}
+    assert held.count() == 700 and held.inputFiles() == [] and set(vars(named_files.Written("x"))) == {"folder"}
