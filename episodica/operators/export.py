@@ -70,10 +70,16 @@ def exported(episodes: DataFrame, annotations: DataFrame, points: str, offset: i
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    """One row: episodes, those with keyframes, those without an annotation, and how many warnings there are."""
+    """One row: episodes, those with keyframes, the numbers of those without an annotation and of those with warnings, joined
+    in their order, or null where there are none, and how many of each and warnings there are.
+
+    The report is one row, so its lists stand in one task: eight bytes for each episode that they name.
+    """
+    ids = lambda on: F.nullif(F.array_join(F.sort_array(F.collect_list(F.when(on, F.col("episode_index")))), ","), F.lit(""))
+    missing = F.col("source").isNull()
     return rows.agg(
-        F.count(F.lit(1)).alias("episodes"), F.count_if(F.size("keyframe_steps") > 0).alias("with_keyframes"),
-        F.count_if(F.col("source").isNull()).alias("missing"), F.coalesce(F.sum(F.size("warnings")), F.lit(0)).alias("warnings"),
+        F.count(F.lit(1)).alias("episodes"), F.count_if(F.size("keyframe_steps") > 0).alias("with_keyframes"), ids(missing).alias("missing"),
+        ids(F.size("warnings") > 0).alias("warnings"), F.count_if(missing).alias("missing_count"), F.coalesce(F.sum(F.size("warnings")), F.lit(0)).alias("warning_count"),
     )
 
 

@@ -601,7 +601,7 @@ def keyframe_rows(spark, d):
     return rows.select("episode_index", "name", "length", *(joined(c).alias(c) for c in ("keyframe_steps", "inspect_keyframe_steps")), F.size("warnings").cast("long").alias("warnings"), source.alias("source"))
 
 
-@query(f"{_EXPORT} SELECT count(*) AS episodes, count(*) FILTER (len(steps) > 0) AS with_keyframes, count(*) FILTER (pts IS NULL) AS missing, sum(len(clipped))::BIGINT AS warnings FROM ey")
+@query(f"{_EXPORT} SELECT count(*) AS episodes, count(*) FILTER (len(steps) > 0) AS with_keyframes, array_to_string(list(episode_index ORDER BY episode_index) FILTER (len(steps) = 0), ',') AS missing, array_to_string(list(episode_index ORDER BY episode_index) FILTER (len(clipped) > 0), ',') AS warnings, count(*) FILTER (pts IS NULL) AS missing_count, sum(len(clipped))::BIGINT AS warning_count FROM ey")
 def keyframe_report(spark, d):
     return export.summary(_exported(spark, d))
 

@@ -131,3 +131,9 @@ def test_log_keeps_the_last_score(spark):
     old = spark.createDataFrame([(1, 1, 0.5), (2, 1, None), (3, 1, None)], "ep int, run int, score double")
     new = spark.createDataFrame([(1, 2, None), (2, 2, 0.25), (3, 2, None)], "ep int, run int, score double")
     assert sorted(tuple(r) for r in quality.log(old, new, ["ep"], "run").collect()) == [(1, 1, 0.5), (2, 2, 0.25), (3, 2, None)]
+
+
+def test_report_names_its_episodes(spark):
+    rows = spark.createDataFrame([(3, [1], ["a", "b"], "s"), (1, [], [], None), (10, [2], [], "s"), (2, [], [], None), (12, [4], ["c"], "s")], "episode_index long, keyframe_steps array<long>, warnings array<string>, source string")
+    assert tuple(export.summary(rows).first()) == (5, 3, "1,2", "3,12", 2, 3)
+    assert tuple(export.summary(rows.where("episode_index = 10")).first()) == (1, 1, None, None, 0, 0)
