@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from episodica.operators import align, prior, verify
 from episodica.plans import frames as fr
 from episodica.plans.registry import query
-from episodica.sources import demos
-from episodica.sources.scratch import fresh
+from episodica.sources import demos, named_files
+from episodica.sources.scratch import cut, fresh
 
 C = F.col
 NAMES = ["grasp_tube", "start_pour", "release_tube", "grasp_pestle", "start_grind", "lift_pestle"]
@@ -71,15 +71,20 @@ def sliced_align(spark, d):
 
 
 def _stamped(spark, d):
-    """hands, times, videos, stamps and starts: stamps are read from JSON lines of which some are bad."""
+    """hands, times, videos, stamps and starts: stamps are read from JSON lines of which some are bad.
+
+    A hundred episodes' files share a folder, which one task writes and one reads; each file is read once.
+    """
     rows = fr.frames(spark, d)
     sizes = rows.groupBy("ep").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("us0"), F.count_if((C("kind") == "view") & (C("b") % 9 != 0)).alias("views"))
     times = rows.where("ep % 4 <> 3").select("ep", C("f").alias("place"), (C("us") / 1e6).alias("t"))
     stamp = F.when(C("b") % 9 != 0, F.format_string('{"timestamp_ns": %d, "x": 1}', C("us") * 1000)).otherwise('{"timestamp_ns": oops')
-    folder = fresh(spark, "stamps")
-    views = rows.where("kind = 'view'").select(C("ep").alias("demo"), "f", stamp.alias("value"))
-    views.repartition("demo").sortWithinPartitions("demo", "f").drop("f").write.partitionBy("demo").text(folder)
-    stamps = demos.stamps_of(spark, folder, r"/demo=(\d+)/").select(C("demo").cast("long").alias("ep"), "place", "t")
+    folder, group = fresh(spark, "stamps"), F.floor(C("ep") / 100)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    views = rows.where("kind = 'view'").select("ep", "f", group.alias("group"), F.concat(stamp, F.lit("\n")).alias("content"))
+    views = views.repartition(parts, "group").sortWithinPartitions("group", "ep", "f")
+    named_files.write_files(views.select(F.format_string("%d/%d/left.jsonl", "group", "ep").alias("name"), "content"), folder)
+    stamps = cut(demos.stamps_in(spark, folder).select(C("demo").cast("long").alias("ep"), "place", "t"))
     videos = sizes.where("ep % 7 <> 0").select("ep", (C("views") + F.when(C("ep") % 5 == 0, 1).otherwise(0)).alias("frames"))
     starts = sizes.where("ep % 3 <> 0").select("ep", (C("us0") - 2_500_000).alias("unix_us"), (C("us0") - 7_000_000).alias("ticks_us"))
     return sizes.select("ep", "n"), times, videos, stamps, starts

@@ -68,6 +68,18 @@ def stamps_of(spark: SparkSession, path: str, demo: str) -> DataFrame:
     return placed(lines.select(stamp.alias("t"))).select(F.regexp_extract("file", demo, 1).alias("demo"), "place", "t")
 
 
+def stamps_in(spark: SparkSession, root: str) -> DataFrame:
+    """(demo, place, t): what stamps_of gives, of very many files below root; a recording is named by its file's folder.
+
+    Each file is one task's; stamps_of reads a long one in many.
+    """
+    stamp = F.try_variant_get(F.try_parse_json("value"), "$.timestamp_ns", "long")
+    lines = small_files.lines(spark, root).where(is_json(F.col("value")) & stamp.isNotNull())
+    place = (F.row_number().over(Window.partitionBy("demo", "name").orderBy("line")) - 1).cast("long")
+    rows = lines.select(F.element_at(F.split("name", "/"), -2).alias("demo"), "name", "line", stamp.alias("t"))
+    return rows.select("demo", place.alias("place"), "t")
+
+
 def grippers(left: DataFrame, right: DataFrame) -> DataFrame:
     """(demo, place, left, right) from (demo, place, width) of both hands: the longer side is cut to the shorter."""
     return side_by_side(left.withColumnRenamed("width", "left"), right.withColumnRenamed("width", "right"), ["demo"])

@@ -136,3 +136,15 @@ def test_rates_by_the_ends_of_times(spark):
     times += [("c", "left", 0, 1.0), ("d", "left", 0, 1.0), ("e", "left", 0, 1.0), ("e", "left", 1, 1.0), ("z", "left", 0, 1.0)]
     df = spark.createDataFrame(times, "demo string, side string, place long, t double")
     assert {r.demo: (r.n, r.k, round(r.fps, 6)) for r in demos.with_rates(frames, df).collect()} == {"a": (3, 1, 10.0), "b": (3, 2, 20.0), "c": (3, 3, 60.0), "d": (1, 4, 60.0), "e": (2, 5, 60.0)}
+
+
+def test_stamps_in_many_small_files(spark, tmp_path):
+    """Counted without the lines that hold none, file by file, in one pass of which the driver lists no file."""
+    lines = {f"g{k % 2}/{k}/left.jsonl": ['{"timestamp_ns": oops', "", *(json.dumps({"timestamp_ns": j * 10 + k}) for j in range(k)), "[1]", '{"timestamp_ns": 5} x', '{"x": 1}', '{"timestamp_ns": 7}'] for k in range(9)}
+    for name, held in lines.items():
+        (tmp_path / name).parent.mkdir(parents=True)
+        (tmp_path / name).write_text("\n".join(held))
+    found = demos.stamps_in(spark, str(tmp_path))
+    want = sorted((str(k), j, t) for k in range(9) for j, t in enumerate([*(j * 10 + k for j in range(k)), 7]))
+    assert sorted(tuple(r) for r in found.collect()) == want and found.inputFiles() == []
+    assert sorted(tuple(r) for r in demos.stamps_of(spark, f"{tmp_path}/*/*/left.jsonl", r"/(\d)/left").collect()) == want
