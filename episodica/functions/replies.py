@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,7 +21,9 @@ def is_json(text: Column) -> Column:
     """
     listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
     keyed = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit(',"s":1}'))), "$.s", "int")
-    return F.coalesce((F.size(listed) == 1) & (keyed == 1), F.lit(False))
+    # What begins like no JSON is not parsed, nor a second time what has failed: each failure is an exception.
+    begins = text.rlike(r'^\s*[\[{"0-9tfn-]')
+    return F.coalesce(F.when(begins, F.when(F.size(listed) == 1, keyed == 1)), F.lit(False))
 
 
 def json_in(text: Column) -> Column:
@@ -32,11 +36,30 @@ def json_in(text: Column) -> Column:
 def json_value(text: Column, lists: bool = False) -> Column:
     """The JSON of a reply: all of it without the fence around it, else from the first brace to the last, else with lists
     from the first bracket to the last; whichever is JSON first, or null."""
+    return json_values(text)["any"] if lists else _bare(text, _object)
+
+
+def json_values(text: Column) -> Column:
+    """struct(object, any): json_value without and with lists, for those who need both; a reply is parsed once for them."""
+
+    def both(b: Column) -> Column:
+        return let(_object(b), lambda x: F.struct(x.alias("object"), F.coalesce(x, _part(b, r"(?s)\[.*\]")).alias("any")))
+
+    return _bare(text, both)
+
+
+def _bare(text: Column, body: Callable[[Column], Column]) -> Column:
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"^```(?:json)?", ""), r"```$", ""))
-    bare = F.regexp_replace(bare, r"^\s+|\s+$", "")
-    good = lambda t: let(t, lambda x: F.when(is_json(x), x))
-    part = lambda b, pattern: good(F.regexp_extract(b, pattern, 0))
-    return let(bare, lambda b: F.coalesce(good(b), part(b, r"(?s)\{.*\}"), *([part(b, r"(?s)\[.*\]")] if lists else [])))
+    return let(F.regexp_replace(bare, r"^\s+|\s+$", ""), body)
+
+
+def _part(b: Column, pattern: str) -> Column:
+    """What the pattern finds, if that is JSON and not all of b, which has been tried before."""
+    return let(F.regexp_extract(b, pattern, 0), lambda x: F.when((x != b) & is_json(x), x))
+
+
+def _object(b: Column) -> Column:
+    return F.coalesce(F.when(is_json(b), b), _part(b, r"(?s)\{.*\}"))
 
 
 def stage_name(raw: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from episodica.functions import replies, signal
+from episodica.functions.arrays import let
 from episodica.operators import align, export, fusion, intervals, quality, runs
 from episodica.plans import files, layers, reviews  # noqa: F401  register their queries
 from episodica.plans import frames as fr
@@ -310,9 +311,10 @@ def reply_shapes(spark, d):
     raw = F.lit(None).cast("string")
     for form, text in enumerate(_FORMS):
         raw = F.when(C("event_id") % 8 == form, F.format_string(text, k)).otherwise(raw)
-    found = replies.json_value(C("raw"), lists=True)
-    flat = F.to_json(F.try_parse_json(replies.shaped(found)))
-    return fr.events(spark, d).select("event_id", raw.alias("raw")).select("event_id", found.isNotNull().alias("parsed"), flat.alias("object"), replies.json_value(C("raw")).isNotNull().alias("object_parsed"))
+    # One struct for all columns: of each alone Spark would parse the reply again.
+    flat = lambda found: F.to_json(F.try_parse_json(replies.shaped(found)))
+    seen = lambda v: F.struct(v["any"].isNotNull().alias("parsed"), flat(v["any"]).alias("object"), v["object"].isNotNull().alias("object_parsed"))
+    return fr.events(spark, d).select("event_id", raw.alias("raw")).select("event_id", let(replies.json_values(C("raw")), seen).alias("seen")).select("event_id", "seen.*")
 
 
 @query(f"SELECT event_id, event_id % 5 = 2 AS is_list, {_REPLY_K} AS k FROM events")

@@ -137,3 +137,14 @@ def test_report_names_its_episodes(spark):
     rows = spark.createDataFrame([(3, [1], ["a", "b"], "s"), (1, [], [], None), (10, [2], [], "s"), (2, [], [], None), (12, [4], ["c"], "s")], "episode_index long, keyframe_steps array<long>, warnings array<string>, source string")
     assert tuple(export.summary(rows).first()) == (5, 3, "1,2", "3,12", 2, 3)
     assert tuple(export.summary(rows.where("episode_index = 10")).first()) == (1, 1, None, None, 0, 0)
+
+
+def test_values_of_a_reply_in_one_struct(spark):
+    """Both forms at once are what each gives alone, also where the text begins like JSON, or its part is all of it."""
+    texts = ["", None, "  ", "{oops {\"k\": 1}", "{\"k\": 1}", "```json\n[1, 2]\n```", "Sure: [{\"k\": 1}] so", "x [1] {\"a\": 2} y", "[{\"k\": 1}, 5", "true", "nonsense", "-3", "NaN", "\"t\" x", "{} {}", "{\"a\": [1]} {\"b\": 2}"]
+    want = {3: (None, None), 4: ('{"k": 1}',) * 2, 5: ("[1, 2]",) * 2, 6: ('{"k": 1}',) * 2, 7: ('{"a": 2}',) * 2, 8: ('{"k": 1}',) * 2, 9: ("true",) * 2, 11: ("-3",) * 2}
+    want |= {15: (None, "[1]")}
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    both = replies.json_values(F.col("t"))
+    got = {r.k: tuple(r)[1:] for r in df.select("k", both["object"], both["any"], replies.json_value(F.col("t")), replies.json_value(F.col("t"), lists=True)).collect()}
+    assert got == {k: want.get(k, (None, None)) * 2 for k in range(len(texts))}
