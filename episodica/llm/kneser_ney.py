@@ -1,34 +1,31 @@
 """Language-model scoring: an interpolated modified Kneser-Ney model of any order, three by default.
 
-Every document is scored under the model of the training documents. The model is a set of sorted
-arrays of n-gram hashes with their counts, one file for each order and shard in the shared folder;
-workers map the files into memory and find what they need by binary search. It is made order by
-order, from the highest down:
+Every document is scored under the model of the training documents. The model is never stored as such: chunks of documents
+ask shards of the n-grams, and each shard answers every chunk. It is made order by order, from the highest down:
 
 1. Documents are grouped into chunks and written to the shared folder once, so that every later
    step sees the same chunks whatever happens to a task.
-2. Each chunk sends the hashes of its distinct training n-grams, with their counts, to the shard of
-   the hash. A shard adds them up, writes its sorted arrays and, for each n-gram, notes the least
-   chunk that has it: its owner.
-3. For the next order each chunk looks up its n-grams. For those that it owns, so for each n-gram
-   of the corpus once, it sends what they say of their last n - 1 words (one more word before them)
-   and of their first n - 1 (one more follower, seen once, twice or more often), by the hashes of
-   these, and again shards add up and write.
-4. At last each chunk maps all orders and sums the probabilities of its documents' tokens.
-
-Only hashes and small numbers travel, compressed, once for each chunk that has the n-gram. Shards
-are ranges of the hash of the whole n-gram, so no word owns one, and their number grows with the
-corpus. Chunks look up sorted hashes, so they read each file from front to back.
+2. Each chunk sends the sorted hashes of its distinct n-grams, with their counts in training documents, to the shard of
+   the hash. A shard adds them up and answers each chunk in the order of its hashes: the counts of the whole corpus, and
+   whether it is the first chunk that has the n-gram in training, which makes it the n-gram's owner.
+3. For the next order each chunk again sends its distinct n-grams, with what the longer ones that it owns, so each n-gram
+   of the corpus once, say of their last n - 1 words (one more word before them) and of their first n - 1 (one more
+   follower, seen once, twice or more often); again shards add up and answer.
+4. At last each chunk reads its answers of all orders and sums the probabilities of its documents' tokens.
+
+A chunk's n-grams and their order follow from its texts, so answers hold no hashes, only small numbers, and nothing is
+searched: an answer is as long as its question. Questions travel compressed, once for each chunk that has the n-gram; answers
+are a file for each order and shard in the shared folder, of which a chunk reads its own part. Shards
+are ranges of the hash of the whole n-gram, so no word owns one, and their number grows with the corpus.
 """
 
 from __future__ import annotations
 
-import glob
 import io
 import os
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -38,16 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episodica.llm import words
-from episodica.llm.tables import cut, shared_folder
+from episodica.llm.tables import brief_shuffles, cut, shared_folder
 
 BEGIN, END = np.uint64(1), np.uint64(2)  # stand before the first word and after the last one
 BLOB = "shard long, chunk long, blob binary"
 RESULT = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 )
-TOP = ("count", "owner")  # of n-grams of the highest order
-#: Of shorter ones: different words before, and as beginnings: sum of counts, followers of count one, two, more; whose they are.
-LOWER = ("before", "total", "ones", "twos", "more", "count", "owner")
+TOP = ("count",)  # of n-grams of the highest order
+#: Of shorter ones: different words before, and as beginnings: sum of counts, followers of count one, two, more; single words' counts.
+LOWER = ("before", "total", "ones", "twos", "more", "count")
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -73,6 +70,21 @@ def narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(next(kind for kind in (np.uint8, np.uint16, np.uint32, np.int64) if most <= np.iinfo(kind).max))
 
 
+def pack_numbers(arrays: Iterable[np.ndarray]) -> bytes:
+    """Whole numbers, none negative, in any order; compressed, high bytes, mostly zeros, together."""
+    out = io.BytesIO()
+    for a in map(narrow, arrays):
+        np.save(out, np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T))
+    return zstandard.ZstdCompressor(level=3).compress(out.getvalue())
+
+
+def unpack_numbers(blob: bytes, arrays: int) -> list[np.ndarray]:
+    """The first arrays of those packed, as narrow as they were."""
+    held = io.BytesIO(zstandard.ZstdDecompressor().decompress(blob))
+    planes = (np.load(held) for _ in range(arrays))
+    return [np.ascontiguousarray(p.T).reshape(-1).view(f"u{len(p)}") for p in planes]
+
+
 def held_out(doc_id: int | None, modulus: int = 10) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus == 0
 
@@ -86,93 +98,106 @@ def _posix(folder: str) -> str:
     """The shared folder as workers open it."""
     place = urlparse(folder)
     if place.scheme not in ("", "file"):
-        raise ValueError(f"workers map the model from a mounted folder; {folder} is none: mount it and set spark.checkpoint.dir to its path")
+        raise ValueError(f"workers read the model from a mounted folder; {folder} is none: mount it and set spark.checkpoint.dir to its path")
     return place.path
 
 
-class Model:
-    """One order of the stored model: files of sorted hashes and of the numbers that go with them, by shard."""
+class Answers:
+    """What the shards of one order tell the chunks: a file for each shard, in which every chunk has a part."""
 
     def __init__(self, folder: str, order: int, n_shards: int, names: tuple[str, ...]):
         self.folder, self.n_shards, self.names = f"{folder}/order-{order}", n_shards, names
 
-    def write(self, shard: int, hashes: np.ndarray, numbers: list[np.ndarray]) -> None:
-        """Numbers are bytes, 255 standing for those in a second, short array. A repeated task writes the same files."""
+    def write(self, shard: int, chunks: np.ndarray, parts: Iterable[bytes]) -> None:
+        """Chunks are sorted. The file appears whole or not at all; a repeated task writes the same one."""
         os.makedirs(self.folder, exist_ok=True)
-        self._save(f"{shard}-hash", hashes)
-        for name, a in zip(self.names, numbers):
-            large = np.flatnonzero(a >= 255)
-            self._save(f"{shard}-{name}", np.minimum(a, 255).astype(np.uint8))
-            self._save(f"{shard}-{name}-large", np.stack([large, a[large]]))
-
-    def _save(self, name: str, a: np.ndarray) -> None:
-        """A file appears whole or not at all."""
-        path = f"{self.folder}/{name}.npy"
-        part = f"{path}.{uuid.uuid4().hex}"
+        path = f"{self.folder}/{shard}.answers"
+        part, ends = f"{path}.{uuid.uuid4().hex}", []
         with open(part, "wb") as file:
-            np.save(file, a)
+            np.save(file, np.zeros((2, len(chunks)), dtype=np.int64))
+            for blob in parts:
+                file.write(blob)
+                ends.append(file.tell())
+            file.seek(0)
+            np.save(file, np.stack([chunks, np.array(ends, dtype=np.int64)]))
         os.replace(part, path)
 
-    def forget_owners(self) -> None:
-        """Only the making of the next order asks for them."""
-        for path in glob.glob(f"{self.folder}/*-owner*.npy"):
-            os.remove(path)
-
-    def find(self, asked: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
-        """The numbers of sorted hashes, 0 where the model has none."""
-        out = [np.zeros(len(asked), dtype=np.int64) for _ in names]
-        bounds = np.searchsorted(shard_of(asked, self.n_shards), np.arange(self.n_shards + 1))
-        for shard, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-            path = f"{self.folder}/{shard}-hash.npy"
-            if a == b or not os.path.exists(path):
+    def read(self, chunk: int, size: int, names: int | None = None) -> list[np.ndarray]:
+        """Is the chunk the owner, and the numbers (the first `names` of them, or all) of its `size` n-grams."""
+        count = 1 + (len(self.names) if names is None else names)
+        found = [[np.zeros(0, np.uint8)] * count]
+        for shard in range(self.n_shards):
+            path = f"{self.folder}/{shard}.answers"
+            if not os.path.exists(path):  # no chunk has n-grams there
                 continue
-            known = np.load(path, mmap_mode="r")
-            at = np.searchsorted(known, asked[a:b])
-            at[at == len(known)] = 0
-            right = known[at] == asked[a:b]
-            where, at = np.flatnonzero(right) + a, at[right]
-            for values, name in zip(out, names):
-                found = np.load(f"{self.folder}/{shard}-{name}.npy", mmap_mode="r")[at].astype(np.int64)
-                large = np.flatnonzero(found == 255)
-                if len(large):
-                    places, true = np.load(f"{self.folder}/{shard}-{name}-large.npy", mmap_mode="r")
-                    found[large] = true[np.searchsorted(places, at[large])]
-                values[where] = found
+            with open(path, "rb") as file:
+                chunks, ends = np.load(file)
+                k = int(np.searchsorted(chunks, chunk))
+                if k < len(chunks) and chunks[k] == chunk:
+                    start = int(ends[k - 1]) if k else file.tell()
+                    file.seek(start)
+                    found.append(unpack_numbers(file.read(int(ends[k]) - start), count))
+        out = [np.concatenate(c) for c in zip(*found)]
+        if len(out[0]) != size:
+            raise OSError(f"{self.folder} answers {len(out[0])} of the {size} n-grams of chunk {chunk}")
         return out
 
 
-class Grams:
-    """Distinct n-grams of one order, sorted by hash, and the one that each token ends."""
+def _changes(a: np.ndarray) -> np.ndarray:
+    """Marks the first of equal values of a sorted array; numpy's unique hashes, which takes many times as long here."""
+    new = np.ones(len(a), dtype=bool)
+    np.not_equal(a[1:], a[:-1], out=new[1:])
+    return new
 
-    def __init__(self, hashed: np.ndarray, learned: np.ndarray):
-        self.hash, first, self.at = np.unique(hashed, return_index=True, return_inverse=True)
-        self.first = first  # a token that ends it
-        self.count = np.bincount(self.at[learned], minlength=len(self.hash)).astype(np.int64)
+
+class Grams:
+    """Distinct n-grams of a chunk, sorted by hash: the one that each token ends, and the one that ends just before it."""
+
+    def __init__(self, hashed: np.ndarray, begins: np.ndarray, learned: np.ndarray, beginning: np.ndarray):
+        """beginning is the n-gram of BEGIN alone; begins marks the tokens that it stands before."""
+        every = np.concatenate([hashed, beginning])
+        order = np.argsort(every)
+        every = every[order]
+        new = _changes(every)
+        self.hash, at = every[new], np.empty(len(every), dtype=np.uint32)
+        del every
+        at[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+        self.at, self._beginning, self._begins, self._learned = at[:-1], at[-1], begins, learned
+
+    @property
+    def before(self) -> np.ndarray:
+        return np.where(self._begins, self._beginning, np.roll(self.at, 1))
+
+    @property
+    def count(self) -> np.ndarray:
+        return np.bincount(self.at[self._learned], minlength=len(self.hash))
+
+    def example(self, wanted: np.ndarray) -> np.ndarray:
+        """A training token that ends it, of each wanted n-gram."""
+        place, learned = np.full(len(self.hash), -1), np.flatnonzero(self._learned)
+        place[self.at[learned]] = learned
+        return place[wanted]
 
 
 class Chunk:
     """The tokens of some documents, and the n-grams that end at each of them."""
 
-    def __init__(self, blob: bytes, order: int):
+    def __init__(self, blob: bytes):
         table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
         self.ids, column = table["doc_id"].to_pylist(), table["text"].combine_chunks()
         self.token, self.n_tokens = _tokens(column)
         self.start = np.cumsum(self.n_tokens) - self.n_tokens
         self.held = np.array([held_out(i) for i in self.ids], dtype=bool)
         self.learned = np.repeat(~self.held, self.n_tokens)
-        self.order = order
 
-    def hashes(self, n: int, back: int = 0) -> np.ndarray:
-        """Of the n words that end `back` words before each token's next one; BEGIN stands before a document's first word."""
+    def grams(self, n: int) -> Grams:
+        """Of the n words up to each token; BEGIN stands before a document's first word."""
         place = np.arange(len(self.token)) - np.repeat(self.start, self.n_tokens)
         word = lambda k: np.where(place >= k, np.roll(self.token, k), BEGIN)
-        out = word(back + n - 1)
-        for k in range(back + n - 2, back - 1, -1):
-            out = words.pair(out, word(k))
-        return out
-
-    def grams(self, n: int) -> Grams:
-        return Grams(self.hashes(n), self.learned)
+        hashed, beginning = word(n - 1), np.array([BEGIN])
+        for k in range(n - 2, -1, -1):
+            hashed, beginning = words.pair(hashed, word(k)), words.pair(beginning, np.array([BEGIN]))
+        return Grams(hashed, place == 0, self.learned, beginning)
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -222,13 +247,13 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     return held.select((part * (most + 1) + place).alias("chunk"), "size", "blob")
 
 
-def _each(order: int, make):
+def _each(make):
     """mapInArrow over chunks: rows (shard, chunk, blob) of what make gives for each, an iterator of (shard, blob)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                number, chunk = batch.column("chunk")[k].as_py(), Chunk(batch.column("blob")[k].as_py(), order)
+                number, chunk = batch.column("chunk")[k].as_py(), Chunk(batch.column("blob")[k].as_py())
                 made = list(make(number, chunk))
                 del chunk
                 if made:
@@ -245,24 +270,22 @@ def _by_shard(n_shards: int, hashes: np.ndarray, numbers: list[np.ndarray]) -> I
             yield shard, pack(hashes[a:b], *(v[a:b] for v in numbers))
 
 
-def _add(shard_rows: pa.Table, fields: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """(sorted hashes, sums of their numbers, the least chunk that sent each) of all messages to a shard."""
-    known, sums, owner = np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * fields, np.zeros(0, np.int64)
-    order = np.argsort(shard_rows["chunk"].to_numpy(), kind="stable")
-    blobs, chunks = shard_rows["blob"], shard_rows["chunk"].to_numpy()
-    parts, size = [], 0
-    for n, k in enumerate(order.tolist()):
-        held = unpack(blobs[k].as_py(), fields)
-        parts.append((*held, np.full(len(held[0]), chunks[k])))
-        size += len(held[0])
-        if size > max(2 << 20, len(known)) or n + 1 == len(order):  # some messages at a time
-            columns = [np.concatenate(c) for c in zip((known, *sums, owner), *parts)]
-            known, at = np.unique(columns[0], return_inverse=True)
-            sums = [_total(at, v, len(known)) for v in columns[1:-1]]
-            least = np.full(len(known), np.iinfo(np.int64).max)
-            np.minimum.at(least, at, columns[-1])
-            owner, parts, size = least, [], 0
-    return known, sums, owner
+def _known(blobs: Iterable[bytes]) -> np.ndarray:
+    """Sorted hashes of all messages to a shard."""
+    parts, size, most = [np.zeros(0, np.uint64)], 0, 0
+
+    def merged() -> np.ndarray:
+        every = np.concatenate(parts)
+        every.sort()
+        return every[_changes(every)]
+
+    for blob in blobs:
+        parts.append(unpack(blob, 0)[0])
+        size += len(parts[-1])
+        if size > max(2 << 20, most):  # some messages at a time
+            parts, size = [merged()], 0
+            most = len(parts[0])
+    return merged()
 
 
 def _total(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -291,99 +314,105 @@ def _summary(value: np.ndarray, count: np.ndarray) -> pa.Table:
     return pa.Table.from_arrays([pa.array([x], pa.int64()) for x in row], [c.split()[0] for c in SUMMARY.split(", ")])
 
 
-def build(chunks: DataFrame, folder: str, order: int, n_shards: int) -> tuple[list[Model], list[dict]]:
-    """Stores the model; returns its orders, the first for single words, and the summary of each."""
-    models = [Model(folder, n, n_shards, TOP if n == order else LOWER) for n in range(1, order + 1)]
+def build(chunks: DataFrame, folder: str, order: int, n_shards: int) -> tuple[list[Answers], list[dict]]:
+    """Stores what chunks are told; returns it by order, the first for single words, and the summary of each."""
+    answers = [Answers(folder, n, n_shards, TOP if n == order else LOWER) for n in range(1, order + 1)]
     summaries: list[dict] = [{}] * order
+    names = [c.split()[0] for c in SUMMARY.split(", ")]
     for n in range(order, 0, -1):
-        own, above = models[n - 1], models[n] if n < order else None
-        sent = chunks.select("chunk", "blob").mapInArrow(_each(order, _messages(n, n_shards, above)), BLOB)
-        told = sent.groupBy("shard").applyInArrow(_stored(own), SUMMARY)
-        names = [c.split()[0] for c in SUMMARY.split(", ")]
-        row = told.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first()
+        sent = chunks.select("chunk", "blob").mapInArrow(_each(_messages(n, n_shards, answers[n] if n < order else None)), BLOB)
+        told = sent.groupBy("shard").applyInArrow(_stored(answers[n - 1]), SUMMARY)
+        with brief_shuffles(chunks.sparkSession):
+            row = told.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first()
         summaries[n - 1] = row.asDict()
-        if above is not None:
-            above.forget_owners()
-    models[0].forget_owners()
-    return models, summaries
+    return answers, summaries
 
 
-def _messages(n: int, n_shards: int, above: Model | None):
-    """What a chunk sends to the shards of order n; above is the order of one word more, None for the highest order."""
+def _messages(n: int, n_shards: int, above: Answers | None):
+    """What a chunk sends to the shards of order n; above tells of one word more, None for the highest order."""
 
     def counts(number: int, chunk: Chunk) -> Iterator[tuple[int, bytes]]:
         grams = chunk.grams(n)
-        seen = grams.count > 0
-        return _by_shard(n_shards, grams.hash[seen], [grams.count[seen]])
+        return _by_shard(n_shards, grams.hash, [grams.count])
 
     def contexts(number: int, chunk: Chunk) -> Iterator[tuple[int, bytes]]:
-        grams = Grams(chunk.hashes(n + 1)[chunk.learned], np.zeros(0, dtype=np.int64))
-        value, owner = above.find(grams.hash, (above.names[0], "owner"))
-        mine = (owner == number) & (value > 0)
-        place, value = np.flatnonzero(chunk.learned)[grams.first[mine]], value[mine]
-        del grams, owner
-        tail, start = chunk.hashes(n)[place], chunk.hashes(n, 1)[place]
-        own_words = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
-        if n == 1:  # single words also carry how often they occur
-            unigrams = chunk.grams(1)
-            seen = unigrams.count > 0
-            own_words = [unigrams.hash[seen], unigrams.count[seen]]
-        known, at = np.unique(np.concatenate([tail, start, own_words[0]]), return_inverse=True)
-        left, right, single = np.split(at, [len(place), 2 * len(place)])
-        every = len(known)
+        longer = chunk.grams(n + 1)
+        mine, value = above.read(number, len(longer.hash), 1)
+        mine = (mine > 0) & (value > 0)
+        place, value = longer.example(mine), value[mine]
+        del longer, mine
+        grams = chunk.grams(n)
+        left, right, every = grams.at[place], grams.before[place], len(grams.hash)
         numbers = [np.bincount(left, minlength=every), _total(right, value, every)]
         numbers += [np.bincount(right[k], minlength=every) for k in (value == 1, value == 2, value > 2)]
-        numbers.append(_total(single, own_words[1], every))
-        return _by_shard(n_shards, known, numbers)
+        numbers.append(grams.count if n == 1 else np.zeros(every, np.int64))  # single words also carry how often they occur
+        return _by_shard(n_shards, grams.hash, numbers)
 
     return counts if above is None else contexts
 
 
-def _stored(own: Model):
+def _stored(own: Answers):
+    fields = len(own.names)
+
     def store(rows: pa.Table) -> pa.Table:
-        known, sums, owner = _add(rows, len(own.names) - 1)
-        own.write(rows["shard"][0].as_py(), known, [*sums, owner])
+        chunks, blobs = rows["chunk"].to_numpy(), rows["blob"]
+        order = np.argsort(chunks, kind="stable")
+        known = _known(blobs[k].as_py() for k in order.tolist())
+        sums, owned, places = [np.zeros(len(known), np.int64) for _ in range(fields)], np.zeros(len(known), bool), []
+        for k in order.tolist():
+            hashes, *numbers = unpack(blobs[k].as_py(), fields)
+            at = np.searchsorted(known, hashes)  # a chunk names an n-gram once
+            for total, v in zip(sums, numbers):
+                total[at] += v
+            first = np.logical_or.reduce([v > 0 for v in numbers]) & ~owned[at]
+            owned[at[first]] = True
+            places.append((first, narrow(at)))
+        del owned
+        own.write(rows["shard"][0].as_py(), chunks[order], (pack_numbers([first, *(total[at] for total in sums)]) for first, at in places))
         return _summary(sums[0], sums[-1])
 
     return store
 
 
-def probabilities(chunk: Chunk, models: list[Model], summaries: list[dict]) -> np.ndarray:
-    """Of each token after the words before it, from single words up to the model's order."""
-    p = np.ones(len(chunk.token))
-    for n, (model, s) in enumerate(zip(models, summaries), 1):
-        if not s["total"]:
-            continue
+def probabilities(number: int, chunk: Chunk, answers: list[Answers], summaries: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token: its count in training, and its probability after the words before it, from single words up to the model's order."""
+    p = count = np.ones(len(chunk.token))
+    taken = [discounts(*(s[k] for k in ("n1", "n2", "n3", "n4"))) for s in summaries]
+    for n, (told, s) in enumerate(zip(answers, summaries), 1):
         grams = chunk.grams(n)
-        taken = discounts(*(s[k] for k in ("n1", "n2", "n3", "n4")))
-        (value,) = model.find(grams.hash, model.names[:1])
-        value = value[grams.at]
+        size, grams.hash = len(grams.hash), None
+        _, value, *numbers = told.read(number, size)
+        # What the n-gram's count gives, worked out once for each n-gram.
+        kept = np.maximum(value - taken[n - 1][np.minimum(value, 3)], 0)[grams.at]
         if n == 1:
-            kinds = [s["n1"], s["n2"], s["grams"] - s["n1"] - s["n2"]]
-            total, freed = s["total"], float(np.dot(taken[1:], kinds))
-            p = (np.maximum(value - taken[np.minimum(value, 3)], 0) + freed / (s["known"] + 1)) / total
-            continue
-        starts = Grams(chunk.hashes(n - 1, 1), np.zeros(0, dtype=np.int64))
-        found = models[n - 2].find(starts.hash, ("total", "ones", "twos", "more"))
-        total, *kinds = (v[starts.at] for v in found)
-        freed = taken[1] * kinds[0] + taken[2] * kinds[1] + taken[3] * kinds[2]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            high = (np.maximum(value - taken[np.minimum(value, 3)], 0) + freed * p) / total
-        p = np.where(total > 0, high, p)
-    return p
-
-
-def _score(models: list[Model], summaries: list[dict], order: int):
+            count = numbers[-1][grams.at]
+            if s["total"]:
+                kinds = [s["n1"], s["n2"], s["grams"] - s["n1"] - s["n2"]]
+                p = (kept + float(np.dot(taken[0][1:], kinds)) / (s["known"] + 1)) / s["total"]
+        elif s["total"]:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                kept += freed * p
+                kept /= total
+            p = np.where(total > 0, kept, p)
+        if n < len(answers):  # of the words before each token: the sum of their followers' counts, and what is taken from these
+            total, *kinds = numbers[:4]
+            before, next_taken = grams.before, taken[n]
+            freed = (next_taken[1] * kinds[0] + next_taken[2] * kinds[1] + next_taken[3] * kinds[2])[before]
+            total = total[before]
+            del before, kinds
+        del grams, value, numbers, kept
+    return count, p
+
+
+def _score(answers: list[Answers], summaries: list[dict]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, known = summaries[0]["tokens"], summaries[0]["known"]
         for batch in batches:
-            for blob in batch.column("blob"):
-                chunk = Chunk(blob.as_py(), order)
-                word = chunk.grams(1)
-                (count,) = (v[word.at] for v in models[0].find(word.hash, ("count",)))
-                del word
+            for k in range(batch.num_rows):
+                chunk = Chunk(batch.column("blob")[k].as_py())
+                count, p = probabilities(batch.column("chunk")[k].as_py(), chunk, answers, summaries)
                 base = np.log10((count + 0.1) / (tokens + 0.1 * (known + 1)))
-                logs = np.log10(probabilities(chunk, models, summaries))
+                logs = np.log10(p)
                 total = lambda x, chunk=chunk: np.add.reduceat(x, chunk.start)
                 columns = [
                     pa.array(chunk.ids, pa.int64()), pa.array(chunk.held), pa.array(chunk.n_tokens), pa.array(total((count > 0).astype(np.int64))),
@@ -400,8 +429,8 @@ def score(docs: DataFrame, order: int = 3, chunk_bytes: int = 16 << 20, shard_by
     Rows whose crc32(doc_id) mod 10 is 0 are held out. A null text is empty: one token, the end. A null id
     counts as the empty text and is held out. Repeated rows are scored, and counted, as often as they occur. A very long
     text is a chunk of its own. Without training rows every token has the probability 1. An empty table gives an empty
-    result. order is 2 or more. A shard holds the n-grams of about shard_bytes of text. The model stays in the shared
-    folder, in language-model-*.
+    result. order is 2 or more. A shard holds the n-grams of about shard_bytes of text. What chunks are told stays in
+    the shared folder, in language-model-*.
     """
     if order < 2:
         raise ValueError("a Kneser-Ney model needs an order of 2 or more")
@@ -409,5 +438,5 @@ def score(docs: DataFrame, order: int = 3, chunk_bytes: int = 16 << 20, shard_by
     chunks = _chunks(docs, chunk_bytes)
     size = chunks.agg(F.sum("size")).first()[0] or 0
     folder = f"{_posix(shared_folder(spark))}/language-model-{uuid.uuid4().hex}"
-    models, summaries = build(chunks, folder, order, max(1, -(-size // shard_bytes)))
-    return chunks.select("blob").mapInArrow(_score(models, summaries, order), RESULT)
+    answers, summaries = build(chunks, folder, order, max(1, -(-size // shard_bytes)))
+    return chunks.select("chunk", "blob").mapInArrow(_score(answers, summaries), RESULT)
